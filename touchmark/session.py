@@ -18,6 +18,7 @@ def build_session(master: str = "local[8]", app: str = "touchmark", **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         **conf,
     }
