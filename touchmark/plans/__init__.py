@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from touchmark.plans import data_quality, measures  # noqa: F401
+from touchmark.plans import catalog, data_quality, measures  # noqa: F401
 from touchmark.plans.registry import ORACLES, QUERIES, Query
 
 
