@@ -65,16 +65,18 @@ def full_table(namespace: Column, table: Column) -> Column:
 def terms_flatten(tree: DataFrame) -> DataFrame:
     """Glossary, category, term trees as one row per term, in order of appearance."""
     categories = tree.select(
-        "glossary_ord", F.posexplode("categories").alias("category_ord", "category_node")
+        "glossary_id", "glossary_ord",
+        F.posexplode("categories").alias("category_ord", "category_node"),
     )
     rows = categories.select(
-        "glossary_ord", "category_ord",
+        "glossary_id", "glossary_ord", "category_ord",
         F.initcap(F.translate("category_node.name", "-", " ")).alias("category"),
         F.posexplode("category_node.terms").alias("position", "term"),
     )
-    order = F.col("glossary_ord") * 1_000_000 + F.col("category_ord") * 1_000 + F.col("position")
+    # Room for 65 536 terms in each of 4 096 categories.
+    order = F.col("glossary_ord") * 2**28 + F.col("category_ord") * 2**16 + F.col("position")
     return rows.select(
-        "term.*", "category", order.alias("term_ord"),
+        "glossary_id", "term.*", "category", order.alias("term_ord"),
         s.normalize_name(F.col("term.display_name")).alias("term_key"),
     )
 
@@ -131,12 +133,15 @@ def term_links(terms: DataFrame, implied: DataFrame) -> DataFrame:
 def table_terms(terms: DataFrame) -> DataFrame:
     """Display names of the terms of each table, joined by commas in order of appearance.
 
-    The reference writes this list into one metadata field, so its size is a table's own terms.
+    The list goes into one metadata field of the table and is kept per glossary; all its members
+    come from one glossary row, so no group is larger than that row.
     """
-    rows = terms.select(F.explode("tables").alias("table"), "term_ord", "display_name")
+    rows = terms.select(
+        "glossary_id", F.explode("tables").alias("table"), "term_ord", "display_name"
+    )
     ordered = F.sort_array(F.collect_list(F.struct("term_ord", "display_name")))
     names = F.array_join(F.transform(ordered, lambda t: t["display_name"]), ", ")
-    return rows.groupBy("table").agg(names.alias("term_names"), F.count("*").alias("term_count"))
+    return rows.groupBy("glossary_id", "table").agg(names.alias("term_names"), F.count("*").alias("term_count"))
 
 
 # --- exact matches -------------------------------------------------------------------------
@@ -152,7 +157,7 @@ def related_entries(terms: DataFrame, columns: DataFrame) -> DataFrame:
     ).drop("term_key")
 
 
-def _proposal(term_prefix: str, kind: str, via: Column, score: Column, why: Column) -> list[Column]:
+def _proposal(kind: str, via: Column, score: Column, why: Column) -> list[Column]:
     return [
         F.col("display_name").alias("glossary_term"), F.col("category"), F.col("description"),
         F.col("full_table").alias("table"), F.col("column_name").alias("column"),
@@ -169,7 +174,7 @@ def _places(columns: DataFrame) -> DataFrame:
 def match_exact(terms: DataFrame, columns: DataFrame) -> DataFrame:
     joined = unique_terms(terms).join(_places(columns), F.col("term_key") == F.col("column_key"))
     return joined.select(
-        *_proposal("", "exact", F.lit(""), F.lit(EXACT_SCORE), F.lit("exact match"))
+        *_proposal("exact", F.lit(""), F.lit(EXACT_SCORE), F.lit("exact match"))
     )
 
 
@@ -201,7 +206,7 @@ def match_synonym(terms: DataFrame, columns: DataFrame) -> DataFrame:
         _places(columns), F.col("target") == F.col("column_key")
     )
     why = F.concat(F.lit("synonym for "), F.col("via"))
-    return joined.select(*_proposal("", "synonym", F.col("via"), F.lit(EXACT_SCORE), why))
+    return joined.select(*_proposal("synonym", F.col("via"), F.lit(EXACT_SCORE), why))
 
 
 def match_synonym_list(terms: DataFrame, columns: DataFrame) -> DataFrame:
@@ -215,7 +220,7 @@ def match_synonym_list(terms: DataFrame, columns: DataFrame) -> DataFrame:
     )
     joined = listed.join(_places(columns), F.col("target") == F.col("column_key"))
     why = F.concat(F.lit("synonym for "), F.col("via"))
-    return joined.select(*_proposal("", "synonym", F.col("via"), F.lit(EXACT_SCORE), why))
+    return joined.select(*_proposal("synonym", F.col("via"), F.lit(EXACT_SCORE), why))
 
 
 # --- keyword matches -----------------------------------------------------------------------
@@ -288,7 +293,7 @@ def match_fuzzy(terms: DataFrame, columns: DataFrame, threshold: int = 0) -> Dat
     )
     scored = hits.groupBy(*place).agg(F.sum("points").alias("score"), why.alias("why"))
     found = scored.join(open_terms, "term_key").select(
-        *_proposal("", "fuzzy", F.lit(""), F.col("score"), F.col("why"))
+        *_proposal("fuzzy", F.lit(""), F.col("score"), F.col("why"))
     )
     return fuzzy_threshold(found, threshold)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from touchmark.functions import scalars as s
 from touchmark.operators import discover
 from touchmark.operators import glossary as gl
-from touchmark.plans.oracle_views import glossary_sql, with_views
+from touchmark.plans.oracle_views import discovery_views, glossary_sql, with_views
 from touchmark.plans.registry import register
 from touchmark.session import new_path
 from touchmark.sources import star
@@ -166,9 +166,9 @@ def term_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("table_terms", glossary_sql("""
-SELECT tab AS "table", string_agg(display_name, ', ' ORDER BY term_ord) AS term_names,
+SELECT glossary_id, tab AS "table", string_agg(display_name, ', ' ORDER BY term_ord) AS term_names,
   COUNT(*) AS term_count
-FROM (SELECT UNNEST(tables) AS tab, display_name, term_ord FROM terms) GROUP BY tab""",
+FROM (SELECT glossary_id, UNNEST(tables) AS tab, display_name, term_ord FROM terms) GROUP BY ALL""",
     "terms", owner="supplier"))
 def table_terms(spark: SparkSession, d: str) -> DataFrame:
     return gl.table_terms(_terms(spark, d, "supplier"))
@@ -290,7 +290,7 @@ _LINK_ORDER = ("phase", "term_ord", "neg_score", "table_ord", "position")
 
 
 def _applied(spark: SparkSession, d: str) -> DataFrame:
-    """All proposals applied to the tables of even size class, links to promo tables existing."""
+    """All proposals applied; tables of small parts are unknown, promo tables already linked."""
     columns = _columns(spark, d)
     rows = gl.proposals(_terms(spark, d), columns).withColumn("neg_score", -F.col("match_score"))
     sizes = load(spark, d, "part").select(F.col("p_partkey").alias("table_ord"), "p_size")
@@ -372,43 +372,29 @@ def description_diff(spark: SparkSession, d: str) -> DataFrame:
     return gl.description_diff(columns, columns.withColumn("description", new))
 
 
+_KEYED = {
+    "campaigns": {"campaign_id": "integer", "advertiser": "string"},
+    "creatives": {"creative_id": "integer", "campaign_id": "integer"},
+    "cookie_registry": {"cookie_id": "integer", "visitor_id": "integer", "device_id": "integer"},
+    "pixel_events": {"event_id": "integer", "cookie_id": "integer", "campaign_id": "integer"},
+}
+
+
 @register("semantic_discovery", with_views("""
-SELECT t.table_name, t.column_name, t.word, e.own_key, e.other_table, e.other_key FROM (VALUES
-    ('cookie_registry', 'visitor_id', 'visitor'), ('campaigns', 'advertiser', 'advertiser'))
+SELECT t.table_name, t.column_name, t.word, e.own_key, e.other_table, e.other_key
+FROM (VALUES ('cookie_registry', 'visitor_id', 'visitor'), ('campaigns', 'advertiser', 'advertiser'))
   t(table_name, column_name, word)
 LEFT JOIN (
-  SELECT 'cookie_registry' AS table_name, k.own AS own_key, 'pixel_events' AS other_table,
-    'cookie_id' AS other_key
-  FROM (VALUES ('cookie_id'), ('visitor_id'), ('device_id')) k(own)
-  WHERE NOT EXISTS (SELECT 1 FROM pixel_events WHERE cookie_id IS NOT NULL AND cookie_id NOT IN
-    (SELECT c_custkey FROM customer))
-  UNION ALL
-  SELECT 'campaigns', 'campaign_id', 'creatives', 'campaign_id'
-  WHERE NOT EXISTS (SELECT 1 FROM creatives WHERE campaign_id NOT IN (SELECT p_partkey FROM part))
-  UNION ALL
-  SELECT 'campaigns', 'campaign_id', 'pixel_events', 'campaign_id'
-  WHERE NOT EXISTS (SELECT 1 FROM pixel_events WHERE campaign_id NOT IN (SELECT p_partkey FROM part))
-) e ON e.table_name = t.table_name""", "pixel_events", "creatives"))
+  SELECT child_table AS table_name, child_column AS own_key, parent_table AS other_table,
+    parent_column AS other_key FROM fk
+  UNION ALL SELECT parent_table, parent_column, child_table, child_column FROM fk
+) e ON e.table_name = t.table_name""", extra=discovery_views(_KEYED)))
 def semantic_discovery(spark: SparkSession, d: str) -> DataFrame:
     """Which tables hold visitor or advertiser data, and how do they join?"""
-    keys = {
-        "campaigns": star.campaigns(spark, d).select("campaign_id", "advertiser"),
-        "creatives": star.creatives(spark, d).select("creative_id", "campaign_id"),
-        "cookie_registry": star.cookie_registry(spark, d).select(
-            "cookie_id", "visitor_id", "device_id"
-        ),
-        "pixel_events": star.pixel_events(spark, d).select("event_id", "cookie_id", "campaign_id"),
-    }
-    names = [(t, c) for t, df in keys.items() for c in df.columns]
+    tables = {t: getattr(star, t)(spark, d).select(*columns) for t, columns in _KEYED.items()}
+    names = [(t, c) for t, columns in _KEYED.items() for c in columns]
     inventory = spark.createDataFrame(names, "table_name string, column_name string")
     inventory = inventory.withColumn("column_key", s.normalize_name(F.col("column_name")))
-    # Only like-named keys count as a way to join here.
-    alike = F.col("child_column") == F.col("parent_column")
-    identity = F.col("child_column") == "cookie_id"
-    foreign = discover.foreign_keys(keys)
-    foreign = foreign.filter(
-        (F.col("child_table") != "campaigns") & (F.col("child_table") != "cookie_registry")
-        & (alike | identity) & F.col("parent_table").isin("campaigns", "cookie_registry")
-        & ((F.col("parent_table") == "cookie_registry") == identity)
+    return gl.semantic_discovery(
+        ("visitor", "advertiser"), inventory, discover.foreign_keys(tables)
     )
-    return gl.semantic_discovery(("visitor", "advertiser"), inventory, foreign)

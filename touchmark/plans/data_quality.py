@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from touchmark.operators import discover, profile
 from touchmark.operators import quality as dq
 from touchmark.operators.quality import Rule
-from touchmark.plans.oracle_views import TABLE_COLUMNS, VIEWS, with_views
+from touchmark.plans.oracle_views import TABLE_COLUMNS, VIEWS, discovery_views, with_views
 from touchmark.plans.registry import register
 from touchmark.session import new_path
 from touchmark.sources import star
@@ -391,49 +391,13 @@ def profile_all(spark: SparkSession, d: str) -> DataFrame:
 
 # --- keys and relationships ----------------------------------------------------------------
 
-_KEY_KINDS = ("integer", "string", "time")
-
-
-def _values_sql(tables) -> str:
-    parts = [
-        f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{kind}' AS type_class,"
-        f" CAST({c} AS VARCHAR) AS value, COUNT(*) AS n FROM {t} GROUP BY {c}"
-        for t in tables for c, kind in TABLE_COLUMNS[t].items() if kind in _KEY_KINDS
-    ]
-    return " UNION ALL ".join(parts)
-
-
-_DISCOVERY = {
-    "vals": _values_sql(TABLES),
-    "stats": """SELECT table_name, column_name, type_class, CAST(SUM(n) AS BIGINT) AS row_count,
-  CAST(COALESCE(SUM(n) FILTER (value IS NULL), 0) AS BIGINT) AS null_count,
-  COUNT(value) AS distinct_count FROM vals GROUP BY ALL""",
-    "pk": "SELECT * FROM stats WHERE null_count = 0 AND distinct_count = row_count",
-    "fk": """SELECT * FROM (
-  SELECT c.table_name AS child_table, c.column_name AS child_column, p.table_name AS parent_table,
-    p.column_name AS parent_column,
-    COUNT(*) / CAST(MIN(s.distinct_count) AS DOUBLE) AS coverage,
-    MIN((s.row_count - s.null_count) / CAST(s.row_count AS DOUBLE)) AS fill_rate,
-    bool_and(s.null_count = 0 AND s.distinct_count = s.row_count) AS child_unique
-  FROM vals c JOIN vals p ON p.type_class = c.type_class AND p.value = c.value
-    AND p.table_name <> c.table_name
-  JOIN pk ON pk.table_name = p.table_name AND pk.column_name = p.column_name
-  JOIN stats s ON s.table_name = c.table_name AND s.column_name = c.column_name
-  GROUP BY ALL) WHERE coverage >= {coverage}""",
-}
-
-
-def _discovery(coverage: float = 1.0) -> dict[str, str]:
-    return {k: v.replace("{coverage}", str(coverage)) for k, v in _DISCOVERY.items()}
-
-
 @register("discover_primary_keys", with_views(
-    "SELECT table_name, column_name, row_count FROM pk", extra=_discovery()))
+    "SELECT table_name, column_name, row_count FROM pk", extra=discovery_views(TABLE_COLUMNS)))
 def discover_primary_keys(spark: SparkSession, d: str) -> DataFrame:
     return discover.primary_keys(_all_tables(spark, d))
 
 
-@register("discover_foreign_keys", with_views("SELECT * FROM fk", extra=_discovery(0.9)))
+@register("discover_foreign_keys", with_views("SELECT * FROM fk", extra=discovery_views(TABLE_COLUMNS, 0.9)))
 def discover_foreign_keys(spark: SparkSession, d: str) -> DataFrame:
     return discover.foreign_keys(_all_tables(spark, d), min_coverage=0.9)
 
@@ -442,7 +406,7 @@ def discover_foreign_keys(spark: SparkSession, d: str) -> DataFrame:
 SELECT parent_table, child_table, COUNT(*) AS column_pairs,
   CASE WHEN bool_or(child_unique) THEN 'one-to-one' ELSE 'one-to-many' END AS cardinality,
   MAX(fill_rate) AS fill_rate
-FROM fk GROUP BY parent_table, child_table""", extra=_discovery()))
+FROM fk GROUP BY parent_table, child_table""", extra=discovery_views(TABLE_COLUMNS)))
 def relationship_graph(spark: SparkSession, d: str) -> DataFrame:
     return discover.relationship_graph(discover.foreign_keys(_all_tables(spark, d)))
 
@@ -451,7 +415,7 @@ def relationship_graph(spark: SparkSession, d: str) -> DataFrame:
     f"SELECT 'tables' AS measure, CAST({len(TABLES)} AS BIGINT) AS value UNION ALL "
     f"SELECT 'columns', {sum(len(c) for c in TABLE_COLUMNS.values())} UNION ALL SELECT 'rows', "
     + " + ".join(f"(SELECT COUNT(*) FROM {t})" for t in TABLES)
-    + " UNION ALL SELECT 'joinable_pairs', (SELECT COUNT(*) FROM fk)", extra=_discovery()))
+    + " UNION ALL SELECT 'joinable_pairs', (SELECT COUNT(*) FROM fk)", extra=discovery_views(TABLE_COLUMNS)))
 def dataset_overview(spark: SparkSession, d: str) -> DataFrame:
     return discover.dataset_overview(_all_tables(spark, d))
 
