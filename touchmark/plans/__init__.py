@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from touchmark.plans import catalog, data_quality, measures  # noqa: F401
+from touchmark.plans import (  # noqa: F401
+    catalog,
+    data_quality,
+    measures,
+    paths,
+    similarity,
+    storage,
+)
 from touchmark.plans.registry import ORACLES, QUERIES, Query
 
 
