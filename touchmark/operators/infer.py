@@ -74,10 +74,5 @@ def classify(df: DataFrame, model: PipelineModel, *, name: str = "classification
 
 
 def recommend_themes(segments: DataFrame, themes: DataFrame, k: int = 3) -> DataFrame:
-    """The ``k`` themes nearest to each segment; both sides carry an ``embedding``.
-
-    Themes are few, so they take the part of the queries' opposite: each segment is a query.
-    """
-    return knn_exact(
-        themes, segments, k, base_id="theme", query_id="audience_id"
-    )
+    """The ``k`` themes nearest to each segment; both sides carry an ``embedding``."""
+    return knn_exact(themes, segments, k, base_id="theme", query_id="audience_id")

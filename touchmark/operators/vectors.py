@@ -101,24 +101,42 @@ def knn_exact(
     query_id: str = "query_id",
     broadcast_values: int = BROADCAST_VALUES,
 ) -> DataFrame:
-    """The ``k`` nearest base rows of every query: ``(query_id, base_id, distance, rank)``.
+    """The ``k`` nearest base rows of every query: ``(query_id, base_id, distance, rank)``."""
+    b = base.select(
+        F.col(base_id).alias("bid"), _usable(vector).alias("bv"), F.lit(0).alias("cell")
+    )
+    q = queries.select(
+        F.col(query_id).alias("qid"), _usable(vector).alias("qv"), F.array(F.lit(0)).alias("cells")
+    )
+    return _nearest(b, q, k, base_id, query_id, broadcast_values)
+
+
+def _nearest(
+    b: DataFrame, q: DataFrame, k: int, base_id: str, query_id: str, broadcast_values: int
+) -> DataFrame:
+    """Searches ``b`` (bid, bv, cell) for each ``q`` (qid, qv, cells), inside the query's cells.
 
-    Queries small enough go to every task, which keeps the best ``k`` per query of each batch it
-    reads, so only those are shuffled. More queries than that are searched block by block: the
-    queries are cut into blocks of the same size, and every base split is paired with every block
-    in a task of its own.
+    Three ways, by measured size. Few queries go to every task, which keeps the best ``k`` of each
+    batch of base rows, so only those are shuffled. Else a small base goes to every task, which
+    then answers its queries alone. Else both are cut into parts of bounded size, and every pair
+    of parts is searched as a group of its own.
     """
-    q = queries.select(F.col(query_id).alias("qid"), _doubles(vector).alias("qv"))
-    b = base.select(F.col(base_id).alias("bid"), _doubles(vector).alias("bv"))
-    q, b = q.filter(F.size("qv") > 0), b.filter(F.size("bv") > 0)
-    types = q.schema["qid"].dataType.simpleString(), b.schema["bid"].dataType.simpleString()
-    schema = f"qid {types[0]}, bid {types[1]}, distance double"
-    block_rows = max(1, broadcast_values // _dimensions(q))
-    small = q.limit(block_rows + 1).toPandas()
-    if len(small) <= block_rows:
-        found = b.mapInPandas(_search(small, k), schema)
+    b, q = b.filter(F.size("bv") > 0), q.filter(F.size("qv") > 0)
+    qid, bid = (df.schema[c].dataType.simpleString() for df, c in ((q, "qid"), (b, "bid")))
+    schema = f"qid {qid}, bid {bid}, distance double"
+    rows = max(2, broadcast_values // _dimensions(q))
+    few_queries = _if_small(q, rows)
+    if few_queries is not None:
+        probed = sorted({c for cells in few_queries["cells"] for c in cells})
+        found = b.filter(F.col("cell").isin(probed)).mapInPandas(
+            _batches(lambda part: _best(part, few_queries, k)), schema
+        )
     else:
-        found = _by_blocks(b, q, k, block_rows, schema)
+        small_base = _if_small(b, rows)
+        if small_base is not None:
+            found = q.mapInPandas(_batches(lambda part: _best(small_base, part, k)), schema)
+        else:
+            found = _by_blocks(b, q, k, rows, schema)
     nearest = Window.partitionBy("qid").orderBy("distance", "bid")
     ranked = found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
     return ranked.select(
@@ -126,10 +144,10 @@ def knn_exact(
     )
 
 
-def _doubles(vector: str) -> Column:
+def _usable(vector: str) -> Column:
     """The vector in doubles; a missing or zero one becomes empty, for it has no direction."""
-    usable = F.coalesce(norm(F.col(vector)) > 0, F.lit(False))
-    return F.when(usable, F.col(vector).cast("array<double>")).otherwise(
+    has_direction = F.coalesce(norm(F.col(vector)) > 0, F.lit(False))
+    return F.when(has_direction, F.col(vector).cast("array<double>")).otherwise(
         F.array().cast("array<double>")
     )
 
@@ -139,55 +157,56 @@ def _dimensions(q: DataFrame) -> int:
     return first["n"] if first else 1
 
 
-def _unit(vectors) -> np.ndarray:
-    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-
-
-def _best(qids, q_unit: np.ndarray, bids: np.ndarray, b_unit: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best base rows of each query inside one batch."""
-    distances = np.round(1.0 - q_unit @ b_unit.T, DECIMALS)
-    parts = []
-    for qid, row in zip(qids, distances):
-        # Ties at the edge of the best k are decided by id, so sort on both.
-        edge = np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1]
-        near = np.flatnonzero(row <= edge)
-        order = near[np.lexsort((bids[near], row[near]))][:k]
-        parts.append(pd.DataFrame({"qid": qid, "bid": bids[order], "distance": row[order]}))
-    return pd.concat(parts, ignore_index=True)
+def _if_small(df: DataFrame, rows: int) -> pd.DataFrame | None:
+    """The rows if there are at most ``rows`` of them; never fetches more than one beyond."""
+    fetched = df.limit(rows + 1).toPandas()
+    return fetched if len(fetched) <= rows else None
 
 
-def _search(queries: pd.DataFrame, k: int):
-    qids = queries["qid"].tolist()
-    q_unit = _unit(queries["qv"]) if qids else None
-
+def _batches(search: Callable[[pd.DataFrame], pd.DataFrame]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if q_unit is not None and len(batch):
-                yield _best(qids, q_unit, batch["bid"].to_numpy(), _unit(batch["bv"]), k)
+            yield search(batch)
 
     return run
 
 
-def _by_blocks(b: DataFrame, q: DataFrame, k: int, block_rows: int, schema: str) -> DataFrame:
-    """Every (base split, query block) pair as one group, both parts bounded by ``block_rows``."""
-    blocks = -(-q.count() // max(1, block_rows // 2))
-    splits = -(-b.count() // max(1, block_rows // 2))
+def _unit(vectors: pd.Series) -> np.ndarray:
+    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+
+
+def _best(base: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best base rows of each query, cell by cell."""
+    parts = [pd.DataFrame({"qid": [], "bid": [], "distance": []})]
+    for cell, rows in base.groupby("cell"):
+        asking = queries[[cell in cells for cells in queries["cells"]]]
+        if asking.empty:
+            continue
+        bids = rows["bid"].to_numpy()
+        # Adding zero turns -0.0 into 0.0.
+        distances = np.round(1.0 - _unit(asking["qv"]) @ _unit(rows["bv"]).T, DECIMALS) + 0.0
+        kept = min(k, len(bids))
+        for qid, row in zip(asking["qid"], distances):
+            # Ties at the edge of the best k are decided by id, so sort on both.
+            near = np.flatnonzero(row <= np.partition(row, kept - 1)[kept - 1])
+            order = near[np.lexsort((bids[near], row[near]))][:kept]
+            parts.append(pd.DataFrame({"qid": qid, "bid": bids[order], "distance": row[order]}))
+    return pd.concat(parts[1:] or parts, ignore_index=True)
+
+
+def _by_blocks(b: DataFrame, q: DataFrame, k: int, rows: int, schema: str) -> DataFrame:
+    """Every (base part, query part) pair as one group, both sides about half of ``rows``."""
+    base_parts, query_parts = (-(-df.count() // (rows // 2)) for df in (b, q))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = b.select("*", part("bid", splits).alias("split"), every(blocks).alias("block"))
-    right = q.select("*", part("qid", blocks).alias("block"), every(splits).alias("split"))
+    left = b.select("*", part("bid", base_parts).alias("i"), every(query_parts).alias("j"))
+    right = q.select("*", part("qid", query_parts).alias("j"), every(base_parts).alias("i"))
 
     def run(base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if base.empty or queries.empty:
-            return pd.DataFrame({"qid": [], "bid": [], "distance": []})
-        return _best(
-            queries["qid"].tolist(), _unit(queries["qv"]), base["bid"].to_numpy(),
-            _unit(base["bv"]), k,
-        )
+        return _best(base, queries, k)
 
-    keys = ("split", "block")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, schema)
 
 
 # --- inverted-file search ------------------------------------------------------------------
@@ -195,7 +214,7 @@ def _by_blocks(b: DataFrame, q: DataFrame, k: int, block_rows: int, schema: str)
 
 def ivf_assign(
     df: DataFrame, cells: int, *, vector: str = "embedding", seed: int = 7, iterations: int = 10
-) -> tuple[DataFrame, list[list[float]]]:
+) -> tuple[DataFrame, DataFrame]:
     """Each vector's cell (nearest of ``cells`` centroids of the unit vectors), and the centroids.
 
     Write the result partitioned by ``cell``, and a search reads only the cells it probes.
@@ -206,13 +225,14 @@ def ivf_assign(
     model = KMeans(
         k=cells, seed=seed, maxIter=iterations, featuresCol="_point", predictionCol="cell"
     ).fit(points.select("_point"))
-    centroids = [[float(x) for x in c] for c in model.clusterCenters()]
+    centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    centroids = df.sparkSession.createDataFrame(centers, f"cell int, {vector} array<double>")
     return model.transform(points).drop("_point"), centroids
 
 
 def knn_ivf(
     indexed: DataFrame,
-    centroids: list[list[float]],
+    centroids: DataFrame,
     queries: DataFrame,
     k: int = 10,
     *,
@@ -220,31 +240,18 @@ def knn_ivf(
     vector: str = "embedding",
     base_id: str = "vec_id",
     query_id: str = "query_id",
+    broadcast_values: int = BROADCAST_VALUES,
 ) -> DataFrame:
     """Approximate ``knn_exact``: only the ``nprobe`` cells nearest to each query are searched."""
-    scored = F.array(
-        *[
-            F.struct(
-                cosine_distance(F.col(vector), F.array(*[F.lit(x) for x in c])).alias("d"),
-                F.lit(i).alias("cell"),
-            )
-            for i, c in enumerate(centroids)
-        ]
+    near = knn_exact(
+        centroids, queries, nprobe, vector=vector, base_id="cell", query_id=query_id
     )
-    probes = queries.select(
-        F.col(query_id).alias("qid"), F.col(vector).alias("qv"),
-        F.explode(F.slice(F.sort_array(scored), 1, nprobe)).alias("probe"),
-    ).select("qid", "qv", F.col("probe.cell").alias("cell"))
-    found = indexed.select(
-        F.col(base_id).alias("bid"), F.col(vector).alias("bv"), "cell"
-    ).join(probes, "cell")
-    distance = F.round(cosine_distance(F.col("bv"), F.col("qv")), DECIMALS)
-    nearest = Window.partitionBy("qid").orderBy("distance", "bid")
-    ranked = found.select("qid", "bid", distance.alias("distance"))
-    ranked = ranked.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
-    return ranked.select(
-        F.col("qid").alias(query_id), F.col("bid").alias(base_id), "distance", "rank"
+    probes = near.groupBy(query_id).agg(F.collect_list("cell").alias("cells"))
+    q = queries.join(probes, query_id).select(
+        F.col(query_id).alias("qid"), _usable(vector).alias("qv"), "cells"
     )
+    b = indexed.select(F.col(base_id).alias("bid"), _usable(vector).alias("bv"), "cell")
+    return _nearest(b, q, k, base_id, query_id, broadcast_values)
 
 
 def recall(exact: DataFrame, approximate: DataFrame, *, query_id: str, base_id: str) -> DataFrame:

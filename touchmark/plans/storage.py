@@ -95,9 +95,7 @@ def stream_ctr_batch_twin(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
-    schema = src.load(spark, d, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    return star.shape_pixel_events(source.parquet(d))
+    return star.shape_pixel_events(src.load_stream(spark, d, "events"))
 
 
 @register("stream_ctr", with_views(f"""

@@ -14,6 +14,16 @@ def load(spark: SparkSession, directory: str, name: str, fmt: str = "parquet") -
     return spark.read.format(fmt).load(f"{directory.rstrip('/')}/{name}{suffix}")
 
 
+def load_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """A table of the directory as a stream; new files of that name are its appends."""
+    schema = load(spark, directory, name).schema
+    return (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", f"{name}*.parquet")
+        .parquet(directory)
+    )
+
+
 def load_range(df: DataFrame, column: str, low: dt.date, high: dt.date) -> DataFrame:
     """Rows with ``low <= column < high``: a partition column is pruned, any other pushed down."""
     return df.filter((F.col(column) >= F.lit(low)) & (F.col(column) < F.lit(high)))

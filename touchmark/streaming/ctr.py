@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from touchmark.functions.scalars import safe_divide
 
@@ -57,20 +58,32 @@ def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def drain(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what its source holds now and return the table it wrote."""
-    writer = batch_writer(path)
-    query = (
+def start(df: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Write a stream to a table, for example ``start(ctr, p, c, processingTime="1 minute")``."""
+    return (
         df.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(writer)
+        .trigger(**trigger)
+        .foreachBatch(batch_writer(path))
         .start()
     )
-    query.awaitTermination()
+
+
+def drain(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream over what its source holds now and return the table it wrote."""
+    start(df, path, checkpoint, availableNow=True).awaitTermination()
     schema = f"{_ddl(df)}, batch_id bigint"
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows dropped so far for arriving behind the watermark."""
+    return sum(
+        int(state["numRowsDroppedByWatermark"])
+        for progress in query.recentProgress
+        for state in progress["stateOperators"]
+    )
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
