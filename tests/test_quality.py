@@ -112,14 +112,15 @@ def test_referential(spark):
     assert dq.dq_referential(parent, parent, "id", "id").head()["ok"]
 
 
-def test_quantiles_match_builtin(spark):
+@pytest.mark.parametrize("accuracy", [4, 100, 10_000])
+def test_quantiles_match_builtin(spark, accuracy):
     rows = spark.range(5000).select(
         (F.pmod(F.xxhash64("id"), F.lit(997))).cast("double").alias("spread"),
         F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 11).alias("hot"),
         F.when(F.col("id") < 10, F.col("id")).alias("sparse"),
         F.lit(None).cast("int").alias("missing"),
     )
-    found = {r["column_name"]: tuple(r)[1:] for r in profile.quantiles(rows, bins=8).collect()}
+    found = {r["column_name"]: tuple(r)[1:] for r in profile.quantiles(rows, accuracy=accuracy).collect()}
     for c in ("spread", "hot", "sparse"):
         exact = rows.agg(F.percentile(c, [0.25, 0.5, 0.75]).alias("p")).head()["p"]
         assert found[c] == pytest.approx(tuple(exact))

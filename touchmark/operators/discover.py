@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchmark.functions.scalars import safe_divide
-from touchmark.operators.profile import value_key, value_text
+from touchmark.operators.profile import value_key
 
 
 def type_class(data_type: T.DataType) -> str | None:
@@ -34,30 +34,64 @@ def key_columns(df: DataFrame) -> list[tuple[str, str]]:
     return [(name, cls) for name, cls in classes if cls]
 
 
+def _all_columns(tables: dict[str, DataFrame]) -> list[tuple[str, str, str]]:
+    """(table, column, class) of every possible key column; its place in the list is its id."""
+    return [(t, c, cls) for t, df in tables.items() for c, cls in key_columns(df)]
+
+
+def _name(columns: list[tuple[str, str, str]], part: int, column_id: str) -> Column:
+    """Name of a column id, looked up in a list as long as the schemas."""
+    return F.get(F.array(*[F.lit(c[part]) for c in columns]), F.col(column_id))
+
+
+def _number(column: str, cls: str) -> Column:
+    """Whole numbers as they are, times as microseconds."""
+    if cls == "time":
+        return F.unix_micros(F.col(column).cast("timestamp"))
+    return F.col(column).cast("bigint")
+
+
 def value_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows per ``(table_name, column_name, value)``, NULL included, of all possible key columns."""
+    """Rows per distinct value, NULL included, of all possible key columns.
+
+    A value is held as a number or as a text, whichever its class calls for, next to its column id.
+    """
+    columns = _all_columns(tables)
     parts = []
     for table, df in tables.items():
-        fields = [
-            F.struct(
-                F.lit(table).alias("table_name"), F.lit(c).alias("column_name"),
-                F.lit(cls).alias("type_class"), value_key(value_text(df, c)).alias("value"),
+        for cls in dict.fromkeys(c for _, c in key_columns(df)):
+            mine = [(i, c) for i, (t, c, k) in enumerate(columns) if (t, k) == (table, cls)]
+            text = cls == "string"
+            value = (lambda c: value_key(df, c)) if text else (lambda c: _number(c, cls))
+            long = df.select(*[value(c).alias(str(i)) for i, c in mine]).unpivot(
+                [], [str(i) for i, _ in mine], "column_id", "value"
+            )
+            none = F.lit(None)
+            parts.append(
+                long.select(
+                    F.col("column_id").cast("int").alias("column_id"),
+                    F.lit(cls).alias("type_class"),
+                    (none.cast("bigint") if text else F.col("value")).alias("number"),
+                    (F.col("value") if text else none.cast("string")).alias("text"),
+                )
             )
-            for c, cls in key_columns(df)
-        ]
-        parts.append(df.select(F.inline(F.array(*fields))))
     return (
         reduce(DataFrame.unionByName, parts)
-        .groupBy("table_name", "column_name", "type_class", "value")
+        .groupBy("column_id", "type_class", "number", "text")
         .agg(F.count("*").alias("n"))
     )
 
 
+def _has_value() -> Column:
+    return F.col("number").isNotNull() | F.col("text").isNotNull()
+
+
 def column_stats(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("table_name", "column_name", "type_class").agg(
+    nulls = F.sum(F.when(~_has_value(), F.col("n")))
+    return counts.groupBy("column_id").agg(
         F.sum("n").alias("row_count"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
-        F.count("value").alias("distinct_count"),
+        F.coalesce(nulls, F.lit(0)).alias("null_count"),
+        F.count_if(_has_value()).alias("distinct_count"),
     )
 
 
@@ -67,8 +101,13 @@ def _is_key() -> Column:
 
 def primary_keys(tables: dict[str, DataFrame], counts: DataFrame | None = None) -> DataFrame:
     """Columns that are unique and never NULL."""
+    columns = _all_columns(tables)
     stats = column_stats(value_counts(tables) if counts is None else counts)
-    return stats.filter(_is_key()).select("table_name", "column_name", "row_count")
+    return stats.filter(_is_key()).select(
+        _name(columns, 0, "column_id").alias("table_name"),
+        _name(columns, 1, "column_id").alias("column_name"),
+        "row_count",
+    )
 
 
 def foreign_keys(
@@ -78,42 +117,41 @@ def foreign_keys(
 
     ``coverage`` is over the child's distinct non-NULL values, ``fill_rate`` over its rows.
     """
+    columns = _all_columns(tables)
     counts = value_counts(tables) if counts is None else counts
     stats = column_stats(counts)
-    keys = stats.filter(_is_key())
-    column = F.struct("table_name", "column_name").alias("held")
     holders = (
-        counts.filter(F.col("value").isNotNull())
-        .groupBy("type_class", "value")
-        .agg(F.sort_array(F.collect_set(column)).alias("holders"))
-        .groupBy("type_class", "holders")
+        counts.filter(_has_value())
+        .groupBy("type_class", "number", "text")
+        .agg(F.sort_array(F.collect_set("column_id")).alias("holders"))
+        .groupBy("holders")
         .agg(F.count("*").alias("shared"))
     )
     pairs = (
         holders.select("shared", "holders", F.explode("holders").alias("child"))
         .select("shared", "child", F.explode("holders").alias("parent"))
-        .filter(F.col("child.table_name") != F.col("parent.table_name"))
-        .groupBy("child", "parent")
+        .withColumn("child_table", _name(columns, 0, "child"))
+        .withColumn("parent_table", _name(columns, 0, "parent"))
+        .filter(F.col("child_table") != F.col("parent_table"))
+        .groupBy("child", "parent", "child_table", "parent_table")
         .agg(F.sum("shared").alias("shared"))
     )
     child = stats.select(
-        F.struct("table_name", "column_name").alias("child"),
+        F.col("column_id").alias("child"),
         F.col("distinct_count").alias("child_distinct"),
         safe_divide(F.col("row_count") - F.col("null_count"), F.col("row_count")).alias("fill_rate"),
         _is_key().alias("child_unique"),
     )
-    parent = keys.select(F.struct("table_name", "column_name").alias("parent"))
-    coverage = safe_divide(F.col("shared"), F.col("child_distinct"))
+    parent = stats.filter(_is_key()).select(F.col("column_id").alias("parent"))
     return (
-        pairs.join(parent, "parent")
-        .join(child, "child")
-        .withColumn("coverage", coverage)
+        # Both sides hold a row per column: the schema bounds what is broadcast.
+        pairs.join(F.broadcast(parent), "parent")
+        .join(F.broadcast(child), "child")
+        .withColumn("coverage", safe_divide(F.col("shared"), F.col("child_distinct")))
         .filter(F.col("coverage") >= min_coverage)
         .select(
-            F.col("child.table_name").alias("child_table"),
-            F.col("child.column_name").alias("child_column"),
-            F.col("parent.table_name").alias("parent_table"),
-            F.col("parent.column_name").alias("parent_column"),
+            "child_table", _name(columns, 1, "child").alias("child_column"),
+            "parent_table", _name(columns, 1, "parent").alias("parent_column"),
             "coverage", "fill_rate", "child_unique",
         )
     )

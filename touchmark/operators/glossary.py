@@ -227,17 +227,23 @@ def match_synonym_list(terms: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def _substrings(name: Column) -> Column:
-    """All distinct substrings of two or more characters; names are short, so this is small."""
-    length = F.length(name)
-    starts = F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1)))
-    pieces = F.transform(
-        starts,
-        lambda i: F.transform(
-            F.sequence(F.lit(2), F.greatest(length - i + 1, F.lit(2))),
-            lambda n: F.substring(name, i, n),
-        ),
-    )
-    return F.array_distinct(F.flatten(pieces))
+    """All distinct keyword-like parts of a name; names are short, so this is small.
+
+    Keywords hold only ``[a-z0-9_]``, so each run of these is taken apart on its own.
+    """
+    def parts(run: Column) -> Column:
+        length = F.length(run)
+        return F.flatten(
+            F.transform(
+                F.sequence(F.lit(1), length - 1),
+                lambda i: F.transform(
+                    F.sequence(F.lit(2), length - i + 1), lambda n: F.substring(run, i, n)
+                ),
+            )
+        )
+
+    runs = F.regexp_extract_all(name, F.lit("[a-z0-9_]{2,}"), F.lit(0))
+    return F.array_distinct(F.flatten(F.transform(runs, parts)))
 
 
 def _keywords(terms: DataFrame) -> DataFrame:
@@ -249,36 +255,31 @@ def _keywords(terms: DataFrame) -> DataFrame:
 def keyword_hits(terms: DataFrame, columns: DataFrame) -> DataFrame:
     """The keyword occurrences that hit a column: equal, else inside it, else inside its table."""
     words = _keywords(terms)
-    vocabulary = words.select("keyword").distinct()
-    lower_column, lower_table = F.lower("column_name"), F.lower("full_table")
-
-    def containing(name: Column, label: str) -> DataFrame:
-        """Distinct names, each with the vocabulary words inside it."""
-        names = columns.select(name.alias(label)).distinct()
-        pieces = names.select(label, F.explode(_substrings(F.col(label))).alias("keyword"))
-        return pieces.join(vocabulary, "keyword")
-
-    in_column = columns.select(
-        "column_key", "full_table", "column_name", "table_ord", "position",
-        lower_column.alias("lower_column"),
-    ).join(containing(lower_column, "lower_column"), "lower_column")
-    in_column = in_column.withColumn(
-        "kind", F.when(F.col("keyword") == F.col("lower_column"), "exact").otherwise("substr")
-    ).drop("lower_column")
-    in_table = (
-        columns.select(
-            "column_key", "full_table", "column_name", "table_ord", "position",
-            lower_table.alias("lower_table"), lower_column.alias("lower_column"),
-        )
-        .join(containing(lower_table, "lower_table"), "lower_table")
-        .filter(~F.contains("lower_column", "keyword"))
-        .withColumn("kind", F.lit("table"))
-        .drop("lower_table", "lower_column")
+    sides = F.array(
+        F.struct(F.lit(True).alias("own"), F.lower("column_name").alias("name")),
+        F.struct(F.lit(False).alias("own"), F.lower("full_table").alias("name")),
+    )
+    named = columns.select(
+        "full_table", "column_name", "table_ord", "position", F.inline(sides)
     )
+    # Each distinct name is taken apart once, and only parts that are keywords are kept.
+    parts = named.select("name").distinct().select(
+        "name", F.explode(_substrings(F.col("name"))).alias("keyword")
+    )
+    inside = parts.join(words.select("keyword").distinct(), "keyword")
+    lower_column = F.lower("column_name")
+    kind = (
+        F.when(F.col("own") & (F.col("keyword") == lower_column), "exact")
+        .when(F.col("own"), "substr")
+        .when(~F.contains(lower_column, "keyword"), "table")
+    )
+    hits = named.join(inside, "name").withColumn("kind", kind).drop("name", "own")
     points = F.when(F.col("kind") == "exact", POINTS["exact"]).when(
         F.col("kind") == "substr", POINTS["substr"]
     ).otherwise(POINTS["table"])
-    return words.join(in_column.unionByName(in_table), "keyword").withColumn("points", points)
+    return words.join(hits.filter(F.col("kind").isNotNull()), "keyword").withColumn(
+        "points", points
+    )
 
 
 def match_fuzzy(terms: DataFrame, columns: DataFrame, threshold: int = 0) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from touchmark.functions.scalars import safe_divide
 
 LONG_TEXT = 64
+NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -22,8 +23,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def atomic_columns(df: DataFrame) -> list[str]:
-    nested = (T.ArrayType, T.MapType, T.StructType)
-    return [f.name for f in df.schema.fields if not isinstance(f.dataType, nested)]
+    return [f.name for f in df.schema.fields if not isinstance(f.dataType, NESTED)]
 
 
 def value_text(df: DataFrame, column: str) -> Column:
@@ -33,16 +33,20 @@ def value_text(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("string")
 
 
-def value_key(text: Column) -> Column:
+def value_key(df: DataFrame, column: str) -> Column:
     """Text that identifies a value: long ones by their SHA-256, so whole texts are not shuffled."""
+    text = value_text(df, column)
+    if not isinstance(df.schema[column].dataType, (T.StringType, *NESTED)):
+        return text
     long = F.length(text) > LONG_TEXT
     return F.when(long, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
 
 
 def long_values(df: DataFrame, columns: list[str], value) -> DataFrame:
     """``(column_name, value)`` rows, ``value`` mapping a column name to an expression."""
-    pairs = [F.struct(F.lit(c).alias("column_name"), value(c).alias("value")) for c in columns]
-    return df.select(F.inline(F.array(*pairs)))
+    return df.select(*[value(c).alias(c) for c in columns]).unpivot(
+        [], columns, "column_name", "value"
+    )
 
 
 def _one_pass(df: DataFrame, columns: list[str], measures: dict) -> DataFrame:
@@ -80,7 +84,7 @@ def distinct(df: DataFrame, columns: list[str] | None = None, *, approximate: bo
         return _one_pass(
             df, columns, {"distinct_count": lambda c: F.approx_count_distinct(value_text(df, c))}
         )
-    values = long_values(df, columns, lambda c: value_key(value_text(df, c))).distinct()
+    values = long_values(df, columns, lambda c: value_key(df, c)).distinct()
     return values.groupBy("column_name").agg(F.count("value").alias("distinct_count"))
 
 
@@ -155,13 +159,14 @@ QUARTILES = (0.25, 0.5, 0.75)
 
 def quantiles(
     df: DataFrame, columns: list[str] | None = None, *, at: tuple[float, ...] = QUARTILES,
-    bins: int = 64,
+    accuracy: int = 10_000,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per column, ``q1``, ``q2``, ...
 
-    The built-in exact percentile holds every distinct value of a column in one task. Here the
-    distinct values are counted, spread over ``bins`` bins of nearly equal size (cut at approximate
-    quantiles), and only the bins that hold a wanted rank are put in order, each on its own.
+    The built-in exact percentile holds every distinct value of a column in one task. Here
+    approximate quantiles just below and above each wanted one cut the values into bins; the
+    distinct values are counted, and only the narrow bins that hold a wanted rank are put in order,
+    each on its own. The cuts decide how narrow the bins are, not which values are found.
     """
     columns = columns or numeric_columns(df)
     as_double = lambda c: F.col(c).cast("double")
@@ -171,16 +176,15 @@ def quantiles(
         .groupBy("column_name", "value")
         .agg(F.count("*").alias("n"))
     )
-    steps = [i / bins for i in range(1, bins)]
+    margin = 2 / accuracy
+    steps = sorted({min(max(p + side, 0.0), 1.0) for p in at for side in (-margin, margin)})
     cuts = _one_pass(
-        df, columns, {"cuts": lambda c: F.percentile_approx(as_double(c), steps, 1000)}
+        df, columns, {"cuts": lambda c: F.percentile_approx(as_double(c), steps, accuracy)}
     )
+    above = [(F.col("value") > F.get("cuts", F.lit(i))).cast("int") for i in range(len(steps))]
     # One row per column: the schema bounds what is broadcast, here and below.
     binned = counts.join(F.broadcast(cuts), "column_name").select(
-        "column_name", "value", "n",
-        F.aggregate(
-            "cuts", F.lit(0), lambda total, cut: total + (cut < F.col("value")).cast("int")
-        ).alias("bin"),
+        "column_name", "value", "n", reduce(Column.__add__, above).alias("bin")
     )
     per_bin = binned.groupBy("column_name", "bin").agg(F.sum("n").alias("bin_n"))
     by_bin = Window.partitionBy("column_name").orderBy("bin")

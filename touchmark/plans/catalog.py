@@ -290,14 +290,19 @@ _LINK_ORDER = ("phase", "term_ord", "neg_score", "table_ord", "position")
 
 
 def _applied(spark: SparkSession, d: str) -> DataFrame:
-    """All proposals applied; tables of small parts are unknown, promo tables already linked."""
+    """All proposals applied; tables of small parts are unknown, promo tables already linked.
+
+    Proposals are a table of their own between matching and applying, where they are curated.
+    """
     columns = _columns(spark, d)
-    rows = gl.proposals(_terms(spark, d), columns).withColumn("neg_score", -F.col("match_score"))
+    path = new_path(spark, "all-proposals")
+    gl.proposals(_terms(spark, d), columns).write.parquet(path)
+    stored = spark.read.parquet(path)
+    rows = stored.withColumn("neg_score", -F.col("match_score"))
     sizes = load(spark, d, "part").select(F.col("p_partkey").alias("table_ord"), "p_size")
     known = columns.join(sizes, "table_ord").filter(F.col("p_size") > 5)
-    exact = gl.match_exact(_terms(spark, d), columns)
-    promo = exact.filter(F.contains("table", F.lit("/promo")))
-    existing = promo.select(
+    linked = stored.filter((F.col("match_type") == "exact") & F.contains("table", F.lit("/promo")))
+    existing = linked.select(
         gl.link_id(
             F.col("glossary_term"), F.substring_index("table", "/", 1),
             F.substring_index("table", "/", -1),

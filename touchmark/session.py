@@ -20,6 +20,8 @@ def build_session(master: str = "local[8]", app: str = "touchmark", **conf: str)
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
+        # Call sites for error messages cost more than building the expressions themselves.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     builder = SparkSession.builder.master(master).appName(app)
