@@ -34,12 +34,13 @@ def value_text(df: DataFrame, column: str) -> Column:
 
 
 def value_key(df: DataFrame, column: str) -> Column:
-    """Text that identifies a value: long ones by their SHA-256, so whole texts are not shuffled."""
-    text = value_text(df, column)
-    if not isinstance(df.schema[column].dataType, (T.StringType, *NESTED)):
-        return text
-    long = F.length(text) > LONG_TEXT
-    return F.when(long, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
+    """What identifies a value: long texts by their SHA-256, so whole texts are not shuffled."""
+    data_type = df.schema[column].dataType
+    if isinstance(data_type, (T.StringType, *NESTED)):
+        text = F.col(column).cast("string")
+        long = F.length(text) > LONG_TEXT
+        return F.when(long, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
+    return F.col(column)
 
 
 def long_values(df: DataFrame, columns: list[str], value) -> DataFrame:
@@ -77,15 +78,29 @@ def nulls(df: DataFrame) -> DataFrame:
     )
 
 
+def _by_type(df: DataFrame, columns: list[str]) -> list[list[str]]:
+    """Columns of one type together: their values need no common type to be counted."""
+    types: dict[str, list[str]] = {}
+    for c in columns:
+        types.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    return list(types.values())
+
+
 def distinct(df: DataFrame, columns: list[str] | None = None, *, approximate: bool = False) -> DataFrame:
     """Distinct non-NULL values per column; ``approximate`` needs no shuffle of values."""
     columns = columns or df.columns
     if approximate:
         return _one_pass(
-            df, columns, {"distinct_count": lambda c: F.approx_count_distinct(value_text(df, c))}
+            df, columns, {"distinct_count": lambda c: F.approx_count_distinct(value_key(df, c))}
         )
-    values = long_values(df, columns, lambda c: value_key(df, c)).distinct()
-    return values.groupBy("column_name").agg(F.count("value").alias("distinct_count"))
+    parts = [
+        long_values(df, alike, lambda c: value_key(df, c))
+        .distinct()
+        .groupBy("column_name")
+        .agg(F.count("value").alias("distinct_count"))
+        for alike in _by_type(df, columns)
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def min_max(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -112,11 +127,16 @@ def min_max(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def top_n(df: DataFrame, n: int, columns: list[str] | None = None) -> DataFrame:
     """The ``n`` most frequent values of each column; equal counts go to the smaller text."""
     columns = columns or atomic_columns(df)
-    counts = (
-        long_values(df, columns, lambda c: value_text(df, c))
+    parts = [
+        long_values(df, alike, F.col)
         .filter(F.col("value").isNotNull())
         .groupBy("column_name", "value")
         .agg(F.count("*").alias("value_count"))
+        for alike in _by_type(df, columns)
+    ]
+    # Values become text only once they are counted.
+    counts = reduce(
+        DataFrame.unionByName, [p.withColumn("value", value_text(p, "value")) for p in parts]
     )
     order = Window.partitionBy("column_name").orderBy(F.col("value_count").desc(), "value")
     return counts.withColumn("value_rank", F.row_number().over(order)).filter(
