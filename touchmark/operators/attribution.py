@@ -287,6 +287,18 @@ def left_join_spread(
     return l.join(r, on, "left").drop("_salt", "_rsalt", "_rkey")
 
 
+def left_join_hot(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join of a table with unique keys to a far larger one in which a key may be hot.
+
+    Spark can neither broadcast the left side of a left join nor split a hot key on its right, but
+    does both for an inner join. Unmatched left rows are added from the distinct right keys.
+    """
+    matched = left.join(right, key)
+    seen = right.select(key).distinct()
+    unmatched = left.join(seen, key, "left_anti")
+    return matched.unionByName(unmatched, allowMissingColumns=True)
+
+
 def identity_resolve(
     rows: DataFrame, cookie_registry: DataFrame, *, row_id: str = "txn_id"
 ) -> DataFrame:

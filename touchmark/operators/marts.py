@@ -62,9 +62,13 @@ def campaign_performance(campaigns: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def _clicks(events: DataFrame) -> DataFrame:
+    return events.filter(_is("click")).groupBy("campaign_id").agg(F.count("*").alias("clicks"))
+
+
 def clicks_per_campaign(campaigns: DataFrame, events: DataFrame) -> DataFrame:
-    clicks = events.filter(_is("click")).groupBy("campaign_id").agg(F.count("*").alias("clicks"))
-    return campaigns.select("campaign_id").join(clicks, "campaign_id", "left").na.fill(0, "clicks")
+    ids = campaigns.select("campaign_id")
+    return ids.join(_clicks(events), "campaign_id", "left").na.fill(0, "clicks")
 
 
 def campaign_roas(
@@ -84,9 +88,9 @@ def campaign_roas(
         )
     )
     c = F.col
-    base = campaigns.join(clicks_per_campaign(campaigns, events), "campaign_id")
     return (
-        base.join(credited, "campaign_id", "left")
+        campaigns.join(_clicks(events), "campaign_id", "left")
+        .join(credited, "campaign_id", "left")
         .na.fill(0, ["conversions", "unique_customers"])
         .select(
             "campaign_id", "campaign_name", "brand", "country_code", "actual_spend_usd",

@@ -68,14 +68,16 @@ def row_count(df: DataFrame) -> DataFrame:
     )
 
 
+def _null_measures() -> dict:
+    missing = lambda c: F.count_if(F.col(c).isNull())
+    return {
+        "null_count": missing,
+        "null_fraction": lambda c: safe_divide(missing(c), F.count("*")),
+    }
+
+
 def nulls(df: DataFrame) -> DataFrame:
-    return _one_pass(
-        df, df.columns,
-        {
-            "null_count": lambda c: F.count_if(F.col(c).isNull()),
-            "null_fraction": lambda c: safe_divide(F.count_if(F.col(c).isNull()), F.count("*")),
-        },
-    )
+    return _one_pass(df, df.columns, _null_measures())
 
 
 def _by_type(df: DataFrame, columns: list[str]) -> list[list[str]]:
@@ -103,25 +105,26 @@ def distinct(df: DataFrame, columns: list[str] | None = None, *, approximate: bo
     return reduce(DataFrame.unionByName, parts)
 
 
-def min_max(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Smallest and largest value; numbers as doubles, everything else as text."""
-    columns = columns or atomic_columns(df)
-    numbers = set(numeric_columns(df))
-    none_number, none_text = F.lit(None).cast("double"), F.lit(None).cast("string")
+def _bound_measures(df: DataFrame) -> dict:
+    """Numbers as doubles, other plain values as text, nested ones not at all."""
+    numbers, plain = set(numeric_columns(df)), set(atomic_columns(df))
+    no_number, no_text = F.max(F.lit(None).cast("double")), F.max(F.lit(None).cast("string"))
 
     def number(fold):
-        return lambda c: fold(F.col(c)).cast("double") if c in numbers else F.max(none_number)
+        return lambda c: fold(F.col(c)).cast("double") if c in numbers else no_number
 
     def text(fold):
-        return lambda c: F.max(none_text) if c in numbers else fold(value_text(df, c))
+        return lambda c: fold(value_text(df, c)) if c in plain - numbers else no_text
 
-    return _one_pass(
-        df, columns,
-        {
-            "min_number": number(F.min), "max_number": number(F.max),
-            "min_text": text(F.min), "max_text": text(F.max),
-        },
-    )
+    return {
+        "min_number": number(F.min), "max_number": number(F.max),
+        "min_text": text(F.min), "max_text": text(F.max),
+    }
+
+
+def min_max(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Smallest and largest value of each column."""
+    return _one_pass(df, columns or atomic_columns(df), _bound_measures(df))
 
 
 def top_n(df: DataFrame, n: int, columns: list[str] | None = None) -> DataFrame:
@@ -289,9 +292,9 @@ def anomalies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """Nulls, distinct values and bounds of every column."""
-    shared = nulls(df).join(distinct(df), "column_name")
-    return shared.join(min_max(df), "column_name", "left")
+    """Nulls, bounds and distinct values of every column."""
+    one_pass = _one_pass(df, df.columns, {**_null_measures(), **_bound_measures(df)})
+    return one_pass.join(distinct(df), "column_name")
 
 
 def profile_all(tables: dict[str, DataFrame]) -> DataFrame:

@@ -219,8 +219,10 @@ FROM campaigns c LEFT JOIN touches t ON t.campaign_id = c.campaign_id AND t.rn =
     "campaigns", "touches"))
 def left_join_ranked(spark: SparkSession, d: str) -> DataFrame:
     best = at.last_touch(star.pixel_events(spark, d), star.transactions(spark, d))
-    joined = star.campaigns(spark, d).select("campaign_id").join(
-        best.select("campaign_id", "txn_id", "amount_usd"), "campaign_id", "left"
+    joined = at.left_join_hot(
+        star.campaigns(spark, d).select("campaign_id"),
+        best.select("campaign_id", "txn_id", "amount_usd"),
+        "campaign_id",
     )
     return _doubles(joined, "amount_usd")
 
