@@ -45,6 +45,12 @@ def test_range(rows, options, passed):
     assert scan(rows, Rule("amount", "range", **options))[0][0] == passed
 
 
+def test_bounds_are_not_rounded_to_the_column(rows):
+    money = rows.select(F.col("amount").cast("decimal(18,2)").alias("amount"), "id")
+    assert scan(money, Rule("amount", "range", min_value="1.995"))[0][0] == 2
+    assert scan(money, Rule("id", "range", min_value="1.5"))[0][0] == 3
+
+
 def test_nulls_can_be_ignored(rows):
     rules = [Rule("name", "regex", pattern="[a-c]+"), Rule("amount", "range", min_value="0")]
     assert scan(rows, *rules) == [(3, False), (3, False)]

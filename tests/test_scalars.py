@@ -20,6 +20,13 @@ def test_slugify(spark, text, slug):
     assert value(spark, s.slugify(F.lit(text))) == slug
 
 
+@pytest.mark.parametrize(
+    "text, title", [("marketing metrics", "Marketing Metrics"), ("3d o'neil ADS", "3D O'Neil Ads")]
+)
+def test_title_case(spark, text, title):
+    assert value(spark, s.title_case(F.lit(text))) == title
+
+
 def test_link_slug_keeps_other_signs(spark):
     assert value(spark, s.link_slug(F.lit("P&L Total_usd"))) == "p&l-total-usd"
 

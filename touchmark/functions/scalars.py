@@ -28,6 +28,12 @@ def normalize_name(name: Column) -> Column:
     return F.btrim(F.translate(F.lower(name), "-", "_"), F.lit(_BLANKS))
 
 
+def title_case(text: Column) -> Column:
+    """Every run of letters starts with a capital, also after digits and signs."""
+    runs = F.regexp_extract_all(text, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda run: F.initcap(run)), "")
+
+
 def slugify(text: Column) -> Column:
     """Runs of anything but ``[a-z0-9]`` become one hyphen; a leading digit gets ``t-``."""
     slug = F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))

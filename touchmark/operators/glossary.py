@@ -70,17 +70,23 @@ def terms_flatten(tree: DataFrame) -> DataFrame:
     )
     rows = categories.select(
         "glossary_id", "glossary_ord", "category_ord",
-        F.initcap(F.translate("category_node.name", "-", " ")).alias("category"),
+        s.title_case(F.translate(_named("category_node"), "-", " ")).alias("category"),
         F.posexplode("category_node.terms").alias("position", "term"),
     )
     # Room for 65 536 terms in each of 4 096 categories.
     order = F.col("glossary_ord") * 2**28 + F.col("category_ord") * 2**16 + F.col("position")
     return rows.select(
-        "glossary_id", "term.*", "category", order.alias("term_ord"),
+        "glossary_id", _named("term").alias("name"), "term.display_name", "term.description",
+        "term.synonyms", "term.related", "term.tables", "term.business_context", "category", order.alias("term_ord"),
         s.normalize_name(F.col("term.display_name")).alias("term_key"),
     )
 
 
+def _named(node: str) -> Column:
+    """A node's name, by default the slug of its display name."""
+    return F.coalesce(F.col(f"{node}.name"), s.slugify(F.col(f"{node}.display_name")))
+
+
 def unique_terms(terms: DataFrame) -> DataFrame:
     """One term per normalised name: the last one's content."""
     row = F.struct(*terms.columns)
@@ -350,7 +356,8 @@ def apply_links(
     """
     name = F.col("table")
     slash = F.contains(name, F.lit("/"))
-    namespace = F.when(slash, F.substring_index(name, "/", 1)).otherwise(F.lit(default_namespace))
+    given = F.when(slash, F.substring_index(name, "/", 1)).otherwise(F.lit(""))
+    namespace = F.when(given == "", F.lit(default_namespace)).otherwise(given)
     table = F.when(slash, F.expr("substring(`table`, locate('/', `table`) + 1)")).otherwise(name)
     target = F.concat_ws(".", "table", "column")
     asked = rows.withColumns(

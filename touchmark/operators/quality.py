@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchmark.functions.scalars import rule_name, safe_divide
 from touchmark.operators.attribution import orphan_keys
@@ -53,7 +54,11 @@ def passes(df: DataFrame, rule: Rule, ignore_null: bool = False) -> Column:
 def _in_range(df: DataFrame, rule: Rule) -> Column:
     """Bounds are texts, cast to the type of the column; an empty one is open."""
     column = F.col(rule.column)
-    bound = lambda text: F.lit(text).cast(df.schema[rule.column].dataType)
+    data_type = df.schema[rule.column].dataType
+    if isinstance(data_type, (T.IntegralType, T.DecimalType)):
+        # The column's own type could round a bound, and with it the rule.
+        data_type = T.DecimalType(38, 10)
+    bound = lambda text: F.lit(text).cast(data_type)
     checks = [column.isNotNull()]
     if rule.min_value != "":
         low = bound(rule.min_value)
