@@ -341,7 +341,8 @@ def apply_summary(spark: SparkSession, d: str) -> DataFrame:
     return gl.apply_summary(_applied(spark, d))
 
 
-@register("sink_proposals")
+@register("sink_proposals", _matching_sql(
+    f"SELECT {_NINE}, CAST(NULL AS VARCHAR) AS missing_field, TRUE AS is_valid FROM exact"))
 def sink_proposals(spark: SparkSession, d: str) -> DataFrame:
     """Exact matches written for curation and read back with validation."""
     path = new_path(spark, "proposals")

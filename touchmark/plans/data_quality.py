@@ -447,14 +447,20 @@ def synonym_columns_discover(spark: SparkSession, d: str) -> DataFrame:
     return discover.synonym_columns_discover(star.cookie_registry(spark, d))
 
 
-@register("sink_scan_results")
+@register("sink_scan_results", with_views(f"""
+SELECT rule, column_name, dimension, threshold, evaluated, passed, ratio, ok, table_name, run_id,
+  scanned_at
+FROM ({_scan_sql("pixel_events", RULES["pixel_events"])}) s CROSS JOIN (VALUES
+  ('run-1', TIMESTAMP '2024-02-01'), ('run-2', TIMESTAMP '2024-02-02')) r(run_id, scanned_at)""",
+    "pixel_events"))
 def sink_scan_results(spark: SparkSession, d: str) -> DataFrame:
     """Two runs appended, the first written twice: it is there once."""
     path = new_path(spark, "dq-results")
     scan = _scan_query(_EVENT_RULES)(spark, d)
     for run, day in (("run-1", 1), ("run-1", 1), ("run-2", 2)):
         append_scan_results(scan, path, run, dt.datetime(2024, 2, day))
-    return spark.read.parquet(path)
+    stored = spark.read.parquet(path)
+    return stored.withColumn("scanned_at", F.col("scanned_at").cast("timestamp_ntz"))
 
 
 assert set(RULES) <= set(VIEWS)

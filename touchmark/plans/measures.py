@@ -52,47 +52,47 @@ def audience_discovery(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_SUMMARY_SQL = """
+SUMMARY_SQL = """
 SELECT campaign_id, 'Summarise this campaign performance data in 3 bullet points: Campaign: '
   || campaign_name || ', Brand: ' || brand || ', Market: ' || country_code || ', Objective: '
   || objective || ', Budget: $' || CAST(CAST(round(budget_usd, 0) AS BIGINT) AS VARCHAR)
   || ', Spend: $' || CAST(CAST(round(actual_spend_usd, 0) AS BIGINT) AS VARCHAR)
   || ', Status: ' || status AS prompt
 FROM campaigns WHERE status = 'completed'"""
-_CLASSIFY_SQL = """
+CLASSIFY_SQL = """
 SELECT creative_id, 'Classify this creative asset into one of: Premium, Standard, Budget. '
   || 'Return just the classification. Creative: ' || creative_name || ', Format: ' || format
   || ', Channel: ' || channel || ', Brand: ' || brand AS prompt
 FROM creatives"""
-_RECOMMEND_SQL = """
+RECOMMEND_SQL = """
 SELECT audience_id, 'Based on the following audience segment, recommend 3 ad creative themes '
   || 'and explain why. Segment: ' || segment_name || ', Demographics: ' || age_band || ' '
   || gender || ', Income: ' || income_band || ', Country: ' || country_code AS prompt
 FROM audience"""
 
 
-@register("prompt_campaign_summary", with_views(_SUMMARY_SQL, "campaigns"))
+@register("prompt_campaign_summary", with_views(SUMMARY_SQL, "campaigns"))
 def prompt_campaign_summary(spark: SparkSession, d: str) -> DataFrame:
     return prompts.campaign_summary(star.campaigns(spark, d))
 
 
-@register("prompt_classify_creative", with_views(_CLASSIFY_SQL, "creatives"))
+@register("prompt_classify_creative", with_views(CLASSIFY_SQL, "creatives"))
 def prompt_classify_creative(spark: SparkSession, d: str) -> DataFrame:
     return prompts.classify_creative(star.creatives(spark, d))
 
 
-@register("prompt_recommend_theme", with_views(_RECOMMEND_SQL, "audience"))
+@register("prompt_recommend_theme", with_views(RECOMMEND_SQL, "audience"))
 def prompt_recommend_theme(spark: SparkSession, d: str) -> DataFrame:
     return prompts.recommend_theme(star.audience(spark, d))
 
 
 @register("limit_demo", with_views(f"""
 SELECT 'campaign' AS kind, campaign_id AS id, prompt
-FROM (SELECT * FROM ({_SUMMARY_SQL}) a ORDER BY campaign_id LIMIT 3)
+FROM (SELECT * FROM ({SUMMARY_SQL}) a ORDER BY campaign_id LIMIT 3)
 UNION ALL SELECT 'creative', creative_id, prompt
-FROM (SELECT * FROM ({_CLASSIFY_SQL}) b ORDER BY creative_id LIMIT 5)
+FROM (SELECT * FROM ({CLASSIFY_SQL}) b ORDER BY creative_id LIMIT 5)
 UNION ALL SELECT 'audience', audience_id, prompt
-FROM (SELECT * FROM ({_RECOMMEND_SQL}) c ORDER BY audience_id LIMIT 3)""",
+FROM (SELECT * FROM ({RECOMMEND_SQL}) c ORDER BY audience_id LIMIT 3)""",
     "campaigns", "creatives", "audience"))
 def limit_demo(spark: SparkSession, d: str) -> DataFrame:
     """The reference limits its demo prompts to 3, 5 and 3 rows; ordered by key here."""
@@ -263,7 +263,7 @@ def orphan_keys(spark: SparkSession, d: str) -> DataFrame:
 # --- aggregations --------------------------------------------------------------------------
 
 
-@register("campaign_performance", with_views(f"""
+PERFORMANCE_SQL = f"""
 SELECT c.campaign_id, campaign_name, brand, country_code, objective,
   CAST(budget_usd AS DOUBLE) AS budget_usd, CAST(actual_spend_usd AS DOUBLE) AS actual_spend_usd,
   impressions, reach, impressions / CAST(NULLIF(reach, 0) AS DOUBLE) AS frequency,
@@ -272,8 +272,10 @@ SELECT c.campaign_id, campaign_name, brand, country_code, objective,
   CAST(actual_spend_usd AS DOUBLE) / NULLIF(clicks, 0) AS cpc,
   video_completes / CAST(NULLIF(video_starts, 0) AS DOUBLE) AS vtr,
   engagements / CAST(NULLIF(impressions, 0) AS DOUBLE) AS engagement_rate
-FROM campaigns c JOIN ({_EVENTS_LEFT}) e ON e.campaign_id = c.campaign_id""",
-    "campaigns", "pixel_events"))
+FROM campaigns c JOIN ({_EVENTS_LEFT}) e ON e.campaign_id = c.campaign_id"""
+
+
+@register("campaign_performance", with_views(PERFORMANCE_SQL, "campaigns", "pixel_events"))
 def campaign_performance(spark: SparkSession, d: str) -> DataFrame:
     mart = marts.campaign_performance(star.campaigns(spark, d), star.pixel_events(spark, d))
     return _doubles(mart, "budget_usd", "actual_spend_usd")

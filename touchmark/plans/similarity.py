@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchmark.functions.vectors import cosine_distance
 from touchmark.operators import infer, prompts, vectors
+from touchmark.plans.measures import CLASSIFY_SQL
 from touchmark.plans.oracle_views import with_views
 from touchmark.plans.registry import register
 from touchmark.sources import star
@@ -100,7 +101,10 @@ def _price_class(prompt: str, *, max_output_tokens: int, temperature: float) ->
     return ("Budget" if "banner" in prompt else "Standard")[:max_output_tokens]
 
 
-@register("batch_infer")
+@register("batch_infer", with_views(f"""
+SELECT creative_id, prompt, CASE WHEN contains(prompt, 'film') THEN 'Premium'
+  WHEN contains(prompt, 'banner') THEN 'Budget' ELSE 'Standard' END AS result, '' AS status
+FROM ({CLASSIFY_SQL}) p""", "creatives"))
 def batch_infer(spark: SparkSession, d: str) -> DataFrame:
     asked = prompts.classify_creative(star.creatives(spark, d))
     return infer.batch_infer(asked, _price_class, max_output_tokens=32, temperature=0.0)

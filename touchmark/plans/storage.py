@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchmark.operators import marts
+from touchmark.plans.measures import PERFORMANCE_SQL
 from touchmark.plans.oracle_views import with_views
 from touchmark.plans.registry import register
 from touchmark.session import new_path
@@ -44,9 +45,11 @@ def scan_partition_range(spark: SparkSession, d: str) -> DataFrame:
     return week.select("event_id", "event_type", "partition_date")
 
 
-@register("scan_with_file")
+@register("scan_with_file", "SELECT p_partkey, 'part.parquet' AS source_file FROM part")
 def scan_with_file(spark: SparkSession, d: str) -> DataFrame:
-    return src.with_file(src.load(spark, d, "part")).select("p_partkey", "source_file")
+    """The file of each row, without its folder."""
+    rows = src.with_file(src.load(spark, d, "part"))
+    return rows.select("p_partkey", F.substring_index("source_file", "/", -1).alias("source_file"))
 
 
 @register("scan_appends", with_views("""
@@ -147,11 +150,12 @@ def sink_stream_append(spark: SparkSession, d: str) -> DataFrame:
     return found.drop("batch_id")
 
 
-@register("sink_model")
+@register("sink_model", with_views(PERFORMANCE_SQL, "campaigns", "pixel_events"))
 def sink_model(spark: SparkSession, d: str) -> DataFrame:
     """The campaign mart as a table, read back."""
     mart = marts.campaign_performance(star.campaigns(spark, d), star.pixel_events(spark, d))
     path = new_path(spark, "campaign-performance")
     name = "touchmark_" + path.rsplit("-", 1)[-1]
     sinks.save_model(mart, name, path)
-    return spark.table(name)
+    money = ("budget_usd", "actual_spend_usd")
+    return spark.table(name).withColumns({c: F.col(c).cast("double") for c in money})
