@@ -58,15 +58,15 @@ def test_tokenize(spark):
 @pytest.mark.parametrize(
     "path, namespace, table",
     [
-        ("biglake.googleapis.com/projects/p/catalogs/c/namespaces/n/tables/t", "n", "t"),
-        ("biglake.googleapis.com/projects/p/catalogs/c/tables/t", "", "t"),
+        ("catalog.example.com/projects/p/catalogs/c/namespaces/n/tables/t", "n", "t"),
+        ("catalog.example.com/projects/p/catalogs/c/tables/t", "", "t"),
         ("something/else", "", "else"),
         ("a/tables", "", ""),
     ],
 )
 def test_entry_parts(spark, path, namespace, table):
-    assert value(spark, s.entry_namespace(F.lit(path))) == namespace
-    assert value(spark, s.entry_table(F.lit(path))) == table
+    assert value(spark, s.entry_namespace(F.split(F.lit(path), "/"))) == namespace
+    assert value(spark, s.entry_table(F.split(F.lit(path), "/"))) == table
 
 
 def test_whole_days_needs_a_full_day(spark):

@@ -71,18 +71,16 @@ def entry_id(path: Column) -> Column:
     return F.regexp_extract(path, "/entries/(.+)$", 1)
 
 
-def entry_table(identifier: Column) -> Column:
-    """Segment after ``tables``; the last segment when there is none."""
-    parts = F.split(identifier, "/")
+def entry_table(parts: Column) -> Column:
+    """Segment after ``tables``, of an entry id split at its slashes; else the last segment."""
     at = F.array_position(parts, "tables").cast("int")
     return F.when(at > 0, F.coalesce(F.get(parts, at), F.lit(""))).otherwise(
         F.element_at(parts, -1)
     )
 
 
-def entry_namespace(identifier: Column) -> Column:
+def entry_namespace(parts: Column) -> Column:
     """Segment between ``namespaces`` and ``tables``; empty when the path has no namespace."""
-    parts = F.split(identifier, "/")
     at = F.array_position(parts, "tables").cast("int")
     named = (at >= 3) & (F.get(parts, at - 3) == "namespaces")
     return F.when(named, F.get(parts, at - 2)).otherwise(F.lit(""))

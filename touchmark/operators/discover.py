@@ -3,14 +3,14 @@
 Everything starts from one aggregate: the rows of every distinct value of every column. Inclusions
 are then found per value, not per pair of columns: each value yields the set of columns holding it
 (at most as many as there are columns), equal sets are counted, and only the counted sets are
-compared pairwise.
+taken apart into pairs.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,8 +40,9 @@ def _all_columns(tables: dict[str, DataFrame]) -> list[tuple[str, str, str]]:
 
 
 def _name(columns: list[tuple[str, str, str]], part: int, column_id: str) -> Column:
-    """Name of a column id, looked up in a list as long as the schemas."""
-    return F.get(F.array(*[F.lit(c[part]) for c in columns]), F.col(column_id))
+    """Name of a column id, looked up in one constant list as long as the schemas."""
+    names = F.split(F.lit("\x01".join(c[part] for c in columns)), "\x01")
+    return F.get(names, F.col(column_id))
 
 
 def _number(column: str, cls: str) -> Column:
@@ -99,10 +100,10 @@ def _is_key() -> Column:
     return (F.col("null_count") == 0) & (F.col("distinct_count") == F.col("row_count"))
 
 
-def primary_keys(tables: dict[str, DataFrame], counts: DataFrame | None = None) -> DataFrame:
+def primary_keys(tables: dict[str, DataFrame]) -> DataFrame:
     """Columns that are unique and never NULL."""
     columns = _all_columns(tables)
-    stats = column_stats(value_counts(tables) if counts is None else counts)
+    stats = column_stats(value_counts(tables))
     return stats.filter(_is_key()).select(
         _name(columns, 0, "column_id").alias("table_name"),
         _name(columns, 1, "column_id").alias("column_name"),
@@ -110,50 +111,74 @@ def primary_keys(tables: dict[str, DataFrame], counts: DataFrame | None = None)
     )
 
 
-def foreign_keys(
-    tables: dict[str, DataFrame], *, min_coverage: float = 1.0, counts: DataFrame | None = None
-) -> DataFrame:
-    """Columns whose values occur in a key column of another table, with the covered share.
+def _overlaps(counts: DataFrame) -> DataFrame:
+    """Shared distinct values of every two columns, ``child`` and ``parent``.
 
-    ``coverage`` is over the child's distinct non-NULL values, ``fill_rate`` over its rows.
+    The pair of a column with itself carries the column's own counts. One chain of aggregates, so
+    the tables are read once and the values shuffled twice; the result has a row per two columns.
     """
-    columns = _all_columns(tables)
-    counts = value_counts(tables) if counts is None else counts
-    stats = column_stats(counts)
-    holders = (
-        counts.filter(_has_value())
-        .groupBy("type_class", "number", "text")
-        .agg(F.sort_array(F.collect_set("column_id")).alias("holders"))
-        .groupBy("holders")
-        .agg(F.count("*").alias("shared"))
+    has_value = _has_value()
+    by_value = counts.groupBy("type_class", "number", "text").agg(
+        F.collect_list(F.struct("column_id", "n")).alias("cells")
     )
-    pairs = (
-        holders.select("shared", "holders", F.explode("holders").alias("child"))
-        .select("shared", "child", F.explode("holders").alias("parent"))
-        .withColumn("child_table", _name(columns, 0, "child"))
-        .withColumn("parent_table", _name(columns, 0, "parent"))
-        .filter(F.col("child_table") != F.col("parent_table"))
-        .groupBy("child", "parent", "child_table", "parent_table")
-        .agg(F.sum("shared").alias("shared"))
+    sets = (
+        by_value.select(
+            F.sort_array(F.col("cells.column_id")).alias("holders"),
+            has_value.alias("has_value"),
+            F.inline("cells"),
+        )
+        .groupBy("holders", "has_value", F.col("column_id").alias("child"))
+        .agg(F.count("*").alias("shared"), F.sum("n").alias("n"))
     )
-    child = stats.select(
-        F.col("column_id").alias("child"),
-        F.col("distinct_count").alias("child_distinct"),
-        safe_divide(F.col("row_count") - F.col("null_count"), F.col("row_count")).alias("fill_rate"),
-        _is_key().alias("child_unique"),
+    own = F.col("child") == F.col("parent")
+    total = lambda condition, c: F.coalesce(F.sum(F.when(condition, F.col(c))), F.lit(0))
+    return (
+        sets.select("has_value", "child", "shared", "n", F.explode("holders").alias("parent"))
+        .groupBy("child", "parent")
+        .agg(
+            total(F.col("has_value"), "shared").alias("shared"),
+            total(own, "n").alias("row_count"),
+            total(own & ~F.col("has_value"), "n").alias("null_count"),
+        )
     )
-    parent = stats.filter(_is_key()).select(F.col("column_id").alias("parent"))
+
+
+def foreign_keys(tables: dict[str, DataFrame], *, min_coverage: float = 1.0) -> DataFrame:
+    """Columns whose values occur in a key column of another table, with the covered share.
+
+    ``coverage`` is over the child's distinct non-NULL values, ``fill_rate`` over its rows.
+    """
+    columns = _all_columns(tables)
+    own = F.col("child") == F.col("parent")
+    # A row per two columns: the windows below see no more than the schemas hold.
+    of = lambda side, c: F.max(F.when(own, F.col(c))).over(Window.partitionBy(side))
+
+    def is_key(side: str) -> Column:
+        return (of(side, "null_count") == 0) & (of(side, "shared") == of(side, "row_count"))
+
+    rows = of("child", "row_count")
     return (
-        # Both sides hold a row per column: the schema bounds what is broadcast.
-        pairs.join(F.broadcast(parent), "parent")
-        .join(F.broadcast(child), "child")
-        .withColumn("coverage", safe_divide(F.col("shared"), F.col("child_distinct")))
-        .filter(F.col("coverage") >= min_coverage)
+        _overlaps(value_counts(tables))
+        .select(
+            "child", "parent",
+            safe_divide(F.col("shared"), of("child", "shared")).alias("coverage"),
+            safe_divide(rows - of("child", "null_count"), rows).alias("fill_rate"),
+            is_key("child").alias("child_unique"),
+            is_key("parent").alias("parent_unique"),
+        )
         .select(
-            "child_table", _name(columns, 1, "child").alias("child_column"),
-            "parent_table", _name(columns, 1, "parent").alias("parent_column"),
-            "coverage", "fill_rate", "child_unique",
+            _name(columns, 0, "child").alias("child_table"),
+            _name(columns, 1, "child").alias("child_column"),
+            _name(columns, 0, "parent").alias("parent_table"),
+            _name(columns, 1, "parent").alias("parent_column"),
+            "coverage", "fill_rate", "child_unique", "parent_unique",
+        )
+        .filter(
+            F.col("parent_unique")
+            & (F.col("child_table") != F.col("parent_table"))
+            & (F.col("coverage") >= min_coverage)
         )
+        .drop("parent_unique")
     )
 
 
@@ -168,7 +193,6 @@ def relationship_graph(foreign: DataFrame) -> DataFrame:
 
 def dataset_overview(tables: dict[str, DataFrame]) -> DataFrame:
     """Tables, rows, columns and joinable column pairs as (measure, value) rows."""
-    counts = value_counts(tables)
     rows = [df.agg(F.count("*").alias("value")) for df in tables.values()]
     total = reduce(DataFrame.unionByName, rows).agg(F.sum("value").alias("value"))
     fixed = F.array(
@@ -179,7 +203,7 @@ def dataset_overview(tables: dict[str, DataFrame]) -> DataFrame:
         ),
         F.struct(F.lit("rows").alias("measure"), F.col("value")),
     )
-    joinable = foreign_keys(tables, counts=counts).agg(F.count("*").alias("value"))
+    joinable = foreign_keys(tables).agg(F.count("*").alias("value"))
     return total.select(F.inline(fixed)).unionByName(
         joinable.select(F.lit("joinable_pairs").alias("measure"), "value")
     )

@@ -31,12 +31,13 @@ def catalog_columns(entries: DataFrame, namespace: str | None = None) -> DataFra
     ``entries`` has ``name`` (resource path), ``entry_type``, ``resource``, ``table_ord`` and
     ``aspects``, a map whose values hold ``data.fields``.
     """
-    identifier = s.entry_id(F.col("name"))
+    parts = F.split(s.entry_id(F.col("name")), "/").alias("parts")
     found = (
         entries.filter(F.contains(F.lower("entry_type"), F.lit("table")))
+        .select("*", parts)
         .select(
-            s.entry_namespace(identifier).alias("namespace"),
-            s.entry_table(identifier).alias("table_name"),
+            s.entry_namespace(F.col("parts")).alias("namespace"),
+            s.entry_table(F.col("parts")).alias("table_name"),
             s.path_segment(F.col("resource"), "projects").alias("project"),
             "table_ord",
             F.posexplode(
@@ -261,6 +262,9 @@ def _keywords(terms: DataFrame) -> DataFrame:
 def keyword_hits(terms: DataFrame, columns: DataFrame) -> DataFrame:
     """The keyword occurrences that hit a column: equal, else inside it, else inside its table."""
     words = _keywords(terms)
+    # An inventory is a small file whose rows fan out into many hits: spread it first.
+    tasks = int(columns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = columns.repartition(tasks, "full_table")
     sides = F.array(
         F.struct(F.lit(True).alias("own"), F.lower("column_name").alias("name")),
         F.struct(F.lit(False).alias("own"), F.lower("full_table").alias("name")),
@@ -269,7 +273,8 @@ def keyword_hits(terms: DataFrame, columns: DataFrame) -> DataFrame:
         "full_table", "column_name", "table_ord", "position", F.inline(sides)
     )
     # Each distinct name is taken apart once, and only parts that are keywords are kept.
-    parts = named.select("name").distinct().select(
+    names = named.select("name").repartition(tasks, "name").distinct()
+    parts = names.select(
         "name", F.explode(_substrings(F.col("name"))).alias("keyword")
     )
     inside = parts.join(words.select("keyword").distinct(), "keyword")

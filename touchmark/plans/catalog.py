@@ -95,17 +95,17 @@ def hash_email(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("parse_entry_id", """
-SELECT p_partkey AS table_ord, 'demo' AS project, '@biglake' AS entry_group,
+SELECT p_partkey AS table_ord, 'demo' AS project, '@lake' AS entry_group,
   lower(replace(p_brand, '#', '_')) AS namespace, lower(p_type) || '_' || p_partkey AS table_name
 FROM part""")
 def parse_entry_id(spark: SparkSession, d: str) -> DataFrame:
-    identifier = s.entry_id(F.col("name"))
-    return star.catalog_entries(spark, d).select(
+    parts = F.split(s.entry_id(F.col("name")), "/").alias("parts")
+    return star.catalog_entries(spark, d).select("*", parts).select(
         "table_ord",
         s.path_segment(F.col("resource"), "projects").alias("project"),
         s.path_segment(F.col("name"), "entryGroups").alias("entry_group"),
-        s.entry_namespace(identifier).alias("namespace"),
-        s.entry_table(identifier).alias("table_name"),
+        s.entry_namespace(F.col("parts")).alias("namespace"),
+        s.entry_table(F.col("parts")).alias("table_name"),
     )
 
 

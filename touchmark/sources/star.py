@@ -200,7 +200,7 @@ def catalog_entries(spark: SparkSession, directory: str) -> DataFrame:
     brand = F.lower(F.regexp_replace("p_brand", "#", "_"))
     kind = F.lower("p_type")
     path = F.concat(
-        F.lit("biglake.googleapis.com/projects/demo/locations/us/catalogs/lake/namespaces/"),
+        F.lit("catalog.example.com/projects/demo/locations/us/catalogs/lake/namespaces/"),
         brand, F.lit("/tables/"), kind, F.lit("_"), F.col("p_partkey").cast("string"),
     )
     field = lambda name, text: F.struct(name.alias("name"), text.alias("description"))
@@ -217,10 +217,10 @@ def catalog_entries(spark: SparkSession, directory: str) -> DataFrame:
     )
     return load(spark, directory, "part").select(
         F.concat(
-            F.lit("projects/demo/locations/us/entryGroups/@biglake/entries/"), path
+            F.lit("projects/demo/locations/us/entryGroups/@lake/entries/"), path
         ).alias("name"),
         F.lit("table").alias("entry_type"),
-        F.concat(F.lit("bigquery.googleapis.com/projects/demo/tables/"), kind).alias("resource"),
+        F.concat(F.lit("tables.example.com/projects/demo/tables/"), kind).alias("resource"),
         F.create_map(
             F.lit("demo.us.schema"), F.struct(F.struct(fields.alias("fields")).alias("data"))
         ).alias("aspects"),
