@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from touchmark.llm import quality, sharding, simhash  # noqa: F401
+from touchmark.llm import licenses, quality, sharding, simhash, token_counts  # noqa: F401
 from touchmark.llm.common import ORACLES, QUERIES, Query
 
 
