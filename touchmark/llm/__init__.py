@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from touchmark.llm import licenses, quality, sharding, simhash, token_counts  # noqa: F401
+from touchmark.llm import (  # noqa: F401
+    decontamination,
+    licenses,
+    lines,
+    quality,
+    sharding,
+    simhash,
+    token_counts,
+)
 from touchmark.llm.common import ORACLES, QUERIES, Query
 
 
