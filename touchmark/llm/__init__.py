@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from touchmark.llm import (  # noqa: F401
+    bpe,
     decontamination,
     licenses,
     lines,
+    privacy,
     quality,
     sharding,
     simhash,
