@@ -5,6 +5,7 @@ from __future__ import annotations
 from touchmark.llm import (  # noqa: F401
     bpe,
     decontamination,
+    html,
     licenses,
     lines,
     privacy,
