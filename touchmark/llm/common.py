@@ -62,9 +62,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def ngrams(items: Column, n: int) -> Column:
     """64-bit hashes of all runs of n items; empty when there are fewer."""
-    indexes = F.sequence(F.lit(0), F.size(items) - n)
-    hashes = F.transform(indexes, lambda i: F.xxhash64(*[F.get(items, i + k) for k in range(n)]))
-    return F.when(F.size(items) >= n, hashes).otherwise(F.array().cast("array<bigint>"))
+
+    def hashes(w: Column) -> Column:
+        runs = F.transform(
+            F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])
+        )
+        return F.when(F.size(w) >= n, runs).otherwise(F.array().cast("array<bigint>"))
+
+    return let(items, hashes)
 
 
 def fits(df: DataFrame, rows: int) -> bool:

@@ -34,8 +34,9 @@ class Match:
 
 
 def plain_words(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.array_remove(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), "")
+    """Lower-case runs of characters other than ASCII, Latin-1, general and ideographic punctuation."""
+    cut = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\xBF\\u2000-\\u206F\\u3000-\\u303F]+"
+    return F.array_remove(F.split(F.lower(text), cut), "")
 
 
 def _fingerprints(rows: DataFrame, key: str, hashes: str) -> DataFrame:
@@ -72,7 +73,8 @@ def _within(windows: DataFrame, items: DataFrame, match: Match) -> DataFrame:
         "item", "length", "item_code", "block", F.col("value").bitwiseXOR(F.col("flip").cast("long")).alias("value")
     )
     looked = windows.select("window", "length", "code", _blocks(F.col("code"), match.blocks))
-    found = looked.join(spread, ["length", "block", "value"])
+    # The spread is much larger than what it is made of, by which Spark would choose to broadcast it.
+    found = looked.join(spread.hint("merge"), ["length", "block", "value"])
     return found.filter(F.bit_count(F.col("code").bitwiseXOR(F.col("item_code"))) <= match.radius).select(
         "window", "item"
     ).distinct()
@@ -112,17 +114,21 @@ def find_leaks(
     start = F.greatest(F.lit(0), F.least(F.col("at"), F.col("n") - F.col("length")))
     starts = stored(hits.select("digest", "length", start.alias("start")).distinct(), "starts")
 
-    # The few texts with a start are read again; each window is then known by its content.
+    # Texts with a start are read again, each once; a window is then known by its content.
     per_text = starts.groupBy(F.col("digest").alias("__d")).agg(
         F.collect_list(F.struct("length", "start")).alias("starts")
     )
-    cut = rows.join(per_text, F.col("digest") == F.col("__d")).select(
-        "digest", ngrams(F.col("w"), n).alias("hashes"), F.explode("starts").alias("s")
-    )
-    cut = cut.select(
-        "digest", F.col("s.length").alias("length"), F.col("s.start").alias("start"),
-        F.slice("hashes", F.col("s.start") + 1, F.col("s.length") - n + 1).alias("hashes"),
-    )
+    bodies = docs.select(digest(body).alias("digest"), body.alias("body"))
+    held = bodies.join(per_text, F.col("digest") == F.col("__d")).dropDuplicates(["digest"])
+    held = stored(held.select("digest", "starts", ngrams(plain_words(F.col("body")), n).alias("hashes")), "held")
+    slices = F.transform(
+        "starts",
+        lambda s: F.struct(
+            s["length"].alias("length"), s["start"].alias("start"),
+            F.slice("hashes", s["start"] + 1, s["length"] - n + 1).alias("hashes"),
+        ),
+    )
+    cut = held.select("digest", F.inline(slices))
     cut = cut.withColumn("window", digest(F.concat_ws(",", "length", F.array_join("hashes", ","))))
     windows = stored(cut.dropDuplicates(["window"]).select("window", "length", "hashes"), "windows")
     places = cut.select("digest", "length", "start", "window").distinct()
@@ -158,9 +164,9 @@ def find_leaks(
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without a window that matches an item, with their own columns."""
-    tagged = docs.withColumn("__digest", digest(text_or_empty(text)))
-    leaks = find_leaks(tagged.select("__digest", F.col(text).alias("text")), benchmark, "__digest")
-    return tagged.join(leaks.select("__digest").distinct(), "__digest", "left_anti").select(*docs.columns)
+    tagged = docs.withColumn("__whole", digest(text_or_empty(text)))
+    leaks = find_leaks(tagged.select("__whole", F.col(text).alias("text")), benchmark, "__whole")
+    return tagged.join(leaks.select("__whole").distinct(), "__whole", "left_anti").select(*docs.columns)
 
 
 @register("op2_decontamination")
