@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -10,51 +11,79 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 from tokenizers import Tokenizer
 
-from touchmark.llm.common import digest, read, register, stored, text_or_empty
+from touchmark.llm.common import read, register, stored, text_or_empty
 
-#: Words whose ids every task holds: the commonest of the table. The others are joined by shuffling.
-HELD_WORDS = 1 << 18
+#: Words whose ids every task holds: the commonest of the corpus.
+HELD_WORDS = 1 << 16
+#: Texts whose ids a task gathers before it passes them on.
+_TEXTS = 256
 #: Distinct words that a task counts before it passes its counts on.
 _FLUSH = 200_000
-_MISSING = 0xFFFFFFFF
+
+# The tokenizer's rules for words, as its file has them.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+_OTHER = re.compile("[^\x00-\u024f]")
+#: White space below U+0250 by its Unicode property, which the library goes by.
+_WORD = regex.compile(PATTERN.replace(r"\s", r"\t-\r \x85\xa0"))
 
 
 class Splitter:
-    """Cuts a text into the words that the tokenizer's model encodes one by one, and special tokens."""
+    """Cuts a text into the words that the tokenizer's model encodes one by one.
+
+    Texts of characters below U+0250, which no normal form changes, are lowered and cut by the same
+    pattern here; the library itself normalises and cuts all others, at several times the cost.
+    """
 
     def __init__(self, definition: str) -> None:
         self.tokenizer = Tokenizer.from_str(definition)
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.special = {t.content: i for i, t in added.items()}
+        parts = json.loads(definition)
+        if parts["normalizer"] != NORMALIZER or parts["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] != PATTERN:
+            raise ValueError("a tokenizer with other rules for words")
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         names = sorted(self.special, key=len, reverse=True)
-        self.cut = re.compile("|".join(map(re.escape, names))) if names else None
-
-    def words(self, text: str) -> Iterator[tuple[str | None, int]]:
-        """(word, 0), or (None, id) for a special token."""
-        at = 0
-        for found in self.cut.finditer(text) if self.cut and "<|" in text else ():
-            yield from self._plain(text[at : found.start()])
-            yield None, self.special[found.group()]
-            at = found.end()
-        yield from self._plain(text[at:])
-
-    def _plain(self, text: str) -> Iterator[tuple[str, int]]:
-        normal = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
-        for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal):
-            yield word, 0
+        self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")")
+
+    def words(self, text: str) -> list[str]:
+        """The words; a special token is one of them, as the pattern never yields its text."""
+        if "<|" in text:
+            out: list[str] = []
+            for i, part in enumerate(self.cut.split(text)):
+                out += [part] if i % 2 else self._plain(part)
+            return out
+        return self._plain(text)
+
+    def _plain(self, text: str) -> list[str]:
+        if _OTHER.search(text) is None:
+            return _WORD.findall(text.lower())
+        normal = self.tokenizer.normalizer.normalize_str(text)
+        return [normal[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+
+    def encode(self, word: str) -> list[int]:
+        if word in self.special:
+            return [self.special[word]]
+        mapped = "".join(piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(word))
+        return [t.id for t in self.tokenizer.model.tokenize(mapped)]
 
 
 def _count(batches: Iterator[pa.RecordBatch], definition: Broadcast) -> Iterator[pa.RecordBatch]:
     splitter, counts = Splitter(definition.value), Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            counts.update(w for w, _ in splitter.words(text) if w is not None)
+            counts.update(splitter.words(text))
             if len(counts) >= _FLUSH:
                 yield _counted(counts)
                 counts = Counter()
@@ -68,55 +97,47 @@ def _counted(counts: Counter) -> pa.RecordBatch:
     )
 
 
-def word_table(docs: DataFrame, definition: Broadcast, text: str) -> DataFrame:
-    """(word, n, ids): each distinct word of the corpus, encoded once."""
+def word_table(docs: DataFrame, definition: Broadcast, text: str, most: int) -> dict[str, tuple[int, ...]]:
+    """The commonest distinct words of the corpus with their ids, at most so many, each encoded once.
+
+    All words from a frequency band upward are in it, so that a histogram of bands finds the limit.
+    """
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Tokenizer.from_str(definition.value).model
+        splitter = Splitter(definition.value)
         for batch in batches:
-            batch["ids"] = [[t.id for t in model.tokenize(w)] for w in batch["word"]]
-            yield batch
+            yield pd.DataFrame({"word": batch["word"], "ids": [splitter.encode(w) for w in batch["word"]]})
 
     counted = docs.select(text_or_empty(text)).mapInArrow(lambda it: _count(it, definition), "word string, n long")
-    summed = counted.groupBy("word").agg(F.sum("n").alias("n"))
-    return stored(summed.mapInPandas(encode, "word string, n long, ids array<int>"), "words")
-
-
-def _replace(batches: Iterator[pa.RecordBatch], definition: Broadcast, held: Broadcast) -> Iterator[pa.RecordBatch]:
-    """(digest, codes, missing): ids as 4-byte numbers, a marker for each word not held, and these words."""
-    splitter, known = Splitter(definition.value), held.value
+    counts = stored(counted.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    band = F.floor(F.log2("n") * 16)
+    sizes = sorted(counts.groupBy(band.alias("band")).count().collect(), reverse=True)  # 16 for each doubling
+    lowest, total = None, 0
+    for row in sizes:
+        total += row["count"]
+        if total > most:
+            break
+        lowest = row["band"]
+    if lowest is None:
+        return {}
+    words = counts.filter(band >= lowest).mapInPandas(encode, "word string, ids array<int>").toArrow()
+    return dict(zip(words["word"].to_pylist(), map(tuple, words["ids"].to_pylist())))
+
+
+def _encode(batches: Iterator[pa.RecordBatch], definition: Broadcast, table: Broadcast) -> Iterator[pa.RecordBatch]:
+    """(key, ids): the ids of each text's words, in place."""
+    splitter, known = Splitter(definition.value), table.value
     for batch in batches:
-        codes, missing = [], []
-        for text in batch.column(1).to_pylist():
-            ids, unknown = [], []
-            for word, special in splitter.words(text):
-                found = (special,) if word is None else known.get(word)
-                if found is None:
-                    unknown.append(word)
-                    ids.append(_MISSING)
-                else:
-                    ids.extend(found)
-            codes.append(np.array(ids, "<u4").tobytes())
-            missing.append(unknown)
-        arrays = [batch.column(0), pa.array(codes, pa.binary()), pa.array(missing, pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[2:]], ["digest", "codes", "missing", *batch.schema.names[2:]])
-
-
-@F.pandas_udf(ArrayType(IntegerType()))
-def _fill(codes: pd.Series, places: pd.Series) -> pd.Series:
-    """Ids with each marker replaced by the ids of its word; places are (place, ids) in any order."""
-    out = []
-    for code, found in zip(codes, places):
-        ids = np.frombuffer(code, "<u4")
-        if found is not None and len(found):
-            at = np.flatnonzero(ids == _MISSING)
-            parts, last = [], 0
-            for place, word_ids in sorted((p["at"], p["ids"]) for p in found):
-                parts += [ids[last : at[place]], np.asarray(word_ids, "<u4")]
-                last = at[place] + 1
-            ids = np.concatenate([*parts, ids[last:]])
-        out.append(ids.astype("int32"))
-    return pd.Series(out, dtype=object)
+        for part in (batch.slice(at, _TEXTS) for at in range(0, batch.num_rows, _TEXTS)):
+            rows = []
+            for text in part.column(1).to_pylist():
+                ids: list[int] = []
+                for word in splitter.words(text):
+                    ids += known.get(word) or splitter.encode(word)
+                rows.append(np.array(ids, "int32"))
+            ends = np.cumsum([0, *map(len, rows)]).astype("int32")
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["key", "ids"])
 
 
 def encode(
@@ -124,28 +145,20 @@ def encode(
 ) -> DataFrame:
     """Per document: key, ids, as the tokenizer file encodes the whole text without special tokens added.
 
-    Words are split in every task; each distinct one is encoded once. The ``held_words`` commonest go
-    to all tasks; the occurrences of the rest are joined to the table by word and come back by their
-    place, so any vocabulary works in bounded memory. Null texts are empty and have no ids. Every row
-    comes back, repeated or not; an empty table gives none; other columns are ignored.
+    Words are split and counted in every task; the ``held_words`` commonest distinct ones are encoded
+    once and joined back by position from a table that all tasks hold. Rarer words are encoded where
+    they stand, so any vocabulary works in bounded memory and no position is shuffled. Null texts are
+    empty and have no ids. Every row comes back, repeated or not; an empty table gives none; other
+    columns are ignored.
     """
     context = docs.sparkSession.sparkContext
-    definition = context.broadcast(open(path, encoding="utf-8").read())
-    table = word_table(docs, definition, text)
-    common = table.orderBy(F.desc("n"), "word").limit(held_words).select("word", "ids").collect()
-    held = context.broadcast({r["word"]: tuple(r["ids"]) for r in common})
-
-    body = text_or_empty(text)
+    with open(path, encoding="utf-8") as file:
+        definition = context.broadcast(file.read())
+    table = context.broadcast(word_table(docs, definition, text, held_words))
     schema = docs.select(key).schema[0]
-    source = docs.select(digest(body).alias("digest"), body.alias("body"), F.col(key).alias("__key"))
-    kind = f"digest binary, codes binary, missing array<string>, __key {schema.dataType.simpleString()}"
-    replaced = source.mapInArrow(lambda it: _replace(it, definition, held), kind)
-    rare = replaced.select(F.col("digest").alias("__d"), F.posexplode("missing").alias("at", "word"))
-    found = rare.join(table.select("word", "ids").hint("merge"), "word").groupBy("__d").agg(
-        F.collect_set(F.struct("at", "ids")).alias("places")
-    )
-    joined = replaced.drop("missing").join(found, F.col("digest") == F.col("__d"), "left")
-    return joined.select(F.col("__key").alias(key), _fill("codes", "places").alias("ids"))
+    source = docs.select(F.col(key).alias("key"), text_or_empty(text))
+    kind = f"key {schema.dataType.simpleString()}, ids array<int>"
+    return source.mapInArrow(lambda it: _encode(it, definition, table), kind).withColumnRenamed("key", key)
 
 
 def decoder(spark: SparkSession, path: str):
