@@ -6,24 +6,12 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-
-_SCHEMAS: dict[str, StructType] = {}
 
 
 def load(spark: SparkSession, directory: str, name: str, fmt: str = "parquet") -> DataFrame:
-    """One table of a directory; another columnar format is a change of ``fmt``.
-
-    A fixed schema is part of the data model, so the footers are read for it only once per path.
-    """
+    """One table of a directory; another columnar format is a change of ``fmt``."""
     path = f"{directory.rstrip('/')}/{name}{'.parquet' if fmt == 'parquet' else ''}"
-    reader = spark.read.format(fmt)
-    if path in _SCHEMAS:
-        return reader.schema(_SCHEMAS[path]).load(path)
-    df = reader.load(path)
-    _SCHEMAS[path] = df.schema
-    return df
+    return spark.read.format(fmt).load(path)
 
 
 def load_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
