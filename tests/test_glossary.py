@@ -6,17 +6,17 @@ from touchmark.operators import glossary as gl
 
 TERMS = (
     "name string, display_name string, description string, synonyms array<string>,"
-    " related array<string>, category string, term_ord long"
+    " related array<string>, category string, term_ord long, glossary_id string"
 )
 
 
-def terms(spark, *rows):
+def terms(spark, *rows, glossary="g"):
     """(display name, description[, synonyms[, related]])"""
     full = []
     for i, (display, description, *lists) in enumerate(rows):
         synonyms, related = (*lists, [], [])[:2]
         name = display.lower().replace("_", "-").replace(" ", "-")
-        full.append((name, display, description, synonyms, related, "Cat", i))
+        full.append((name, display, description, synonyms, related, "Cat", i, glossary))
     df = spark.createDataFrame(full, TERMS)
     return df.withColumn("term_key", s.normalize_name(F.col("display_name")))
 
@@ -90,19 +90,19 @@ def test_synonym_list(spark):
     ],
 )
 def test_fuzzy_score(spark, column, description, score, why):
-    (row,) = gl.match_fuzzy(terms(spark, ("zz", description)), columns(spark, column)).collect()
+    (row,) = gl.match_fuzzy(terms(spark, ("zz", description)), columns(spark, column), 0).collect()
     assert (row["match_score"], row["match_rationale"]) == (score, why)
 
 
 def test_fuzzy_skips_empty_and_unrelated(spark):
     t = terms(spark, ("a1", ""), ("a2", None), ("a3", "nothing alike"))
-    assert gl.match_fuzzy(t, columns(spark, "t.amount_usd")).count() == 0
+    assert gl.match_fuzzy(t, columns(spark, "t.amount_usd"), 0).count() == 0
 
 
 def test_threshold_and_order(spark):
     t = terms(spark, ("m1", "amount usd"), ("m0", "amount"))
     c = columns(spark, "t.amount", "t.amount_usd", "t.usd_total")
-    every = gl.match_fuzzy(t, c)
+    every = gl.match_fuzzy(t, c, 0)
     ranked = [(r["glossary_term"], r["column"], r["match_score"]) for r in gl.rank_proposals(every).collect()]
     assert ranked == [
         ("m1", "amount", 10), ("m1", "amount_usd", 10), ("m1", "usd_total", 5),
@@ -113,7 +113,7 @@ def test_threshold_and_order(spark):
 
 
 def test_fuzzy_plan_has_no_cross_join(spark):
-    plan = gl.match_fuzzy(terms(spark, ("a", "b c")), columns(spark, "t.b"))
+    plan = gl.match_fuzzy(terms(spark, ("a", "b c")), columns(spark, "t.b"), 0)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in text and "NestedLoop" not in text
 
@@ -130,44 +130,68 @@ def test_implied_terms_and_links(spark):
     assert links == {"synonym-ad-return-roas", "related-mer-roas", "related-ad-return-mer"}
 
 
+def test_glossaries_keep_their_own_terms(spark):
+    t = terms(spark, ("Brand", "first"), ("mark", "Synonym for brand"), ("amount", "", ["fee"]))
+    t = t.unionByName(terms(spark, ("brand", "second"), ("sign", "Synonym for amount"), glossary="h"))
+    c = columns(spark, "c.brand", "c.amount")
+    assert {(r["glossary_id"], r["description"]) for r in gl.match_exact(t, c).collect()} == {
+        ("g", "first"), ("g", ""), ("h", "second"),
+    }
+    assert [(r["glossary_id"], r["column"]) for r in gl.match_synonym(t, c).collect()] == [("g", "brand")]
+    assert [r["display_name"] for r in gl.unmatched_terms(t, c).collect()] == ["sign"]
+    t = t.unionByName(terms(spark, ("cost", "", ["Fee"]), ("fee", ""), glossary="i"))
+    implied = gl.implied_terms(t)
+    assert [(r["glossary_id"], r["name"]) for r in implied.collect()] == [("g", "fee")]
+    links = {(r["glossary_id"], r["link_id"]) for r in gl.term_links(t, implied).collect()}
+    assert links == {("g", "synonym-amount-fee"), ("i", "synonym-cost-fee")}
+
+
+def test_listed_synonyms_are_proposed_and_not_matched_by_words(spark):
+    t = terms(spark, ("mail", "hem of the audience", ["hem", "hem", "HEM"]), ("gone", "audience", ["nothing"]))
+    found = gl.proposals(t, columns(spark, "audience.hem", "audience.other"), threshold=1).collect()
+    assert sorted((r["phase"], r["glossary_term"], r["column"], r["via_synonym"]) for r in found) == [
+        (2, "mail", "hem", "HEM"), (2, "mail", "hem", "hem"), (3, "gone", "hem", ""), (3, "gone", "other", ""),
+    ]
+
+
 def test_link_id(spark):
-    def link(term, namespace, table):
-        column = gl.link_id(F.lit(term), F.lit(namespace), F.lit(table))
-        return spark.range(1).select(column.alias("v")).head()["v"]
+    def link(*target):
+        return spark.range(1).select(gl.link_id(*map(F.lit, target)).alias("v")).head()["v"]
 
-    assert link("region", "marketing", "audience") == "definition-region-marketing-audience"
-    assert link("region", "", "audience") == "definition-region--audience"
-    assert len(link("x" * 80, "marketing", "audience")) == 63
+    assert link("g", "region", "m", "audience", "c").startswith("definition-region-m-audience-c-")
+    long = ("g", "x" * 80, "marketing", "audience", "region")
+    assert len(link(*long)) == 63
+    others = [("h", *long[1:]), (*long[:-1], "market"), (*long[:-2], "other", "region")]
+    assert len({link(*target) for target in (long, *others)}) == 4
 
 
 def test_apply_links(spark):
     rows = spark.createDataFrame(
         [(0, "hem", "m/audience", "hem"), (1, "hem", "m/audience", "hem2"), (2, "hem", "m/nowhere", "c"),
-         (3, "old", "m/audience", "c"), (4, "x" * 60, "m/audience", "a"), (5, "x" * 60, "m/other", "b")],
+         (3, "old", "m/audience", "c"), (4, "x" * 60, "m/audience", "a"), (5, "x" * 60, "m/other", "b"),
+         (6, "hem", "m/audience", "hem")],
         "ord int, glossary_term string, `table` string, `column` string",
-    )
+    ).withColumn("glossary_id", F.lit("g"))
     inventory = spark.createDataFrame(
         [("m", "audience"), ("m", "other")], "namespace string, table_name string"
     )
-    existing = spark.createDataFrame([("definition-old-m-audience",)], "link_id string")
+    old = gl.link_id(*map(F.lit, ("g", "old", "m", "audience", "c")))
+    existing = spark.range(1).select(old.alias("link_id"))
     out = gl.apply_links(rows, inventory, existing, order=("ord",)).collect()
-    assert {(r["glossary_term"][:3], r["table_column"]): (r["status"], r["collided"]) for r in out} == {
-        ("hem", "m/audience.hem"): ("created", False),
-        ("hem", "m/audience.hem2"): ("skipped", True),
-        ("hem", "m/nowhere.c"): ("error", False),
-        ("old", "m/audience.c"): ("skipped", False),
-        ("xxx", "m/audience.a"): ("created", False),
-        ("xxx", "m/other.b"): ("skipped", True),
-    }
+    assert sorted((r["glossary_term"][:3], r["table_column"], r["status"]) for r in out) == [
+        ("hem", "m/audience.hem", "created"), ("hem", "m/audience.hem", "skipped"),
+        ("hem", "m/audience.hem2", "created"), ("hem", "m/nowhere.c", "error"),
+        ("old", "m/audience.c", "skipped"), ("xxx", "m/audience.a", "created"), ("xxx", "m/other.b", "created"),
+    ]
     made = existing.unionByName(
         spark.createDataFrame([(r["link_id"],) for r in out if r["status"] == "created"], "link_id string")
     )
     again = gl.apply_links(rows, inventory, made, order=("ord",))
     assert {r["status"]: r["result_count"] for r in gl.apply_summary(again).collect()} == {
-        "skipped": 5, "error": 1,
+        "skipped": 6, "error": 1,
     }
     dry = gl.apply_links(rows, inventory, existing, order=("ord",), dry_run=True)
-    assert [tuple(r) for r in gl.apply_summary(dry).collect()] == [("dry-run", 6)]
+    assert [tuple(r) for r in gl.apply_summary(dry).collect()] == [("dry-run", 7)]
 
 
 def test_proposal_files_are_validated(spark, tmp_path):

@@ -19,7 +19,8 @@ PROPOSAL_COLUMNS = (
 EXACT_SCORE = 100
 # Points of a keyword equal to the column name, inside it, inside the table name.
 POINTS = {"exact": 10, "substr": 5, "table": 3}
-LINK_ID_LENGTH = 63
+#: Longest readable part of a link id; with a hyphen and 32 hexadecimal digits it makes 63 characters.
+LINK_HEAD = 30
 
 
 # --- catalog -------------------------------------------------------------------------------
@@ -71,42 +72,42 @@ def terms_flatten(tree: DataFrame) -> DataFrame:
     )
     rows = categories.select(
         "glossary_id", "glossary_ord", "category_ord",
-        s.title_case(F.translate(_named("category_node"), "-", " ")).alias("category"),
+        s.title_case(F.translate(_node_name("category_node"), "-", " ")).alias("category"),
         F.posexplode("category_node.terms").alias("position", "term"),
     )
-    # Room for 65 536 terms in each of 4 096 categories.
-    order = F.col("glossary_ord") * 2**28 + F.col("category_ord") * 2**16 + F.col("position")
+    order = F.struct("glossary_ord", "category_ord", F.col("position").alias("term_position"))
     return rows.select(
-        "glossary_id", _named("term").alias("name"), "term.display_name", "term.description",
+        "glossary_id", _node_name("term").alias("name"), "term.display_name", "term.description",
         "term.synonyms", "term.related", "term.tables", "term.business_context", "category", order.alias("term_ord"),
         s.normalize_name(F.col("term.display_name")).alias("term_key"),
     )
 
 
-def _named(node: str) -> Column:
+def _node_name(node: str) -> Column:
     """A node's name, by default the slug of its display name."""
     return F.coalesce(F.col(f"{node}.name"), s.slugify(F.col(f"{node}.display_name")))
 
 
 def unique_terms(terms: DataFrame) -> DataFrame:
-    """One term per normalised name: the last one's content."""
+    """One term per glossary and normalised name: the last one's content."""
     row = F.struct(*terms.columns)
-    return terms.groupBy("term_key").agg(F.max_by(row, "term_ord").alias("t")).select("t.*")
+    return terms.groupBy("glossary_id", "term_key").agg(F.max_by(row, "term_ord").alias("t")).select("t.*")
 
 
 def implied_terms(terms: DataFrame) -> DataFrame:
-    """Terms that only exist as somebody's synonym or related name; the first mention names them."""
+    """Terms that only exist as a synonym or related name in their glossary; the first mention names them."""
     mentions = _mentions(terms).withColumn("slug", s.slugify(F.col("mentioned")))
-    known = terms.select(F.col("name").alias("slug")).distinct()
+    known = terms.select("glossary_id", F.col("name").alias("slug")).distinct()
     kind = F.when(F.col("kind") == "synonym", "Synonym").otherwise("Related term")
-    new = mentions.join(known, "slug", "left_anti").select(
-        "slug",
+    new = mentions.join(known, ["glossary_id", "slug"], "left_anti").select(
+        "glossary_id", "slug",
         F.struct(
             "term_ord", "mention_ord", "mentioned", "category",
             F.concat(kind, F.lit(" of "), F.col("display_name")).alias("description"),
         ).alias("first"),
     )
-    return new.groupBy("slug").agg(F.min("first").alias("first")).select(
+    return new.groupBy("glossary_id", "slug").agg(F.min("first").alias("first")).select(
+        "glossary_id",
         F.col("slug").alias("name"),
         F.col("first.mentioned").alias("display_name"),
         F.col("first.description").alias("description"),
@@ -120,19 +121,20 @@ def _mentions(terms: DataFrame) -> DataFrame:
         F.coalesce(F.col(names), F.array()), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("mentioned"))
     )
     both = F.concat(tag("synonyms", "synonym"), tag("related", "related"))
-    return terms.select(
-        "name", "display_name", "category", "term_ord", F.posexplode(both).alias("mention_ord", "m")
-    ).select("name", "display_name", "category", "term_ord", "mention_ord", "m.kind", "m.mentioned")
+    own = ("glossary_id", "name", "display_name", "category", "term_ord")
+    return terms.select(*own, F.posexplode(both).alias("mention_ord", "m")).select(
+        *own, "mention_ord", "m.kind", "m.mentioned"
+    )
 
 
 def term_links(terms: DataFrame, implied: DataFrame) -> DataFrame:
-    """Undirected links between existing terms, one per kind and pair."""
-    known = terms.select("name").unionByName(implied.select("name")).distinct()
-    known = known.select(F.col("name").alias("other"))
-    links = _mentions(terms).withColumn("other", s.slugify(F.col("mentioned"))).join(known, "other")
+    """Undirected links between terms of one glossary, one per kind and pair."""
+    known = terms.select("glossary_id", "name").unionByName(implied.select("glossary_id", "name")).distinct()
+    known = known.withColumnRenamed("name", "other")
+    links = _mentions(terms).withColumn("other", s.slugify(F.col("mentioned"))).join(known, ["glossary_id", "other"])
     low, high = F.least("name", "other"), F.greatest("name", "other")
     return links.select(
-        F.col("kind").alias("link_type"), low.alias("term_a"), high.alias("term_b"),
+        "glossary_id", F.col("kind").alias("link_type"), low.alias("term_a"), high.alias("term_b"),
         F.concat_ws("-", "kind", low, high).alias("link_id"),
     ).distinct()
 
@@ -151,21 +153,21 @@ def table_terms(terms: DataFrame) -> DataFrame:
     return rows.groupBy("glossary_id", "table").agg(names.alias("term_names"), F.count("*").alias("term_count"))
 
 
-# --- exact matches -------------------------------------------------------------------------
+# --- matches by name -----------------------------------------------------------------------
+
+EXACT, SYNONYM, LISTED, FUZZY = range(4)
 
 
 def related_entries(terms: DataFrame, columns: DataFrame) -> DataFrame:
     """All columns whose normalised name equals a term's."""
-    return unique_terms(terms).select("term_key", F.col("display_name").alias("glossary_term")).join(
-        columns.select(
-            F.col("column_key").alias("term_key"), "project", "full_table", "column_name"
-        ),
-        "term_key",
-    ).drop("term_key")
+    named = unique_terms(terms).select("glossary_id", "term_key", F.col("display_name").alias("glossary_term"))
+    places = columns.select(F.col("column_key").alias("term_key"), "project", "full_table", "column_name")
+    return named.join(places, "term_key").drop("term_key")
 
 
 def _proposal(kind: str, via: Column, score: Column, why: Column) -> list[Column]:
     return [
+        F.col("glossary_id"),
         F.col("display_name").alias("glossary_term"), F.col("category"), F.col("description"),
         F.col("full_table").alias("table"), F.col("column_name").alias("column"),
         F.lit(kind).alias("match_type"), via.alias("via_synonym"),
@@ -175,59 +177,63 @@ def _proposal(kind: str, via: Column, score: Column, why: Column) -> list[Column
 
 
 def _places(columns: DataFrame) -> DataFrame:
-    return columns.select("column_key", "full_table", "column_name", "table_ord", "position")
+    return columns.select(
+        F.col("column_key").alias("target"), "full_table", "column_name", "table_ord", "position"
+    )
 
 
-def match_exact(terms: DataFrame, columns: DataFrame) -> DataFrame:
-    joined = unique_terms(terms).join(_places(columns), F.col("term_key") == F.col("column_key"))
-    return joined.select(
-        *_proposal("exact", F.lit(""), F.lit(EXACT_SCORE), F.lit("exact match"))
-    )
+def _named(terms: DataFrame, columns: DataFrame, phase: int) -> DataFrame:
+    """Unique terms with the column name they match in this phase, ``target``, and the synonym ``via``.
+
+    A term matches by its own name; only if no column has that, by the term of its glossary that its
+    description calls it a synonym for, one step, and by its listed synonyms.
+    """
+    keys = columns.select(F.col("column_key").alias("target")).distinct()
+    uniq = unique_terms(terms)
+    hits = uniq.withColumn("via", F.lit("")).withColumn("target", F.col("term_key"))
+    hits = hits.join(keys, "target", "left_semi")
+    if phase == EXACT:
+        return hits
+    rest = uniq.join(hits.select("glossary_id", "term_key"), ["glossary_id", "term_key"], "left_anti")
+    if phase == SYNONYM:
+        rest = rest.withColumn("via", s.synonym_target(F.col("description")))
+        rest = rest.withColumn("target", s.normalize_name(F.col("via")))
+        canonical = hits.select("glossary_id", F.col("term_key").alias("target"))
+        return rest.join(canonical, ["glossary_id", "target"], "left_semi")
+    rest = rest.select("*", F.explode(F.array_distinct("synonyms")).alias("via"))
+    return rest.withColumn("target", s.normalize_name(F.col("via"))).join(keys, "target", "left_semi")
+
+
+def _match_named(terms: DataFrame, columns: DataFrame, phase: int, kind: str, why: Column) -> DataFrame:
+    joined = _named(terms, columns, phase).join(_places(columns), "target")
+    return joined.select(*_proposal(kind, F.col("via"), F.lit(EXACT_SCORE), why))
 
 
-def _matched_keys(terms: DataFrame, columns: DataFrame) -> DataFrame:
-    keys = columns.select(F.col("column_key").alias("term_key")).distinct()
-    return unique_terms(terms).select("term_key").join(keys, "term_key", "left_semi")
+def match_exact(terms: DataFrame, columns: DataFrame) -> DataFrame:
+    return _match_named(terms, columns, EXACT, "exact", F.lit("exact match"))
 
 
 def unmatched_terms(terms: DataFrame, columns: DataFrame) -> DataFrame:
-    """Terms that neither name a column nor are described as a synonym of one that does."""
-    names = _matched_keys(terms, columns)
-    rest = unique_terms(terms).join(names, "term_key", "left_anti")
-    target = s.normalize_name(s.synonym_target(F.col("description")))
-    by_synonym = names.withColumnRenamed("term_key", "_target")
-    return rest.withColumn("_target", target).join(by_synonym, "_target", "left_anti").drop("_target")
+    """Terms that match no column by name, as a described synonym or by a listed one."""
+    rest = unique_terms(terms)
+    for phase in (EXACT, SYNONYM, LISTED):
+        found = _named(terms, columns, phase).select("glossary_id", "term_key")
+        rest = rest.join(found, ["glossary_id", "term_key"], "left_anti")
+    return rest
+
+
+def _via() -> Column:
+    return F.concat(F.lit("synonym for "), F.col("via"))
 
 
 def match_synonym(terms: DataFrame, columns: DataFrame) -> DataFrame:
     """Terms described as "Synonym for X" take the columns of the term X, one step only."""
-    names = _matched_keys(terms, columns)
-    rest = (
-        unique_terms(terms)
-        .join(names, "term_key", "left_anti")
-        .withColumn("via", s.synonym_target(F.col("description")))
-        .withColumn("target", s.normalize_name(F.col("via")))
-    )
-    canonical = names.select(F.col("term_key").alias("target"))
-    joined = rest.join(canonical, "target").join(
-        _places(columns), F.col("target") == F.col("column_key")
-    )
-    why = F.concat(F.lit("synonym for "), F.col("via"))
-    return joined.select(*_proposal("synonym", F.col("via"), F.lit(EXACT_SCORE), why))
+    return _match_named(terms, columns, SYNONYM, "synonym", _via())
 
 
 def match_synonym_list(terms: DataFrame, columns: DataFrame) -> DataFrame:
     """Terms that name no column take the columns named like one of their listed synonyms."""
-    names = _matched_keys(terms, columns)
-    listed = (
-        unique_terms(terms)
-        .join(names, "term_key", "left_anti")
-        .select("*", F.explode("synonyms").alias("via"))
-        .withColumn("target", s.normalize_name(F.col("via")))
-    )
-    joined = listed.join(_places(columns), F.col("target") == F.col("column_key"))
-    why = F.concat(F.lit("synonym for "), F.col("via"))
-    return joined.select(*_proposal("synonym", F.col("via"), F.lit(EXACT_SCORE), why))
+    return _match_named(terms, columns, LISTED, "synonym", _via())
 
 
 # --- keyword matches -----------------------------------------------------------------------
@@ -236,13 +242,14 @@ def match_synonym_list(terms: DataFrame, columns: DataFrame) -> DataFrame:
 def _substrings(name: Column) -> Column:
     """All distinct keyword-like parts of a name; names are short, so this is small.
 
-    Keywords hold only ``[a-z0-9_]``, so each run of these is taken apart on its own.
+    Keywords hold only ``[a-z0-9_]`` and start with a letter, so each run of these is taken apart
+    on its own, from each of its letters on.
     """
     def parts(run: Column) -> Column:
         length = F.length(run)
         return F.flatten(
             F.transform(
-                F.sequence(F.lit(1), length - 1),
+                F.filter(F.sequence(F.lit(1), length - 1), lambda i: F.substring(run, i, F.lit(1)) >= "a"),
                 lambda i: F.transform(
                     F.sequence(F.lit(2), length - i + 1), lambda n: F.substring(run, i, n)
                 ),
@@ -256,7 +263,7 @@ def _substrings(name: Column) -> Column:
 def _keywords(terms: DataFrame) -> DataFrame:
     """A row per keyword occurrence of a term's description."""
     tokens = s.tokenize_description(F.col("description"))
-    return terms.select("term_key", F.posexplode(tokens).alias("keyword_pos", "keyword"))
+    return terms.select("glossary_id", "term_key", F.posexplode(tokens).alias("keyword_pos", "keyword"))
 
 
 def keyword_hits(terms: DataFrame, columns: DataFrame) -> DataFrame:
@@ -293,18 +300,21 @@ def keyword_hits(terms: DataFrame, columns: DataFrame) -> DataFrame:
     )
 
 
-def match_fuzzy(terms: DataFrame, columns: DataFrame, threshold: int = 0) -> DataFrame:
-    """Scored proposals for unmatched terms, repeated keywords counting again."""
+def match_fuzzy(terms: DataFrame, columns: DataFrame, threshold: int) -> DataFrame:
+    """Scored proposals of at least ``threshold`` for unmatched terms, repeated keywords counting again.
+
+    At 0 nearly every term is proposed for nearly every column that shares a word with it.
+    """
     open_terms = unmatched_terms(terms, columns)
     hits = keyword_hits(open_terms, columns)
-    place = ("term_key", "full_table", "column_name", "table_ord", "position")
+    place = ("glossary_id", "term_key", "full_table", "column_name", "table_ord", "position")
     # Bounded by the keywords of one description.
     ordered = F.sort_array(F.collect_list(F.struct("keyword_pos", "kind", "keyword")))
     why = F.array_join(
         F.transform(ordered, lambda h: F.concat_ws(":", h["kind"], h["keyword"])), ", "
     )
     scored = hits.groupBy(*place).agg(F.sum("points").alias("score"), why.alias("why"))
-    found = scored.join(open_terms, "term_key").select(
+    found = scored.join(open_terms, ["glossary_id", "term_key"]).select(
         *_proposal("fuzzy", F.lit(""), F.col("score"), F.col("why"))
     )
     return fuzzy_threshold(found, threshold)
@@ -320,11 +330,12 @@ def rank_proposals(proposals: DataFrame) -> DataFrame:
     return proposals.orderBy("term_ord", F.col("match_score").desc(), "table_ord", "position")
 
 
-def proposals(terms: DataFrame, columns: DataFrame, threshold: int = 0) -> DataFrame:
-    """Exact, synonym and keyword proposals in one schema, with their order of application."""
+def proposals(terms: DataFrame, columns: DataFrame, threshold: int) -> DataFrame:
+    """Exact, synonym, synonym-list and keyword proposals in one schema, with their order of application."""
     parts = (
         match_exact(terms, columns),
         match_synonym(terms, columns),
+        match_synonym_list(terms, columns),
         match_fuzzy(terms, columns, threshold),
     )
     first, *rest = [p.withColumn("phase", F.lit(i)) for i, p in enumerate(parts)]
@@ -336,12 +347,13 @@ def proposals(terms: DataFrame, columns: DataFrame, threshold: int = 0) -> DataF
 # --- applying links ------------------------------------------------------------------------
 
 
-def link_id(term: Column, namespace: Column, table: Column) -> Column:
-    parts = F.concat(
-        F.lit("definition-"), s.link_slug(term), F.lit("-"), namespace, F.lit("-"),
-        s.link_slug(table),
+def link_id(glossary: Column, term: Column, namespace: Column, table: Column, column: Column) -> Column:
+    """A readable head and a hash of the whole target, so that no two targets share an id."""
+    readable = F.concat_ws(
+        "-", F.lit("definition"), s.link_slug(term), namespace, s.link_slug(table), s.link_slug(column)
     )
-    return F.substring(parts, 1, LINK_ID_LENGTH)
+    whole = F.concat_ws("\x1f", glossary, term, namespace, table, column)
+    return F.concat_ws("-", F.substring(readable, 1, LINK_HEAD), F.substring(F.sha2(whole, 256), 1, 32))
 
 
 def apply_links(
@@ -355,9 +367,9 @@ def apply_links(
 ) -> DataFrame:
     """Outcome of linking each proposal: created, skipped or error (unknown table).
 
-    ``existing`` holds the ``link_id``s made before. Inside a batch the first row of an id, by
-    ``order``, creates the link and the others are skipped. Ids leave out the column and are cut,
-    so different targets can share one: ``collided`` marks rows skipped for another target's sake.
+    ``existing`` holds the ``link_id``s made before. Inside a batch the first row of a target, by
+    ``order``, creates the link and the others, found by another way, are skipped. Rows of one target
+    that are equal in ``order`` too are one proposal and share its outcome.
     """
     name = F.col("table")
     slash = F.contains(name, F.lit("/"))
@@ -365,42 +377,34 @@ def apply_links(
     namespace = F.when(given == "", F.lit(default_namespace)).otherwise(given)
     table = F.when(slash, F.expr("substring(`table`, locate('/', `table`) + 1)")).otherwise(name)
     target = F.concat_ws(".", "table", "column")
-    asked = rows.withColumns(
-        {
-            "table_column": target,
-            "_namespace": namespace,
-            "_table": table,
-            "link_id": link_id(F.col("glossary_term"), namespace, table),
-        }
-    )
+    # Dealt by target first: names are then computed once, not anew inside each expression over them.
+    asked = rows.repartition("glossary_id", "glossary_term", "table", "column")
+    asked = asked.withColumns({"table_column": target, "_namespace": namespace, "_table": table})
+    id_of = link_id(*map(F.col, ("glossary_id", "glossary_term", "_namespace", "_table", "column")))
     if dry_run:
         return asked.select(
-            "glossary_term", "table_column", "link_id", F.lit("dry-run").alias("status"),
-            F.lit(False).alias("collided"),
+            "glossary_id", "glossary_term", "table_column", id_of.alias("link_id"), F.lit("dry-run").alias("status")
         )
     tables = inventory.select(
         F.col("namespace").alias("_namespace"), F.col("table_name").alias("_table")
     ).distinct().withColumn("_known", F.lit(True))
     made = existing.select("link_id").distinct().withColumn("_made", F.lit(True))
-    checked = asked.join(tables, ["_namespace", "_table"], "left").join(made, "link_id", "left")
+    checked = asked.join(tables, ["_namespace", "_table"], "left").withColumn("link_id", id_of)
+    checked = checked.join(made, "link_id", "left")
     # The first row of an id, found by an aggregate: an id shared by many rows is merged map-side.
     firsts = (
         checked.filter("_known")
         .groupBy("link_id")
-        .agg(F.min(F.struct(*order, "table_column")).alias("_first"))
+        .agg(F.min(F.struct(*order)).alias("_first"))
     )
     placed = checked.join(firsts, "link_id", "left")
-    is_first = F.struct(*order, "table_column") == F.col("_first")
+    is_first = F.struct(*order) == F.col("_first")
     status = (
         F.when(F.col("_known").isNull(), "error")
         .when(F.col("_made") | ~is_first, "skipped")
         .otherwise("created")
     )
-    other = F.col("_first.table_column") != F.col("table_column")
-    return placed.select(
-        "glossary_term", "table_column", "link_id", status.alias("status"),
-        F.coalesce(F.col("_known") & F.col("_made").isNull() & other, F.lit(False)).alias("collided"),
-    )
+    return placed.select("glossary_id", "glossary_term", "table_column", "link_id", status.alias("status"))
 
 
 def apply_summary(results: DataFrame) -> DataFrame:

@@ -122,31 +122,34 @@ def catalog_columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("terms_flatten", glossary_sql("""
-SELECT term_ord, category, name, display_name, description, array_to_string(synonyms, '|') AS synonyms,
+SELECT glossary_id, term_ord.category_ord AS category_ord, term_ord.term_position AS term_position, category,
+  name, display_name, description, array_to_string(synonyms, '|') AS synonyms,
   array_to_string(related, '|') AS related, array_to_string(tables, '|') AS tables
 FROM terms""", "terms", owner="supplier"))
 def terms_flatten(spark: SparkSession, d: str) -> DataFrame:
     return _terms(spark, d, "supplier").select(
-        "term_ord", "category", "name", "display_name", "description",
+        "glossary_id", "term_ord.category_ord", "term_ord.term_position", "category", "name",
+        "display_name", "description",
         *[F.array_join(c, "|").alias(c) for c in ("synonyms", "related", "tables")],
     )
 
 
 _MENTIONS = f"""
-SELECT name, display_name, category, term_ord, kind, mention_ord, mentioned,
+SELECT glossary_id, name, display_name, category, term_ord, kind, mention_ord, mentioned,
   {_slug('mentioned')} AS slug
 FROM (
-  SELECT name, display_name, category, term_ord, 'synonym' AS kind, UNNEST(synonyms) AS mentioned,
+  SELECT glossary_id, name, display_name, category, term_ord, 'synonym' AS kind, UNNEST(synonyms) AS mentioned,
     UNNEST(generate_series(0, len(synonyms) - 1)) AS mention_ord FROM terms WHERE len(synonyms) > 0
   UNION ALL
-  SELECT name, display_name, category, term_ord, 'related', UNNEST(related),
+  SELECT glossary_id, name, display_name, category, term_ord, 'related', UNNEST(related),
     UNNEST(generate_series(len(synonyms), len(synonyms) + len(related) - 1)) FROM terms WHERE len(related) > 0
 ) q"""
 _IMPLIED = f"""
-SELECT slug AS name, mentioned AS display_name, category,
+SELECT glossary_id, slug AS name, mentioned AS display_name, category,
   CASE kind WHEN 'synonym' THEN 'Synonym of ' ELSE 'Related term of ' END || display_name AS description
-FROM ({_MENTIONS}) m WHERE slug NOT IN (SELECT name FROM terms)
-QUALIFY ROW_NUMBER() OVER (PARTITION BY slug ORDER BY term_ord, mention_ord) = 1"""
+FROM ({_MENTIONS}) m WHERE NOT EXISTS (
+  SELECT 1 FROM terms k WHERE k.glossary_id = m.glossary_id AND k.name = m.slug)
+QUALIFY ROW_NUMBER() OVER (PARTITION BY glossary_id, slug ORDER BY term_ord, mention_ord) = 1"""
 
 
 @register("implied_terms", glossary_sql(_IMPLIED, "terms", owner="supplier"))
@@ -155,10 +158,11 @@ def implied_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("term_links", glossary_sql(f"""
-SELECT DISTINCT kind AS link_type, least(m.name, slug) AS term_a, greatest(m.name, slug) AS term_b,
+SELECT DISTINCT m.glossary_id, kind AS link_type, least(m.name, slug) AS term_a, greatest(m.name, slug) AS term_b,
   kind || '-' || least(m.name, slug) || '-' || greatest(m.name, slug) AS link_id
 FROM ({_MENTIONS}) m
-WHERE slug IN (SELECT name FROM terms UNION SELECT name FROM ({_IMPLIED}) i)""",
+JOIN (SELECT glossary_id, name FROM terms UNION SELECT glossary_id, name FROM ({_IMPLIED}) i) k
+  ON k.glossary_id = m.glossary_id AND k.name = m.slug""",
     "terms", owner="supplier"))
 def term_links(spark: SparkSession, d: str) -> DataFrame:
     terms = _terms(spark, d, "supplier")
@@ -178,36 +182,49 @@ def table_terms(spark: SparkSession, d: str) -> DataFrame:
 
 # The matching rules once more, spelled out over all (term, column) pairs.
 _MATCHING = {
-    "uniq": "SELECT * FROM terms QUALIFY ROW_NUMBER() OVER (PARTITION BY term_key ORDER BY term_ord DESC) = 1",
+    "uniq": """SELECT t.* FROM terms t WHERE NOT EXISTS (
+  SELECT 1 FROM terms l WHERE l.glossary_id = t.glossary_id AND l.term_key = t.term_key AND l.term_ord > t.term_ord)""",
     "cols": "SELECT *, namespace || '/' || table_name AS full_table FROM catalog",
-    "hit": "SELECT term_key FROM uniq WHERE term_key IN (SELECT column_key FROM cols)",
-    "via": r"""SELECT *, NULLIF(regexp_extract(description, '^[Ss]ynonym\s+for\s+(\w[\w_-]*)', 1), '') AS via
-FROM uniq WHERE term_key NOT IN (SELECT term_key FROM hit)""",
-    "unmatched": """SELECT * FROM via WHERE via IS NULL
-  OR lower(replace(via, '-', '_')) NOT IN (SELECT term_key FROM hit)""",
-    "exact": """SELECT display_name AS glossary_term, category, u.description, full_table AS "table",
+    "hit": "SELECT glossary_id, term_key FROM uniq WHERE term_key IN (SELECT column_key FROM cols)",
+    "rest": "SELECT * FROM uniq WHERE (glossary_id, term_key) NOT IN (SELECT (glossary_id, term_key) FROM hit)",
+    "prose": r"""SELECT *, lower(replace(via, '-', '_')) AS target FROM (
+  SELECT *, regexp_extract(description, '^[Ss]ynonym\s+for\s+(\w[\w_-]*)', 1) AS via FROM rest) q
+WHERE (glossary_id, lower(replace(via, '-', '_'))) IN (SELECT (glossary_id, term_key) FROM hit)""",
+    "listed": """SELECT *, lower(replace(via, '-', '_')) AS target FROM (
+  SELECT *, UNNEST(list_distinct(synonyms)) AS via FROM rest) q
+WHERE lower(replace(via, '-', '_')) IN (SELECT column_key FROM cols)""",
+    "unmatched": """SELECT * FROM rest WHERE (glossary_id, term_key) NOT IN (
+  SELECT (glossary_id, term_key) FROM prose UNION ALL SELECT (glossary_id, term_key) FROM listed)""",
+    "exact": """SELECT glossary_id, display_name AS glossary_term, category, u.description, full_table AS "table",
   column_name AS "column", 'exact' AS match_type, '' AS via_synonym, 100 AS match_score,
   'exact match' AS match_rationale, 0 AS phase, term_ord, table_ord, position
 FROM uniq u JOIN cols c ON c.column_key = u.term_key""",
-    "synonym": """SELECT display_name AS glossary_term, category, v.description, full_table AS "table",
+    **{
+        name: f"""SELECT glossary_id, display_name AS glossary_term, category, v.description, full_table AS "table",
   column_name AS "column", 'synonym' AS match_type, via AS via_synonym, 100 AS match_score,
-  'synonym for ' || via AS match_rationale, 1 AS phase, term_ord, table_ord, position
-FROM via v JOIN hit h ON h.term_key = lower(replace(via, '-', '_'))
-JOIN cols c ON c.column_key = h.term_key""",
-    "words": f"""SELECT term_key, UNNEST(ws) AS keyword, UNNEST(generate_series(0, len(ws) - 1)) AS pos
-FROM (SELECT term_key, {_TOKENS.format('description')} AS ws FROM unmatched) q WHERE len(ws) > 0""",
-    "hits": """SELECT w.term_key, keyword, pos, full_table, column_name, table_ord, position,
+  'synonym for ' || via AS match_rationale, {phase} AS phase, term_ord, table_ord, position
+FROM {source} v JOIN cols c ON c.column_key = v.target"""
+        for name, source, phase in (("synonym", "prose", 1), ("synonym_list", "listed", 2))
+    },
+    "words": f"""SELECT glossary_id, term_key, UNNEST(ws) AS keyword, UNNEST(generate_series(0, len(ws) - 1)) AS pos
+FROM (SELECT glossary_id, term_key, {_TOKENS.format('description')} AS ws FROM unmatched) q WHERE len(ws) > 0""",
+    "hits": """SELECT w.glossary_id, w.term_key, keyword, pos, full_table, column_name, table_ord, position,
   CASE WHEN keyword = lower(column_name) THEN 'exact' WHEN contains(lower(column_name), keyword)
     THEN 'substr' WHEN contains(lower(full_table), keyword) THEN 'table' END AS kind
 FROM words w CROSS JOIN cols""",
-    "fuzzy": """SELECT display_name AS glossary_term, category, u.description, full_table AS "table",
+    "fuzzy": """SELECT u.glossary_id, display_name AS glossary_term, category, u.description, full_table AS "table",
   column_name AS "column", 'fuzzy' AS match_type, '' AS via_synonym,
   CAST(SUM(CASE kind WHEN 'exact' THEN 10 WHEN 'substr' THEN 5 ELSE 3 END) AS INTEGER) AS match_score,
-  string_agg(kind || ':' || keyword, ', ' ORDER BY pos) AS match_rationale, 2 AS phase, term_ord,
+  string_agg(kind || ':' || keyword, ', ' ORDER BY pos) AS match_rationale, 3 AS phase, term_ord,
   table_ord, position
-FROM hits h JOIN unmatched u ON u.term_key = h.term_key WHERE kind IS NOT NULL GROUP BY ALL""",
+FROM hits h JOIN unmatched u ON u.glossary_id = h.glossary_id AND u.term_key = h.term_key
+WHERE kind IS NOT NULL GROUP BY ALL""",
 }
+_FIELDS = ("glossary_id", *gl.PROPOSAL_COLUMNS)
 _NINE = ", ".join(f'"{c}"' for c in gl.PROPOSAL_COLUMNS)
+_TEN = ", ".join(f'"{c}"' for c in _FIELDS)
+#: Least score of a keyword proposal: a keyword equal to the column name, or two inside it.
+_THRESHOLD = 10
 
 
 def _matching_sql(sql: str) -> str:
@@ -217,117 +234,113 @@ def _matching_sql(sql: str) -> str:
 
 
 @register("related_entries", _matching_sql(
-    "SELECT display_name AS glossary_term, project, full_table, column_name"
+    "SELECT glossary_id, display_name AS glossary_term, project, full_table, column_name"
     " FROM uniq JOIN cols ON column_key = term_key"))
 def related_entries(spark: SparkSession, d: str) -> DataFrame:
     return gl.related_entries(_terms(spark, d), _columns(spark, d))
 
 
-@register("match_exact", _matching_sql(f"SELECT {_NINE} FROM exact"))
+@register("match_exact", _matching_sql(f"SELECT {_TEN} FROM exact"))
 def match_exact(spark: SparkSession, d: str) -> DataFrame:
-    return gl.match_exact(_terms(spark, d), _columns(spark, d)).select(*gl.PROPOSAL_COLUMNS)
+    return gl.match_exact(_terms(spark, d), _columns(spark, d)).select(*_FIELDS)
 
 
-@register("match_synonym", _matching_sql(f"SELECT {_NINE} FROM synonym"))
+@register("match_synonym", _matching_sql(f"SELECT {_TEN} FROM synonym"))
 def match_synonym(spark: SparkSession, d: str) -> DataFrame:
-    return gl.match_synonym(_terms(spark, d), _columns(spark, d)).select(*gl.PROPOSAL_COLUMNS)
+    return gl.match_synonym(_terms(spark, d), _columns(spark, d)).select(*_FIELDS)
 
 
-@register("match_synonym_list", _matching_sql("""
-SELECT display_name AS glossary_term, s AS via_synonym, full_table AS "table", column_name AS "column"
-FROM (SELECT *, UNNEST(synonyms) AS s FROM via) v
-JOIN cols c ON c.column_key = lower(replace(s, '-', '_'))"""))
+@register("match_synonym_list", _matching_sql(f"SELECT {_TEN} FROM synonym_list"))
 def match_synonym_list(spark: SparkSession, d: str) -> DataFrame:
-    found = gl.match_synonym_list(_terms(spark, d), _columns(spark, d))
-    return found.select("glossary_term", "via_synonym", "table", "column")
+    return gl.match_synonym_list(_terms(spark, d), _columns(spark, d)).select(*_FIELDS)
 
 
 @register("terms_x_columns", _matching_sql("""
-SELECT term_key, pos AS keyword_pos, keyword, kind, full_table, column_name FROM hits
+SELECT glossary_id, term_key, pos AS keyword_pos, keyword, kind, full_table, column_name FROM hits
 WHERE kind IS NOT NULL"""))
 def terms_x_columns(spark: SparkSession, d: str) -> DataFrame:
     """The scoring part of all (unmatched term, column) pairs, a row per keyword that hits."""
     columns = _columns(spark, d)
     hits = gl.keyword_hits(gl.unmatched_terms(_terms(spark, d), columns), columns)
-    return hits.select("term_key", "keyword_pos", "keyword", "kind", "full_table", "column_name")
+    return hits.select("glossary_id", "term_key", "keyword_pos", "keyword", "kind", "full_table", "column_name")
 
 
-@register("match_fuzzy", _matching_sql(f"SELECT {_NINE} FROM fuzzy"))
+@register("match_fuzzy", _matching_sql(f"SELECT {_TEN} FROM fuzzy"))
 def match_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    return gl.match_fuzzy(_terms(spark, d), _columns(spark, d)).select(*gl.PROPOSAL_COLUMNS)
+    return gl.match_fuzzy(_terms(spark, d), _columns(spark, d), threshold=0).select(*_FIELDS)
 
 
-@register("fuzzy_threshold", _matching_sql(f"SELECT {_NINE} FROM fuzzy WHERE match_score >= 10"))
+@register("fuzzy_threshold", _matching_sql(f"SELECT {_TEN} FROM fuzzy WHERE match_score >= 10"))
 def fuzzy_threshold(spark: SparkSession, d: str) -> DataFrame:
     found = gl.match_fuzzy(_terms(spark, d), _columns(spark, d), threshold=10)
-    return found.select(*gl.PROPOSAL_COLUMNS)
+    return found.select(*_FIELDS)
 
 
 @register("rank_proposals", _matching_sql("""
-SELECT term_ord, "table", "column", match_score FROM fuzzy
+SELECT term_ord.glossary_ord AS glossary_ord, term_ord.category_ord AS category_ord,
+  term_ord.term_position AS term_position, "table", "column", match_score FROM fuzzy
 ORDER BY term_ord, match_score DESC, table_ord, position"""))
 def rank_proposals(spark: SparkSession, d: str) -> DataFrame:
-    ranked = gl.rank_proposals(gl.match_fuzzy(_terms(spark, d), _columns(spark, d)))
-    return ranked.select("term_ord", "table", "column", "match_score")
+    ranked = gl.rank_proposals(gl.match_fuzzy(_terms(spark, d), _columns(spark, d), threshold=0))
+    return ranked.select("term_ord.*", "table", "column", "match_score")
 
 
-_ALL = " UNION ALL ".join(f"SELECT * FROM {n}" for n in ("exact", "synonym", "fuzzy"))
+_ALL = " UNION ALL ".join(
+    f"SELECT * FROM {n}"
+    for n in ("exact", "synonym", "synonym_list", f"fuzzy WHERE match_score >= {_THRESHOLD}")
+)
+
+
+def _proposals(spark: SparkSession, d: str) -> DataFrame:
+    return gl.proposals(_terms(spark, d), _columns(spark, d), _THRESHOLD)
 
 
-@register("proposals", _matching_sql(f"SELECT {_NINE} FROM ({_ALL})"))
+@register("proposals", _matching_sql(f"SELECT {_TEN} FROM ({_ALL})"))
 def proposals(spark: SparkSession, d: str) -> DataFrame:
-    return gl.proposals(_terms(spark, d), _columns(spark, d)).select(*gl.PROPOSAL_COLUMNS)
+    return _proposals(spark, d).select(*_FIELDS)
 
 
 @register("proposal_rows", _matching_sql(
-    f'SELECT phase, glossary_term, "table", "column" FROM ({_ALL})'))
+    f'SELECT phase, glossary_id, glossary_term, "table", "column" FROM ({_ALL})'))
 def proposal_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = gl.proposals(_terms(spark, d), _columns(spark, d))
-    return rows.select("phase", "glossary_term", "table", "column")
+    return _proposals(spark, d).select("phase", "glossary_id", "glossary_term", "table", "column")
 
 
-_LINK_ORDER = ("phase", "term_ord", "neg_score", "table_ord", "position")
+_LINK_ORDER = ("phase", "term_ord", "neg_score", "table_ord", "position", "via_synonym")
 
 
 def _applied(spark: SparkSession, d: str) -> DataFrame:
-    """All proposals applied; tables of small parts are unknown, promo tables already linked.
-
-    Proposals are a table of their own between matching and applying, where they are curated.
-    """
-    columns = _columns(spark, d)
-    path = new_path(spark, "all-proposals")
-    gl.proposals(_terms(spark, d), columns).write.parquet(path)
-    stored = spark.read.parquet(path)
-    rows = stored.withColumn("neg_score", -F.col("match_score"))
+    """All proposals applied; tables of small parts are unknown, promo tables already linked."""
+    terms, columns = _terms(spark, d), _columns(spark, d)
+    rows = _proposals(spark, d).withColumn("neg_score", -F.col("match_score"))
     sizes = load(spark, d, "part").select(F.col("p_partkey").alias("table_ord"), "p_size")
     known = columns.join(sizes, "table_ord").filter(F.col("p_size") > 5)
-    linked = stored.filter((F.col("match_type") == "exact") & F.contains("table", F.lit("/promo")))
+    linked = gl.match_exact(terms, columns).filter(F.contains("table", F.lit("/promo")))
+    linked = linked.select("glossary_id", "glossary_term", "table", "column").distinct()
     existing = linked.select(
         gl.link_id(
-            F.col("glossary_term"), F.substring_index("table", "/", 1),
-            F.substring_index("table", "/", -1),
+            F.col("glossary_id"), F.col("glossary_term"), F.substring_index("table", "/", 1),
+            F.substring_index("table", "/", -1), F.col("column"),
         ).alias("link_id")
     )
     return gl.apply_links(rows, known, existing, order=_LINK_ORDER)
 
 
+_READABLE = """'definition-' || translate(lower(glossary_term), ' _', '--') || '-' || split_part("table", '/', 1)
+    || '-' || translate(split_part("table", '/', 2), '_', '-') || '-' || translate(lower("column"), ' _', '--')"""
+_WHOLE = """concat_ws(chr(31), glossary_id, glossary_term, split_part("table", '/', 1), split_part("table", '/', 2),
+    "column")"""
+# A link that was made before, or is proposed earlier in the batch for the same term and column.
 _APPLY_SQL = f"""
-SELECT glossary_term, table_column, link_id,
-  CASE WHEN NOT known THEN 'error' WHEN made OR n > 1 THEN 'skipped' ELSE 'created' END AS status,
-  known AND NOT made AND first_column <> table_column AS collided
-FROM (
-  SELECT *, ROW_NUMBER() OVER w AS n, FIRST_VALUE(table_column) OVER w AS first_column FROM (
-    SELECT *, table_ord IN (SELECT p_partkey FROM part WHERE p_size > 5) AS known,
-      link_id IN (SELECT left('definition-' || translate(lower(glossary_term), ' _', '--') || '-'
-          || split_part("table", '/', 1) || '-' || translate(split_part("table", '/', 2), '_', '-'), 63)
-        FROM exact WHERE contains("table", '/promo')) AS made
-    FROM (SELECT *, "table" || '.' || "column" AS table_column,
-        left('definition-' || translate(lower(glossary_term), ' _', '--') || '-'
-          || split_part("table", '/', 1) || '-' || translate(split_part("table", '/', 2), '_', '-'), 63)
-          AS link_id
-      FROM ({_ALL}) a) b) c
-  WINDOW w AS (PARTITION BY link_id, known ORDER BY phase, term_ord, match_score DESC, table_ord, position)
-) e"""
+SELECT glossary_id, glossary_term, "table" || '.' || "column" AS table_column,
+  left({_READABLE}, 30) || '-' || left(sha256({_WHOLE}), 32) AS link_id,
+  CASE WHEN NOT known THEN 'error'
+    WHEN (glossary_id, glossary_term, "table", "column") IN (
+      SELECT (glossary_id, glossary_term, "table", "column") FROM exact WHERE contains("table", '/promo')) THEN 'skipped'
+    WHEN ROW_NUMBER() OVER (PARTITION BY known, glossary_id, glossary_term, "table", "column"
+      ORDER BY phase, term_ord, match_score DESC, table_ord, position, via_synonym) > 1 THEN 'skipped'
+    ELSE 'created' END AS status
+FROM (SELECT *, table_ord IN (SELECT p_partkey FROM part WHERE p_size > 5) AS known FROM ({_ALL}) a) b"""
 
 
 @register("apply_links", _matching_sql(_APPLY_SQL))
