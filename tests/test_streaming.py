@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -33,15 +34,30 @@ def test_ctr_by_window_with_a_late_row(spark, tmp_path):
     query = stream.start(stream.windowed_ctr(source(spark, inbox)), out, check, availableNow=True)
     query.awaitTermination()
     put(spark, inbox, "3", [(5, "impression", 1), (6, "click", 70)])  # the first is too late
+    late = stream.LateRows()
+    spark.streams.addListener(late)
     query = stream.start(stream.windowed_ctr(source(spark, inbox)), out, check, availableNow=True)
     query.awaitTermination()
-    assert stream.late_rows(query) == 1
+    for _ in range(100):
+        if late.of(query):
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(late)
+    assert late.of(query) == 1
     rows = spark.read.parquet(out).orderBy("bucket_start").collect()
     assert [(r["impressions"], r["clicks"], r["ctr"]) for r in rows] == [(2, 1, 0.5), (1, 0, 0.0)]
     first = rows[0]
     assert first["window_end"] - first["window_start"] == dt.timedelta(minutes=5)
 
 
+def test_late_rows_of_many_batches():
+    late = stream.LateRows()
+    for batch in range(250):
+        states = [SimpleNamespace(numRowsDroppedByWatermark=n) for n in (1, batch % 2)]
+        late.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(id="q", stateOperators=states)))
+    assert late.of(SimpleNamespace(id="q")) == 375 and late.of(SimpleNamespace(id="other")) == 0
+
+
 def test_restart_adds_nothing_twice(spark, tmp_path):
     inbox, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     put(spark, inbox, "1", [(1, "click", 0), (2, "click", 1)])
@@ -97,3 +113,17 @@ def test_reader_helpers(spark, data, name):
         recent = src.appends(star.pixel_events(spark, data), dt.datetime(2024, 1, 10, tzinfo=dt.timezone.utc))
         low, high = recent.agg(F.min("event_ts"), F.max("event_ts")).head()
         assert low is None or high - low <= dt.timedelta(minutes=10)
+
+
+def test_stream_of_a_folder_takes_its_appends_and_no_other_table(spark, tmp_path):
+    from touchmark.sources.tables import load_stream
+
+    put(spark, str(tmp_path), "part.parquet", [(1, "click", 0)])
+    put(spark, str(tmp_path), "partsupp.parquet", [(2, "click", 0)])
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    for rows in ([1], [1, 3]):
+        found = stream.drain(load_stream(spark, str(tmp_path), "part"), out, check)
+        assert sorted(r["event_id"] for r in found.collect()) == rows
+        spark.createDataFrame([(3, "click", 1, "meta", "US", minute(0))], SCHEMA).write.mode("append").parquet(
+            str(tmp_path / "part.parquet")
+        )

@@ -15,13 +15,10 @@ def load(spark: SparkSession, directory: str, name: str, fmt: str = "parquet") -
 
 
 def load_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """A table of the directory as a stream; new files of that name are its appends."""
+    """A table of the directory as a stream; where the table is a folder, new files in it are its appends."""
     schema = load(spark, directory, name).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}*.parquet")
-        .parquet(directory)
-    )
+    # Written as a pattern that only this name fits: a stream takes a single file only by a pattern.
+    return spark.readStream.schema(schema).parquet(f"{directory.rstrip('/')}/{{{name}.parquet}}")
 
 
 def load_range(df: DataFrame, column: str, low: dt.date, high: dt.date) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from touchmark.functions.scalars import safe_divide
 
@@ -76,13 +77,32 @@ def drain(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped so far for arriving behind the watermark."""
-    return sum(
-        int(state["numRowsDroppedByWatermark"])
-        for progress in query.recentProgress
-        for state in progress["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Counts the rows of each stream that were dropped for arriving behind the watermark.
+
+    Add it with ``spark.streams.addListener`` before the streams start: a query itself remembers its
+    latest reports only. A restart under the same checkpoint goes on with the same count.
+    """
+
+    def __init__(self) -> None:
+        self._dropped: Counter[str] = Counter()
+
+    def of(self, query: StreamingQuery) -> int:
+        """Rows reported so far; reports arrive shortly after their batch."""
+        return self._dropped[str(query.id)]
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        states = event.progress.stateOperators
+        self._dropped[str(event.progress.id)] += sum(s.numRowsDroppedByWatermark for s in states)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def _ddl(df: DataFrame) -> str:
