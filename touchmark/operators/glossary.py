@@ -377,9 +377,7 @@ def apply_links(
     namespace = F.when(given == "", F.lit(default_namespace)).otherwise(given)
     table = F.when(slash, F.expr("substring(`table`, locate('/', `table`) + 1)")).otherwise(name)
     target = F.concat_ws(".", "table", "column")
-    # Dealt by target first: names are then computed once, not anew inside each expression over them.
-    asked = rows.repartition("glossary_id", "glossary_term", "table", "column")
-    asked = asked.withColumns({"table_column": target, "_namespace": namespace, "_table": table})
+    asked = rows.withColumns({"table_column": target, "_namespace": namespace, "_table": table})
     id_of = link_id(*map(F.col, ("glossary_id", "glossary_term", "_namespace", "_table", "column")))
     if dry_run:
         return asked.select(
