@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,16 +85,46 @@ def test_theme_similarity(spark):
 
 
 def test_batch_infer_keeps_going(spark):
-    def answer(prompt, *, max_output_tokens, temperature):
-        if prompt == "bad":
+    def answer(asked, *, max_output_tokens, temperature):
+        if (asked == "bad").any():
             raise RuntimeError("quota")
-        return prompt.upper()[:max_output_tokens]
+        return [text.upper()[:max_output_tokens] for text in asked]
 
-    rows = spark.createDataFrame([(1, "hello"), (2, "bad"), (3, None)], "id long, prompt string")
+    rows = spark.createDataFrame([(1, "hello"), (2, "bad"), (3, None)], "id long, prompt string").coalesce(1)
     found = {r["id"]: (r["result"], r["status"]) for r in infer.batch_infer(rows, answer, max_output_tokens=3).collect()}
     assert found == {1: ("HEL", ""), 2: (None, "RuntimeError: quota"), 3: (None, "no prompt")}
 
 
+def test_batch_infer_asks_whole_batches(spark):
+    def sizes(asked, *, max_output_tokens, temperature):
+        return [str(len(asked))] * len(asked)
+
+    def short(asked, *, max_output_tokens, temperature):
+        return []
+
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else "x") for i in range(20)], "id long, prompt string")
+    one = rows.repartition(1)
+    answers = {r["result"] for r in infer.batch_infer(one, sizes).filter("prompt IS NOT NULL").collect()}
+    assert answers == {"16"}
+    states = {r["status"] for r in infer.batch_infer(one, short).filter("prompt IS NOT NULL").collect()}
+    assert states == {"ValueError: 0 answers to 1 prompts"}
+    assert infer.batch_infer(rows.filter("id < 0"), sizes).count() == 0
+
+
+def test_best_over_batches_and_slices(monkeypatch):
+    rng = np.random.default_rng(5)
+    points = list(rng.normal(size=(30, 4)))
+    base = pd.DataFrame({"bid": range(40), "bv": points + points[:10], "cell": 0})  # ties, decided by id
+    queries = pd.DataFrame({"qid": range(7), "qv": list(rng.normal(size=(7, 4))), "cells": [[0]] * 7})
+    key = ["qid", "distance", "bid"]
+    whole = vectors._best(base, queries, 6).sort_values(key).reset_index(drop=True)
+    monkeypatch.setattr(vectors, "MATRIX_VALUES", 10)
+    batches = [base.iloc[a : a + 9] for a in range(0, 40, 9)]
+    (found,) = vectors._best_of_all(iter(batches), queries, 6)
+    pd.testing.assert_frame_equal(found.sort_values(key).reset_index(drop=True), whole, check_dtype=False)
+    assert list(vectors._best_of_all(iter([]), queries, 6)) == []
+
+
 @pytest.fixture(scope="module")
 def graph(spark):
     tables = {

@@ -19,33 +19,42 @@ CLASSES = ("Premium", "Standard", "Budget")
 
 def batch_infer(
     df: DataFrame,
-    infer_fn: Callable[..., str],
+    infer_fn: Callable[..., list],
     *,
     prompt: str = "prompt",
     max_output_tokens: int = 256,
     temperature: float = 0.2,
 ) -> DataFrame:
-    """Adds ``result`` and ``status``: ``infer_fn(prompt, max_output_tokens=, temperature=)``.
+    """Adds ``result`` and ``status``: ``infer_fn(prompts, max_output_tokens=, temperature=)``.
 
-    A row whose call fails keeps its error text in ``status`` and has no result; the job goes on.
+    ``infer_fn`` maps a batch of prompts, none of them null, to as many answers. A batch that fails is
+    asked again row by row; a row that fails alone keeps its error text in ``status`` and has no
+    result, and the job goes on. A null prompt has no result and is never asked.
     """
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
-    def call(text) -> tuple[str | None, str]:
-        if text is None:
-            return None, "no prompt"
+    def ask(texts: pd.Series) -> list:
+        answers = list(infer_fn(texts, max_output_tokens=max_output_tokens, temperature=temperature))
+        if len(answers) != len(texts):
+            raise ValueError(f"{len(answers)} answers to {len(texts)} prompts")
+        return answers
+
+    def ask_alone(text: str) -> tuple[str | None, str]:
         try:
-            answer = infer_fn(text, max_output_tokens=max_output_tokens, temperature=temperature)
-            return answer, ""
+            return ask(pd.Series([text]))[0], ""
         except Exception as error:  # noqa: BLE001
             return None, f"{type(error).__name__}: {error}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            answers = [call(text) for text in batch[prompt]]
-            yield batch.assign(
-                result=[a for a, _ in answers], status=[s for _, s in answers]
-            )
+            texts = batch[prompt][batch[prompt].notna()]
+            try:
+                found = [(a, "") for a in ask(texts)] if len(texts) else []
+            except Exception:  # noqa: BLE001
+                found = [ask_alone(text) for text in texts]
+            answers = dict(zip(texts.index, found))
+            rows = [answers.get(i, (None, "no prompt")) for i in batch.index]
+            yield batch.assign(result=[a for a, _ in rows], status=[s for _, s in rows])
 
     return df.mapInPandas(run, f"{names}, result string, status string")
 

@@ -18,6 +18,8 @@ from touchmark.functions.vectors import cosine_distance, norm
 BROADCAST_VALUES = 1_000_000
 # Distances are compared to nine decimals, equal ones by id.
 DECIMALS = 9
+#: Distances that a task holds at once.
+MATRIX_VALUES = 1 << 22
 
 
 # --- embedding -----------------------------------------------------------------------------
@@ -116,8 +118,8 @@ def _nearest(
 ) -> DataFrame:
     """Searches ``b`` (bid, bv, cell) for each ``q`` (qid, qv, cells), inside the query's cells.
 
-    Three ways, by measured size. Few queries go to every task, which keeps the best ``k`` of each
-    batch of base rows, so only those are shuffled. Else a small base goes to every task, which
+    Three ways, by measured size. Few queries go to every task, which keeps the best ``k`` of all its
+    base rows, so only those are shuffled. Else a small base goes to every task, which
     then answers its queries alone. Else both are cut into parts of bounded size, and every pair
     of parts is searched as a group of its own.
     """
@@ -129,7 +131,7 @@ def _nearest(
     if few_queries is not None:
         probed = sorted({c for cells in few_queries["cells"] for c in cells})
         found = b.filter(F.col("cell").isin(probed)).mapInPandas(
-            _batches(lambda part: _best(part, few_queries, k)), schema
+            lambda it: _best_of_all(it, few_queries, k), schema
         )
     else:
         small_base = _if_small(b, rows)
@@ -171,6 +173,19 @@ def _batches(search: Callable[[pd.DataFrame], pd.DataFrame]):
     return run
 
 
+def _best_of_all(batches: Iterator[pd.DataFrame], queries: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
+    """The k best rows of each query over all batches of a task."""
+    best = None
+    for batch in batches:
+        found = _best(batch, queries, k)
+        if best is not None:
+            ordered = pd.concat([best, found]).sort_values(["qid", "distance", "bid"])
+            found = ordered.groupby("qid").head(k)
+        best = found
+    if best is not None:
+        yield best
+
+
 def _unit(vectors: pd.Series) -> np.ndarray:
     matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -183,15 +198,17 @@ def _best(base: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
         asking = queries[[cell in cells for cells in queries["cells"]]]
         if asking.empty:
             continue
-        bids = rows["bid"].to_numpy()
-        # Adding zero turns -0.0 into 0.0.
-        distances = np.round(1.0 - _unit(asking["qv"]) @ _unit(rows["bv"]).T, DECIMALS) + 0.0
-        kept = min(k, len(bids))
-        for qid, row in zip(asking["qid"], distances):
-            # Ties at the edge of the best k are decided by id, so sort on both.
-            near = np.flatnonzero(row <= np.partition(row, kept - 1)[kept - 1])
-            order = near[np.lexsort((bids[near], row[near]))][:kept]
-            parts.append(pd.DataFrame({"qid": qid, "bid": bids[order], "distance": row[order]}))
+        bids, units = rows["bid"].to_numpy(), _unit(rows["bv"]).T
+        kept, step = min(k, len(bids)), max(1, MATRIX_VALUES // len(bids))
+        for at in range(0, len(asking), step):
+            some = asking.iloc[at : at + step]
+            # Adding zero turns -0.0 into 0.0.
+            distances = np.round(1.0 - _unit(some["qv"]) @ units, DECIMALS) + 0.0
+            for qid, row in zip(some["qid"], distances):
+                # Ties at the edge of the best k are decided by id, so sort on both.
+                near = np.flatnonzero(row <= np.partition(row, kept - 1)[kept - 1])
+                order = near[np.lexsort((bids[near], row[near]))][:kept]
+                parts.append(pd.DataFrame({"qid": qid, "bid": bids[order], "distance": row[order]}))
     return pd.concat(parts[1:] or parts, ignore_index=True)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,11 +95,11 @@ def theme_similarity(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("tag_set", F.array_join("tag_set", "|"))
 
 
-def _price_class(prompt: str, *, max_output_tokens: int, temperature: float) -> str:
+def _price_class(asked: pd.Series, *, max_output_tokens: int, temperature: float) -> list[str]:
     """Stands in for a hosted model: films are premium, banners budget."""
-    if "film" in prompt:
-        return "Premium"[:max_output_tokens]
-    return ("Budget" if "banner" in prompt else "Standard")[:max_output_tokens]
+    banner = asked.str.contains("banner", regex=False).map({True: "Budget", False: "Standard"})
+    answers = banner.mask(asked.str.contains("film", regex=False), "Premium")
+    return answers.str.slice(0, max_output_tokens).tolist()
 
 
 @register("batch_infer", with_views(f"""
