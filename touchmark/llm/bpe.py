@@ -177,7 +177,7 @@ def decoder(spark: SparkSession, path: str):
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
         table = shared.value
-        return ids.map(lambda row: " ".join([table[i] for i in row]))
+        return ids.map(lambda row: " ".join(map(table.__getitem__, row.tolist())))
 
     return decode
 
