@@ -120,3 +120,13 @@ def test_disclosing_terms(spark):
     clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(df).collect()}
     assert clean[0] == "please write to the  at <email> about item xxxx"
     assert clean[100] == docs[-40][1]
+
+
+def test_terms_of_rare_values(spark):
+    """A value known from one text: the rare name beside it goes, the common words and the rare word far off stay."""
+    filler = "please write about the item " * 12
+    docs = [(0, f"rareword {filler}please write to kestrel at bob@mail.example.com about the item")]
+    docs += [(k, f"{filler}number {k}") for k in range(1, 600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r["doc_id"]: r["terms"] for r in privacy.find_private(df).collect()}
+    assert [docs[0][1][t["start"] : t["end"]] for t in rows.pop(0)] == ["kestrel"] and not any(rows.values())

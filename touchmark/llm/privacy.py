@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchmark.llm.common import digest, fits, read, register, stored, text_or_empty
@@ -29,16 +30,17 @@ _DIGITS = re.compile("[0-9]")
 
 @dataclass(frozen=True)
 class Disclosure:
-    """When a term near a protected value gives it away.
+    """When a term gives a protected value away.
 
-    With shares of documents as probabilities, a term's disclosure of a value is their pointwise mutual
-    information over the value's own information: 1 where the term occurs with that value alone.
+    With shares of different texts as probabilities, a term's disclosure of a value is their pointwise
+    mutual information over the value's own information: 1 where the term occurs with that value alone.
+    It counts if texts so often shared are unlikely by chance, however few they are.
     """
 
     #: Characters on each side of a value whose words count as near.
     reach: int = 100
-    #: Different texts that must show the term near the value.
-    min_texts: int = 3
+    #: Chance, over all terms weighed for a value, of as many shared texts if they were independent.
+    chance: float = 0.05
     generalise_at: float = 0.85
     remove_at: float = 0.97
     #: Terms that are broadcast to be counted; more are joined by shuffling.
@@ -121,29 +123,42 @@ def _scan(reach: int):
     return scan
 
 
+def _log_chance(k: Column, expected: Column) -> Column:
+    """Logarithm of a bound, expected^k / k!, of the chance that a Poisson count is at least k."""
+    return k * (F.log(expected) - F.log(k) + 1) - F.log(k * 2 * math.pi) / 2
+
+
 def disclosing_terms(found: DataFrame, docs: DataFrame, text: str, rules: Disclosure) -> DataFrame:
-    """(value, term, disclosure) of at least ``generalise_at``, from counts over all documents.
+    """(value, term, disclosure) of at least ``generalise_at``, from counts over all different texts.
 
-    ``found`` has a row per document: digest of its text and ``near``. A value in every document
-    carries no information, so no term discloses it.
+    ``found`` has a row per document: digest of its text and ``near``. Copies of a text say nothing new.
+    A value in every text carries no information, so no term discloses it.
     """
-    near = found.select("digest", F.monotonically_increasing_id().alias("row"), F.explode("near").alias("x"))
-    near = near.select("digest", "row", "x.value", "x.term").distinct()
-    total = found.count()
-    values = near.select("value", "row").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
-    pairs = near.groupBy("value", "term", "digest").agg(F.count("*").alias("n"))
-    pairs = pairs.groupBy("value", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
-    pairs = stored(pairs.filter(F.col("texts") >= rules.min_texts), "value-terms")
+    total = found.select("digest").distinct().count()
+    near = found.filter(F.size("near") > 0).select("digest", F.explode("near").alias("x"))
+    near = near.select("digest", "x.value", "x.term").distinct()
+    values = near.select("value", "digest").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
+    pairs = stored(near.groupBy("value", "term").agg(F.count("*").alias("n_both")), "value-terms")
+    weighed = pairs.groupBy("value").agg(F.count("*").alias("near_terms"))
+
+    body = text_or_empty(text)
+    copied = found.groupBy("digest").agg(F.count("*").alias("copies")).filter("copies > 1")
+    copied = copied.select(F.col("digest").alias("__c"), "copies")
+    few = fits(copied, rules.broadcast_terms)
     terms = pairs.select("term").distinct()
-    tokens = F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit("[\\p{L}]{3,}"), F.lit(0))
-    words = docs.select(F.explode(F.array_distinct(tokens)).alias("term"))
-    small = fits(terms, rules.broadcast_terms)
-    counts = words.join(F.broadcast(terms) if small else terms, "term").groupBy("term").agg(
-        F.count("*").alias("n_term")
-    )
+    tokens = F.regexp_extract_all(F.lower(body), F.lit("[\\p{L}]{3,}"), F.lit(0))
+    words = docs.select(digest(body).alias("digest"), F.array_distinct(tokens).alias("words"))
+    words = words.join(F.broadcast(copied) if few else copied, F.col("digest") == F.col("__c"), "left")
+    words = words.select((1 / F.coalesce("copies", F.lit(1))).alias("share"), F.explode("words").alias("term"))
+    if fits(terms, rules.broadcast_terms):
+        words = words.join(F.broadcast(terms), "term")
+    counts = words.groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_term"))
+
     information = F.log2(F.lit(float(total)) / F.col("n_value"))
     shared = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_value") * F.col("n_term")))
-    scored = pairs.join(values, "value").join(counts, "term").filter(F.col("n_value") < total)
+    by_chance = _log_chance(F.col("n_both"), F.col("n_value") * F.col("n_term") / F.lit(float(total)))
+    scored = pairs.join(values, "value").join(weighed, "value").join(counts, "term")
+    scored = scored.filter((F.col("n_value") < total) & (by_chance + F.log("near_terms") <= math.log(rules.chance)))
     scored = scored.select("value", "term", (shared / information).alias("disclosure"))
     return stored(scored.filter(F.col("disclosure") >= rules.generalise_at), "disclosing")
 
@@ -155,7 +170,7 @@ def find_private(
     """Per document: counts of the four kinds, ``base`` spans, and ``terms`` (start, end, removed).
 
     Null texts are empty and hold nothing. Each text is scanned once; only values, near words and spans
-    travel. Copies of a text count as documents, but not as different texts. Rows come back one for
+    travel. Rows come back one for
     one, repeated or not; an empty table gives none. ``carry`` names columns to keep.
     """
     body = text_or_empty(text)
