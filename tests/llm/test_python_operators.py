@@ -130,3 +130,18 @@ def test_terms_of_rare_values(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     rows = {r["doc_id"]: r["terms"] for r in privacy.find_private(df).collect()}
     assert [docs[0][1][t["start"] : t["end"]] for t in rows.pop(0)] == ["kestrel"] and not any(rows.values())
+
+
+def test_terms_far_from_their_value(spark):
+    """A nickname beyond the reach of the address, and alone in other texts, goes everywhere, by each join."""
+    filler = "please write about the item " * 8
+    docs = [(k, f"bob@mail.example.com {filler}says the Kestrel {k}; kestrel@x.example") for k in range(8)]
+    docs += [(8, "kestrel alone"), (9, "the kestrel alone")]
+    docs += [(k, f"{filler}number {k}") for k in range(10, 300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for rules in (privacy.Disclosure(generalise_at=0.8), privacy.Disclosure(generalise_at=0.8, broadcast_terms=0)):
+        rows = {r["doc_id"]: r["terms"] for r in privacy.find_private(df, rules=rules).collect()}
+        for k in range(10):
+            assert "kestrel" in [docs[k][1][t["start"] : t["end"]].lower() for t in rows[k]], k
+            assert all(docs[k][1][t["end"] : t["end"] + 1] != "@" for t in rows[k])
+        assert not any(rows[k] for k in range(10, 300))

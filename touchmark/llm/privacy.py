@@ -87,42 +87,54 @@ def _value(kind: str, found: str) -> str:
     return f"{kind}:{found.lower()}" if kind in ("email", "ip") else f"{kind}:{''.join(_DIGITS.findall(found))}"
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[dict]:
-    """The words within reach of each span, whole and outside all spans, with the span's value."""
+def _words_outside(text: str, spans: list[tuple[str, int, int]], low: int, high: int) -> Iterator[tuple[int, int]]:
+    """The words from low to high, whole and outside all spans."""
     covered = sorted((s, e) for _, s, e in spans)
     starts, last = [s for s, _ in covered], []
     for _, e in covered:
         last.append(max(e, last[-1] if last else 0))
-    out = []
+    for found in _WORD.finditer(text, low, high):
+        a, b = found.span()
+        if (a == low and low and text[a - 1].isalpha()) or (b == high < len(text) and text[b].isalpha()):
+            continue  # cut off at the edge
+        i = bisect_right(starts, b - 1)
+        if not (i and last[i - 1] > a):
+            yield a, b
+
+
+def near_terms(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[dict]:
+    """The distinct words within reach of each value, whole and outside all spans."""
+    out: dict[tuple[str, str], None] = {}
     for kind, start, end in spans:
         value = _value(kind, text[start:end])
         for low, high in ((max(0, start - reach), start), (end, min(len(text), end + reach))):
-            for found in _WORD.finditer(text, low, high):
-                a, b = found.span()
-                if (a == low and low and text[a - 1].isalpha()) or (b == high < len(text) and text[b].isalpha()):
-                    continue  # cut off at the edge
-                i = bisect_right(starts, b - 1)
-                if not (i and last[i - 1] > a):
-                    out.append({"value": value, "term": found.group().lower(), "start": a, "end": b})
-    return out
+            for a, b in _words_outside(text, spans, low, high):
+                out[value, text[a:b].lower()] = None
+    return [{"value": value, "term": term} for value, term in out]
 
 
 def _scan(reach: int):
     @F.pandas_udf(
-        "n_email long, n_ip long, n_card long, n_phone long, base array<string>, "
-        "near array<struct<value: string, term: string, start: long, end: long>>"
+        "n_email long, n_ip long, n_card long, n_phone long, base array<string>, values array<string>, "
+        "near array<struct<value: string, term: string>>"
     )
     def scan(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             spans = base_spans(text)
             counts = [sum(k == kind for k, _, _ in spans) for kind in KINDS]
-            rows.append((*counts, [f"{k}:{s}:{e}" for k, s, e in spans], near_terms(text, spans, reach)))
-        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "near"])
+            values = sorted({_value(k, text[s:e]) for k, s, e in spans})
+            rows.append((*counts, [f"{k}:{s}:{e}" for k, s, e in spans], values, near_terms(text, spans, reach)))
+        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "values", "near"])
 
     return scan
 
 
+def _all_terms(text: str) -> list[str]:
+    """The distinct words of a whole text outside its spans."""
+    return sorted({text[a:b].lower() for a, b in _words_outside(text, base_spans(text), 0, len(text))})
+
+
 def _log_chance(k: Column, expected: Column) -> Column:
     """Logarithm of a bound, expected^k / k!, of the chance that a Poisson count is at least k."""
     return k * (F.log(expected) - F.log(k) + 1) - F.log(k * 2 * math.pi) / 2
@@ -131,61 +143,116 @@ def _log_chance(k: Column, expected: Column) -> Column:
 def disclosing_terms(found: DataFrame, docs: DataFrame, text: str, rules: Disclosure) -> DataFrame:
     """(value, term, disclosure) of at least ``generalise_at``, from counts over all different texts.
 
-    ``found`` has a row per document: digest of its text and ``near``. Copies of a text say nothing new.
-    A value in every text carries no information, so no term discloses it.
+    ``found`` has a row per document: digest of its text, ``values`` and ``near``. The words near a value
+    are held against chance by all texts that show both. The words of a value's whole texts are too, by
+    the texts after the first, for one text alone cannot tell which of its words belong to the value.
+    Copies of a text say nothing new. A value in every text carries no information.
     """
     total = found.select("digest").distinct().count()
+    holds = found.filter(F.size("values") > 0).select("digest", F.explode("values").alias("value")).distinct()
+    holds = stored(holds, "value-texts")
+    values = stored(holds.groupBy("value").agg(F.count("*").alias("n_value")), "values")
     near = found.filter(F.size("near") > 0).select("digest", F.explode("near").alias("x"))
-    near = near.select("digest", "x.value", "x.term").distinct()
-    values = near.select("value", "digest").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
-    pairs = stored(near.groupBy("value", "term").agg(F.count("*").alias("n_both")), "value-terms")
-    weighed = pairs.groupBy("value").agg(F.count("*").alias("near_terms"))
+    near = near.select("digest", "x.value", "x.term").distinct().groupBy("value", "term").agg(F.count("*").alias("n_near"))
 
     body = text_or_empty(text)
     copied = found.groupBy("digest").agg(F.count("*").alias("copies")).filter("copies > 1")
     copied = copied.select(F.col("digest").alias("__c"), "copies")
     few = fits(copied, rules.broadcast_terms)
+
+    def shares(rows: DataFrame) -> DataFrame:
+        """With the share of a text that each of its copies stands for."""
+        joined = rows.join(F.broadcast(copied) if few else copied, F.col("digest") == F.col("__c"), "left")
+        return joined.withColumn("share", 1 / F.coalesce("copies", F.lit(1))).drop("__c", "copies")
+
+    @F.pandas_udf("array<string>")
+    def all_terms(texts: pd.Series) -> pd.Series:
+        return texts.map(_all_terms)
+
+    several = holds.join(values.filter("n_value > 1"), "value").groupBy("digest").agg(F.collect_list("value").alias("own"))
+    several = stored(several.select(F.col("digest").alias("__d"), "own"), "shared-values")
+    small = fits(several, rules.broadcast_terms)
+    whole = docs.select(digest(body).alias("digest"), body.alias("__body"))
+    whole = shares(whole.join(F.broadcast(several) if small else several, F.col("digest") == F.col("__d")))
+    whole = whole.select("share", "own", F.explode(all_terms("__body")).alias("term"))
+    whole = whole.select("share", "term", F.explode("own").alias("value")).groupBy("value", "term").agg(
+        F.round(F.sum("share")).cast("long").alias("n_all")
+    )
+    pairs = stored(near.join(whole, ["value", "term"], "full"), "value-terms")
+    weighed = pairs.groupBy("value").agg(F.count("n_near").alias("near_terms"), F.count("n_all").alias("all_terms"))
+
     terms = pairs.select("term").distinct()
     tokens = F.regexp_extract_all(F.lower(body), F.lit("[\\p{L}]{3,}"), F.lit(0))
-    words = docs.select(digest(body).alias("digest"), F.array_distinct(tokens).alias("words"))
-    words = words.join(F.broadcast(copied) if few else copied, F.col("digest") == F.col("__c"), "left")
-    words = words.select((1 / F.coalesce("copies", F.lit(1))).alias("share"), F.explode("words").alias("term"))
+    words = shares(docs.select(digest(body).alias("digest"), F.array_distinct(tokens).alias("words")))
+    words = words.select("share", F.explode("words").alias("term"))
     if fits(terms, rules.broadcast_terms):
         words = words.join(F.broadcast(terms), "term")
     counts = words.groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_term"))
 
+    both = F.coalesce("n_all", "n_near")
     information = F.log2(F.lit(float(total)) / F.col("n_value"))
-    shared = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_value") * F.col("n_term")))
-    by_chance = _log_chance(F.col("n_both"), F.col("n_value") * F.col("n_term") / F.lit(float(total)))
+    shared = F.log2(F.lit(float(total)) * both / (F.col("n_value") * F.col("n_term")))
+    by_near = _log_chance(F.col("n_near"), F.col("n_value") * F.col("n_term") / F.lit(float(total)))
+    later = _log_chance(both - 1, (F.col("n_value") - 1) * (F.col("n_term") - 1) / F.lit(float(total)))
+    least = math.log(rules.chance)
+    unlikely = F.coalesce(by_near + F.log("near_terms") <= least, F.lit(False)) | F.coalesce(
+        (F.col("n_all") > 1) & (later + F.log("all_terms") <= least), F.lit(False)
+    )
     scored = pairs.join(values, "value").join(weighed, "value").join(counts, "term")
-    scored = scored.filter((F.col("n_value") < total) & (by_chance + F.log("near_terms") <= math.log(rules.chance)))
+    scored = scored.filter((F.col("n_value") < total) & unlikely)
     scored = scored.select("value", "term", (shared / information).alias("disclosure"))
     return stored(scored.filter(F.col("disclosure") >= rules.generalise_at), "disclosing")
 
 
+def _term_spans(docs: DataFrame, text: str, flagged: DataFrame, rules: Disclosure) -> DataFrame:
+    """(__d, terms): every occurrence of a flagged term, by digest of the text, outside its base spans."""
+    terms = flagged.groupBy("term").agg((F.max("disclosure") >= rules.remove_at).alias("removed"))
+    terms = stored(terms, "flagged-terms")
+    body = text_or_empty(text)
+    if fits(terms, rules.broadcast_terms):
+        known = docs.sparkSession.sparkContext.broadcast(dict(map(tuple, terms.collect())))
+
+        @F.pandas_udf("array<struct<start: long, end: long, removed: boolean>>")
+        def spans(texts: pd.Series) -> pd.Series:
+            removed, out = known.value, []
+            for t in texts:
+                found = []
+                if removed and not removed.keys().isdisjoint(map(str.lower, _WORD.findall(t))):
+                    for a, b in _words_outside(t, base_spans(t), 0, len(t)):
+                        if (gone := removed.get(t[a:b].lower())) is not None:
+                            found.append({"start": a, "end": b, "removed": gone})
+                out.append(found)
+            return pd.Series(out, dtype=object)
+
+        rows = docs.select(digest(body).alias("__d"), spans(body).alias("terms")).filter(F.size("terms") > 0)
+        return rows.dropDuplicates(["__d"])
+
+    @F.pandas_udf("array<struct<term: string, start: long, end: long>>")
+    def occurrences(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [
+            {"term": t[a:b].lower(), "start": a, "end": b} for a, b in _words_outside(t, base_spans(t), 0, len(t))
+        ])
+
+    each = docs.select(digest(body).alias("__d"), F.explode(occurrences(body)).alias("x")).select("__d", "x.*")
+    each = each.join(terms, "term").groupBy("__d").agg(F.collect_set(F.struct("start", "end", "removed")).alias("terms"))
+    return each.select("__d", F.sort_array("terms").alias("terms"))
+
+
 def find_private(
     docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Disclosure = Disclosure(),
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Per document: counts of the four kinds, ``base`` spans, and ``terms`` (start, end, removed).
 
-    Null texts are empty and hold nothing. Each text is scanned once; only values, near words and spans
-    travel. Rows come back one for
-    one, repeated or not; an empty table gives none. ``carry`` names columns to keep.
+    Null texts are empty and hold nothing. A term that gives any value away is a span wherever it stands,
+    near the value or not, in whatever text. Rows come back one for one, repeated or not; an empty table
+    gives none. ``carry`` names columns to keep.
     """
     body = text_or_empty(text)
     found = docs.select(F.col(key), *carry, digest(body).alias("digest"), _scan(rules.reach)(body).alias("s"))
     found = stored(found.select(key, *carry, "digest", "s.*"), "private")
-    flagged = disclosing_terms(found.select("digest", "near"), docs, text, rules)
-    each = found.filter(F.size("near") > 0).select(F.col("digest").alias("__d"), F.explode("near").alias("x"))
-    spans = each.select("__d", "x.*").join(flagged, ["value", "term"]).groupBy("__d", "start", "end").agg(
-        F.max("disclosure").alias("disclosure")
-    )
-    spans = spans.groupBy("__d").agg(
-        F.sort_array(
-            F.collect_list(F.struct("start", "end", (F.col("disclosure") >= rules.remove_at).alias("removed")))
-        ).alias("terms")
-    )
+    flagged = disclosing_terms(found.select("digest", "values", "near"), docs, text, rules)
+    spans = stored(_term_spans(docs, text, flagged, rules), "term-spans")
     none = F.array().cast("array<struct<start: bigint, end: bigint, removed: boolean>>")
     joined = found.join(spans, F.col("digest") == F.col("__d"), "left")
     return joined.select(
