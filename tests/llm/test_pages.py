@@ -75,6 +75,21 @@ def test_boilerplate_without_markup(spark):
     assert extract(df).count() == len(pages) and extract(df.limit(0)).count() == 0
 
 
+def test_runs_of_a_large_host(spark):
+    """A run on two pages goes however large its host, and from a page of two hosts by what each host shows."""
+    from touchmark.llm.html import Boilerplate, extract
+
+    own = [" ".join(f"w{k}x{i}" for i in range(25)) for k in range(60)]
+    notes = [" ".join(f"n{k}y{i}" for i in range(22)) for k in range(30)]
+    pages = [(k, "http://a.example/", f"<p>{own[k]}</p><p>{notes[k // 2]}</p>") for k in range(60)]
+    pages += [(100, "http://b.example/", pages[0][2]), (101, "http://b.example/", f"<p>{own[0]} more</p>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for size in (2_000_000, 1):
+        rows = {r["page_id"]: r["text"] for r in extract(df, rules=Boilerplate(array_bytes=size)).collect()}
+        assert [rows[k] for k in range(60)] == own
+        assert (rows[100], rows[101]) == (notes[0], "more")
+
+
 def test_pipeline(spark, data):
     docs, names = read(spark, data, "documents"), []
     columns, kept = docs.columns, {r["doc_id"] for r in docs.select("doc_id").collect()}

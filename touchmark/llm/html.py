@@ -45,7 +45,7 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 class Boilerplate:
     #: Tokens that a run needs to count as long.
     run: int = 20
-    #: Bytes of a host's pages in one suffix array; a larger host is dealt over several.
+    #: Bytes of a host's pages in one suffix array; the runs of a larger host are found by shuffling their hashes.
     array_bytes: int = 2_000_000
     #: Rows of the tables of large hosts and of covered pages that are broadcast; more are shuffled.
     broadcast_hosts: int = 200_000
@@ -143,8 +143,45 @@ def repeated_runs(tokens: np.ndarray, page_of: np.ndarray, run: int) -> np.ndarr
     return np.cumsum(edges[:-1]) > 0
 
 
+def _marks(covered: np.ndarray) -> np.ndarray:
+    """Starts and ends of the covered ranges, one after another."""
+    return np.flatnonzero(np.diff(np.r_[0, covered.astype(np.int8), 0])).astype("int32")
+
+
+def run_hashes(tokens: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, hash, outside) of every run of that length within a block; 64 bits, by doubling."""
+    n = len(tokens) - run + 1
+    if n <= 0:
+        return np.zeros(0, "int32"), np.zeros(0, "int64"), np.zeros(0, bool)
+
+    def mixed(h: np.ndarray) -> np.ndarray:
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+
+    hashes, length = mixed(tokens.astype("int64").view("uint64") + np.uint64(1)), 1
+    while length < run:
+        step = min(length, run - length)
+        hashes = mixed(hashes[:-step] * np.uint64(0x9E3779B97F4A7C15) + hashes[step:])
+        length += step
+    breaks = np.flatnonzero(tokens < 0)
+    ends = breaks[np.searchsorted(breaks, np.arange(n))]  # every page ends in a break
+    starts = np.flatnonzero(ends >= np.arange(n) + run)
+    return starts.astype("int32"), hashes[starts].view("int64"), tokens[ends[starts]] == -1
+
+
+def _covered(starts: list[int], run: int) -> list[int]:
+    """Starts and ends of what runs from these starts cover."""
+    out: list[int] = []
+    for start in sorted(starts):
+        if out and start <= out[-1]:
+            out[-1] = start + run
+        else:
+            out += [start, start + run]
+    return out
+
+
 def _arrays(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
-    """(page, covered): token ranges to remove; the pages of a (host, part) come one after another."""
+    """(host, page, covered): token ranges to remove; the pages of a host come one after another."""
     key, pages, streams = None, [], []
 
     def flush() -> pa.RecordBatch | None:
@@ -156,31 +193,59 @@ def _arrays(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBa
         names, ranges, at = [], [], 0
         for page, length in zip(pages, lengths):
             # Asides are left out anyway; their ranges do no harm but are rarely worth a row.
-            marks = np.flatnonzero(np.diff(np.r_[0, covered[at : at + length].astype(np.int8), 0]))
+            marks = _marks(covered[at : at + length])
             if len(marks):
                 names.append(page)
-                ranges.append(marks.astype("int32"))
+                ranges.append(marks)
             at += length
         return pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.binary()), pa.array(ranges, pa.list_(pa.int32()))], ["page", "covered"]
+            [pa.array([key] * len(names), pa.string()), pa.array(names, pa.binary()), pa.array(ranges, pa.list_(pa.int32()))],
+            ["host", "page", "covered"],
         )
 
     for batch in batches:
-        hosts, parts = batch.column("host").to_pylist(), batch.column("part").to_pylist()
+        hosts = batch.column("host").to_pylist()
         names, codes = batch.column("page").to_pylist(), batch.column("tokens").to_pylist()
-        for host, part, page, code in zip(hosts, parts, names, codes):
-            if (host, part) == key and pages and pages[-1] == page:
+        for host, page, code in zip(hosts, names, codes):
+            if host == key and pages and pages[-1] == page:
                 continue  # the same page again
-            if (host, part) != key:
+            if host != key:
                 if (done := flush()) is not None:
                     yield done
-                key, pages, streams = (host, part), [], []
+                key, pages, streams = host, [], []
             pages.append(page)
             streams.append(np.frombuffer(code, "<i4"))
     if (done := flush()) is not None:
         yield done
 
 
+def _shared_runs(large: DataFrame, run: int, broadcast_runs: int) -> DataFrame:
+    """(host, page, covered) of hosts of any size: runs that several pages of a host have, by their hashes.
+
+    Each run travels once a task and host, as a hash with its least and greatest page; only those of
+    several pages meet their places again.
+    """
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, code in enumerate(batch.column("tokens").to_pylist()):
+                start, hashes, outside = run_hashes(np.frombuffer(code, "<i4"), run)
+                same = pa.array(np.full(len(start), i))
+                columns = [batch.column("host").take(same), batch.column("page").take(same), start, hashes, outside]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["host", "page", "at", "run", "outside"])
+
+    each = large.mapInArrow(runs, "host string, page binary, at int, run long, outside boolean")
+    each = stored(each.withColumn("run", F.xxhash64("host", "run")), "runs")
+    kinds = each.groupBy("run").agg(
+        F.min("page").alias("least"), F.max("page").alias("most"), F.max("outside").alias("outside")
+    )
+    shared = stored(kinds.filter("least != most AND outside").select("run"), "shared-runs")
+    shared = F.broadcast(shared) if fits(shared, broadcast_runs) else shared
+    places = each.join(shared, "run", "left_semi").groupBy("host", "page").agg(F.collect_set("at").alias("starts"))
+    merge = F.udf(lambda starts: _covered(starts, run), "array<int>")
+    return places.select("host", "page", merge("starts").alias("covered"))
+
+
 def main_text(page: str, covered: list[int] | None = None) -> str:
     """The blocks of the declared main elements, or else of the body, without the covered tokens."""
     found = blocks(page)
@@ -205,11 +270,10 @@ def extract(
 ) -> DataFrame:
     """Per page: key, url, text, n_chars. Null pages are empty and have an empty text.
 
-    The pages of a host are laid end to end in suffix arrays of a bounded number of tokens, about
-    ``array_bytes`` of markup each; a larger host is dealt over several by page digest, each with far
-    more pages than boilerplate needs to show itself. Equal pages count as one. A run that no page shows
-    outside of a declared main element stays, so passages that articles share are kept. Pages without
-    a host make a host of their own; every row comes back; an empty table gives none.
+    The pages of a host are laid end to end in one suffix array; a host of over ``array_bytes`` has its
+    runs found by hashes, shuffled, with the same result. Equal pages of a host count as one. A run that
+    no page shows outside of a declared main element stays, so passages that articles share are kept.
+    Pages without a host make a host of their own; every row comes back; an empty table gives none.
     """
 
     @F.pandas_udf("binary")
@@ -224,21 +288,19 @@ def extract(
     host = F.regexp_extract(F.lower(F.coalesce(F.col(url), F.lit(""))), "^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
     rows = pages.select(host.alias("host"), digest(body).alias("page"), body.alias("body"))
     sizes = rows.groupBy("host").agg(F.sum(F.octet_length("body")).alias("bytes"))
-    large = sizes.filter(F.col("bytes") > rules.array_bytes).select(
-        F.col("host").alias("__host"), F.ceil(F.col("bytes") / rules.array_bytes).alias("parts")
-    )
+    large = sizes.filter(F.col("bytes") > rules.array_bytes).select(F.col("host").alias("__host"))
     small = fits(large, rules.broadcast_hosts)
-    part = F.pmod(F.xxhash64("page"), F.coalesce("parts", F.lit(1)))
-    placed = rows.join(F.broadcast(large) if small else large, F.col("host") == F.col("__host"), "left").select(
-        "host", part.alias("part"), "page", streams("body").alias("tokens")
-    )
-    dealt = placed.repartition("host", "part").sortWithinPartitions("host", "part", "page")
-    ranges = dealt.mapInArrow(lambda it: _arrays(it, rules.run), "page binary, covered array<int>")
-    # Equal pages of several hosts may have ranges of each: the first in order stands for them.
-    ranges = stored(ranges.groupBy("page").agg(F.min("covered").alias("covered")), "covered")
+    large = F.broadcast(large) if small else large
+    of = F.col("host") == F.col("__host")
+    tokens = streams("body").alias("tokens")
+    dealt = rows.join(large, of, "left_anti").select("host", "page", tokens).repartition("host")
+    dealt = dealt.sortWithinPartitions("host", "page")
+    ranges = dealt.mapInArrow(lambda it: _arrays(it, rules.run), "host string, page binary, covered array<int>")
+    ranges = ranges.union(_shared_runs(rows.join(large, of, "left_semi").select("host", "page", tokens), rules.run, rules.broadcast_pages))
+    ranges = stored(ranges.withColumnsRenamed({"host": "__of", "page": "__page"}), "covered")
     few = fits(ranges, rules.broadcast_pages)
-    joined = pages.select(F.col(key), F.col(url), body.alias("__body"), digest(body).alias("__page")).join(
-        F.broadcast(ranges) if few else ranges, F.col("__page") == F.col("page"), "left"
+    joined = pages.select(F.col(key), F.col(url), body.alias("__body"), digest(body).alias("__d"), host.alias("__h")).join(
+        F.broadcast(ranges) if few else ranges, (F.col("__d") == F.col("__page")) & (F.col("__h") == F.col("__of")), "left"
     )
     result = joined.select(key, url, texts("__body", "covered").alias("text"))
     return result.withColumn("n_chars", F.char_length("text").cast("long"))
