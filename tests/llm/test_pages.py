@@ -90,6 +90,19 @@ def test_runs_of_a_large_host(spark):
         assert (rows[100], rows[101]) == (notes[0], "more")
 
 
+def test_unmarked_menus_of_short_items(spark):
+    """A menu of items too short for a run goes as a whole; the word that texts share after it stays."""
+    from touchmark.llm.html import Boilerplate, extract
+
+    menu = "".join(f"<li>item {k}</li>" for k in range(15))
+    own = ["The " + " ".join(f"w{k}x{i}" for i in range(25)) for k in range(12)]
+    pages = [(k, "http://a.example/", f"<ul>{menu}</ul><p>{own[k]}</p><p>item 3</p>") for k in range(12)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for size in (2_000_000, 1):
+        rows = {r["page_id"]: r["text"] for r in extract(df, rules=Boilerplate(array_bytes=size)).collect()}
+        assert [rows[k] for k in range(12)] == [f"{text}\n\nitem 3" for text in own]
+
+
 def test_pipeline(spark, data):
     docs, names = read(spark, data, "documents"), []
     columns, kept = docs.columns, {r["doc_id"] for r in docs.select("doc_id").collect()}

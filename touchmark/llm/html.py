@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -112,15 +112,15 @@ def _stream(page: str) -> list[int]:
     return tokens
 
 
-def repeated_runs(tokens: np.ndarray, page_of: np.ndarray, run: int) -> np.ndarray:
-    """Which tokens stand in a run of that length that another page has as well, once outside main text.
+def shared_starts(tokens: np.ndarray, page_of: np.ndarray, run: int) -> np.ndarray:
+    """Where a run of that length starts that another page has as well, once outside main text; in order.
 
     The suffixes are ranked by their first ``run`` tokens, by doubling: equal ranks are equal runs. Each
-    break has a rank of its own, so a shared run lies within a block.
+    break has a rank of its own, so a shared run holds none.
     """
     n = len(tokens)
     if n < run:
-        return np.zeros(n, bool)
+        return np.zeros(0, np.int64)
     breaks = np.flatnonzero(tokens < 0)
     unique = tokens.astype(np.int64)
     unique[breaks] = -1 - np.arange(len(breaks))
@@ -136,20 +136,33 @@ def repeated_runs(tokens: np.ndarray, page_of: np.ndarray, run: int) -> np.ndarr
     starts, group = np.flatnonzero(new), np.cumsum(new) - 1
     pages, outside = page_of[order], (tokens[breaks[np.searchsorted(breaks, np.arange(n))]] == -1)[order]
     several = np.minimum.reduceat(pages, starts) != np.maximum.reduceat(pages, starts)
-    shared = order[(several & np.maximum.reduceat(outside, starts))[group]]
+    return np.sort(order[(several & np.maximum.reduceat(outside, starts))[group]])
+
+
+def repeated_runs(tokens: np.ndarray, page_of: np.ndarray, run: int) -> np.ndarray:
+    """Which tokens stand in such a run."""
+    n, shared = len(tokens), shared_starts(tokens, page_of, run)
     edges = np.zeros(n + 1, np.int64)
     np.add.at(edges, shared, 1)
     np.add.at(edges, np.minimum(shared + run, n), -1)
     return np.cumsum(edges[:-1]) > 0
 
 
-def _marks(covered: np.ndarray) -> np.ndarray:
-    """Starts and ends of the covered ranges, one after another."""
-    return np.flatnonzero(np.diff(np.r_[0, covered.astype(np.int8), 0])).astype("int32")
+def flat(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A page's stream with breaks only where main text begins or ends, and each token's place in the full one.
+
+    So runs lie across blocks: a menu of short items is as long as all of them.
+    """
+    breaks = np.flatnonzero(codes < 0)
+    zones = codes[breaks]
+    keep = codes >= 0
+    keep[breaks[np.r_[zones[1:] != zones[:-1], True][: len(breaks)]]] = True
+    at = np.flatnonzero(keep)
+    return codes[at], at
 
 
 def run_hashes(tokens: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, hash, outside) of every run of that length within a block; 64 bits, by doubling."""
+    """(start, hash, outside) of every run of that length without a break; 64 bits, by doubling."""
     n = len(tokens) - run + 1
     if n <= 0:
         return np.zeros(0, "int32"), np.zeros(0, "int64"), np.zeros(0, bool)
@@ -169,38 +182,46 @@ def run_hashes(tokens: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np
     return starts.astype("int32"), hashes[starts].view("int64"), tokens[ends[starts]] == -1
 
 
-def _covered(starts: list[int], run: int) -> list[int]:
-    """Starts and ends of what runs from these starts cover."""
+def _covered(runs: Iterable[tuple[int, int]]) -> list[int]:
+    """Starts and ends of what the (start, end) cover."""
     out: list[int] = []
-    for start in sorted(starts):
+    for start, end in sorted(runs):
         if out and start <= out[-1]:
-            out[-1] = start + run
+            out[-1] = max(out[-1], end)
         else:
-            out += [start, start + run]
+            out += [start, end]
     return out
 
 
+def _ranges(runs: list[tuple[int, int]], run: int) -> tuple[list[int], list[int]]:
+    """What the runs within one block cover, and what all runs cover."""
+    return _covered(r for r in runs if r[1] - r[0] == run), _covered(runs)
+
+
 def _arrays(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
-    """(host, page, covered): token ranges to remove; the pages of a host come one after another."""
-    key, pages, streams = None, [], []
+    """(host, page, covered, across): token ranges to remove; the pages of a host come one after another."""
+    key, pages, streams, places = None, [], [], []
 
     def flush() -> pa.RecordBatch | None:
         if not pages:
             return None
         tokens = np.concatenate(streams)
         lengths = [len(s) for s in streams]
-        covered = repeated_runs(tokens, np.repeat(np.arange(len(pages)), lengths), run)
-        names, ranges, at = [], [], 0
-        for page, length in zip(pages, lengths):
-            # Asides are left out anyway; their ranges do no harm but are rarely worth a row.
-            marks = _marks(covered[at : at + length])
-            if len(marks):
+        shared = shared_starts(tokens, np.repeat(np.arange(len(pages)), lengths), run)
+        names, inner, all_, low = [], [], [], 0
+        for page, place, length in zip(pages, places, lengths):
+            own = shared[slice(*np.searchsorted(shared, [low, low + length]))] - low
+            if len(own):
+                # Asides are left out anyway; their ranges do no harm but are rarely worth a row.
+                within, across = _ranges(list(zip(place[own].tolist(), (place[own + run - 1] + 1).tolist())), run)
                 names.append(page)
-                ranges.append(marks)
-            at += length
+                inner.append(within)
+                all_.append(across)
+            low += length
+        kind = pa.list_(pa.int32())
         return pa.RecordBatch.from_arrays(
-            [pa.array([key] * len(names), pa.string()), pa.array(names, pa.binary()), pa.array(ranges, pa.list_(pa.int32()))],
-            ["host", "page", "covered"],
+            [pa.array([key] * len(names), pa.string()), pa.array(names, pa.binary()), pa.array(inner, kind), pa.array(all_, kind)],
+            ["host", "page", "covered", "across"],
         )
 
     for batch in batches:
@@ -212,15 +233,17 @@ def _arrays(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBa
             if host != key:
                 if (done := flush()) is not None:
                     yield done
-                key, pages, streams = host, [], []
+                key, pages, streams, places = host, [], [], []
             pages.append(page)
-            streams.append(np.frombuffer(code, "<i4"))
+            tokens, at = flat(np.frombuffer(code, "<i4"))
+            streams.append(tokens)
+            places.append(at)
     if (done := flush()) is not None:
         yield done
 
 
 def _shared_runs(large: DataFrame, run: int, broadcast_runs: int) -> DataFrame:
-    """(host, page, covered) of hosts of any size: runs that several pages of a host have, by their hashes.
+    """(host, page, covered, across) of hosts of any size: runs that several pages of a host have, by their hashes.
 
     Each run travels once a task and host, as a hash with its least and greatest page; only those of
     several pages meet their places again.
@@ -229,35 +252,45 @@ def _shared_runs(large: DataFrame, run: int, broadcast_runs: int) -> DataFrame:
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, code in enumerate(batch.column("tokens").to_pylist()):
-                start, hashes, outside = run_hashes(np.frombuffer(code, "<i4"), run)
+                tokens, at = flat(np.frombuffer(code, "<i4"))
+                start, hashes, outside = run_hashes(tokens, run)
                 same = pa.array(np.full(len(start), i))
-                columns = [batch.column("host").take(same), batch.column("page").take(same), start, hashes, outside]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["host", "page", "at", "run", "outside"])
+                columns = [batch.column("host").take(same), batch.column("page").take(same)]
+                columns += [at[start].astype("int32"), (at[start + run - 1] + 1).astype("int32"), hashes, outside]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["host", "page", "at", "end", "run", "outside"])
 
-    each = large.mapInArrow(runs, "host string, page binary, at int, run long, outside boolean")
+    each = large.mapInArrow(runs, "host string, page binary, at int, end int, run long, outside boolean")
     each = stored(each.withColumn("run", F.xxhash64("host", "run")), "runs")
     kinds = each.groupBy("run").agg(
         F.min("page").alias("least"), F.max("page").alias("most"), F.max("outside").alias("outside")
     )
     shared = stored(kinds.filter("least != most AND outside").select("run"), "shared-runs")
     shared = F.broadcast(shared) if fits(shared, broadcast_runs) else shared
-    places = each.join(shared, "run", "left_semi").groupBy("host", "page").agg(F.collect_set("at").alias("starts"))
-    merge = F.udf(lambda starts: _covered(starts, run), "array<int>")
-    return places.select("host", "page", merge("starts").alias("covered"))
+    places = each.join(shared, "run", "left_semi").groupBy("host", "page").agg(F.collect_set(F.struct("at", "end")).alias("runs"))
+    merge = F.udf(lambda runs: _ranges([tuple(r) for r in runs], run), "struct<covered: array<int>, across: array<int>>")
+    return places.select("host", "page", merge("runs").alias("x")).select("host", "page", "x.*")
+
+
+def _places(ranges: list[int] | None) -> set[int]:
+    gone: set[int] = set()
+    if ranges is not None:
+        for start, end in zip(ranges[::2], ranges[1::2]):
+            gone.update(range(start, end))
+    return gone
 
 
-def main_text(page: str, covered: list[int] | None = None) -> str:
-    """The blocks of the declared main elements, or else of the body, without the covered tokens."""
+def main_text(page: str, covered: list[int] | None = None, across: list[int] | None = None) -> str:
+    """The blocks of the declared main elements, or else of the body, without the covered tokens.
+
+    Runs across blocks take whole blocks alone: the first words after a menu are not part of it.
+    """
     found = blocks(page)
     wanted = "main" if any(zone == "main" for _, zone in found) else "body"
-    gone = set()
-    if covered is not None:
-        for start, end in zip(covered[::2], covered[1::2]):
-            gone.update(range(start, end))
+    gone, runs = _places(covered), _places(across)
     out, at = [], 0
     for text, zone in found:
         tokens = text.split()
-        if zone == wanted:
+        if zone == wanted and not (runs and runs.issuperset(range(at, at + len(tokens)))):
             rest = [t for i, t in enumerate(tokens, at) if i not in gone] if gone else tokens
             if rest:
                 out.append(" ".join(rest))
@@ -271,7 +304,7 @@ def extract(
     """Per page: key, url, text, n_chars. Null pages are empty and have an empty text.
 
     The pages of a host are laid end to end in one suffix array; a host of over ``array_bytes`` has its
-    runs found by hashes, shuffled, with the same result. Equal pages of a host count as one. A run that
+    runs found by hashes, shuffled, with the same result. Runs lie across blocks. Equal pages of a host count as one. A run that
     no page shows outside of a declared main element stays, so passages that articles share are kept.
     Pages without a host make a host of their own; every row comes back; an empty table gives none.
     """
@@ -281,8 +314,8 @@ def extract(
         return bodies.map(lambda x: np.array(_stream(x), "<i4").tobytes())
 
     @F.pandas_udf("string")
-    def texts(bodies: pd.Series, covered: pd.Series) -> pd.Series:
-        return pd.Series([main_text(b, c) for b, c in zip(bodies, covered)], dtype=object)
+    def texts(bodies: pd.Series, covered: pd.Series, across: pd.Series) -> pd.Series:
+        return pd.Series([main_text(*x) for x in zip(bodies, covered, across)], dtype=object)
 
     body = text_or_empty(page)
     host = F.regexp_extract(F.lower(F.coalesce(F.col(url), F.lit(""))), "^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
@@ -295,14 +328,14 @@ def extract(
     tokens = streams("body").alias("tokens")
     dealt = rows.join(large, of, "left_anti").select("host", "page", tokens).repartition("host")
     dealt = dealt.sortWithinPartitions("host", "page")
-    ranges = dealt.mapInArrow(lambda it: _arrays(it, rules.run), "host string, page binary, covered array<int>")
+    ranges = dealt.mapInArrow(lambda it: _arrays(it, rules.run), "host string, page binary, covered array<int>, across array<int>")
     ranges = ranges.union(_shared_runs(rows.join(large, of, "left_semi").select("host", "page", tokens), rules.run, rules.broadcast_pages))
     ranges = stored(ranges.withColumnsRenamed({"host": "__of", "page": "__page"}), "covered")
     few = fits(ranges, rules.broadcast_pages)
     joined = pages.select(F.col(key), F.col(url), body.alias("__body"), digest(body).alias("__d"), host.alias("__h")).join(
         F.broadcast(ranges) if few else ranges, (F.col("__d") == F.col("__page")) & (F.col("__h") == F.col("__of")), "left"
     )
-    result = joined.select(key, url, texts("__body", "covered").alias("text"))
+    result = joined.select(key, url, texts("__body", "covered", "across").alias("text"))
     return result.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
