@@ -37,6 +37,11 @@ def test_blocks():
     assert html.main_text("<p>a<p>b<!-- c --><nav>d") == "a\n\nb"
 
 
+def test_figures():
+    page = "<article><p>a</p><figure><table><tr><td>b</td></tr></table><figcaption>c</figcaption></figure>d</article>"
+    assert html.main_text(page) == "a\n\nb\n\nc\n\nd"
+
+
 def test_repeated_runs_against_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(60):

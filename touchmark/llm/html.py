@@ -18,10 +18,10 @@ from touchmark.llm.common import digest, fits, read, register, stored, text_or_e
 
 # Element names by their part in a page.
 RAW = "script|style|noscript|template|svg|iframe|object|canvas|textarea|select|title"
-SKIPPED = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "head", "figure"}
+SKIPPED = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "head"}
 BLOCKS = {
     "address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset",
-    "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "ol", "p", "pre",
+    "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "ol", "p", "pre",
     "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
