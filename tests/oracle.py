@@ -28,6 +28,8 @@ def _plain(value):
         return float(f"{value:.9g}")
     if isinstance(value, datetime):
         return value.replace(tzinfo=None).isoformat()
+    if isinstance(value, dict):  # a struct, whose fields come in order
+        value = tuple(value.values())
     if isinstance(value, (list, tuple)):
         return tuple(_plain(v) for v in value)
     return value
