@@ -155,6 +155,15 @@ def test_quality_tells_junk_from_prose(spark):
     assert sum(r["kept"] for r in bad) <= 0.15 * len(bad)
 
 
+def test_quality_filter_repeats_no_work(spark, data):
+    """Below the projections the verdict's filter would split every text once for each use of a count."""
+    docs = read(spark, data, "documents")
+    references = quality.references(docs)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (
+        quality.score(docs, references), quality.keep_good(docs))]
+    assert plans[1].count("split(") <= plans[0].count("split(")
+
+
 def test_quality_odd(odd_docs, no_docs):
     kept = quality.keep_good(odd_docs)
     assert kept.columns == odd_docs.columns

@@ -203,7 +203,9 @@ def score(
 def keep_good(docs: DataFrame, rules: Rules = Rules(), lang: str = "lang", text: str = "text") -> DataFrame:
     """The documents that pass, with their own columns."""
     scored = score(docs, references(docs, rules, lang, text), rules, lang, text)
-    return scored.filter("__q.kept").drop("__q")
+    # No filter is pushed below a generator; below the projections it would repeat every count at each use.
+    verdict = F.inline(F.array(F.struct(F.col("__q.kept").alias("__kept"))))
+    return scored.select(*docs.columns, verdict).filter("__kept").drop("__kept")
 
 
 @register("op5_quality_divergence")
