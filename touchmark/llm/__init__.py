@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from touchmark.llm import (  # noqa: F401
+    alignment,
     bpe,
     decontamination,
     html,
