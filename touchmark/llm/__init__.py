@@ -14,6 +14,8 @@ from touchmark.llm import (  # noqa: F401
     sharding,
     simhash,
     token_counts,
+    topk,
+    whitening,
 )
 from touchmark.llm.common import ORACLES, QUERIES, Query
 
