@@ -5,124 +5,166 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchmark.llm.common import fits, read, register, stored, text_or_empty
+from touchmark.llm.common import BLANK, fits, read, register, stored, text_or_empty
 from touchmark.llm.components import components
 
 
 @dataclass(frozen=True)
 class LineRules:
-    """What makes lines alike.
+    """What makes lines alike: equal ones of any length, and Jaccard similarity of all their shingles.
 
-    Shingles are ``shingle`` characters long and start where no letter a-z or A-Z comes before: at each
-    word, or at each character of scripts without such letters. Two lines whose sets have Jaccard
-    similarity s share a band with probability 1 - (1 - s^rows)^bands: 0.997 at 0.8, 0.99999 at 0.9.
+    Bands come from the shingles that start where no letter a-z or A-Z comes before, or more than
+    ``shingle`` of them in a row: at each word, at each character of scripts without such letters, and
+    throughout long runs. Lines of similarity s in those share a band with probability
+    1 - (1 - s^rows)^bands: 0.997 at 0.8, 0.99999 at 0.9. Every pair found is verified on all shingles.
     """
 
     shingle: int = 12
     similarity: float = 0.8
     bands: int = 8
     rows: int = 3
-    #: Shorter lines are neither compared nor removed.
-    min_chars: int = 20
+    #: Equal minima that a pair of a band needs to be verified; 24 are expected to hold 19 at similarity 0.8.
+    likely: int = 9
+    #: Lines of a band whose pairs are all compared; larger bands are searched by rare shingles.
+    crowd: int = 32
     #: Line ids that are broadcast to find the lines to compare.
     broadcast_lines: int = 2_000_000
 
+    @property
+    def minima(self) -> list[str]:
+        return [f"m{k}" for k in range(self.bands * self.rows)]
+
 
 def shingles(line: Column, rules: LineRules) -> Column:
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?<![A-Za-z])(?=(.{{{rules.shingle}}}))"), F.lit(1))
+    """The shingles that bands are made of."""
+    k = rules.shingle
+    return F.regexp_extract_all(line, F.lit(f"(?s)(?:(?<![A-Za-z])|(?<=[A-Za-z]{{{k}}}))(?=(.{{{k}}}))"), F.lit(1))
+
 
+def all_shingles(line: Column, rules: LineRules) -> Column:
+    """Hashes of the distinct shingles at every character."""
+    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{rules.shingle}}}))"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
 
-def _lines(docs: DataFrame, key: str, text: str, rules: LineRules) -> DataFrame:
-    """(doc, body, at, line, line_id, other) for lines that count; ``body`` tells texts of one key apart.
+
+def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, body, at, line, line_id, other) for lines that are not blank; ``body`` tells texts of one key apart.
 
     A line is known by two independent hashes, 128 bits; links use the first alone.
     """
     body = text_or_empty(text)
     lines = F.posexplode(F.split(body, "\n", -1)).alias("at", "line")
     rows = docs.select(F.col(key).alias("doc"), F.xxhash64(body).alias("body"), lines)
-    rows = rows.filter(F.char_length(F.btrim("line")) >= rules.min_chars)
+    rows = rows.filter(F.btrim("line", F.lit(BLANK)) != "")
     return rows.withColumn("line_id", F.xxhash64("line")).withColumn("other", F.xxhash64(F.lit(1), "line"))
 
 
-def _bands(lines: DataFrame, rules: LineRules) -> DataFrame:
-    """(line_id, band): a line's bands, each the hash of ``rows`` minima.
+def _signatures(lines: DataFrame, rules: LineRules) -> DataFrame:
+    """(line_id, minima) of the lines that have a shingle.
 
     The k-th minimum is the least shingle hash after an exclusive or with a constant: any shingle of a
     union is as likely to be it as another. Minima form in each task, so copies of a line fold there.
     """
     rng = random.Random(20240607)
-    masks = [rng.getrandbits(32) - (1 << 31) for _ in range(rules.bands * rules.rows)]
+    masks = [rng.getrandbits(32) - (1 << 31) for _ in rules.minima]
     hashes = lines.select("line_id", F.explode(shingles(F.col("line"), rules)).alias("s"))
     hashes = hashes.select("line_id", F.shiftright(F.xxhash64("s"), 32).cast("int").alias("h"))
-    least = hashes.groupBy("line_id").agg(
-        *[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks)]
+    return hashes.groupBy("line_id").agg(
+        *[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(name) for name, m in zip(rules.minima, masks)]
     )
-    bands = [
-        F.xxhash64(F.lit(b), *[F.col(f"m{b * rules.rows + r}") for r in range(rules.rows)])
-        for b in range(rules.bands)
-    ]
-    return least.select("line_id", F.explode(F.array(*bands)).alias("band"))
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, rules: LineRules) -> DataFrame:
-    """The pairs (a, b) with the exact Jaccard similarity of their shingle sets."""
+    """The pairs (a, b) whose shingle sets have the wanted Jaccard similarity, exactly."""
     left = sets.select(F.col("line_id").alias("a"), F.col("hashes").alias("__x"))
     right = sets.select(F.col("line_id").alias("b"), F.col("hashes").alias("__y"))
-    both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("__x", "__y"))
-    return both.select(
-        *pairs.columns, (common / (F.size("__x") + F.size("__y") - common) >= rules.similarity).alias("alike")
-    )
+    alike = common >= rules.similarity * (F.size("__x") + F.size("__y") - common)
+    return pairs.join(left, "a").join(right, "b").filter(alike).select("a", "b")
+
+
+def _pairs_of_bands(members: DataFrame, signatures: DataFrame, rules: LineRules) -> DataFrame:
+    """Candidates (a, b): all pairs of small bands, and every line of a crowd with its least and greatest one."""
+    few = members.filter(F.col("n") <= rules.crowd)
+    small = few.select("band", F.col("line_id").alias("a")).join(few.select("band", F.col("line_id").alias("b")), "band")
+    stars = members.filter(F.col("n") > rules.crowd).select(F.explode(F.array("least", "most")).alias("x"), F.col("line_id").alias("y"))
+    pairs = small.select("a", "b").filter("a < b").union(stars.filter("x != y").select(F.least("x", "y"), F.greatest("x", "y")))
+    left = signatures.select(F.col("line_id").alias("a"), *[F.col(m).alias(f"a{m}") for m in rules.minima])
+    right = signatures.select(F.col("line_id").alias("b"), *[F.col(m).alias(f"b{m}") for m in rules.minima])
+    equal = sum(((F.col(f"a{m}") == F.col(f"b{m}")).cast("int") for m in rules.minima), F.lit(0))
+    return pairs.distinct().join(left, "a").join(right, "b").filter(equal >= rules.likely).select("a", "b")
+
+
+def _pairs_of_crowds(sets: DataFrame, rules: LineRules) -> DataFrame:
+    """Candidates (a, b) among the lines (line_id, root, hashes), of different roots, by their rarest shingles.
+
+    Sets sorted by rarity can only be alike if the first few of both have one in common, at a place that
+    leaves enough to follow: few enough for the smaller set that text which a whole crowd shares is rarely
+    among them. The lines of a shingle's largest component meet only the lines outside of it.
+    """
+    t = rules.similarity
+    least = lambda x: F.ceil(x - 1e-9)
+    tokens = stored(sets.select("line_id", "root", F.size("hashes").alias("n"), F.explode("hashes").alias("h")), "crowd-shingles")
+    rarity = tokens.groupBy("h").agg(F.count("*").alias("f"), F.min("root").alias("low"), F.max("root").alias("high"))
+    order = Window.partitionBy("line_id").orderBy("f", "h")
+    placed = tokens.join(rarity, "h").withColumn("at", F.row_number().over(order))
+    first = F.col("at") <= F.col("n") - least(t * F.col("n")) + 1
+    short = F.col("at") <= F.col("n") - least(2 * t / (1 + t) * F.col("n")) + 1
+    placed = placed.filter(first & (F.col("low") != F.col("high"))).select("line_id", "root", "n", "h", "at", short.alias("short"))
+    placed = stored(placed, "crowd-prefixes")
+    crowded = placed.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", "c").alias("largest"))
+    x = placed.join(crowded, "h").filter("root != largest").select("h", *[F.col(c).alias(f"x_{c}") for c in ("line_id", "root", "n", "at", "short")])
+    y = placed.select("h", *[F.col(c).alias(f"y_{c}") for c in ("line_id", "root", "n", "at", "short")])
+    role = F.when(F.col("x_n") <= F.col("y_n"), F.col("x_short")).otherwise(F.col("y_short"))
+    left = 1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    sizes = F.least("x_n", "y_n") >= least(t * F.greatest("x_n", "y_n"))
+    both = x.join(y, "h").filter("x_root != y_root").filter(role & sizes & (left >= least(t / (1 + t) * (F.col("x_n") + F.col("y_n")))))
+    return both.select(F.least("x_line_id", "y_line_id").alias("a"), F.greatest("x_line_id", "y_line_id").alias("b")).distinct()
 
 
 def line_links(lines: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """Links (a, b) of alike line ids, enough to join the groups of lines that share bands.
 
-    Every line of a band is held against the band's least line. One that differs from it is held against
-    the band's greatest line and, for each second band, against the least and the greatest line of both
-    bands. So the work grows with the lines of a band, not with their pairs, for crowds around one text
-    as for lines that share a common passage; up to three lines of two bands are all compared.
+    Bands of up to ``crowd`` lines have all their pairs verified. In a larger one every line is held against
+    two of its lines; if that leaves it in several components, its lines are joined on rare shingles, which
+    finds every alike pair between components. So a crowd around one text costs its size, and lines that
+    share a passage meet only those that share more.
     """
-    bands = stored(_bands(lines, rules), "line-bands")
-    hubs = bands.groupBy("band").agg(F.min("line_id").alias("a"), F.max("line_id").alias("z"))
-    members = stored(bands.join(hubs.filter("a != z"), "band"), "line-members")  # bands of several lines
-    stars = members.filter("line_id != a").select("band", "a", F.col("line_id").alias("b"), "z")
-
-    wanted = stored(members.select("line_id").distinct(), "line-wanted")
+    signatures = stored(_signatures(lines, rules), "line-signatures")
+    keys = [F.xxhash64(F.lit(b), *rules.minima[b * rules.rows : (b + 1) * rules.rows]) for b in range(rules.bands)]
+    bands = signatures.select("line_id", F.explode(F.array(*keys)).alias("band"))
+    hubs = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("line_id").alias("least"), F.max("line_id").alias("most"))
+    members = stored(bands.join(hubs.filter("n > 1"), "band"), "line-members")
+    likely = stored(_pairs_of_bands(members, signatures, rules), "line-pairs")
+
+    crowds = members.filter(F.col("n") > rules.crowd)
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("line_id")).union(crowds.select("line_id")).distinct()
+    wanted = stored(wanted, "line-wanted")
     small = fits(wanted, rules.broadcast_lines)  # else the lines' texts are shuffled
-    sets = lines.select("line_id", "line").join(F.broadcast(wanted) if small else wanted, "line_id", "left_semi")
-    sets = sets.dropDuplicates(["line_id"])
-    hashed = F.array_distinct(F.transform(shingles(F.col("line"), rules), lambda s: F.xxhash64(s)))
-    sets = stored(sets.select("line_id", hashed.alias("hashes")), "line-sets")
-
-    judged = stored(_alike(stars.select("a", "b").distinct(), sets, rules), "line-stars")
-    missed = stars.join(judged.filter("NOT alike").select("a", "b"), ["a", "b"])
-    missed = stored(missed.select("band", F.col("b").alias("x"), "z"), "line-missed")
-    crowds = members.join(missed.select("band").distinct(), "band", "left_semi").select("band", "line_id")
-    also = members.select(F.col("line_id").alias("__l"), F.col("band").alias("second"))
-    twice = crowds.join(also, (F.col("line_id") == F.col("__l")) & (F.col("band") < F.col("second")))
-    twice = twice.select("band", "second", "line_id")
-    inner = twice.groupBy("band", "second").agg(F.min("line_id").alias("a"), F.max("line_id").alias("z"))
-    inner = inner.filter("a != z")
-    lost = missed.select(F.col("x").alias("line_id")).distinct()
-    again = twice.join(lost, "line_id", "left_semi").join(inner, ["band", "second"])
-    ends = again.select(F.explode(F.array("a", "z")).alias("y"), F.col("line_id").alias("x"))
-    pairs = ends.union(missed.select("z", "x")).filter("x != y").select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
-    )
-    more = _alike(pairs.distinct(), sets, rules)
-    return judged.filter("alike").select("a", "b").union(more.filter("alike").select("a", "b"))
+    texts = lines.select("line_id", "line").join(F.broadcast(wanted) if small else wanted, "line_id", "left_semi")
+    sets = texts.dropDuplicates(["line_id"]).select("line_id", all_shingles(F.col("line"), rules).alias("hashes"))
+    sets = stored(sets, "line-sets")
+    links = stored(_alike(likely, sets, rules), "line-links")
+
+    roots = components(links)
+    placed = crowds.select("band", "line_id").join(roots.withColumnRenamed("node", "line_id"), "line_id", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "line_id"))
+    open_ = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+    lost = placed.join(open_, "band", "left_semi").select("line_id", "root").distinct()
+    more = _alike(_pairs_of_crowds(sets.join(lost, "line_id"), rules), sets, rules)
+    return links.union(more)
 
 
 def _removed(docs: DataFrame, key: str, text: str, rules: LineRules) -> DataFrame:
     """(doc, body, gone): the places of the lines that go, for texts that lose any."""
-    lines = _lines(docs, key, text, rules)
+    lines = _lines(docs, key, text)
     roots = components(line_links(lines, rules))
+    places = stored(lines.drop("line"), "line-places")
     place = F.struct(F.col("doc").isNull().alias("null"), "doc", "body", "at")
-    kinds = lines.groupBy("line_id", "other").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    kinds = places.groupBy("line_id", "other").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     kinds = kinds.join(roots, F.col("line_id") == F.col("node"), "left")
     # Equal lines without a component of alike ones are a group of their own.
     own = F.when(F.col("root").isNull(), F.struct(F.col("line_id").alias("x"), F.col("other").alias("y")))
@@ -133,7 +175,7 @@ def _removed(docs: DataFrame, key: str, text: str, rules: LineRules) -> DataFram
     )
     same = F.col("root").eqNullSafe(F.col("__root")) & F.col("own").eqNullSafe(F.col("__own"))
     kept = groups.join(keep, same).select("line_id", "other", "keep")
-    gone = lines.drop("line").join(kept, ["line_id", "other"]).filter(place != F.col("keep"))
+    gone = places.join(kept, ["line_id", "other"]).filter(place != F.col("keep"))
     return gone.groupBy("doc", "body").agg(F.collect_set("at").alias("gone"))
 
 
@@ -142,8 +184,8 @@ def dedup_lines(
 ) -> DataFrame:
     """The documents without lines that equal or resemble an earlier one; all other columns as they were.
 
-    Of each component of alike lines the first stays, by key (null last), text hash and place. Blank and
-    short lines always stay. Rows equal in key and text lose the same lines. A null text stays null, a
+    Of each component of alike lines the first stays, by key (null last), text hash and place. Lines of
+    white space always stay; those shorter than a shingle go only where they equal another. Rows equal in key and text lose the same lines. A null text stays null, a
     text that loses every line is empty, an empty table stays empty. ``counts`` names a struct of the
     number of lines and of removed ones to add.
     """
