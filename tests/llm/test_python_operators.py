@@ -28,26 +28,44 @@ def test_bpe(spark, data):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == expected
 
 
-def test_bpe_odd_and_rare_words(spark, odd_docs, no_docs):
-    """Only two words are held, so nearly all come back through the join."""
+def test_bpe_odd_texts(spark, odd_docs, no_docs):
+    """One chunk for all, and one for every text, so that the same words come from many."""
     library = Tokenizer.from_file(PATH)
-    more = ["a<|endoftext|>B <|startoftext|>", "It's we'll I'M ½ ² ①", "é ΑΣ İ ǅ ﬁ", "中文字 ไทย‍ 👩‍👩‍👧", "a\x85b c　d"]
+    more = ["a<|endoftext|>B <|startoftext|>", "It's we'll I'M ½ ² ①", "é ΑΣ İ ǅ ﬁ", "中文字 ไทย‍ 👩‍👩‍👧", "a\x85b c　d"]
     docs = odd_docs.unionByName(
         spark.createDataFrame([(100 + i, t) for i, t in enumerate(more)], "doc_id long, text string"), True
     )
-    for held in (2, 1000):
-        rows = bpe.encoded_and_decoded(docs, PATH).collect() if held == 1000 else bpe.encode(
-            docs, PATH, held_words=held
-        ).collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect() if r["doc_id"] not in (None, 3)}
+    for size in (1, bpe.CHUNK_BYTES):
+        rows = bpe.encode(docs, PATH, chunk_bytes=size, decode=True).collect()
         assert len(rows) == docs.count()
-        texts = {r["doc_id"]: r["text"] or "" for r in docs.collect() if r["doc_id"] not in (None, 3)}
         for r in rows:
             if r["doc_id"] in texts:
                 ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
                 assert r["ids"] == ids, texts[r["doc_id"]][:50]
-                if held == 1000:
-                    assert r["decoded"] == library.decode(ids, skip_special_tokens=False)
+                assert r["decoded"] == library.decode(ids, skip_special_tokens=False)
     assert bpe.encode(no_docs, PATH).count() == 0
+    assert bpe.encoded_and_decoded(docs, PATH).columns == ["doc_id", "n_tokens", "ids", "decoded"]
+
+
+def test_each_distinct_word_is_encoded_once(monkeypatch):
+    """Rows come in order of their word, over batches."""
+    import pyarrow as pa
+
+    asked = []
+    plain = bpe.Splitter.encode
+    monkeypatch.setattr(bpe.Splitter, "encode", lambda self, word: asked.append(word) or plain(self, word))
+
+    class Held:
+        value = open(PATH, encoding="utf-8").read()
+
+    words = ["a", "a", "b", "b", "b", "c"]
+    batches = [
+        pa.RecordBatch.from_pydict({"of": [1] * 3, "at": pa.array([0, 1, 2], pa.int32()), "word": part})
+        for part in (words[:3], words[3:])
+    ]
+    ids = [i for b in bpe._encode(iter(batches), Held) for i in b.column("ids").to_pylist()]
+    assert asked == ["a", "b", "c"] and ids[0] == ids[1] and ids[2] == ids[3] == ids[4]
 
 
 # --- personal data: the definitions, read without care for speed

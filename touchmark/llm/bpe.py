@@ -4,27 +4,29 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from touchmark.llm.common import read, register, stored, text_or_empty
+from touchmark.llm.common import read, register, text_or_empty
+from touchmark.session import new_path
 
-#: Words whose ids every task holds: the commonest of the corpus.
-HELD_WORDS = 1 << 16
-#: Texts whose ids a task gathers before it passes them on.
-_TEXTS = 256
-#: Distinct words that a task counts before it passes its counts on.
-_FLUSH = 200_000
+#: Characters of text that a task numbers the words of at once; a longer text is a chunk of its own.
+CHUNK_BYTES = 16_000_000
+#: Texts that a task passes on at once.
+_TEXTS = 512
 
 # The tokenizer's rules for words, as its file has them.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -79,115 +81,145 @@ class Splitter:
         return [t.id for t in self.tokenizer.model.tokenize(mapped)]
 
 
-def _count(batches: Iterator[pa.RecordBatch], definition: Broadcast) -> Iterator[pa.RecordBatch]:
-    splitter, counts = Splitter(definition.value), Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(splitter.words(text))
-            if len(counts) >= _FLUSH:
-                yield _counted(counts)
-                counts = Counter()
-    if counts:
-        yield _counted(counts)
-
-
-def _counted(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"]
-    )
+def _lists(rows: list[list[int]]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype("int32")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(rows), "int32")))
 
 
-def word_table(docs: DataFrame, definition: Broadcast, text: str, most: int) -> dict[str, tuple[int, ...]]:
-    """The commonest distinct words of the corpus with their ids, at most so many, each encoded once.
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
-    All words from a frequency band upward are in it, so that a histogram of bands finds the limit.
-    """
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        splitter = Splitter(definition.value)
-        for batch in batches:
-            yield pd.DataFrame({"word": batch["word"], "ids": [splitter.encode(w) for w in batch["word"]]})
-
-    counted = docs.select(text_or_empty(text)).mapInArrow(lambda it: _count(it, definition), "word string, n long")
-    counts = stored(counted.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    band = F.floor(F.log2("n") * 16)
-    sizes = sorted(counts.groupBy(band.alias("band")).count().collect(), reverse=True)  # 16 for each doubling
-    lowest, total = None, 0
-    for row in sizes:
-        total += row["count"]
-        if total > most:
-            break
-        lowest = row["band"]
-    if lowest is None:
-        return {}
-    words = counts.filter(band >= lowest).mapInPandas(encode, "word string, ids array<int>").toArrow()
-    return dict(zip(words["word"].to_pylist(), map(tuple, words["ids"].to_pylist())))
-
-
-def _encode(batches: Iterator[pa.RecordBatch], definition: Broadcast, table: Broadcast) -> Iterator[pa.RecordBatch]:
-    """(key, ids): the ids of each text's words, in place."""
-    splitter, known = Splitter(definition.value), table.value
-    for batch in batches:
-        for part in (batch.slice(at, _TEXTS) for at in range(0, batch.num_rows, _TEXTS)):
-            rows = []
-            for text in part.column(1).to_pylist():
-                ids: list[int] = []
-                for word in splitter.words(text):
-                    ids += known.get(word) or splitter.encode(word)
-                rows.append(np.array(ids, "int32"))
-            ends = np.cumsum([0, *map(len, rows)]).astype("int32")
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["key", "ids"])
+def _unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
 
 
-def encode(
-    docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", held_words: int = HELD_WORDS
-) -> DataFrame:
-    """Per document: key, ids, as the tokenizer file encodes the whole text without special tokens added.
-
-    Words are split and counted in every task; the ``held_words`` commonest distinct ones are encoded
-    once and joined back by position from a table that all tasks hold. Rarer words are encoded where
-    they stand, so any vocabulary works in bounded memory and no position is shuffled. Null texts are
-    empty and have no ids. Every row comes back, repeated or not; an empty table gives none; other
-    columns are ignored.
-    """
-    context = docs.sparkSession.sparkContext
-    with open(path, encoding="utf-8") as file:
-        definition = context.broadcast(file.read())
-    table = context.broadcast(word_table(docs, definition, text, held_words))
-    schema = docs.select(key).schema[0]
-    source = docs.select(F.col(key).alias("key"), text_or_empty(text))
-    kind = f"key {schema.dataType.simpleString()}, ids array<int>"
-    return source.mapInArrow(lambda it: _encode(it, definition, table), kind).withColumnRenamed("key", key)
+class _Chunk:
+    """Texts as numbers of the chunk's distinct words."""
+
+    def __init__(self) -> None:
+        self.keys: list[pa.Scalar] = []
+        self.texts: list[np.ndarray] = []
+        self.words: defaultdict[str, int] = defaultdict()
+        self.words.default_factory = self.words.__len__
+        self.bytes = 0
+
+    def add(self, key: pa.Scalar, text: str, words: list[str]) -> None:
+        self.keys.append(key)
+        self.texts.append(np.fromiter(map(self.words.__getitem__, words), "int32", len(words)))
+        self.bytes += len(text) + 8
+
+    def row(self, number: int, kind: pa.DataType) -> pa.RecordBatch:
+        codes = np.concatenate(self.texts)
+        order = np.argsort(-np.bincount(codes, minlength=len(self.words)), kind="stable")
+        rank = np.empty(len(order), "int32")
+        rank[order] = np.arange(len(order))
+        codes = rank[codes]  # common words have small numbers, whose upper halves pack to nothing
+        docs = pa.table({"key": pa.array(self.keys, kind), "n": pa.array(list(map(len, self.texts)), pa.int64())})
+        halves = pa.table({"low": (codes & 0xFFFF).astype("uint16"), "high": (codes >> 16).astype("uint16")})
+        words = pa.array(list(self.words), pa.string()).take(pa.array(order))
+        one = {
+            "chunk": pa.array([number], pa.int64()),
+            "docs": pa.array([_packed(docs)], pa.binary()),
+            "codes": pa.array([_packed(halves)], pa.binary()),
+            "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
+        }
+        return pa.RecordBatch.from_pydict(one)
 
 
-def decoder(spark: SparkSession, path: str):
-    """A function from a column of ids to text, special tokens included.
+def _split(batches: Iterator[pa.RecordBatch], definition: Broadcast, size: int) -> Iterator[pa.RecordBatch]:
+    splitter, number, chunk = Splitter(definition.value), TaskContext.get().partitionId() << 32, _Chunk()
+    for batch in batches:
+        for key, text in zip(batch.column(0), batch.column(1).to_pylist()):
+            chunk.add(key, text, splitter.words(text))
+            if chunk.bytes >= size:
+                yield chunk.row(number, batch.schema[0].type)
+                number, chunk = number + 1, _Chunk()
+    if chunk.keys:
+        yield chunk.row(number, batch.schema[0].type)
+
+
+def _encode(batches: Iterator[pa.RecordBatch], definition: Broadcast) -> Iterator[pa.RecordBatch]:
+    """(chunk, at, ids) from rows in order of their word: each distinct word is encoded once."""
+    splitter, last, ids = Splitter(definition.value), None, []
+    for batch in batches:
+        rows = []
+        for word in batch.column("word").to_pylist():
+            if word != last:
+                last, ids = word, splitter.encode(word)
+            rows.append(ids)
+        yield pa.RecordBatch.from_arrays([batch.column("of"), batch.column("at"), _lists(rows)], ["of", "at", "ids"])
+
 
-    The pieces, a table bounded by the file, stand in an array by id, so looking one up is a join by id.
+def encode(
+    docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES,
+    decode: bool = False,
+) -> DataFrame:
+    """Per document: key, ids, as the tokenizer file encodes the whole text without special tokens added;
+    and ``decoded``, the pieces of the ids, if asked for.
+
+    Tasks split texts and number the distinct words of a chunk of documents. The corpus' words meet in a
+    shuffle, a row per chunk and word, where each distinct word is encoded once; its ids join back by
+    (chunk, number), and the texts, as numbers, look their ids up by position. Only a chunk's distinct
+    words travel, so the commonest word is one row per chunk. Chunks stand in a table bucketed by their
+    number, so they aren't shuffled either. Null texts are empty and have no ids. Every row comes back,
+    repeated or not; an empty table gives none; other columns are ignored.
     """
+    spark = docs.sparkSession
+    with open(path, encoding="utf-8") as file:
+        definition = spark.sparkContext.broadcast(file.read())
+    source = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
+    chunks = source.mapInArrow(
+        lambda it: _split(it, definition, chunk_bytes), "chunk long, docs binary, codes binary, words array<string>"
+    )
+    name = f"bpe_chunks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks.write.bucketBy(buckets, "chunk").option("path", new_path(spark, name)).saveAsTable(name)
+    chunks = spark.table(name)
+
+    words = chunks.select(F.col("chunk").alias("of"), F.posexplode("words").alias("at", "word"))
+    words = words.repartition("word").sortWithinPartitions("word")
+    ids = words.mapInArrow(lambda it: _encode(it, definition), "of long, at int, ids array<int>")
+    pieces = spark.sparkContext.broadcast(_pieces(path)) if decode else None
+
+    def lay_out(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        rows, codes = (_unpacked(chunk[c][0].as_py()) for c in ("docs", "codes"))
+        place = np.argsort(found["at"].to_numpy())
+        lists = found["ids"].combine_chunks().take(pa.array(place)) if len(place) else _lists([])
+        word = codes["low"].to_numpy().astype("int32") | (codes["high"].to_numpy().astype("int32") << 16)
+        lists = lists.take(pa.array(word))
+        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        ends = pa.array(ends[np.concatenate([[0], np.cumsum(rows["n"].to_numpy())])].astype("int32"))
+        flat = lists.flatten()
+        out = {"key": rows["key"], "ids": pa.ListArray.from_arrays(ends, flat)}
+        if pieces is not None:
+            # The join by id, against the table of all pieces in the order of their ids.
+            out["decoded"] = pc.binary_join(pa.ListArray.from_arrays(ends, pa.array(pieces.value).take(flat)), " ")
+        return pa.Table.from_batches(pa.table(out).to_batches(max_chunksize=_TEXTS))
+
+    schema = f"key {source.schema['key'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decode
+    left = chunks.select("chunk", "docs", "codes").groupBy("chunk")
+    return left.cogroup(ids.groupBy("of")).applyInArrow(lay_out, schema).withColumnRenamed("key", key)
+
+
+def _pieces(path: str) -> list[str]:
+    """The piece of every id, special tokens included: a table bounded by the file."""
     tokenizer = Tokenizer.from_file(path)
     if tokenizer.decoder is not None:
         raise ValueError("only tokenizers without a decoder of their own, whose pieces are set apart by spaces")
     pieces: list[str] = [""] * (max(tokenizer.get_vocab().values(), default=-1) + 1)
     for piece, i in tokenizer.get_vocab().items():
         pieces[i] = piece
-    shared = spark.sparkContext.broadcast(pieces)
-
-    @F.pandas_udf("string")
-    def decode(ids: pd.Series) -> pd.Series:
-        table = shared.value
-        return ids.map(lambda row: " ".join(map(table.__getitem__, row.tolist())))
-
-    return decode
+    return pieces
 
 
 def encoded_and_decoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: key, n_tokens, ids, decoded."""
-    rows = encode(docs, path, key, text)
-    return rows.select(
-        key, F.size("ids").cast("long").alias("n_tokens"), "ids", decoder(docs.sparkSession, path)("ids").alias("decoded")
-    )
+    rows = encode(docs, path, key, text, decode=True)
+    return rows.select(key, F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 @register("op7_bpe_words")
