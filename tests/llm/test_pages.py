@@ -37,6 +37,33 @@ def test_blocks():
     assert html.main_text("<p>a<p>b<!-- c --><nav>d") == "a\n\nb"
 
 
+def test_names_of_containers():
+    """Whole words name an aside, and only outside of an article; none hides the page's main text."""
+    text = html.main_text
+    assert text('<article><div class="entry-header"><h1>Title</h1></div><p>body</p></article>') == "Title\n\nbody"
+    assert text('<article><h2 id="related-work">A</h2><p id="ad-hoc-nets">b</p></article>') == "A\n\nb"
+    assert text('<article><section id="social-history">past</section></article>') == "past"
+    assert text('<div class="page-with-sidebar"><p>whole page</p></div>') == "whole page"
+    assert text('<div class="sidebar"><article>a</article></div>') == "a"
+    assert text('<form id="aspnetForm"><div><main>a<form>b</form></main></div></form>') == "a"
+    assert text('<div class="related"><article>teaser</article></div><article>a</article>') == "a"
+    assert text('<nav><article>a</article></nav>') == ""
+    assert text('<div class="site-header">x</div><div class="cookie-banner">y</div><p>z</p>') == "z"
+    assert text('<article>a<div class="comments"><article>b</article></div></article>') == "a"
+
+
+def test_broken_markup():
+    """Linear in the page, whatever does not end."""
+    import time
+
+    text = html.main_text
+    assert text("a <b c <i>d</i>") == "a d" and text('x <a href="y>z</a> w') == "x z w" and text("a < b & c") == "a < b & c"
+    start = time.process_time()
+    for part in ("<a ", "<script ", "<!", "<a '", '<a "x', "</b>", "<b>", "<div><i></div>", "&", "<p class=a ", "<li>"):
+        text(part * (1_000_000 // len(part)))
+    assert time.process_time() - start < 60
+
+
 def test_figures():
     page = "<article><p>a</p><figure><table><tr><td>b</td></tr></table><figcaption>c</figcaption></figure>d</article>"
     assert html.main_text(page) == "a\n\nb\n\nc\n\nd"
