@@ -109,13 +109,24 @@ def test_odd_characters(spark, libraries):
         )
 
 
+def test_ranks_give_what_the_file_gives(libraries):
+    """The merges by rank against the library that reads the file: every piece, and random runs of letters."""
+    pair = alignment.Pair(open(A_FILE, encoding="utf-8").read(), open(B_FILE, "rb").read())
+    rng = random.Random(1)
+    texts = [libraries[0].decode([i]) for i in range(libraries[0].get_vocab_size())]
+    texts += ["".join(rng.choices("etaoinshrdlu", k=rng.randint(1, 30))) for _ in range(20000)]
+    texts += [" ".join(rng.choices(texts, k=6)) for _ in range(5000)] + odd_texts()
+    found = libraries[0].encode_batch([" " + t for t in texts], add_special_tokens=False)
+    assert [e.ids for e in found] == [pair.a.encode_ordinary(" " + t) for t in texts]
+
+
 def test_groups_of_many_tokens(libraries, monkeypatch):
     """Links of large groups, spelled out in slices, add up."""
     texts = odd_texts()[:150]
     pair = alignment.Pair(open(A_FILE, encoding="utf-8").read(), open(B_FILE, "rb").read())
-    whole = alignment.links_of(*alignment.tokens_of(texts, pair), pair)[1]
+    whole = alignment.aligned(texts, pair)[1]
     monkeypatch.setattr(alignment, "_LINKS", 3)
-    sliced = alignment.links_of(*alignment.tokens_of(texts, pair), pair)[1]
+    sliced = alignment.aligned(texts, pair)[1]
     order = [("doc", "ascending"), ("pair", "ascending")]
     assert whole.sort_by(order).equals(sliced.sort_by(order))
 

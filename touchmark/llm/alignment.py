@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -14,20 +13,22 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from touchmark.llm.common import read, register, stored
 
 #: Bytes of text that a task aligns at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 #: Links of groups with several tokens that are spelled out at once.
 _LINKS = 2_000_000
 _SHIFT = 32
 
+# Fixed value: how a byte-level tokenizer file of this kind cuts a text before its merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: No token of either tokenizer reaches over a single space between characters that are not blank.
 _UNIT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -43,44 +44,48 @@ class Pair:
     """Two tokenizers: a byte-level BPE file (A) and a sentencepiece model (B), both applied to space+text."""
 
     def __init__(self, definition: str, model: bytes) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to the other tasks
         parts = json.loads(definition)
-        before = parts["pre_tokenizer"]
+        before, vocabulary = parts["pre_tokenizer"], parts["model"]["vocab"]
         if parts["normalizer"] or before["type"] != "ByteLevel" or not before["use_regex"] or before["add_prefix_space"]:
             raise ValueError("not a plain byte-level tokenizer")
-        self.a = Tokenizer.from_str(definition)
-        self.a.encode_special_tokens = True
+        merges = [m if isinstance(m, list) else m.split(" ") for m in parts["model"]["merges"]]
+        made = [vocabulary["".join(m)] for m in merges]
+        if made != sorted(made) or parts["model"]["ignore_merges"]:
+            raise ValueError("merges that are not in the order of their ids")
+        # The ids are the ranks of the merges then; special tokens are not among them, so their strings are plain text.
+        table = _byte_level()
+        ranks = {bytes(table[c] for c in piece): i for piece, i in vocabulary.items() if all(c in table for c in piece)}
+        special = {t["content"] for t in parts["added_tokens"]}
+        ranks = {piece: i for piece, i in ranks.items() if piece.decode("utf-8", "replace") not in special}
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any("▁" in piece.lstrip("▁") for piece in pieces):
             raise ValueError("a model whose pieces reach over spaces")
-        table = _byte_level()
-        self.a_bytes = [b""] * (max(self.a.get_vocab().values()) + 1)
-        for piece, i in self.a.get_vocab().items():
-            # An added token is written as it is; it never comes out of a text here.
-            self.a_bytes[i] = bytes(table[c] for c in piece) if all(c in table for c in piece) else piece.encode()
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(pieces)
         ]
-        self.a_lengths = np.array([len(x) for x in self.a_bytes], "int64")
+        self.a_lengths = np.zeros(max(ranks.values()) + 1, "int64")
+        self.a_lengths[list(ranks.values())] = list(map(len, ranks))
         self.b_lengths = np.array([len(x) for x in self.b_bytes], "int64")
-        names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        names = [str(i) for i in range(max(len(self.a_lengths), len(self.b_bytes)))]
         self.n_names = len(names)
         self.names = pa.array([sign + name for sign in ",;|" for name in names])
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """Ids of both for space+unit each, and whether both give its bytes back."""
+    def encode(self, units: list[str]) -> tuple[pa.ListArray, pa.ListArray, np.ndarray]:
+        """Ids of both for space+unit each, and whether B gives its bytes back; no ids where it doesn't.
+
+        A always does: its merges start from the bytes.
+        """
         spaced = [" " + u for u in units]
-        a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        a = list(map(self.a.encode_ordinary, spaced))
         b = self.b.encode(units, num_threads=1) if units else []
-        same = []
-        for text, x, y in zip(spaced, a, b):
-            body = text.encode()
-            same.append(
-                b"".join(map(self.a_bytes.__getitem__, x)) == body and b"".join(map(self.b_bytes.__getitem__, y)) == body
-            )
-        return a, b, np.array(same, bool)
+        piece = self.b_bytes.__getitem__
+        same = [b"".join(map(piece, ids)) == text.encode() for text, ids in zip(spaced, b)]
+        for i in [i for i, good in enumerate(same) if not good]:
+            a[i] = b[i] = []
+        return _lists(a), _lists(b), np.array(same, bool)
 
 
 def _lists(rows: list[list[int]]) -> pa.ListArray:
@@ -88,28 +93,6 @@ def _lists(rows: list[list[int]]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(rows), "int32")))
 
 
-def tokens_of(texts: list[str | None], pair: Pair) -> tuple[pa.ListArray, pa.ListArray]:
-    """Both token lists of each text; none for texts that are null, empty or not given back.
-
-    Each distinct unit of the texts is encoded once; its ids are laid out at all its places.
-    """
-    units = [_UNIT.split(t) if t else [] for t in texts]
-    sizes = np.fromiter(map(len, units), "int64", len(units))
-    coded = pa.array(list(chain.from_iterable(units)), pa.string()).dictionary_encode()
-    a, b, same = pair.encode(coded.dictionary.to_pylist())
-    unit, text = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), sizes)
-    bad = np.zeros(len(texts), bool)
-    bad[text[~same[unit]]] = True
-    unit, text = unit[~bad[text]], text[~bad[text]]
-    both = []
-    for rows in (a, b):
-        lists = _lists(rows).take(pa.array(unit))
-        ends = np.cumsum(np.bincount(text, lists.value_lengths().to_numpy(), len(texts)).astype("int64"))
-        offsets = np.concatenate([[0], ends]).astype("int32")
-        both.append(pa.ListArray.from_arrays(pa.array(offsets), lists.flatten()))
-    return both[0], both[1]
-
-
 def _ends(tokens: pa.ListArray, lengths: np.ndarray) -> pa.Table:
     """(doc, end, id) of every token, ``end`` being its byte offset inside the document."""
     ids, doc = pc.list_flatten(tokens), pc.list_parent_indices(tokens)
@@ -133,7 +116,7 @@ def _summed(doc, pair, n) -> pa.Table:
 def links_of(a: pa.ListArray, b: pa.ListArray, pair: Pair) -> tuple[pa.Table, pa.Table]:
     """Per text: n_a, n_b, n_groups, n_links and the groups as text; and (doc, pair, n): links by id pair.
 
-    A and B tokens of a document end at the same bytes where an Acero join on (document, end) says so;
+    A and B tokens of a text end at the same bytes where an Acero join on (document, end) says so;
     those ends cut both into groups. Inside a group only distinct ids meet, with their counts.
     """
     ta, tb = _ends(a, pair.a_lengths), _ends(b, pair.b_lengths)
@@ -185,6 +168,43 @@ def links_of(a: pa.ListArray, b: pa.ListArray, pair: Pair) -> tuple[pa.Table, pa
     return texts, links
 
 
+def aligned(texts: list[str | None], pair: Pair) -> tuple[pa.Table, pa.Table]:
+    """``links_of`` whole texts; those that are null, empty or not given back by B have no tokens.
+
+    Neither tokenizer's tokens reach over the ends of the texts' units, so groups don't either: each distinct
+    unit is encoded and aligned once, as a document of its own, and laid out at all its places.
+    """
+    units = [_UNIT.split(t) if t else [] for t in texts]
+    sizes = np.fromiter(map(len, units), "int64", len(units))
+    coded = pa.array(list(chain.from_iterable(units)), pa.string()).dictionary_encode()
+    del units
+    a, b, same = pair.encode(coded.dictionary.to_pylist())
+    rows, links = links_of(a, b, pair)
+    unit, doc = coded.indices.to_numpy().astype("int64"), np.repeat(np.arange(len(texts)), sizes)
+    bad = np.zeros(len(texts), bool)
+    bad[doc[~same[unit]]] = True
+    unit, doc = unit[~bad[doc]], doc[~bad[doc]]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))]).astype("int32")
+    numbers = {
+        # Whole numbers, and far below 2^53.
+        c: np.bincount(doc, rows[c].to_numpy()[unit].astype("float64"), len(texts)).astype("int64")
+        for c in ("n_a", "n_b", "n_groups", "n_links")
+    }
+    groups = rows["groups"].combine_chunks().take(pa.array(unit))
+    whole = pa.table({**numbers, "groups": pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), groups), ";")})
+
+    # The links of a unit, once for each document that has it, times its places there.
+    links = links.sort_by("doc")
+    n, first = _runs(links["doc"].to_numpy(), len(rows))
+    code, times = np.unique(doc * max(len(rows), 1) + unit, return_counts=True)
+    doc, unit = code // max(len(rows), 1), code % max(len(rows), 1)
+    each = n[unit]
+    at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first[unit], each)
+    return whole, _summed(
+        np.repeat(doc, each), links["pair"].to_numpy()[at], links["n"].to_numpy()[at] * np.repeat(times, each)
+    )
+
+
 def _packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -197,7 +217,7 @@ def _unpacked(data: bytes) -> pa.Table:
 
 
 def _chunk(number: int, keys: pa.Array, texts: list[str | None], pair: Pair, groups: bool) -> pa.RecordBatch:
-    rows, links = links_of(*tokens_of(texts, pair), pair)
+    rows, links = aligned(texts, pair)
     told = rows["groups"].to_pylist()
     rows = rows.append_column(
         "groups_sha256", pa.array([hashlib.sha256(x.encode()).hexdigest() if x else "" for x in told], pa.string())
