@@ -39,9 +39,11 @@ class LineRules:
 
 
 def shingles(line: Column, rules: LineRules) -> Column:
-    """The shingles that bands are made of."""
+    """The shingles that bands are made of. Few lines have a run of letters long enough for the longer pattern."""
     k = rules.shingle
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?:(?<![A-Za-z])|(?<=[A-Za-z]{{{k}}}))(?=(.{{{k}}}))"), F.lit(1))
+    words = F.regexp_extract_all(line, F.lit(f"(?s)(?<![A-Za-z])(?=(.{{{k}}}))"), F.lit(1))
+    runs = F.regexp_extract_all(line, F.lit(f"(?s)(?:(?<![A-Za-z])|(?<=[A-Za-z]{{{k}}}))(?=(.{{{k}}}))"), F.lit(1))
+    return F.when(line.rlike(f"[A-Za-z]{{{2 * k}}}"), runs).otherwise(words)
 
 
 def all_shingles(line: Column, rules: LineRules) -> Column:
@@ -77,21 +79,22 @@ def _signatures(lines: DataFrame, rules: LineRules) -> DataFrame:
     )
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, rules: LineRules) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the wanted Jaccard similarity, exactly."""
-    left = sets.select(F.col("line_id").alias("a"), F.col("hashes").alias("__x"))
-    right = sets.select(F.col("line_id").alias("b"), F.col("hashes").alias("__y"))
-    common = F.size(F.array_intersect("__x", "__y"))
-    alike = common >= rules.similarity * (F.size("__x") + F.size("__y") - common)
-    return pairs.join(left, "a").join(right, "b").filter(alike).select("a", "b")
+def _alike(pairs: DataFrame, texts: DataFrame, rules: LineRules) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the wanted Jaccard similarity, exactly.
+
+    Lines travel as text, which is shorter than their sets.
+    """
+    both = pairs.join(texts.toDF("a", "__x"), "a").join(texts.toDF("b", "__y"), "b")
+    sets = both.select("a", "b", all_shingles(F.col("__x"), rules).alias("x"), all_shingles(F.col("__y"), rules).alias("y"))
+    # A generator keeps the sets from being made again for each use.
+    counted = sets.select("a", "b", F.inline(F.array(F.struct("x", "y"))))
+    common = F.size(F.array_intersect("x", "y"))
+    counted = counted.select("a", "b", F.inline(F.array(F.struct(common.alias("c"), (F.size("x") + F.size("y")).alias("n")))))
+    return counted.filter(F.col("c") >= rules.similarity * (F.col("n") - F.col("c"))).select("a", "b")
 
 
-def _pairs_of_bands(members: DataFrame, signatures: DataFrame, rules: LineRules) -> DataFrame:
-    """Candidates (a, b): all pairs of small bands, and every line of a crowd with its least and greatest one."""
-    few = members.filter(F.col("n") <= rules.crowd)
-    small = few.select("band", F.col("line_id").alias("a")).join(few.select("band", F.col("line_id").alias("b")), "band")
-    stars = members.filter(F.col("n") > rules.crowd).select(F.explode(F.array("least", "most")).alias("x"), F.col("line_id").alias("y"))
-    pairs = small.select("a", "b").filter("a < b").union(stars.filter("x != y").select(F.least("x", "y"), F.greatest("x", "y")))
+def _likely(pairs: DataFrame, signatures: DataFrame, rules: LineRules) -> DataFrame:
+    """The distinct pairs (a, b) whose signatures agree in enough minima."""
     left = signatures.select(F.col("line_id").alias("a"), *[F.col(m).alias(f"a{m}") for m in rules.minima])
     right = signatures.select(F.col("line_id").alias("b"), *[F.col(m).alias(f"b{m}") for m in rules.minima])
     equal = sum(((F.col(f"a{m}") == F.col(f"b{m}")).cast("int") for m in rules.minima), F.lit(0))
@@ -99,7 +102,7 @@ def _pairs_of_bands(members: DataFrame, signatures: DataFrame, rules: LineRules)
 
 
 def _pairs_of_crowds(sets: DataFrame, rules: LineRules) -> DataFrame:
-    """Candidates (a, b) among the lines (line_id, root, hashes), of different roots, by their rarest shingles.
+    """Candidates (a, b) among the lines (line_id, root, hashes) of different roots, by their rarest shingles.
 
     Sets sorted by rarity can only be alike if the first few of both have one in common, at a place that
     leaves enough to follow: few enough for the smaller set that text which a whole crowd shares is rarely
@@ -128,9 +131,9 @@ def _pairs_of_crowds(sets: DataFrame, rules: LineRules) -> DataFrame:
 def line_links(lines: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """Links (a, b) of alike line ids, enough to join the groups of lines that share bands.
 
-    Bands of up to ``crowd`` lines have all their pairs verified. In a larger one every line is held against
-    two of its lines; if that leaves it in several components, its lines are joined on rare shingles, which
-    finds every alike pair between components. So a crowd around one text costs its size, and lines that
+    Every line of a band is held against the band's least and greatest line first. Where that leaves a band in
+    several components, all pairs between them are verified if it has up to ``crowd`` lines; the lines of larger bands are
+    joined on rare shingles, which finds every alike pair. So a crowd around one text costs its size, and lines that
     share a passage meet only those that share more.
     """
     signatures = stored(_signatures(lines, rules), "line-signatures")
@@ -138,24 +141,28 @@ def line_links(lines: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     bands = signatures.select("line_id", F.explode(F.array(*keys)).alias("band"))
     hubs = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("line_id").alias("least"), F.max("line_id").alias("most"))
     members = stored(bands.join(hubs.filter("n > 1"), "band"), "line-members")
-    likely = stored(_pairs_of_bands(members, signatures, rules), "line-pairs")
-
-    crowds = members.filter(F.col("n") > rules.crowd)
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("line_id")).union(crowds.select("line_id")).distinct()
-    wanted = stored(wanted, "line-wanted")
+    wanted = stored(members.select("line_id").distinct(), "line-wanted")
     small = fits(wanted, rules.broadcast_lines)  # else the lines' texts are shuffled
     texts = lines.select("line_id", "line").join(F.broadcast(wanted) if small else wanted, "line_id", "left_semi")
-    sets = texts.dropDuplicates(["line_id"]).select("line_id", all_shingles(F.col("line"), rules).alias("hashes"))
-    sets = stored(sets, "line-sets")
-    links = stored(_alike(likely, sets, rules), "line-links")
+    texts = stored(texts.dropDuplicates(["line_id"]), "line-texts")
+
+    stars = members.select(F.explode(F.array("least", "most")).alias("x"), F.col("line_id").alias("y")).filter("x != y")
+    stars = stars.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    links = stored(_alike(_likely(stars, signatures, rules), texts, rules), "line-links")
 
-    roots = components(links)
-    placed = crowds.select("band", "line_id").join(roots.withColumnRenamed("node", "line_id"), "line_id", "left")
+    roots = components(links).withColumnRenamed("node", "line_id")
+    placed = members.filter("n > 2").select("band", "n", "line_id").join(roots, "line_id", "left")
     placed = placed.withColumn("root", F.coalesce("root", "line_id"))
-    open_ = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    lost = placed.join(open_, "band", "left_semi").select("line_id", "root").distinct()
-    more = _alike(_pairs_of_crowds(sets.join(lost, "line_id"), rules), sets, rules)
-    return links.union(more)
+    split = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+    placed = stored(placed.join(split, "band", "left_semi"), "line-split-bands")
+    few = placed.filter(F.col("n") <= rules.crowd)
+    x = few.select("band", F.col("line_id").alias("a"), F.col("root").alias("root_a"))
+    y = few.select("band", F.col("line_id").alias("b"), F.col("root").alias("root_b"))
+    pairs = x.join(y, "band").filter("a < b AND root_a != root_b").select("a", "b")
+    lost = placed.filter(F.col("n") > rules.crowd).select("line_id", "root").distinct()
+    sets = texts.join(lost, "line_id").select("line_id", "root", all_shingles(F.col("line"), rules).alias("hashes"))
+    more = _likely(pairs, signatures, rules).union(_pairs_of_crowds(sets, rules)).distinct()
+    return links.union(_alike(more, texts, rules))
 
 
 def _removed(docs: DataFrame, key: str, text: str, rules: LineRules) -> DataFrame:
