@@ -62,6 +62,8 @@ class Boilerplate:
     anchor: int = 6
     #: Bytes of tokens that are laid end to end in one suffix array; those of more are dealt to several.
     array_bytes: int = 2_000_000
+    #: Bytes of the tables that are broadcast instead of shuffling the pages.
+    broadcast_bytes: int = 32_000_000
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
@@ -363,6 +365,12 @@ def _decided(batches: Iterator[pa.RecordBatch], rules: Boilerplate) -> Iterator[
         yield flush()
 
 
+def _small(table: DataFrame, lists: str, rules: Boilerplate) -> DataFrame:
+    """The table, broadcast if its rows and their lists are few enough, so that the pages aren't shuffled for it."""
+    rows, items = table.agg(F.count("*"), F.sum(F.size(lists))).first()
+    return F.broadcast(table) if 64 * rows + 4 * (items or 0) <= rules.broadcast_bytes else table
+
+
 def _repeated(parsed: DataFrame, rules: Boilerplate) -> DataFrame:
     """(host, page, starts): where runs start, in flat streams, that several pages of a host have, once outside main text.
 
@@ -376,7 +384,7 @@ def _repeated(parsed: DataFrame, rules: Boilerplate) -> DataFrame:
     )
     shared = stored(kinds.filter("least != most AND outside").select("anchor"), "anchors")
     hits = places.join(shared, "anchor", "left_semi").groupBy("host", "page").agg(F.collect_set("at").alias("ats"))
-    windows = parsed.join(hits, ["host", "page"]).select("host", "page", "texts", "zones", "ats").mapInArrow(
+    windows = parsed.join(_small(stored(hits, "hits"), "ats", rules), ["host", "page"]).select("host", "page", "texts", "zones", "ats").mapInArrow(
         lambda it: _windows(it, rules), "anchor long, window binary, host long, page long, start int, outside boolean"
     )
     windows = stored(windows, "windows")
@@ -427,7 +435,8 @@ def extract(
     schema = f"key {kinds['key']}, url {kinds['url']}"
     parsed = rows.mapInArrow(_parsed, f"{schema}, host long, page long, texts array<string>, zones array<string>")
     parsed = stored(parsed, "pages")
-    found = parsed.join(_repeated(parsed, rules), ["host", "page"], "left").select("key", "url", "texts", "zones", "starts")
+    ranges = stored(_repeated(parsed, rules), "repeated")
+    found = parsed.join(_small(ranges, "starts", rules), ["host", "page"], "left").select("key", "url", "texts", "zones", "starts")
     texts = found.mapInArrow(lambda it: _texts(it, rules.run), f"{schema}, text string")
     result = texts.select(F.col("key").alias(key), F.col("url").alias(url), "text")
     return result.withColumn("n_chars", F.char_length("text").cast("long"))
