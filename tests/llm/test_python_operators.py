@@ -61,11 +61,16 @@ def test_each_distinct_word_is_encoded_once(monkeypatch):
 
     words = ["a", "a", "b", "b", "b", "c"]
     batches = [
-        pa.RecordBatch.from_pydict({"of": [1] * 3, "at": pa.array([0, 1, 2], pa.int32()), "word": part})
-        for part in (words[:3], words[3:])
+        pa.RecordBatch.from_pydict({"of": [1] * 3, "at": pa.array(at, pa.int32()), "word": part})
+        for at, part in (([1, 0, 2], words[:3]), ([3, 4, 5], words[3:]))
     ]
-    ids = [i for b in bpe._encode(iter(batches), Held) for i in b.column("ids").to_pylist()]
-    assert asked == ["a", "b", "c"] and ids[0] == ids[1] and ids[2] == ids[3] == ids[4]
+    for words_at_once in (1, 10):
+        monkeypatch.setattr(bpe, "_WORDS", words_at_once)
+        found = list(bpe._encode(iter(batches), Held))
+        assert len(found) == (2 if words_at_once == 1 else 1)
+        ids = bpe._found(x for b in found for x in b.column("found").to_pylist()).to_pylist()
+        assert asked == ["a", "b", "c"] and ids[0] == ids[1] and ids[2] == ids[3] == ids[4] and len(ids) == 6
+        asked.clear()
 
 
 # --- personal data: the definitions, read without care for speed

@@ -23,6 +23,8 @@ from touchmark.llm.common import read, register, stored
 
 #: Bytes of text that a task aligns at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 4_000_000
+#: Texts that a task takes out of a batch at once.
+_TEXTS = 256
 #: Links of groups with several tokens that are spelled out at once.
 _LINKS = 2_000_000
 _SHIFT = 32
@@ -239,13 +241,14 @@ def _aligned(batches: Iterator[pa.RecordBatch], files: Broadcast, size: int, gro
     pair, number = Pair(*files.value), TaskContext.get().partitionId() << 32
     keys, texts, held = [], [], 0
     for batch in batches:
-        for key, text in zip(batch.column(0), batch.column(1).to_pylist()):
-            keys.append(key)
-            texts.append(text)
-            held += len(text.encode()) + 8 if text else 8
-            if held >= size:
-                yield _chunk(number, pa.array(keys, batch.schema[0].type), texts, pair, groups)
-                keys, texts, held, number = [], [], 0, number + 1
+        for part in (batch.slice(at, _TEXTS) for at in range(0, batch.num_rows, _TEXTS)):
+            for key, text in zip(part.column(0), part.column(1).to_pylist()):
+                keys.append(key)
+                texts.append(text)
+                held += len(text.encode()) + 8 if text else 8
+                if held >= size:
+                    yield _chunk(number, pa.array(keys, batch.schema[0].type), texts, pair, groups)
+                    keys, texts, held, number = [], [], 0, number + 1
     if keys:
         yield _chunk(number, pa.array(keys, batch.schema[0].type), texts, pair, groups)
 

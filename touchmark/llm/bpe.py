@@ -6,7 +6,7 @@ import json
 import re
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -24,9 +24,11 @@ from touchmark.llm.common import read, register, text_or_empty
 from touchmark.session import new_path
 
 #: Characters of text that a task numbers the words of at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 16_000_000
-#: Texts that a task passes on at once.
+CHUNK_BYTES = 12_000_000
+#: Texts that a task passes on, or takes out of a batch, at once.
 _TEXTS = 512
+#: Words whose ids a task gathers by chunk before it passes them on.
+_WORDS = 1_000_000
 
 # The tokenizer's rules for words, as its file has them.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -133,25 +135,64 @@ class _Chunk:
 def _split(batches: Iterator[pa.RecordBatch], definition: Broadcast, size: int) -> Iterator[pa.RecordBatch]:
     splitter, number, chunk = Splitter(definition.value), TaskContext.get().partitionId() << 32, _Chunk()
     for batch in batches:
-        for key, text in zip(batch.column(0), batch.column(1).to_pylist()):
-            chunk.add(key, text, splitter.words(text))
-            if chunk.bytes >= size:
-                yield chunk.row(number, batch.schema[0].type)
-                number, chunk = number + 1, _Chunk()
+        for part in (batch.slice(at, _TEXTS) for at in range(0, batch.num_rows, _TEXTS)):
+            for key, text in zip(part.column(0), part.column(1).to_pylist()):
+                chunk.add(key, text, splitter.words(text))
+                if chunk.bytes >= size:
+                    yield chunk.row(number, batch.schema[0].type)
+                    number, chunk = number + 1, _Chunk()
     if chunk.keys:
         yield chunk.row(number, batch.schema[0].type)
 
 
 def _encode(batches: Iterator[pa.RecordBatch], definition: Broadcast) -> Iterator[pa.RecordBatch]:
-    """(chunk, at, ids) from rows in order of their word: each distinct word is encoded once."""
+    """(of, found) from rows in order of their word: each distinct word is encoded once.
+
+    ``found`` packs the numbers and ids of a chunk's words, for rows of their own would take several times the room.
+    """
     splitter, last, ids = Splitter(definition.value), None, []
+    held: list[tuple[np.ndarray, np.ndarray, pa.ListArray]] = []
+
+    def flush() -> pa.RecordBatch:
+        of, at = (np.concatenate(c) for c in list(zip(*held))[:2])
+        lists = pa.concat_arrays([x for *_, x in held])
+        order = np.lexsort((at, of))
+        of, at, lists = of[order], at[order], lists.take(pa.array(order))
+        firsts = np.flatnonzero(np.diff(of, prepend=of[0] - 1))
+        packed = []
+        for low, high in zip(firsts, [*firsts[1:], len(of)]):
+            part = lists.slice(low, high - low)
+            sizes = pa.table({"step": np.diff(at[low:high], prepend=0).astype("int32"), "n": part.value_lengths()})
+            packed.append(_packed(sizes) + _packed(pa.table({"ids": part.flatten()})))
+        return pa.RecordBatch.from_arrays([pa.array(of[firsts]), pa.array(packed, pa.binary())], ["of", "found"])
+
+    n = 0
     for batch in batches:
         rows = []
         for word in batch.column("word").to_pylist():
             if word != last:
                 last, ids = word, splitter.encode(word)
             rows.append(ids)
-        yield pa.RecordBatch.from_arrays([batch.column("of"), batch.column("at"), _lists(rows)], ["of", "at", "ids"])
+        if rows:
+            held.append((batch.column("of").to_numpy(), batch.column("at").to_numpy(), _lists(rows)))
+        n += len(rows)
+        if n >= _WORDS:
+            yield flush()
+            held, n = [], 0
+    if held:
+        yield flush()
+
+
+def _found(packs: Iterable[bytes]) -> pa.ListArray:
+    """The ids of a chunk's words, in the order of their numbers, from all that was found of them."""
+    places, lists = [np.zeros(0, "int64")], [_lists([])]
+    for data in packs:
+        stream = pa.BufferReader(data)
+        sizes, ids = pa.ipc.open_stream(stream).read_all(), pa.ipc.open_stream(stream).read_all()
+        places.append(np.cumsum(sizes["step"].to_numpy().astype("int64")))
+        ends = np.concatenate([[0], np.cumsum(sizes["n"].to_numpy())]).astype("int32")
+        lists.append(pa.ListArray.from_arrays(pa.array(ends), ids["ids"].combine_chunks()))
+    return pa.concat_arrays(lists).take(pa.array(np.argsort(np.concatenate(places))))
 
 
 def encode(
@@ -177,18 +218,18 @@ def encode(
     )
     name = f"bpe_chunks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks.write.bucketBy(buckets, "chunk").option("path", new_path(spark, name)).saveAsTable(name)
+    target = {"path": new_path(spark, name), "compression": "zstd"}
+    chunks.write.bucketBy(buckets, "chunk").options(**target).saveAsTable(name)
     chunks = spark.table(name)
 
     words = chunks.select(F.col("chunk").alias("of"), F.posexplode("words").alias("at", "word"))
     words = words.repartition("word").sortWithinPartitions("word")
-    ids = words.mapInArrow(lambda it: _encode(it, definition), "of long, at int, ids array<int>")
+    ids = words.mapInArrow(lambda it: _encode(it, definition), "of long, found binary")
     pieces = spark.sparkContext.broadcast(_pieces(path)) if decode else None
 
     def lay_out(chunk: pa.Table, found: pa.Table) -> pa.Table:
         rows, codes = (_unpacked(chunk[c][0].as_py()) for c in ("docs", "codes"))
-        place = np.argsort(found["at"].to_numpy())
-        lists = found["ids"].combine_chunks().take(pa.array(place)) if len(place) else _lists([])
+        lists = _found(found["found"].to_pylist())
         word = codes["low"].to_numpy().astype("int32") | (codes["high"].to_numpy().astype("int32") << 16)
         lists = lists.take(pa.array(word))
         ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
