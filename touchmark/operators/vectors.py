@@ -1,83 +1,29 @@
-"""Embedding and nearest-neighbour search by cosine distance."""
+"""Nearest-neighbour search by cosine distance: exact in blocks, and over a stored inverted file."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchmark.functions.vectors import cosine_distance, norm
 
-# A side of at most this many values is sent to every task (8 MB of doubles).
-BROADCAST_VALUES = 1_000_000
 # Distances are compared to nine decimals, equal ones by id.
 DECIMALS = 9
 #: Distances that a task holds at once.
 MATRIX_VALUES = 1 << 22
 
 
-# --- embedding -----------------------------------------------------------------------------
+@dataclass(frozen=True)
+class Search:
+    """Rows and queries that meet in one group of a search; more of a cell are dealt to several groups."""
 
-
-def embed_text(
-    df: DataFrame,
-    text: str = "content",
-    *,
-    dimensions: int = 256,
-    embed_fn: Callable[[pd.Series], list] | None = None,
-) -> DataFrame:
-    """Adds ``embedding`` and ``status`` (empty when the call succeeded).
-
-    ``embed_fn`` maps a batch of texts to vectors and runs inside the tasks; without it texts are
-    embedded as normalised hashed TF-IDF, for which only the document frequencies are gathered.
-    """
-    if embed_fn is not None:
-        return _embed_with(df, text, embed_fn)
-    # The transformers name columns of their own, which must not meet the caller's.
-    rows = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\W+").transform(rows)
-    counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dimensions).transform(words)
-    weights = IDF(inputCol="_tf", outputCol="_idf").fit(counts.select("_tf")).transform(counts)
-    unit = Normalizer(inputCol="_idf", outputCol="_unit").transform(weights)
-    vector = F.when(F.col(text).isNotNull(), vector_to_array("_unit", "float32"))
-    status = F.when(F.col(text).isNull(), "no text").otherwise("")
-    return unit.select(*df.columns, vector.alias("embedding"), status.alias("status"))
-
-
-def _embed_with(df: DataFrame, text: str, embed_fn: Callable[[pd.Series], list]) -> DataFrame:
-    schema = f"{_ddl(df)}, embedding array<float>, status string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            try:
-                yield batch.assign(embedding=list(embed_fn(batch[text])), status="")
-            except Exception:  # noqa: BLE001
-                # One bad text must not fail its batch: try the rows one by one.
-                yield _embed_rows(batch, text, embed_fn)
-
-    return df.mapInPandas(run, schema)
-
-
-def _embed_rows(batch: pd.DataFrame, text: str, embed_fn) -> pd.DataFrame:
-    vectors, states = [], []
-    for value in batch[text]:
-        try:
-            vectors.append(list(embed_fn(pd.Series([value])))[0])
-            states.append("")
-        except Exception as error:  # noqa: BLE001
-            vectors.append(None)
-            states.append(f"{type(error).__name__}: {error}")
-    return batch.assign(embedding=vectors, status=states)
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    group_rows: int = 16_384
+    group_queries: int = 4_096
 
 
 # --- exact search --------------------------------------------------------------------------
@@ -101,44 +47,51 @@ def knn_exact(
     vector: str = "embedding",
     base_id: str = "vec_id",
     query_id: str = "query_id",
-    broadcast_values: int = BROADCAST_VALUES,
+    search: Search = Search(),
 ) -> DataFrame:
-    """The ``k`` nearest base rows of every query: ``(query_id, base_id, distance, rank)``."""
-    b = base.select(
-        F.col(base_id).alias("bid"), _usable(vector).alias("bv"), F.lit(0).alias("cell")
-    )
-    q = queries.select(
-        F.col(query_id).alias("qid"), _usable(vector).alias("qv"), F.array(F.lit(0)).alias("cells")
-    )
-    return _nearest(b, q, k, base_id, query_id, broadcast_values)
+    """The ``k`` nearest base rows of every query: ``(query_id, base_id, distance, rank)``.
+
+    Vectors that are null or zero have no direction, and are neither found nor asked for. Both sides are
+    dealt to blocks, and each pair of blocks is a group of its own, at any size of either.
+    """
+    b = base.select(F.col(base_id).alias("bid"), _usable(vector).alias("bv"), F.lit(0).alias("cell")).filter("bv IS NOT NULL")
+    q = queries.select(F.col(query_id).alias("qid"), _usable(vector).alias("qv"), F.lit(0).alias("cell")).filter("qv IS NOT NULL")
+    return _nearest(b, q, {0: b.count()}, k, base_id, query_id, search)
+
+
+def _usable(vector: str) -> Column:
+    """The vector in doubles, null when it has no direction."""
+    return F.when(F.coalesce(norm(F.col(vector)) > 0, F.lit(False)), F.col(vector).cast("array<double>"))
 
 
 def _nearest(
-    b: DataFrame, q: DataFrame, k: int, base_id: str, query_id: str, broadcast_values: int
+    b: DataFrame, q: DataFrame, sizes: dict[int, int], k: int, base_id: str, query_id: str, search: Search
 ) -> DataFrame:
-    """Searches ``b`` (bid, bv, cell) for each ``q`` (qid, qv, cells), inside the query's cells.
+    """Searches ``b`` (bid, bv, cell) for each ``q`` (qid, qv, cell), a row per cell that the query probes.
 
-    Three ways, by measured size. Few queries go to every task, which keeps the best ``k`` of all its
-    base rows, so only those are shuffled. Else a small base goes to every task, which
-    then answers its queries alone. Else both are cut into parts of bounded size, and every pair
-    of parts is searched as a group of its own.
+    ``sizes`` are the base rows of each cell; one row per cell is all that reaches the driver. A cell's
+    rows and queries are dealt to parts, and each pair of parts yields the k best of its rows.
     """
-    b, q = b.filter(F.size("bv") > 0), q.filter(F.size("qv") > 0)
+    asked = {r["cell"]: r["count"] for r in q.groupBy("cell").count().collect()}
+    dealt = [
+        (c, -(-sizes[c] // search.group_rows), -(-n // search.group_queries))
+        for c, n in asked.items() if sizes.get(c)
+    ]
+    parts = F.broadcast(b.sparkSession.createDataFrame(dealt, "cell int, rows int, queries int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = b.filter(F.col("cell").isin([c for c, *_ in dealt])).join(parts, "cell")
+    left = left.select("bid", "bv", "cell", part("bid", "rows").alias("i"), every("queries").alias("j"))
+    right = q.join(parts, "cell").select(
+        "qid", "qv", F.col("cell").alias("of"), part("qid", "queries").alias("j2"), every("rows").alias("i2")
+    )
+
+    def run(base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        return _best(base, queries, k)
+
     qid, bid = (df.schema[c].dataType.simpleString() for df, c in ((q, "qid"), (b, "bid")))
-    schema = f"qid {qid}, bid {bid}, distance double"
-    rows = max(2, broadcast_values // _dimensions(q))
-    few_queries = _if_small(q, rows)
-    if few_queries is not None:
-        probed = sorted({c for cells in few_queries["cells"] for c in cells})
-        found = b.filter(F.col("cell").isin(probed)).mapInPandas(
-            lambda it: _best_of_all(it, few_queries, k), schema
-        )
-    else:
-        small_base = _if_small(b, rows)
-        if small_base is not None:
-            found = q.mapInPandas(_batches(lambda part: _best(small_base, part, k)), schema)
-        else:
-            found = _by_blocks(b, q, k, rows, schema)
+    groups = left.groupBy("cell", "i", "j").cogroup(right.groupBy("of", "i2", "j2"))
+    found = groups.applyInPandas(run, f"qid {qid}, bid {bid}, distance double")
     nearest = Window.partitionBy("qid").orderBy("distance", "bid")
     ranked = found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
     return ranked.select(
@@ -146,62 +99,19 @@ def _nearest(
     )
 
 
-def _usable(vector: str) -> Column:
-    """The vector in doubles; a missing or zero one becomes empty, for it has no direction."""
-    has_direction = F.coalesce(norm(F.col(vector)) > 0, F.lit(False))
-    return F.when(has_direction, F.col(vector).cast("array<double>")).otherwise(
-        F.array().cast("array<double>")
-    )
-
-
-def _dimensions(q: DataFrame) -> int:
-    first = q.select(F.size("qv").alias("n")).head()
-    return first["n"] if first else 1
-
-
-def _if_small(df: DataFrame, rows: int) -> pd.DataFrame | None:
-    """The rows if there are at most ``rows`` of them; never fetches more than one beyond."""
-    fetched = df.limit(rows + 1).toPandas()
-    return fetched if len(fetched) <= rows else None
-
-
-def _batches(search: Callable[[pd.DataFrame], pd.DataFrame]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield search(batch)
-
-    return run
-
-
-def _best_of_all(batches: Iterator[pd.DataFrame], queries: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
-    """The k best rows of each query over all batches of a task."""
-    best = None
-    for batch in batches:
-        found = _best(batch, queries, k)
-        if best is not None:
-            ordered = pd.concat([best, found]).sort_values(["qid", "distance", "bid"])
-            found = ordered.groupby("qid").head(k)
-        best = found
-    if best is not None:
-        yield best
-
-
 def _unit(vectors: pd.Series) -> np.ndarray:
     matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
 def _best(base: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best base rows of each query, cell by cell."""
+    """The k best base rows of each query."""
     parts = [pd.DataFrame({"qid": [], "bid": [], "distance": []})]
-    for cell, rows in base.groupby("cell"):
-        asking = queries[[cell in cells for cells in queries["cells"]]]
-        if asking.empty:
-            continue
-        bids, units = rows["bid"].to_numpy(), _unit(rows["bv"]).T
+    if len(base) and len(queries):
+        bids, units = base["bid"].to_numpy(), _unit(base["bv"]).T
         kept, step = min(k, len(bids)), max(1, MATRIX_VALUES // len(bids))
-        for at in range(0, len(asking), step):
-            some = asking.iloc[at : at + step]
+        for at in range(0, len(queries), step):
+            some = queries.iloc[at : at + step]
             # Adding zero turns -0.0 into 0.0.
             distances = np.round(1.0 - _unit(some["qv"]) @ units, DECIMALS) + 0.0
             for qid, row in zip(some["qid"], distances):
@@ -212,63 +122,117 @@ def _best(base: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(parts[1:] or parts, ignore_index=True)
 
 
-def _by_blocks(b: DataFrame, q: DataFrame, k: int, rows: int, schema: str) -> DataFrame:
-    """Every (base part, query part) pair as one group, both sides about half of ``rows``."""
-    base_parts, query_parts = (-(-df.count() // (rows // 2)) for df in (b, q))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = b.select("*", part("bid", base_parts).alias("i"), every(query_parts).alias("j"))
-    right = q.select("*", part("qid", query_parts).alias("j"), every(base_parts).alias("i"))
+# --- inverted file -------------------------------------------------------------------------
 
-    def run(base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        return _best(base, queries, k)
+#: Rows that centroids are fitted on, the first by MD5 of their id; rounds of the fit; most cells.
+SAMPLE_ROWS = 20_000
+ROUNDS = 2
+MAX_CELLS = 4_096
+
+
+@dataclass(frozen=True)
+class InvertedFile:
+    """A stored index: its rows in a folder per cell, and a table of cells (cell, center, n)."""
 
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, schema)
+    spark: SparkSession
+    path: str
 
+    @property
+    def rows(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/rows")
 
-# --- inverted-file search ------------------------------------------------------------------
+    @property
+    def cells(self) -> DataFrame:
+        """At most ``MAX_CELLS`` rows."""
+        return self.spark.read.parquet(f"{self.path}/cells")
 
+    def centers(self) -> np.ndarray:
+        cells = self.cells.orderBy("cell").toPandas()
+        return np.stack([np.asarray(c) for c in cells["center"]]) if len(cells) else np.zeros((0, 0))
 
-def ivf_assign(
-    df: DataFrame, cells: int, *, vector: str = "embedding", seed: int = 7, iterations: int = 10
-) -> tuple[DataFrame, DataFrame]:
-    """Each vector's cell (nearest of ``cells`` centroids of the unit vectors), and the centroids.
 
-    Write the result partitioned by ``cell``, and a search reads only the cells it probes.
+def fit_centers(units: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Centers of the unit vectors: the first rows, each moved to the mean of the rows nearest to it."""
+    centers = units[:cells].copy()
+    for _ in range(rounds):
+        near = _cells(units, centers, 1)[:, 0]
+        centers = np.stack([units[near == c].mean(0) if (near == c).any() else center for c, center in enumerate(centers)])
+    return centers
+
+
+def _cells(units: np.ndarray, centers: np.ndarray, n: int) -> np.ndarray:
+    """The n cells nearest to each unit vector, by cosine distance to twelve decimals, then number."""
+    sizes = np.linalg.norm(centers, axis=1)
+    distances = np.round(1.0 - units @ (centers / np.where(sizes > 0, sizes, 1)[:, None]).T, 12)
+    return np.argsort(distances, axis=1, kind="stable")[:, :n]
+
+
+def build_ivf(
+    df: DataFrame, path: str, *, key: str = "vec_id", vector: str = "embedding", cells: int | None = None
+) -> InvertedFile:
+    """Writes the rows by cell, all columns kept, and the table of cells.
+
+    There are about as many cells as the root of the number of rows, at most ``MAX_CELLS``. Only the
+    centers come from a sample; every vector with a direction is put into the cell of its nearest center.
+    A cell of many rows is written in several files.
     """
-    size = norm(F.col(vector))
-    unit = F.transform(vector, lambda x: x.cast("double") / size)
-    points = df.filter(size > 0).withColumn("_point", array_to_vector(unit))
-    model = KMeans(
-        k=cells, seed=seed, maxIter=iterations, featuresCol="_point", predictionCol="cell"
-    ).fit(points.select("_point"))
-    centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    centroids = df.sparkSession.createDataFrame(centers, f"cell int, {vector} array<double>")
-    return model.transform(points).drop("_point"), centroids
+    rows = df.withColumn("_v", _usable(vector)).filter("_v IS NOT NULL")
+    total = rows.count()
+    wanted = cells or max(1, min(MAX_CELLS, int(total**0.5)))
+    order = (F.md5(F.col(key).cast("string")), key)
+    sample = rows.select(key, "_v").orderBy(*order).limit(SAMPLE_ROWS).toPandas()
+    centers = fit_centers(_unit(sample["_v"]), wanted) if total else np.zeros((0, 0))
+
+    @F.pandas_udf("int")
+    def cell(vectors: pd.Series) -> pd.Series:
+        return pd.Series(_cells(_unit(vectors), centers, 1)[:, 0]) if len(vectors) else pd.Series([], dtype="int32")
+
+    placed = rows.withColumn("cell", cell("_v")).drop("_v")
+    # Adaptive execution cuts the rows of a large cell into several files.
+    placed.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+    spark = df.sparkSession
+    counts = spark.read.schema(placed.schema).parquet(f"{path}/rows").groupBy("cell").agg(F.count("*").alias("n"))
+    table = spark.createDataFrame(
+        [(i, [float(x) for x in c]) for i, c in enumerate(centers)], "cell int, center array<double>"
+    )
+    table = table.join(counts, "cell", "left").fillna(0, ["n"])
+    table.coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
+    return InvertedFile(spark, path)
+
+
+def probes(
+    index: InvertedFile, queries: DataFrame, nprobe: int, *, vector: str = "embedding", query_id: str = "query_id"
+) -> DataFrame:
+    """(qid, qv, cell): the ``nprobe`` cells whose centers are nearest to each query."""
+    centers = index.centers()
+    asking = queries.select(F.col(query_id).alias("qid"), _usable(vector).alias("qv")).filter("qv IS NOT NULL")
+
+    @F.pandas_udf("array<int>")
+    def near(vectors: pd.Series) -> pd.Series:
+        return pd.Series(list(_cells(_unit(vectors), centers, nprobe)) if len(vectors) and len(centers) else [[]] * len(vectors))
+
+    return asking.select("qid", "qv", F.explode(near("qv")).alias("cell"))
 
 
 def knn_ivf(
-    indexed: DataFrame,
-    centroids: DataFrame,
+    index: InvertedFile,
     queries: DataFrame,
     k: int = 10,
     *,
-    nprobe: int = 4,
+    nprobe: int = 8,
     vector: str = "embedding",
     base_id: str = "vec_id",
     query_id: str = "query_id",
-    broadcast_values: int = BROADCAST_VALUES,
+    search: Search = Search(),
 ) -> DataFrame:
-    """Approximate ``knn_exact``: only the ``nprobe`` cells nearest to each query are searched."""
-    near = knn_exact(
-        centroids, queries, nprobe, vector=vector, base_id="cell", query_id=query_id
-    )
-    probes = near.groupBy(query_id).agg(F.collect_list("cell").alias("cells"))
-    q = queries.join(probes, query_id).select(
-        F.col(query_id).alias("qid"), _usable(vector).alias("qv"), "cells"
-    )
-    b = indexed.select(F.col(base_id).alias("bid"), _usable(vector).alias("bv"), "cell")
-    return _nearest(b, q, k, base_id, query_id, broadcast_values)
+    """Approximate ``knn_exact``: only the folders of the ``nprobe`` cells nearest to each query are read."""
+    q = probes(index, queries, nprobe, vector=vector, query_id=query_id)
+    sizes = {r["cell"]: r["n"] for r in index.cells.select("cell", "n").collect()}
+    if not sum(sizes.values()):
+        b = q.select(F.col("qid").alias("bid"), F.col("qv").alias("bv"), "cell").limit(0)
+    else:
+        b = index.rows.select(F.col(base_id).alias("bid"), _usable(vector).alias("bv"), "cell")
+    return _nearest(b, q, sizes, k, base_id, query_id, search)
 
 
 def recall(exact: DataFrame, approximate: DataFrame, *, query_id: str, base_id: str) -> DataFrame:
@@ -279,33 +243,3 @@ def recall(exact: DataFrame, approximate: DataFrame, *, query_id: str, base_id:
         F.count("*").alias("neighbours"),
         (F.count("hit") / F.count("*")).alias("recall"),
     )
-
-
-# --- similarity of tag sets ----------------------------------------------------------------
-
-
-def theme_similarity(
-    items: DataFrame, themes: DataFrame, *, tags: str = "theme_tags", theme_id: str = "theme_id"
-) -> DataFrame:
-    """Jaccard similarity of each theme to each distinct tag set that shares a tag with it.
-
-    Items are first merged by tag set, so a set carried by a third of all items meets a theme once;
-    ``item_count`` says how many items carry it.
-    """
-    sets = (
-        items.select(F.sort_array(F.array_distinct(tags)).alias("tag_set"))
-        .groupBy("tag_set")
-        .agg(F.count("*").alias("item_count"))
-    )
-    wanted = themes.select(theme_id, F.array_distinct(tags).alias("_tags"))
-    wanted = wanted.select(theme_id, F.size("_tags").alias("_size"), F.explode("_tags").alias("tag"))
-    shared = (
-        sets.select("tag_set", "item_count", F.explode("tag_set").alias("tag"))
-        .join(wanted, "tag")
-        .groupBy(theme_id, "tag_set", "item_count", "_size")
-        .agg(F.count("*").alias("_both"))
-    )
-    union = F.col("_size") + F.size("tag_set") - F.col("_both")
-    return shared.select(
-        theme_id, "tag_set", "item_count", (F.col("_both") / union).alias("similarity")
-    )
