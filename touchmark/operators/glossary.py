@@ -112,6 +112,16 @@ def implied_terms(terms: DataFrame) -> DataFrame:
         F.col("first.mentioned").alias("display_name"),
         F.col("first.description").alias("description"),
         F.col("first.category").alias("category"),
+        F.col("first.term_ord").alias("first_mention"),
+    )
+
+
+def implied_as_terms(implied: DataFrame) -> DataFrame:
+    """Implied terms in the form that the matching takes: without synonyms, in the order of their first mention."""
+    return implied.select(
+        "glossary_id", "name", "display_name", "description", "category",
+        F.array().cast("array<string>").alias("synonyms"), F.struct("first_mention", "name").alias("term_ord"),
+        s.normalize_name(F.col("display_name")).alias("term_key"),
     )
 
 
@@ -165,12 +175,12 @@ def related_entries(terms: DataFrame, columns: DataFrame) -> DataFrame:
     return named.join(places, "term_key").drop("term_key")
 
 
-def _proposal(kind: str, via: Column, score: Column, why: Column) -> list[Column]:
+def _proposal(kind: str | Column, via: Column, score: Column, why: Column) -> list[Column]:
     return [
         F.col("glossary_id"),
         F.col("display_name").alias("glossary_term"), F.col("category"), F.col("description"),
         F.col("full_table").alias("table"), F.col("column_name").alias("column"),
-        F.lit(kind).alias("match_type"), via.alias("via_synonym"),
+        (F.lit(kind) if isinstance(kind, str) else kind).alias("match_type"), via.alias("via_synonym"),
         score.cast("int").alias("match_score"), why.alias("match_rationale"),
         F.col("term_ord"), F.col("table_ord"), F.col("position"),
     ]
@@ -182,58 +192,71 @@ def _places(columns: DataFrame) -> DataFrame:
     )
 
 
-def _named(terms: DataFrame, columns: DataFrame, phase: int) -> DataFrame:
-    """Unique terms with the column name they match in this phase, ``target``, and the synonym ``via``.
+def tagged_terms(terms: DataFrame, columns: DataFrame) -> DataFrame:
+    """Unique terms with the names they may be found by: a row per ``phase``, ``via`` and ``target``.
 
     A term matches by its own name; only if no column has that, by the term of its glossary that its
-    description calls it a synonym for, one step, and by its listed synonyms.
+    description calls it a synonym for, one step, and by its listed synonyms. ``matched`` tells the rows
+    whose target is a column; ``open`` terms have none. All ways are joined with the columns at once.
     """
-    keys = columns.select(F.col("column_key").alias("target")).distinct()
-    uniq = unique_terms(terms)
-    hits = uniq.withColumn("via", F.lit("")).withColumn("target", F.col("term_key"))
-    hits = hits.join(keys, "target", "left_semi")
-    if phase == EXACT:
-        return hits
-    rest = uniq.join(hits.select("glossary_id", "term_key"), ["glossary_id", "term_key"], "left_anti")
-    if phase == SYNONYM:
-        rest = rest.withColumn("via", s.synonym_target(F.col("description")))
-        rest = rest.withColumn("target", s.normalize_name(F.col("via")))
-        canonical = hits.select("glossary_id", F.col("term_key").alias("target"))
-        return rest.join(canonical, ["glossary_id", "target"], "left_semi")
-    rest = rest.select("*", F.explode(F.array_distinct("synonyms")).alias("via"))
-    return rest.withColumn("target", s.normalize_name(F.col("via"))).join(keys, "target", "left_semi")
-
-
-def _match_named(terms: DataFrame, columns: DataFrame, phase: int, kind: str, why: Column) -> DataFrame:
-    joined = _named(terms, columns, phase).join(_places(columns), "target")
-    return joined.select(*_proposal(kind, F.col("via"), F.lit(EXACT_SCORE), why))
+    way = lambda phase, via, target: F.struct(F.lit(phase).alias("phase"), via.alias("via"), target.alias("target"))
+    described = s.synonym_target(F.col("description"))
+    listed = F.transform(
+        F.array_distinct(F.coalesce("synonyms", F.array().cast("array<string>"))),
+        lambda n: way(LISTED, n, s.normalize_name(n)),
+    )
+    own = F.array(
+        way(EXACT, F.lit(""), F.col("term_key")), way(SYNONYM, described, s.normalize_name(described))
+    )
+    rows = unique_terms(terms).select("*", F.inline(F.concat(own, listed)))
+    rows = rows.filter((F.col("phase") == EXACT) | F.col("target").isNotNull())
+    keys = columns.select(F.col("column_key").alias("target"), F.lit(True).alias("_held")).distinct()
+    rows = rows.join(keys, "target", "left").withColumn("_held", F.coalesce("_held", F.lit(False)))
+    canonical = F.max(F.col("_held") & (F.col("phase") == EXACT)).over(Window.partitionBy("glossary_id", "target"))
+    rows = rows.withColumn("_held", F.col("_held") & ((F.col("phase") != SYNONYM) | canonical))
+    term = Window.partitionBy("glossary_id", "term_key")
+    by_name = F.max(F.col("_held") & (F.col("phase") == EXACT)).over(term)
+    return rows.select(
+        *terms.columns, "phase", "via", "target",
+        (F.col("_held") & ((F.col("phase") == EXACT) | ~by_name)).alias("matched"),
+        (~F.max("_held").over(term)).alias("open"),
+    )
+
+
+def _match_named(tagged: DataFrame, columns: DataFrame) -> DataFrame:
+    """Proposals of all terms that match by a name, with their phase."""
+    joined = tagged.filter("matched").join(_places(columns), "target")
+    exact = F.col("phase") == EXACT
+    why = F.when(exact, "exact match").otherwise(F.concat(F.lit("synonym for "), F.col("via")))
+    kind = F.when(exact, "exact").otherwise("synonym")
+    return joined.select(*_proposal(kind, F.col("via"), F.lit(EXACT_SCORE), why), "phase")
+
+
+def _match_phase(terms: DataFrame, columns: DataFrame, phase: int) -> DataFrame:
+    return _match_named(tagged_terms(terms, columns).filter(F.col("phase") == phase), columns).drop("phase")
 
 
 def match_exact(terms: DataFrame, columns: DataFrame) -> DataFrame:
-    return _match_named(terms, columns, EXACT, "exact", F.lit("exact match"))
+    return _match_phase(terms, columns, EXACT)
 
 
 def unmatched_terms(terms: DataFrame, columns: DataFrame) -> DataFrame:
     """Terms that match no column by name, as a described synonym or by a listed one."""
-    rest = unique_terms(terms)
-    for phase in (EXACT, SYNONYM, LISTED):
-        found = _named(terms, columns, phase).select("glossary_id", "term_key")
-        rest = rest.join(found, ["glossary_id", "term_key"], "left_anti")
-    return rest
+    return _open(tagged_terms(terms, columns)).select(*terms.columns)
 
 
-def _via() -> Column:
-    return F.concat(F.lit("synonym for "), F.col("via"))
+def _open(tagged: DataFrame) -> DataFrame:
+    return tagged.filter((F.col("phase") == EXACT) & F.col("open"))
 
 
 def match_synonym(terms: DataFrame, columns: DataFrame) -> DataFrame:
     """Terms described as "Synonym for X" take the columns of the term X, one step only."""
-    return _match_named(terms, columns, SYNONYM, "synonym", _via())
+    return _match_phase(terms, columns, SYNONYM)
 
 
 def match_synonym_list(terms: DataFrame, columns: DataFrame) -> DataFrame:
     """Terms that name no column take the columns named like one of their listed synonyms."""
-    return _match_named(terms, columns, LISTED, "synonym", _via())
+    return _match_phase(terms, columns, LISTED)
 
 
 # --- keyword matches -----------------------------------------------------------------------
@@ -305,7 +328,10 @@ def match_fuzzy(terms: DataFrame, columns: DataFrame, threshold: int) -> DataFra
 
     At 0 nearly every term is proposed for nearly every column that shares a word with it.
     """
-    open_terms = unmatched_terms(terms, columns)
+    return _match_fuzzy(unmatched_terms(terms, columns), columns, threshold)
+
+
+def _match_fuzzy(open_terms: DataFrame, columns: DataFrame, threshold: int) -> DataFrame:
     hits = keyword_hits(open_terms, columns)
     place = ("glossary_id", "term_key", "full_table", "column_name", "table_ord", "position")
     # Bounded by the keywords of one description.
@@ -332,16 +358,9 @@ def rank_proposals(proposals: DataFrame) -> DataFrame:
 
 def proposals(terms: DataFrame, columns: DataFrame, threshold: int) -> DataFrame:
     """Exact, synonym, synonym-list and keyword proposals in one schema, with their order of application."""
-    parts = (
-        match_exact(terms, columns),
-        match_synonym(terms, columns),
-        match_synonym_list(terms, columns),
-        match_fuzzy(terms, columns, threshold),
-    )
-    first, *rest = [p.withColumn("phase", F.lit(i)) for i, p in enumerate(parts)]
-    for part in rest:
-        first = first.unionByName(part)
-    return first
+    tagged = tagged_terms(terms, columns)
+    fuzzy = _match_fuzzy(_open(tagged), columns, threshold).withColumn("phase", F.lit(FUZZY))
+    return _match_named(tagged, columns).unionByName(fuzzy)
 
 
 # --- applying links ------------------------------------------------------------------------
@@ -389,13 +408,9 @@ def apply_links(
     made = existing.select("link_id").distinct().withColumn("_made", F.lit(True))
     checked = asked.join(tables, ["_namespace", "_table"], "left").withColumn("link_id", id_of)
     checked = checked.join(made, "link_id", "left")
-    # The first row of an id, found by an aggregate: an id shared by many rows is merged map-side.
-    firsts = (
-        checked.filter("_known")
-        .groupBy("link_id")
-        .agg(F.min(F.struct(*order)).alias("_first"))
-    )
-    placed = checked.join(firsts, "link_id", "left")
+    # The few ways to one target come together; the rows are made once.
+    first = F.min(F.when(F.col("_known"), F.struct(*order))).over(Window.partitionBy("link_id"))
+    placed = checked.withColumn("_first", first)
     is_first = F.struct(*order) == F.col("_first")
     status = (
         F.when(F.col("_known").isNull(), "error")

@@ -12,6 +12,7 @@ from touchmark.plans.oracle_views import discovery_views, glossary_sql, with_vie
 from touchmark.plans.registry import register
 from touchmark.session import new_path
 from touchmark.sources import star
+from touchmark.sources.links import LinkTable
 from touchmark.sources.sinks import read_proposals, write_proposals
 from touchmark.sources.tables import load
 
@@ -20,7 +21,7 @@ def _columns(spark: SparkSession, d: str) -> DataFrame:
     return gl.catalog_columns(star.catalog_entries(spark, d))
 
 
-def _terms(spark: SparkSession, d: str, owner: str = "nation") -> DataFrame:
+def _terms(spark: SparkSession, d: str, owner: str = "supplier") -> DataFrame:
     return gl.terms_flatten(star.glossary_tree(spark, d, owner))
 
 
@@ -154,7 +155,7 @@ QUALIFY ROW_NUMBER() OVER (PARTITION BY glossary_id, slug ORDER BY term_ord, men
 
 @register("implied_terms", glossary_sql(_IMPLIED, "terms", owner="supplier"))
 def implied_terms(spark: SparkSession, d: str) -> DataFrame:
-    return gl.implied_terms(_terms(spark, d, "supplier"))
+    return gl.implied_terms(_terms(spark, d)).drop("first_mention")
 
 
 @register("term_links", glossary_sql(f"""
@@ -227,10 +228,10 @@ _TEN = ", ".join(f'"{c}"' for c in _FIELDS)
 _THRESHOLD = 10
 
 
-def _matching_sql(sql: str) -> str:
+def _matching_sql(sql: str, uniq: str = _MATCHING["uniq"]) -> str:
     """``sql`` after the matching views; they need the term and catalog views first."""
-    prefix = glossary_sql("", "terms", "catalog").rstrip()
-    return prefix + ",\n" + ",\n".join(f"{n} AS ({v})" for n, v in _MATCHING.items()) + "\n" + sql
+    prefix = glossary_sql("", "terms", "catalog", owner="supplier").rstrip()
+    return prefix + ",\n" + ",\n".join(f"{n} AS ({v})" for n, v in (_MATCHING | {"uniq": uniq}).items()) + "\n" + sql
 
 
 @register("related_entries", _matching_sql(
@@ -309,21 +310,30 @@ def proposal_rows(spark: SparkSession, d: str) -> DataFrame:
 _LINK_ORDER = ("phase", "term_ord", "neg_score", "table_ord", "position", "via_synonym")
 
 
-def _applied(spark: SparkSession, d: str) -> DataFrame:
-    """All proposals applied; tables of small parts are unknown, promo tables already linked."""
-    terms, columns = _terms(spark, d), _columns(spark, d)
-    rows = _proposals(spark, d).withColumn("neg_score", -F.col("match_score"))
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    """The inventory without the tables of small parts, which are unknown to the catalog."""
     sizes = load(spark, d, "part").select(F.col("p_partkey").alias("table_ord"), "p_size")
-    known = columns.join(sizes, "table_ord").filter(F.col("p_size") > 5)
-    linked = gl.match_exact(terms, columns).filter(F.contains("table", F.lit("/promo")))
-    linked = linked.select("glossary_id", "glossary_term", "table", "column").distinct()
-    existing = linked.select(
-        gl.link_id(
-            F.col("glossary_id"), F.col("glossary_term"), F.substring_index("table", "/", 1),
-            F.substring_index("table", "/", -1), F.col("column"),
-        ).alias("link_id")
-    )
-    return gl.apply_links(rows, known, existing, order=_LINK_ORDER)
+    return _columns(spark, d).join(sizes, "table_ord").filter(F.col("p_size") > 5)
+
+
+def _apply(spark: SparkSession, d: str, table: LinkTable) -> DataFrame:
+    rows = _proposals(spark, d).withColumn("neg_score", -F.col("match_score"))
+    return gl.apply_links(rows, _known(spark, d), table.read(), order=_LINK_ORDER)
+
+
+def _linked(spark: SparkSession, d: str) -> LinkTable:
+    """A table with the links of an earlier run: the exact matches of promo tables, known or not."""
+    table = LinkTable(spark, new_path(spark, "links"))
+    rows = gl.match_exact(_terms(spark, d), _columns(spark, d)).filter(F.contains("table", F.lit("/promo")))
+    rows = rows.withColumns({"phase": F.lit(gl.EXACT), "neg_score": -F.col("match_score")})
+    done = gl.apply_links(rows, _columns(spark, d), table.read(), order=_LINK_ORDER)
+    table.upsert(done.filter("status = 'created'"), "run-1")
+    return table
+
+
+def _applied(spark: SparkSession, d: str) -> DataFrame:
+    """All proposals applied to a table that holds some of the links."""
+    return _apply(spark, d, _linked(spark, d))
 
 
 _READABLE = """'definition-' || translate(lower(glossary_term), ' _', '--') || '-' || split_part("table", '/', 1)
@@ -354,13 +364,68 @@ def apply_summary(spark: SparkSession, d: str) -> DataFrame:
     return gl.apply_summary(_applied(spark, d))
 
 
-@register("sink_proposals", _matching_sql(
-    f"SELECT {_NINE}, CAST(NULL AS VARCHAR) AS missing_field, TRUE AS is_valid FROM exact"))
+_AGAIN_SQL = f"""
+SELECT glossary_id, glossary_term, table_column, link_id,
+  CASE WHEN status = 'created' THEN 'skipped' ELSE status END AS status FROM ({_APPLY_SQL})"""
+
+
+@register("apply_links_again", _matching_sql(_AGAIN_SQL))
+def apply_links_again(spark: SparkSession, d: str) -> DataFrame:
+    """A second run over the table that the first one wrote to makes no link."""
+    table = _linked(spark, d)
+    table.upsert(_apply(spark, d, table).filter("status = 'created'"), "run-2")
+    return _apply(spark, d, table)
+
+
+@register("link_table", _matching_sql(f"""
+SELECT link_id, glossary_id, glossary_term, table_column, 'run-2' AS run_id FROM ({_APPLY_SQL}) WHERE status = 'created'
+UNION ALL SELECT DISTINCT left({_READABLE}, 30) || '-' || left(sha256({_WHOLE}), 32), glossary_id, glossary_term,
+  "table" || '.' || "column", 'run-1' FROM exact WHERE contains("table", '/promo')"""))
+def link_table(spark: SparkSession, d: str) -> DataFrame:
+    """What is stored after two runs."""
+    table = _linked(spark, d)
+    table.upsert(_apply(spark, d, table).filter("status = 'created'"), "run-2")
+    return table.read().drop("bucket")
+
+
+@register("apply_dry_run", _matching_sql(f"""
+SELECT glossary_id, glossary_term, table_column, link_id, 'dry-run' AS status FROM ({_APPLY_SQL})"""))
+def apply_dry_run(spark: SparkSession, d: str) -> DataFrame:
+    """What would be linked; nothing is looked up and nothing written."""
+    rows = _proposals(spark, d).withColumn("neg_score", -F.col("match_score"))
+    columns = _columns(spark, d)
+    return gl.apply_links(rows, columns, columns.limit(0).select(F.lit("").alias("link_id")), order=_LINK_ORDER, dry_run=True)
+
+
+# A term that is only mentioned has no synonyms of its own and stands where it is first mentioned.
+_IMPLIED_TERMS = f"""SELECT *, lower(replace(display_name, '-', '_')) AS term_key, CAST([] AS VARCHAR[]) AS synonyms
+FROM ({_IMPLIED.replace('SELECT glossary_id, slug', 'SELECT glossary_id, term_ord, slug', 1)})
+QUALIFY ROW_NUMBER() OVER (PARTITION BY glossary_id, term_key ORDER BY term_ord DESC, name DESC) = 1"""
+
+
+@register("match_implied", _matching_sql(f"SELECT {_TEN} FROM ({_ALL})", _IMPLIED_TERMS))
+def match_implied(spark: SparkSession, d: str) -> DataFrame:
+    """Proposals for the terms that others only mention."""
+    terms = gl.implied_as_terms(gl.implied_terms(_terms(spark, d)))
+    return gl.proposals(terms, _columns(spark, d), _THRESHOLD).select(*_FIELDS)
+
+
+@register("sink_proposals", _matching_sql(f"""
+SELECT * EXCLUDE (drop_) REPLACE (CASE WHEN drop_ = 0 THEN NULL ELSE glossary_term END AS glossary_term,
+    CASE WHEN drop_ = 1 THEN '' ELSE "column" END AS "column"),
+  CASE drop_ WHEN 0 THEN 'glossary_term' WHEN 1 THEN 'column' END AS missing_field, drop_ > 1 AS is_valid
+FROM (SELECT {_NINE}, table_ord % 5 AS drop_ FROM exact)"""))
 def sink_proposals(spark: SparkSession, d: str) -> DataFrame:
-    """Exact matches written for curation and read back with validation."""
+    """Exact matches written for curation, some of them spoilt by it, and read back with validation."""
     path = new_path(spark, "proposals")
-    found = gl.match_exact(_terms(spark, d), _columns(spark, d)).select(*gl.PROPOSAL_COLUMNS)
-    write_proposals(found, path)
+    part = F.col("table_ord") % 5
+    found = gl.match_exact(_terms(spark, d), _columns(spark, d)).withColumns(
+        {
+            "glossary_term": F.when(part != 0, F.col("glossary_term")),
+            "column": F.when(part == 1, "").otherwise(F.col("column")),
+        }
+    )
+    write_proposals(found.select(*gl.PROPOSAL_COLUMNS), path)
     return read_proposals(spark, path)
 
 
