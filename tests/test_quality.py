@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from touchmark.operators import discover, profile
+from touchmark.operators import discover, heavy, profile
 from touchmark.operators import quality as dq
 from touchmark.operators.quality import Rule
 
@@ -133,6 +133,83 @@ def test_quantiles_match_builtin(spark, accuracy):
     assert "missing" not in found
 
 
+@pytest.mark.parametrize("target", [1, 40, 2000])
+def test_quantiles_by_repeated_counting(spark, target):
+    """Half of the rows on one value, values over many powers of ten, and no number at all among some."""
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 2 == 0, 5.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(1000)) / 100).alias("half"),
+        F.exp(F.pmod(F.xxhash64("id"), F.lit(600)) - 300).alias("wide"),
+        F.when(F.col("id") % 2 == 0, 5.0 + F.col("id") * 1e-9).otherwise(F.col("id")).alias("dense"),
+        F.when(F.col("id") % 5 == 0, float("nan")).otherwise(F.col("id")).alias("nan"),
+    )
+    found = {r["column_name"]: tuple(r)[1:] for r in profile.quantiles(rows, at=(0.0, 0.1, 0.5, 0.77), target=target).collect()}
+    for c in rows.columns:
+        exact = rows.agg(F.percentile(c, [0.0, 0.1, 0.5, 0.77]).alias("p")).head()["p"]
+        assert found[c] == pytest.approx(tuple(exact), rel=1e-12), c
+
+
+def test_no_more_than_the_target_is_put_in_order(spark, monkeypatch):
+    """The rows that the last step sorts, for half of all rows inside of a narrow bin."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 5.0 + F.col("id") * 1e-9).otherwise(F.col("id")).alias("v"))
+    sorted_rows, plain = [], profile.Window.partitionBy
+
+    def partition_by(*names):
+        sorted_rows.append(names)
+        return plain(*names)
+
+    monkeypatch.setattr(profile.Window, "partitionBy", staticmethod(partition_by))
+    (row,) = profile.quantiles(rows, at=(0.25,), target=500).collect()
+    exact = rows.agg(F.percentile("v", 0.25)).head()[0]
+    assert row["q1"] == pytest.approx(exact, rel=1e-15) and sorted_rows == [("s",)]
+
+
+@pytest.mark.parametrize("capacity", [3, 20, 4096])
+def test_top_values_against_plain_counts(spark, capacity):
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    rows = [
+        (int(rng.paretovariate(0.7)) % 500, rng.choice(["a", "b", None]), float(i), "x" * 70 + str(i % 7), None, -0.0 if i % 2 else 0.0)
+        for i in range(1500)
+    ]
+    names = ["skewed", "few", "unique", "long", "none", "zero"]
+    df = spark.createDataFrame(rows, "skewed int, few string, unique double, long string, none int, zero double").repartition(6)
+    found = {}
+    for r in heavy.top_n(df, 4, capacity=capacity).collect():
+        found.setdefault(r["column_name"], []).append((r["value_rank"], r["value"], r["value_count"]))
+    for i, name in enumerate(names):
+        counts = Counter(str(abs(r[i]) if name == "zero" else r[i]) for r in rows if r[i] is not None)
+        best = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:4]
+        assert sorted(found.get(name, [])) == [(k, v, c) for k, (v, c) in enumerate(best, 1)], name
+    assert heavy.top_n(df.limit(0), 4).count() == 0
+
+
+def test_counters_bound_what_they_lose():
+    import random
+    from collections import Counter
+
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    own, plain = heavy.Counters(5), Counter()
+    for _ in range(60):
+        values = [str(int(rng.paretovariate(0.6)) % 200) for _ in range(50)]
+        plain.update(values)
+        own.add(pa.array(values))
+    held = dict(zip(*own.fold().to_pydict().values()))
+    assert len(held) <= 5 and own.lost > 0
+    assert all(held.get(v, 0) <= c <= held.get(v, 0) + own.lost for v, c in plain.items())
+
+
+def test_frequent_values_shuffle_only_candidates(spark):
+    """A settled column is never counted whole: its plan has the sketch and the recount, no third scan."""
+    df = spark.range(5000).select((F.col("id") % 10).alias("digit"))
+    assert "Union" not in heavy.top_n(df, 3)._jdf.queryExecution().optimizedPlan().toString()
+    mixed = df.withColumn("id", F.monotonically_increasing_id())
+    assert "Union" in heavy.top_n(mixed, 3, capacity=10)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_profile_of_empty_and_constant_columns(spark):
     rows = spark.createDataFrame([(1, None), (1, None)], "c int, n int")
     flagged = {r["column_name"]: r["anomaly"] for r in profile.anomalies(rows).collect()}

@@ -6,6 +6,7 @@ shuffle, so a column with one dominant value costs no more than any other.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -127,26 +128,6 @@ def min_max(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return _one_pass(df, columns or atomic_columns(df), _bound_measures(df))
 
 
-def top_n(df: DataFrame, n: int, columns: list[str] | None = None) -> DataFrame:
-    """The ``n`` most frequent values of each column; equal counts go to the smaller text."""
-    columns = columns or atomic_columns(df)
-    parts = [
-        long_values(df, alike, F.col)
-        .filter(F.col("value").isNotNull())
-        .groupBy("column_name", "value")
-        .agg(F.count("*").alias("value_count"))
-        for alike in _by_type(df, columns)
-    ]
-    # Values become text only once they are counted.
-    counts = reduce(
-        DataFrame.unionByName, [p.withColumn("value", value_text(p, "value")) for p in parts]
-    )
-    order = Window.partitionBy("column_name").orderBy(F.col("value_count").desc(), "value")
-    return counts.withColumn("value_rank", F.row_number().over(order)).filter(
-        F.col("value_rank") <= n
-    )
-
-
 def _bounds(df: DataFrame, columns: list[str]) -> DataFrame:
     return _one_pass(
         df, columns,
@@ -182,67 +163,77 @@ QUARTILES = (0.25, 0.5, 0.75)
 
 def quantiles(
     df: DataFrame, columns: list[str] | None = None, *, at: tuple[float, ...] = QUARTILES,
-    accuracy: int = 10_000,
+    accuracy: int = 1_000, target: int = 100_000,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per column, ``q1``, ``q2``, ...
 
-    The built-in exact percentile holds every distinct value of a column in one task. Here
-    approximate quantiles just below and above each wanted one cut the values into bins; the
-    distinct values are counted, and only the narrow bins that hold a wanted rank are put in order,
-    each on its own. The cuts decide how narrow the bins are, not which values are found.
+    Selection by repeated counting: the values between two bounds are cut at their approximate quantiles,
+    counted, and the bounds drawn in around the bin that holds a wanted rank, until no more than
+    ``target`` rows lie between them or all are equal. A value that is a cut has a bin of its own, so one
+    held by half of the rows is found by counting. Only what is left is put in order. The driver
+    holds a row per column, wanted rank and bin, no values; approximations decide how fast the bounds close,
+    not which values are found.
     """
     columns = columns or numeric_columns(df)
-    as_double = lambda c: F.col(c).cast("double")
-    counts = (
-        long_values(df, columns, as_double)
-        .filter(F.col("value").isNotNull())
-        .groupBy("column_name", "value")
-        .agg(F.count("*").alias("n"))
-    )
-    margin = 2 / accuracy
-    steps = sorted({min(max(p + side, 0.0), 1.0) for p in at for side in (-margin, margin)})
-    cuts = _one_pass(
-        df, columns, {"cuts": lambda c: F.percentile_approx(as_double(c), steps, accuracy)}
-    )
-    above = [(F.col("value") > F.get("cuts", F.lit(i))).cast("int") for i in range(len(steps))]
-    # One row per column: the schema bounds what is broadcast, here and below.
-    binned = counts.join(F.broadcast(cuts), "column_name").select(
-        "column_name", "value", "n", reduce(Column.__add__, above).alias("bin")
-    )
-    per_bin = binned.groupBy("column_name", "bin").agg(F.sum("n").alias("bin_n"))
-    by_bin = Window.partitionBy("column_name").orderBy("bin")
-    ranges = per_bin.select(
-        "column_name", "bin",
-        (F.sum("bin_n").over(by_bin) - F.col("bin_n")).alias("bin_start"),
-        "bin_n",
-        F.sum("bin_n").over(Window.partitionBy("column_name")).alias("total"),
-    )
-    position = lambda p: (F.col("total") - 1) * F.lit(p)
-    ranks = [rank(position(p)).cast("bigint") for p in at for rank in (F.floor, F.ceil)]
-    held = [(r >= F.col("bin_start")) & (r < F.col("bin_start") + F.col("bin_n")) for r in ranks]
-    wanted = ranges.filter(reduce(Column.__or__, held)).drop("bin_n")
-    inside = Window.partitionBy("column_name", "bin").orderBy("value")
-    ranked = binned.join(F.broadcast(wanted), ["column_name", "bin"]).select(
-        "column_name", "value", "total", "n",
-        (F.col("bin_start") + F.sum("n").over(inside) - F.col("n")).alias("first_rank"),
-    )
-    at_rank = [
-        F.max(
-            F.when(
-                (r >= F.col("first_rank")) & (r < F.col("first_rank") + F.col("n")), F.col("value")
-            )
+    spark = df.sparkSession
+    each = [F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]
+    values = df.select(F.inline(F.array(*each))).filter("v IS NOT NULL")
+    ends = values.groupBy("c").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    totals, open_, found = {}, {}, {}
+    for r in ends.collect():
+        totals[r["c"]] = r["n"]
+        for p in at:
+            for rank in (math.floor((r["n"] - 1) * p), math.ceil((r["n"] - 1) * p)):
+                open_[r["c"], rank] = (r["low"], r["high"], 0, r["n"])  # bounds, rows below, rows between
+
+    def between(slots: dict) -> tuple[DataFrame, dict]:
+        """The values inside of the distinct bounds, numbered ``s``, and the numbers of the bounds."""
+        number = {key: s for s, key in enumerate(sorted({(c, *bounds[:2]) for (c, _), bounds in slots.items()}))}
+        frame = spark.createDataFrame([(s, *key) for key, s in number.items()], "s int, c int, low double, high double")
+        # A row per column and wanted rank.
+        return values.join(F.broadcast(frame), "c").filter("v BETWEEN low AND high").select("s", "v"), number
+
+    while open_:
+        for key, (low, high, _, _) in list(open_.items()):
+            if low == high or (math.isnan(low) and math.isnan(high)):
+                found[key] = low
+                del open_[key]
+        wide = {key: bounds for key, bounds in open_.items() if bounds[3] > target}
+        if not wide:
+            break
+        inside, number = between(wide)
+        points = [i / 32 for i in range(1, 32)]
+        cuts = inside.groupBy("s").agg(F.array_distinct(F.percentile_approx("v", points, accuracy)).alias("cuts"))
+        below = F.size(F.filter("cuts", lambda x: x < F.col("v")))
+        place = 2 * below + F.array_contains("cuts", F.col("v")).cast("int")
+        bins = inside.join(F.broadcast(cuts), "s").groupBy("s", place.alias("bin")).agg(
+            F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
         )
-        for r in ranks
-    ]
-    found = ranked.groupBy("column_name").agg(
-        F.max("total").alias("total"), *[v.alias(f"v{i}") for i, v in enumerate(at_rank)]
-    )
-    between = []
-    for i, p in enumerate(at):
-        low, high = F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}")
-        part = position(p) - F.floor(position(p))
-        between.append((low + (high - low) * part).alias(f"q{i + 1}"))
-    return found.select("column_name", *between)
+        counted: dict[int, list] = {}
+        for r in sorted(bins.collect(), key=lambda r: (r["s"], r["bin"])):
+            counted.setdefault(r["s"], []).append(r)
+        for (c, rank), (low, high, before, _) in wide.items():
+            for r in counted[number[c, low, high]]:
+                if rank < before + r["n"]:
+                    open_[c, rank] = (r["low"], r["high"], before, r["n"])
+                    break
+                before += r["n"]
+    if open_:
+        inside, number = between(open_)
+        wanted = [(number[c, low, high], c, rank, rank - before) for (c, rank), (low, high, before, _) in open_.items()]
+        frame = spark.createDataFrame(wanted, "s int, c int, rank long, at long")
+        upto = F.sum("n").over(Window.partitionBy("s").orderBy("v"))
+        ordered = inside.groupBy("s", "v").agg(F.count("*").alias("n")).select("s", "v", "n", upto.alias("upto"))
+        held = ordered.join(F.broadcast(frame), "s").filter("at >= upto - n AND at < upto")
+        found |= {(r["c"], r["rank"]): r["v"] for r in held.select("c", "rank", "v").collect()}
+    rows = []
+    for c, n in totals.items():
+        row = [columns[c]]
+        for p in at:
+            low, high = (found[c, rank((n - 1) * p)] for rank in (math.floor, math.ceil))
+            row.append(low + (high - low) * ((n - 1) * p - math.floor((n - 1) * p)))
+        rows.append(tuple(row))
+    return spark.createDataFrame(rows, ", ".join(["column_name string", *(f"q{i + 1} double" for i in range(len(at)))]))
 
 
 def distribution(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchmark.operators import discover, profile
+from touchmark.operators import discover, heavy, profile
 from touchmark.operators import quality as dq
 from touchmark.operators.quality import Rule
 from touchmark.plans.oracle_views import TABLE_COLUMNS, VIEWS, discovery_views, with_views
@@ -294,11 +294,20 @@ def profile_min_max(spark: SparkSession, d: str) -> DataFrame:
     return profile.min_max(load(spark, d, "orders"))
 
 
-def _top_sql(table: str, columns: list[str], n: int) -> str:
+#: Columns of the event table by kind, as the SQL spells their values.
+_EVENT_COLUMNS = {
+    "event_id": "integer", "event_type": "string", "cookie_id": "integer", "campaign_id": "integer",
+    "creative_id": "integer", "channel": "string", "country_code": "string", "device_type": "string",
+    "spend_usd": "decimal", "event_ts": "time", "event_date": "date", "partition_date": "date",
+}
+
+
+def _top_sql(table: str, columns: dict[str, str], n: int) -> str:
+    text = lambda c, kind: f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')" if kind == "time" else f"CAST({c} AS VARCHAR)"
     counts = " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, COUNT(*) AS value_count"
+        f"SELECT '{c}' AS column_name, {text(c, kind)} AS value, COUNT(*) AS value_count"
         f" FROM {table} WHERE {c} IS NOT NULL GROUP BY {c}"
-        for c in columns
+        for c, kind in columns.items()
     )
     return f"""
 SELECT * FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY column_name
@@ -306,17 +315,20 @@ SELECT * FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY column_name
 WHERE value_rank <= {n}"""
 
 
-@register("profile_top_n", _top_sql("lineitem", _columns("lineitem", "integer string"), 5))
+@register("profile_top_n", _top_sql("lineitem", TABLE_COLUMNS["lineitem"], 5))
 def profile_top_n(spark: SparkSession, d: str) -> DataFrame:
-    return profile.top_n(load(spark, d, "lineitem"), 5, _columns("lineitem", "integer string"))
+    return heavy.top_n(load(spark, d, "lineitem"), 5)
 
 
-@register("topn_per_column", with_views(
-    _top_sql("pixel_events", ["event_type", "channel", "country_code", "campaign_id"], 3),
-    "pixel_events"))
+@register("topn_per_column", with_views(_top_sql("pixel_events", _EVENT_COLUMNS, 3), "pixel_events"))
 def topn_per_column(spark: SparkSession, d: str) -> DataFrame:
-    columns = ["event_type", "channel", "country_code", "campaign_id"]
-    return profile.top_n(star.pixel_events(spark, d), 3, columns)
+    return heavy.top_n(star.pixel_events(spark, d), 3)
+
+
+@register("topn_documents", _top_sql("documents", TABLE_COLUMNS["documents"], 4))
+def topn_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Long texts are counted by their hash and shown whole."""
+    return heavy.top_n(load(spark, d, "documents"), 4)
 
 
 _NUMBERS = _columns("lineitem", "integer double")
@@ -362,14 +374,9 @@ FROM (SELECT CAST({expression} AS DOUBLE) AS v FROM {table}) a,
 
 
 @register("profile_anomalies", with_views(_anomaly_sql("pixel_events", {
-    "event_id": "event_id", "campaign_id": "campaign_id", "spend_usd": "spend_usd",
-    "unit": "1", "missing": "NULL"}), "pixel_events"))
+    c: c for c, kind in _EVENT_COLUMNS.items() if kind in ("integer", "decimal")}), "pixel_events"))
 def profile_anomalies(spark: SparkSession, d: str) -> DataFrame:
-    events = star.pixel_events(spark, d).select(
-        "event_id", "campaign_id", "spend_usd", F.lit(1).alias("unit"),
-        F.lit(None).cast("int").alias("missing"),
-    )
-    return profile.anomalies(events)
+    return profile.anomalies(star.pixel_events(spark, d))
 
 
 def _profile_sql(table: str) -> str:
