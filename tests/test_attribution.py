@@ -76,8 +76,8 @@ def test_cookie_wins_over_hem(spark):
 
 
 @pytest.mark.parametrize("bucket_seconds", [600, 6 * 3600, 40 * 24 * 3600])
-@pytest.mark.parametrize("days", [1, 30])
-def test_matches_brute_force_with_a_hot_cookie(spark, bucket_seconds, days):
+@pytest.mark.parametrize("days, segment_rows", [(1, 500_000), (30, 500_000), (1, 8), (30, 25)])
+def test_matches_brute_force_with_a_hot_cookie(spark, bucket_seconds, days, segment_rows):
     """A third of all rows belong to one cookie; ties and long gaps occur."""
     rng = random.Random(bucket_seconds + days)
     cookie = lambda: 1 if rng.random() < 0.35 else rng.randrange(2, 20)
@@ -92,19 +92,42 @@ def test_matches_brute_force_with_a_hot_cookie(spark, bucket_seconds, days):
             expected[txn] = [e for _, e in sorted(seen, reverse=True)[:3]]
             counts[txn] = len(seen)
     e, t = events(spark, clicks), transactions(spark, buys)
-    options = {"within_days": days, "bucket_seconds": bucket_seconds}
+    options = {"within_days": days, "bucket_seconds": bucket_seconds, "segment_rows": segment_rows}
     ranked = at.latest_touches(t.select("txn_id", "cookie_id", "txn_ts"), e, k=3, **options).collect()
     found = {}
     for row in sorted(ranked, key=lambda r: (r["txn_id"], r["rn"])):
         found.setdefault(row["txn_id"], []).append(row["event_id"])
     assert found == expected
-    assert credit(at.last_touch(e, t, window_days=days, bucket_seconds=bucket_seconds)) == {
+    assert credit(at.last_touch(e, t, window_days=days, bucket_seconds=bucket_seconds, segment_rows=segment_rows)) == {
         txn: ids[0] for txn, ids in expected.items()
     }
     counted = at.touch_counts(t.select("txn_id", "cookie_id", "txn_ts"), e, **options).collect()
     assert {r["txn_id"]: r["touch_count"] for r in counted} == counts
 
 
+def test_a_busy_hour_is_cut_by_its_density(spark):
+    """All clicks of one cookie inside one hour, most of them in its first minute: no segment is far above the median."""
+    from pyspark.sql import functions as F
+
+    n = 40_000
+    clicks = spark.range(n).select(
+        F.lit(1).alias("_key"), F.lit(0).alias("_bucket"),
+        F.timestamp_micros((F.pow(F.rand(3), 4) * 3.6e9).cast("long")).alias("_at"),
+    ).union(spark.range(1000).select(F.col("id") % 50 + 2, F.lit(0), F.timestamp_micros(F.col("id") * 1000)))
+    cuts = at._cuts([clicks], 1000)
+    sizes = at._with_segment(clicks, cuts).filter("_key = 1").groupBy("_sub").count().toPandas()["count"]
+    assert len(sizes) >= 30 and sizes.sum() == n and sizes.max() <= 3 * sizes.median()
+    assert [r["_key"] for r in cuts.collect()] == [1]
+    assert at._cuts([clicks], n + 1000) is None and at._cuts([clicks.limit(0)], 10) is None
+
+
+def test_equal_times_stay_together(spark):
+    clicks = events(spark, [(i, 1, 9, T0) for i in range(60)] + [(100 + i, 1, 9, after(seconds=i)) for i in range(1, 40)])
+    buys = transactions(spark, [(1000 + i, 1, None, after(seconds=i)) for i in range(50)])
+    expected = {1000 + i: 59 if i == 0 else 100 + min(i, 39) for i in range(50)}
+    assert credit(at.last_touch(clicks, buys, segment_rows=5)) == expected
+
+
 def test_last_touch_plan_forms_no_pairs(spark):
     e = events(spark, [(1, 1, 9, T0)])
     t = transactions(spark, [(10, 1, None, after(hours=1))])

@@ -3,8 +3,9 @@
 The rule is "the latest click before the purchase, at most N days old". Joining every click of a
 cookie with every purchase of it would produce clicks x purchases rows, so a busy cookie would
 blow up. Instead clicks and purchases are merged on one time line per cookie and read in order.
-The time line is cut into buckets of fixed length, and what is known at the start of each bucket
-comes from a small per-bucket summary, so that no task ever holds all rows of one cookie.
+The time line is cut into buckets of fixed length, crowded ones into segments by measured density,
+and what is known at the start of each segment comes from a small summary of those before it, so that no
+task ever holds all rows of one cookie, nor all of one busy hour.
 """
 
 from __future__ import annotations
@@ -15,12 +16,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_SECONDS = 6 * 3600
+#: Rows of a key's bucket from which it is cut, and the most cuts of all keys: with more rows, segments grow.
+SEGMENT_ROWS = 500_000
+MAX_CUTS = 10_000
 
 
 def _bucket(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_seconds(ts) / seconds).cast("bigint")
 
 
+def _cuts(parts: list[DataFrame], segment_rows: int) -> DataFrame | None:
+    """(_key, _bucket, _cuts): times in microseconds that cut the crowded buckets; None where there are none.
+
+    ``parts`` have (_key, _bucket, _at). Buckets are counted, and those of too many rows cut at approximate
+    quantiles of their times, one for each ``segment_rows``. Equal times stay together.
+    """
+    rows = reduce(DataFrame.unionByName, [p.select("_key", "_bucket", "_at") for p in parts])
+    total = rows.count()
+    if total <= segment_rows:
+        return None
+    limit = max(segment_rows, total // MAX_CUTS)
+    crowded = rows.groupBy("_key", "_bucket").agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
+    # No more than total / limit rows, so at most MAX_CUTS.
+    crowded = rows.sparkSession.createDataFrame(crowded.toPandas(), crowded.schema)
+    most = crowded.agg(F.max("_n")).first()[0]
+    if most is None:
+        return None
+    steps = -(-most // limit)
+    at = F.percentile_approx(F.unix_micros("_at"), [i / steps for i in range(1, steps)], 10 * steps)
+    quantiles = rows.join(F.broadcast(crowded), ["_key", "_bucket"]).groupBy("_key", "_bucket", "_n").agg(at.alias("_at"))
+    # Of these, as many as the bucket has segments.
+    wanted = F.ceil(F.col("_n") / limit)
+    place = lambda i: F.least(F.floor(i * steps / wanted), F.lit(steps - 1)).cast("int") - 1
+    chosen = F.transform(F.sequence(F.lit(1), wanted - 1), lambda i: F.get("_at", F.greatest(place(i), F.lit(0))))
+    cuts = quantiles.select("_key", "_bucket", F.array_distinct(chosen).alias("_cuts"))
+    return rows.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
+
+
+def _with_segment(rows: DataFrame, cuts: DataFrame | None) -> DataFrame:
+    """Adds ``_sub``, the segment of the bucket that ``_at`` lies in."""
+    if cuts is None:
+        return rows.withColumn("_sub", F.lit(0))
+    held = rows.join(F.broadcast(cuts), ["_key", "_bucket"], "left")
+    below = F.size(F.filter("_cuts", lambda c: c < F.unix_micros("_at")))
+    return held.withColumn("_sub", F.when(F.col("_cuts").isNull(), 0).otherwise(below)).drop("_cuts")
+
+
 def _days(n: int) -> Column:
     return F.make_dt_interval(days=F.lit(n))
 
@@ -37,46 +78,51 @@ def latest_touches(
     within_days: int = 30,
     k: int = 1,
     bucket_seconds: int = BUCKET_SECONDS,
+    segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """The ``k`` latest touches at or before each probe with the same key, newest first (``rn``).
 
     Equal times are ordered by ``touch_id``, the larger one counting as later. Probes without a
     touch in the window give no row; NULL keys never match. Touches are matched in three steps:
-    the ``k`` latest touches of each (key, bucket); for each bucket holding probes, the ``k``
-    latest of all earlier buckets; one ordered pass inside each (key, bucket).
+    the ``k`` latest touches of each (key, segment); for each segment holding probes, the ``k``
+    latest of all earlier segments; one ordered pass inside each (key, segment).
     """
     payload = [F.col(touch_ts).alias("ts"), F.col(touch_id).alias("id")]
     payload += [F.col(c) for c in touch_columns]
     points = touches.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("_key"),
         _bucket(F.col(touch_ts), bucket_seconds).alias("_bucket"),
+        F.col(touch_ts).alias("_at"),
         F.struct(*payload).alias("_touch"),
     )
     asked = probes.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("_key"),
         _bucket(F.col(probe_ts), bucket_seconds).alias("_bucket"),
+        F.col(probe_ts).alias("_at"),
         F.struct(*probes.columns).alias("_probe"),
     )
+    cuts = _cuts([points, asked], segment_rows)
+    points, asked = _with_segment(points, cuts).drop("_at"), _with_segment(asked, cuts).drop("_at")
 
+    segment = ("_key", "_bucket", "_sub")
     if k == 1:
-        tails = points.groupBy("_key", "_bucket").agg(F.max("_touch").alias("_touch"))
+        tails = points.groupBy(*segment).agg(F.max("_touch").alias("_touch"))
     else:
-        newest = Window.partitionBy("_key", "_bucket").orderBy(F.col("_touch").desc())
+        newest = Window.partitionBy(*segment).orderBy(F.col("_touch").desc())
         tails = points.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= k)
         tails = tails.drop("_n")
     no_touch = F.lit(None).cast(points.schema["_touch"].dataType)
-    marks = asked.select("_key", "_bucket").distinct().withColumn("_touch", no_touch)
-    order = "PARTITION BY _key ORDER BY _bucket, _touch ASC NULLS FIRST"
+    marks = asked.select(*segment).distinct().withColumn("_touch", no_touch)
+    order = "PARTITION BY _key ORDER BY _bucket, _sub, _touch ASC NULLS FIRST"
     carried = tails.unionByName(marks).select(
-        "_key",
-        "_bucket",
+        *segment,
         "_touch",
         F.array(
             *[F.expr(f"lag(_touch, {i + 1}) IGNORE NULLS OVER ({order})") for i in range(k)]
         ).alias("_earlier"),
     )
     carried = carried.filter(F.col("_touch").isNull()).select(
-        "_key", "_bucket", F.explode(F.filter("_earlier", lambda t: t.isNotNull())).alias("_touch")
+        *segment, F.explode(F.filter("_earlier", lambda t: t.isNotNull())).alias("_touch")
     )
     bucket_start = F.timestamp_seconds(F.col("_bucket") * bucket_seconds)
     carried = carried.filter(F.col("_touch.ts") + _days(within_days) >= bucket_start)
@@ -87,12 +133,12 @@ def latest_touches(
         .select("*", no_probe.alias("_probe"), F.col("_touch.ts").alias("_at"))
         .unionByName(
             asked.select(
-                "_key", "_bucket", no_touch.alias("_touch"), "_probe",
+                *segment, no_touch.alias("_touch"), "_probe",
                 F.col(f"_probe.{probe_ts}").alias("_at"),
             )
         )
     )
-    in_order = "PARTITION BY _key, _bucket ORDER BY _at, _touch ASC NULLS LAST"
+    in_order = "PARTITION BY _key, _bucket, _sub ORDER BY _at, _touch ASC NULLS LAST"
     seen = line.select(
         "_probe",
         F.array(
@@ -121,6 +167,7 @@ def touch_counts(
     touch_ts: str = "event_ts",
     within_days: int = 30,
     bucket_seconds: int = BUCKET_SECONDS,
+    segment_rows: int = SEGMENT_ROWS,
     name: str = "touch_count",
 ) -> DataFrame:
     """How many touches lie in each probe's window, both ends included; zero counts are left out.
@@ -149,20 +196,19 @@ def touch_counts(
         ],
     )
     line = points.unionByName(reads).withColumn("_bucket", _bucket(F.col("_at"), bucket_seconds))
-    per_bucket = line.groupBy("_key", "_bucket").agg(F.sum("_weight").alias("_weight"))
-    before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(
+    line, segment = _with_segment(line, _cuts([line], segment_rows)), ("_key", "_bucket", "_sub")
+    per_segment = line.groupBy(*segment).agg(F.sum("_weight").alias("_weight"))
+    before = Window.partitionBy("_key").orderBy("_bucket", "_sub").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    start = per_bucket.select(
-        "_key", "_bucket", F.coalesce(F.sum("_weight").over(before), F.lit(0)).alias("_weight")
-    )
-    opening = start.select(
-        "_key", F.timestamp_seconds(F.col("_bucket") * bucket_seconds).alias("_at"),
-        F.lit(-1).alias("_kind"), "_weight", F.lit(None).cast("int").alias("_sign"),
+    # A segment opens with the count of all before it: without a time, it comes first.
+    opening = per_segment.select(
+        "_key", F.lit(None).cast(line.schema["_at"].dataType).alias("_at"), F.lit(-1).alias("_kind"),
+        F.coalesce(F.sum("_weight").over(before), F.lit(0)).alias("_weight"), F.lit(None).cast("int").alias("_sign"),
         *[F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in probes.columns],
-        "_bucket",
+        "_bucket", "_sub",
     )
-    running = Window.partitionBy("_key", "_bucket").orderBy("_at", "_kind").rowsBetween(
+    running = Window.partitionBy(*segment).orderBy("_at", "_kind").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     read = line.unionByName(opening).withColumn("_total", F.sum("_weight").over(running))
@@ -189,6 +235,7 @@ def last_touch(
     window_days: int = 30,
     event_type: str = "click",
     bucket_seconds: int = BUCKET_SECONDS,
+    segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """The credited click of every attributable transaction, matched by cookie."""
     return latest_touches(
@@ -196,6 +243,7 @@ def last_touch(
         clicks_of(pixel_events, event_type),
         within_days=window_days,
         bucket_seconds=bucket_seconds,
+        segment_rows=segment_rows,
     ).drop("rn")
 
 

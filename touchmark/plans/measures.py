@@ -11,6 +11,7 @@ from touchmark.operators import attribution as at
 from touchmark.operators import marts, prompts
 from touchmark.plans.oracle_views import with_views
 from touchmark.plans.registry import register
+from touchmark.session import new_path
 from touchmark.sources import star
 from touchmark.sources.tables import load
 
@@ -218,11 +219,11 @@ SELECT c.campaign_id, t.txn_id, CAST(t.amount_usd AS DOUBLE) AS amount_usd
 FROM campaigns c LEFT JOIN touches t ON t.campaign_id = c.campaign_id AND t.rn = 1""",
     "campaigns", "touches"))
 def left_join_ranked(spark: SparkSession, d: str) -> DataFrame:
-    best = at.last_touch(star.pixel_events(spark, d), star.transactions(spark, d))
+    """The credited touches are written once, for both the campaigns that have some and those that have none."""
+    best, path = at.last_touch(star.pixel_events(spark, d), star.transactions(spark, d)), new_path(spark, "last-touch")
+    best.select("campaign_id", "txn_id", "amount_usd").write.parquet(path)
     joined = at.left_join_hot(
-        star.campaigns(spark, d).select("campaign_id"),
-        best.select("campaign_id", "txn_id", "amount_usd"),
-        "campaign_id",
+        star.campaigns(spark, d).select("campaign_id"), spark.read.parquet(path), "campaign_id"
     )
     return _doubles(joined, "amount_usd")
 
