@@ -434,7 +434,7 @@ def extract(
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = f"key {kinds['key']}, url {kinds['url']}"
     parsed = rows.mapInArrow(_parsed, f"{schema}, host long, page long, texts array<string>, zones array<string>")
-    parsed = stored(parsed, "pages")
+    parsed = stored(parsed, "pages", "zstd")
     ranges = stored(_repeated(parsed, rules), "repeated")
     found = parsed.join(_small(ranges, "starts", rules), ["host", "page"], "left").select("key", "url", "texts", "zones", "starts")
     texts = found.mapInArrow(lambda it: _texts(it, rules.run), f"{schema}, text string")
