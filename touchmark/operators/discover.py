@@ -57,25 +57,18 @@ def value_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
     A value is held as a number or as a text, whichever its class calls for, next to its column id.
     """
-    columns = _all_columns(tables)
-    parts = []
+    columns, parts = _all_columns(tables), []
     for table, df in tables.items():
-        for cls in dict.fromkeys(c for _, c in key_columns(df)):
-            mine = [(i, c) for i, (t, c, k) in enumerate(columns) if (t, k) == (table, cls)]
-            text = cls == "string"
-            value = (lambda c: value_key(df, c)) if text else (lambda c: _number(c, cls))
-            long = df.select(*[value(c).alias(str(i)) for i, c in mine]).unpivot(
-                [], [str(i) for i, _ in mine], "column_id", "value"
-            )
-            none = F.lit(None)
-            parts.append(
-                long.select(
-                    F.col("column_id").cast("int").alias("column_id"),
-                    F.lit(cls).alias("type_class"),
-                    (none.cast("bigint") if text else F.col("value")).alias("number"),
-                    (F.col("value") if text else none.cast("string")).alias("text"),
-                )
+        cells = [
+            F.struct(
+                F.lit(i).alias("column_id"), F.lit(cls).alias("type_class"),
+                (F.lit(None).cast("bigint") if cls == "string" else _number(c, cls)).alias("number"),
+                (value_key(df, c) if cls == "string" else F.lit(None).cast("string")).alias("text"),
             )
+            for i, (t, c, cls) in enumerate(columns) if t == table
+        ]
+        if cells:  # all columns of a table from one scan
+            parts.append(df.select(F.inline(F.array(*cells))))
     return (
         reduce(DataFrame.unionByName, parts)
         .groupBy("column_id", "type_class", "number", "text")
@@ -193,20 +186,44 @@ def relationship_graph(foreign: DataFrame) -> DataFrame:
 
 def dataset_overview(tables: dict[str, DataFrame]) -> DataFrame:
     """Tables, rows, columns and joinable column pairs as (measure, value) rows."""
-    rows = [df.agg(F.count("*").alias("value")) for df in tables.values()]
-    total = reduce(DataFrame.unionByName, rows).agg(F.sum("value").alias("value"))
-    fixed = F.array(
-        F.struct(F.lit("tables").alias("measure"), F.lit(len(tables)).cast("bigint").alias("value")),
-        F.struct(
-            F.lit("columns").alias("measure"),
-            F.lit(sum(len(df.columns) for df in tables.values())).cast("bigint").alias("value"),
-        ),
-        F.struct(F.lit("rows").alias("measure"), F.col("value")),
-    )
-    joinable = foreign_keys(tables).agg(F.count("*").alias("value"))
-    return total.select(F.inline(fixed)).unionByName(
-        joinable.select(F.lit("joinable_pairs").alias("measure"), "value")
+    columns = _all_columns(tables)
+    pairs = _overlaps(value_counts(tables))
+    # The counts of a table's first possible key column are the table's; a table without one is counted by itself.
+    first = {t: i for i, (t, _, _) in reversed(list(enumerate(columns)))}
+    own = (F.col("child") == F.col("parent")) & F.col("child").isin(list(first.values()))
+    found = pairs.agg(
+        F.coalesce(F.sum(F.when(own, F.col("row_count"))), F.lit(0)).alias("rows"), _joinable(columns).alias("pairs")
     )
+    bare = [df.agg(F.count("*").alias("n")) for t, df in tables.items() if t not in first]
+    for part in bare:
+        found = found.crossJoin(F.broadcast(part)).withColumn("rows", F.col("rows") + F.col("n")).drop("n")  # one row each
+    fixed = lambda name, value: F.struct(F.lit(name).alias("measure"), value.cast("bigint").alias("value"))
+    return found.select(
+        F.inline(
+            F.array(
+                fixed("tables", F.lit(len(tables))),
+                fixed("columns", F.lit(sum(len(df.columns) for df in tables.values()))),
+                fixed("rows", F.col("rows")), fixed("joinable_pairs", F.col("pairs")),
+            )
+        )
+    )
+
+
+def _joinable(columns: list[tuple[str, str, str]]) -> Column:
+    """How many pairs of columns join fully, from all (child, parent) overlaps at once: no more rows than column pairs."""
+    cell = F.struct("child", "parent", "shared", "row_count", "null_count")
+    table = F.array(*[F.lit(t) for t, _, _ in columns])
+
+    def count(cells: Column) -> Column:
+        own = F.map_from_entries(F.transform(F.filter(cells, lambda x: x["child"] == x["parent"]), lambda x: F.struct(x["child"], x)))
+        is_key = lambda x: (x["null_count"] == 0) & (x["shared"] == x["row_count"])
+        joins = lambda x: (
+            is_key(own[x["parent"]]) & (F.get(table, x["child"]) != F.get(table, x["parent"]))
+            & (x["shared"] > 0) & (x["shared"] == own[x["child"]]["shared"])
+        )
+        return F.size(F.filter(cells, joins))
+
+    return count(F.collect_list(cell))
 
 
 def synonym_columns_check(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

@@ -112,19 +112,18 @@ def graph_nodes(graph: Graph) -> DataFrame:
 def graph_edges(graph: Graph, labels: tuple[str, ...] | None = None) -> DataFrame:
     """``(label, edge_id, source, source_key, target, target_key)``; a NULL key makes no edge."""
     text = lambda c: F.col(c).cast("string")
-    parts = []
+    by_table: dict[str, list[Column]] = {}
     for e in graph.edges:
         if labels is None or e.label in labels:
-            parts.append(
-                graph.tables[e.table]
-                .filter(F.col(e.source_column).isNotNull() & F.col(e.target_column).isNotNull())
-                .select(
-                    F.lit(e.label).alias("label"), text(e.key).alias("edge_id"),
-                    F.lit(e.source).alias("source"), text(e.source_column).alias("source_key"),
-                    F.lit(e.target).alias("target"), text(e.target_column).alias("target_key"),
-                )
+            edge = F.struct(
+                F.lit(e.label).alias("label"), text(e.key).alias("edge_id"),
+                F.lit(e.source).alias("source"), text(e.source_column).alias("source_key"),
+                F.lit(e.target).alias("target"), text(e.target_column).alias("target_key"),
             )
-    return reduce(DataFrame.unionByName, parts)
+            by_table.setdefault(e.table, []).append(edge)
+    # All edges that a table holds come from one scan of it.
+    parts = [graph.tables[t].select(F.inline(F.array(*edges))) for t, edges in by_table.items()]
+    return reduce(DataFrame.unionByName, parts).filter("source_key IS NOT NULL AND target_key IS NOT NULL")
 
 
 def _named(df: DataFrame, alias: str) -> DataFrame:
