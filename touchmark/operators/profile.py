@@ -81,29 +81,38 @@ def nulls(df: DataFrame) -> DataFrame:
     return _one_pass(df, df.columns, _null_measures())
 
 
-def _by_type(df: DataFrame, columns: list[str]) -> list[list[str]]:
-    """Columns of one type together: their values need no common type to be counted."""
-    types: dict[str, list[str]] = {}
-    for c in columns:
-        types.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
-    return list(types.values())
+def _cell(df: DataFrame, i: int, column: str) -> Column:
+    """A value in one of three narrow fields, by its type, under the number of its column."""
+    kind, value = df.schema[column].dataType, F.col(column)
+    number = real = text = None
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        number = value.cast("bigint")
+    elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        number = F.unix_micros(value.cast("timestamp"))
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+        real = value.cast("double")
+    elif isinstance(kind, T.DecimalType):
+        text = value.cast("string")
+    else:
+        text = value_key(df, column)
+    fields = {"number": (number, "bigint"), "real": (real, "double"), "text": (text, "string")}
+    typed = [(F.lit(None).cast(t) if c is None else c).alias(name) for name, (c, t) in fields.items()]
+    return F.struct(F.lit(i).alias("column_id"), *typed)
 
 
 def distinct(df: DataFrame, columns: list[str] | None = None, *, approximate: bool = False) -> DataFrame:
-    """Distinct non-NULL values per column; ``approximate`` needs no shuffle of values."""
+    """Distinct non-NULL values per column; ``approximate`` needs no shuffle of values.
+
+    All columns become rows of one narrow type in a single scan, folded in each task before the shuffle.
+    """
     columns = columns or df.columns
     if approximate:
-        return _one_pass(
-            df, columns, {"distinct_count": lambda c: F.approx_count_distinct(value_key(df, c))}
-        )
-    parts = [
-        long_values(df, alike, lambda c: value_key(df, c))
-        .distinct()
-        .groupBy("column_name")
-        .agg(F.count("value").alias("distinct_count"))
-        for alike in _by_type(df, columns)
-    ]
-    return reduce(DataFrame.unionByName, parts)
+        return _one_pass(df, columns, {"distinct_count": lambda c: F.approx_count_distinct(value_key(df, c))})
+    cells = df.select(F.inline(F.array(*[_cell(df, i, c) for i, c in enumerate(columns)])))
+    none = F.col("number").isNull() & F.col("real").isNull() & F.col("text").isNull()
+    counts = cells.distinct().groupBy("column_id").agg(F.count_if(~none).alias("distinct_count"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return counts.select(F.get(names, F.col("column_id")).alias("column_name"), "distinct_count")
 
 
 def _bound_measures(df: DataFrame) -> dict:
@@ -283,7 +292,7 @@ def anomalies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """Nulls, bounds and distinct values of every column."""
+    """Nulls, bounds and distinct values of every column, from two scans."""
     one_pass = _one_pass(df, df.columns, {**_null_measures(), **_bound_measures(df)})
     return one_pass.join(distinct(df), "column_name")
 
