@@ -7,10 +7,11 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchmark.operators import discover, heavy, profile
+from touchmark.operators import discover, heavy, presence, profile
 from touchmark.operators import quality as dq
 from touchmark.operators.quality import Rule
 from touchmark.plans.oracle_views import TABLE_COLUMNS, VIEWS, discovery_views, with_views
+from touchmark.plans.measures import REFERENCE_TABLES, REFERENCES, reference_sql
 from touchmark.plans.registry import register
 from touchmark.session import new_path
 from touchmark.sources import star
@@ -149,16 +150,17 @@ def dq_failing_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("txn_id", names.alias("failed_rules"))
 
 
-@register("dq_referential", with_views("""
-SELECT 'referential-cookie-id' AS rule, COUNT(*) AS evaluated,
-  COUNT(*) FILTER (EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = p.shifted)) AS passed,
-  COUNT(*) FILTER (NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = p.shifted)) = 0 AS ok
-FROM (SELECT cookie_id * 20 AS shifted FROM pixel_events WHERE cookie_id IS NOT NULL) p""",
-    "pixel_events"))
+@register("dq_referential", with_views(reference_sql("""
+SELECT '{name}' AS reference, COUNT(*) AS evaluated, COUNT(*) FILTER (found) AS passed,
+  COUNT(DISTINCT key) AS child_keys, COUNT(DISTINCT key) FILTER (NOT found) AS orphan_keys,
+  (SELECT COUNT(DISTINCT {parent_key}) FROM {parent} WHERE {parent_key} NOT IN (
+    SELECT {child_key} FROM {child} WHERE {child_key} IS NOT NULL)) AS unused_parent_keys,
+  COUNT(*) FILTER (found) / CAST(NULLIF(COUNT(*), 0) AS DOUBLE) AS ratio, COUNT(*) FILTER (NOT found) = 0 AS ok
+FROM (SELECT {child_key} AS key, {child_key} IN (SELECT {parent_key} FROM {parent} WHERE {parent_key} IS NOT NULL) AS found
+  FROM {child} WHERE {child_key} IS NOT NULL)"""), *REFERENCE_TABLES))
 def dq_referential(spark: SparkSession, d: str) -> DataFrame:
-    """Cookie ids stretched beyond the registry, so that some are orphans."""
-    child = star.pixel_events(spark, d).select((F.col("cookie_id") * 20).alias("cookie_id"))
-    return dq.dq_referential(child, star.cookie_registry(spark, d), "cookie_id", "cookie_id")
+    """All declared references of the marketing tables, their orphans and coverage."""
+    return presence.coverage(star.tables(spark, d), REFERENCES)
 
 
 _RULE_SETS = """

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchmark.operators import attribution as at
+from touchmark.operators import graph, presence
 from touchmark.operators import marts, prompts
 from touchmark.plans.oracle_views import with_views
 from touchmark.plans.registry import register
@@ -248,17 +249,27 @@ def identity_resolve(spark: SparkSession, d: str) -> DataFrame:
     return resolved.select("txn_id", "audience_id", "resolved_via")
 
 
-@register("orphan_keys", """
-SELECT l_partkey AS part_key, COUNT(*) AS child_rows FROM (
-  SELECT l_orderkey + l_partkey AS l_partkey FROM lineitem) l
-WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_partkey)
-GROUP BY l_partkey""")
-def orphan_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Shifted order keys, so that some have no order."""
-    child = load(spark, d, "lineitem").select(
-        (F.col("l_orderkey") + F.col("l_partkey")).alias("part_key")
+REFERENCES = presence.declared(graph.EDGES)
+
+
+def reference_sql(template: str) -> str:
+    """The template once per declared reference, by its name, child and parent."""
+    return " UNION ALL ".join(
+        template.format(name=r.name, child=r.child, child_key=r.child_key, parent=r.parent, parent_key=r.parent_key)
+        for r in REFERENCES
     )
-    return at.orphan_keys(child, load(spark, d, "orders"), "part_key", "o_orderkey")
+
+
+REFERENCE_TABLES = tuple(dict.fromkeys(t for r in REFERENCES for t in (r.child, r.parent)))
+
+
+@register("orphan_keys", with_views(reference_sql("""
+SELECT '{name}' AS reference, CAST({child_key} AS VARCHAR) AS key, COUNT(*) AS child_rows FROM {child}
+WHERE {child_key} IS NOT NULL AND {child_key} NOT IN (SELECT {parent_key} FROM {parent} WHERE {parent_key} IS NOT NULL)
+GROUP BY {child_key}"""), *REFERENCE_TABLES))
+def orphan_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of all declared references that their parent does not have."""
+    return presence.orphans(star.tables(spark, d), REFERENCES)
 
 
 # --- aggregations --------------------------------------------------------------------------
