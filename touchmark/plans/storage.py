@@ -52,12 +52,27 @@ def scan_with_file(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", F.substring_index("source_file", "/", -1).alias("source_file"))
 
 
-@register("scan_appends", with_views("""
-SELECT event_id, event_ts FROM pixel_events WHERE event_ts > TIMESTAMP '2024-01-21' AND
-  event_ts <= TIMESTAMP '2024-01-31'""", "pixel_events"))
+#: Events arrive up to three days late: a day's batch holds events of four days.
+_LATENESS = 4
+
+
+@register("scan_appends", with_views(f"""
+SELECT event_id, event_ts, CAST(CAST(event_ts AS DATE) + CAST(event_id % {_LATENESS} AS INTEGER) AS DATE) AS arrived_on
+FROM pixel_events WHERE CAST(event_ts AS DATE) + CAST(event_id % {_LATENESS} AS INTEGER) > DATE '2024-01-21'
+  AND CAST(event_ts AS DATE) + CAST(event_id % {_LATENESS} AS INTEGER) <= DATE '2024-01-31'""", "pixel_events"))
 def scan_appends(spark: SparkSession, d: str) -> DataFrame:
-    recent = src.appends(star.pixel_events(spark, d), AS_OF, _TEN_DAYS)
-    return recent.select("event_id", F.col("event_ts").cast("timestamp_ntz").alias("event_ts"))
+    """What arrived in ten days, by the stamp of its batch: late events are found, older batches not opened."""
+    path, day = new_path(spark, "events-by-arrival"), F.to_date("event_ts")
+    arrived = F.date_add(day, (F.col("event_id") % _LATENESS).cast("int"))
+    events = star.pixel_events(spark, d).select("event_id", "event_ts", src.stamp(arrived.cast("timestamp")).alias("arrived"))
+    # A batch's rows together, with a few tasks each, as a writer of batches would have them.
+    src.append_stamped(events.repartition("arrived", F.pmod(F.xxhash64("event_id"), F.lit(4))), path)
+    table = spark.read.schema("event_id long, event_ts timestamp, arrived string").parquet(path)
+    recent = src.arrivals(table, AS_OF, _TEN_DAYS)
+    return recent.select(
+        "event_id", F.col("event_ts").cast("timestamp_ntz").alias("event_ts"),
+        F.to_date(F.substring("arrived", 1, 8), "yyyyMMdd").alias("arrived_on"),
+    )
 
 
 _CTR = """

@@ -37,3 +37,43 @@ def appends(
     end = F.lit(as_of) if isinstance(as_of, dt.datetime) else as_of
     start = end - F.make_dt_interval(mins=F.lit(lookback_minutes))
     return df.filter((F.col(ts) > start) & (F.col(ts) <= end))
+
+
+# --- appends by the time they arrived ------------------------------------------------------
+
+#: Folder names of arrivals: UTC, in the order of time.
+_STAMP = "%Y%m%dT%H%M%S"
+
+
+def append_batch(df: DataFrame, path: str, arrived_at: dt.datetime) -> None:
+    """Appends a batch under the time it arrived; the same batch again replaces itself."""
+    stamped = df.withColumn("arrived", F.lit(arrived_at.strftime(_STAMP)))
+    append_stamped(stamped, path)
+
+
+def append_stamped(df: DataFrame, path: str) -> None:
+    """Appends rows that carry ``arrived``, as ``append_batch`` stamps them."""
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("arrived").parquet(path)
+
+
+def stamp(ts: Column) -> Column:
+    return F.date_format(ts, "yyyyMMdd'T'HHmmss")
+
+
+def arrivals(df: DataFrame, as_of: dt.datetime, lookback_minutes: int = 10) -> DataFrame:
+    """Rows that arrived after ``as_of`` minus the lookback, up to ``as_of``, however old their events are.
+
+    ``arrived`` is a partition, so only the folders of those batches are opened. A table without
+    stamps can be read by ``recent_files``.
+    """
+    start = as_of - dt.timedelta(minutes=lookback_minutes)
+    low, high = (t.astimezone(dt.timezone.utc).strftime(_STAMP) for t in (start, as_of))
+    return df.filter((F.col("arrived") > low) & (F.col("arrived") <= high))
+
+
+def recent_files(df: DataFrame, as_of: dt.datetime, lookback_minutes: int = 10) -> DataFrame:
+    """Rows of the files that were written after ``as_of`` minus the lookback, up to ``as_of``."""
+    written = F.col("_metadata.file_modification_time")
+    start = as_of - dt.timedelta(minutes=lookback_minutes)
+    return df.filter((written > F.lit(start)) & (written <= F.lit(as_of)))
