@@ -16,8 +16,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines like an earlier one go; n_chars follows the text."""
+    """Lines like an earlier one go; n_chars, where there is one, follows the text."""
     out = lines.dedup_lines(docs)
+    if "n_chars" not in docs.columns:
+        return out
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -154,3 +154,17 @@ def test_pipeline(spark, data):
     assert sorted(map(tuple, corpus_pipeline.run(spark, data).select("doc_id", "n_tokens").collect())) == sorted(
         map(tuple, docs.select("doc_id", "n_tokens").collect())
     )
+
+
+def test_pipeline_odd(spark, data, odd_docs, no_docs):
+    """Null, empty, repeated and long texts, columns of clashing names, and no rows at all, through every stage."""
+    good = read(spark, data, "documents").limit(30).select("doc_id", "text", "lang")
+    more = good.selectExpr("doc_id + 1000 AS doc_id", "text", "lang", "7 AS n_words", "'z' AS shard", "1.5D AS size", "'q' AS digest")
+    docs, nothing = odd_docs.unionByName(more).unionByName(more.limit(1)), no_docs
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.count()
+        docs, nothing = (corpus_pipeline.stored(stage(spark, d, data), name) for d in (docs, nothing))
+        assert 0 < docs.count() <= before and nothing.count() == 0
+        if name != "encode":
+            assert docs.columns == odd_docs.columns
+    assert docs.columns == ["doc_id", "n_tokens", "ids", "decoded"]
