@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,8 +27,8 @@ class LineRules:
     similarity: float = 0.8
     bands: int = 8
     rows: int = 3
-    #: Equal minima that a pair of a band needs to be verified; 24 are expected to hold 19 at similarity 0.8.
-    likely: int = 9
+    #: Equal minima that a pair needs to be verified; 24 are expected to hold 19 at similarity 0.8.
+    likely: int = 11
     #: Lines of a band whose pairs are all compared; larger bands are searched by rare shingles.
     crowd: int = 32
     #: Line ids that are broadcast to find the lines to compare.
@@ -93,16 +94,35 @@ def _alike(pairs: DataFrame, texts: DataFrame, rules: LineRules) -> DataFrame:
     return counted.filter(F.col("c") >= rules.similarity * (F.col("n") - F.col("c"))).select("a", "b")
 
 
-def _likely(pairs: DataFrame, signatures: DataFrame, rules: LineRules) -> DataFrame:
+def _packed(rules: LineRules) -> list[Column]:
+    """The minima, eight to a whole number, a byte of each: enough to count equal ones, and a quarter of the room."""
+    names = rules.minima
+    packs = [names[at : at + 8] for at in range(0, len(names), 8)]
+    byte = lambda m, k: F.shiftleft(F.col(m).bitwiseAND(F.lit(255)).cast("bigint"), 8 * k)
+    return [
+        reduce(Column.bitwiseOR, [byte(m, k) for k, m in enumerate(pack)]).alias(f"p{j}") for j, pack in enumerate(packs)
+    ]
+
+
+def _equal(x: str, y: str, rules: LineRules) -> Column:
+    """How many minima two lines have in common, by their packs ``x0``, ``x1``, ... and ``y0``, ``y1``, ..."""
+    n = len(rules.minima)
+    differ = [F.col(f"{x}{j}").bitwiseXOR(F.col(f"{y}{j}")) for j in range(-(-n // 8))]
+    same = [F.shiftright(differ[k // 8], 8 * (k % 8)).bitwiseAND(F.lit(255)) == 0 for k in range(n)]
+    return sum((c.cast("int") for c in same), F.lit(0))
+
+
+def _likely(pairs: DataFrame, packs: DataFrame, rules: LineRules) -> DataFrame:
     """The distinct pairs (a, b) whose signatures agree in enough minima."""
-    left = signatures.select(F.col("line_id").alias("a"), *[F.col(m).alias(f"a{m}") for m in rules.minima])
-    right = signatures.select(F.col("line_id").alias("b"), *[F.col(m).alias(f"b{m}") for m in rules.minima])
-    equal = sum(((F.col(f"a{m}") == F.col(f"b{m}")).cast("int") for m in rules.minima), F.lit(0))
-    return pairs.distinct().join(left, "a").join(right, "b").filter(equal >= rules.likely).select("a", "b")
+    names = packs.columns[1:]
+    left = packs.select(F.col("line_id").alias("a"), *[F.col(p).alias(f"x{j}") for j, p in enumerate(names)])
+    right = packs.select(F.col("line_id").alias("b"), *[F.col(p).alias(f"y{j}") for j, p in enumerate(names)])
+    both = pairs.distinct().join(left, "a").join(right, "b")
+    return both.filter(_equal("x", "y", rules) >= rules.likely).select("a", "b")
 
 
 def _pairs_of_crowds(sets: DataFrame, rules: LineRules) -> DataFrame:
-    """Candidates (a, b) among the lines (line_id, root, hashes) of different roots, by their rarest shingles.
+    """Candidates (a, b) among the lines (line_id, root, packs, hashes) of different roots, by their rarest shingles.
 
     Sets sorted by rarity can only be alike if the first few of both have one in common, at a place that
     leaves enough to follow: few enough for the smaller set that text which a whole crowd shares is rarely
@@ -110,21 +130,28 @@ def _pairs_of_crowds(sets: DataFrame, rules: LineRules) -> DataFrame:
     """
     t = rules.similarity
     least = lambda x: F.ceil(x - 1e-9)
-    tokens = stored(sets.select("line_id", "root", F.size("hashes").alias("n"), F.explode("hashes").alias("h")), "crowd-shingles")
+    packs = [c for c in sets.columns if c not in ("line_id", "root", "hashes")]
+    tokens = sets.select("line_id", "root", *packs, F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    tokens = stored(tokens, "crowd-shingles")
     rarity = tokens.groupBy("h").agg(F.count("*").alias("f"), F.min("root").alias("low"), F.max("root").alias("high"))
     order = Window.partitionBy("line_id").orderBy("f", "h")
     placed = tokens.join(rarity, "h").withColumn("at", F.row_number().over(order))
     first = F.col("at") <= F.col("n") - least(t * F.col("n")) + 1
     short = F.col("at") <= F.col("n") - least(2 * t / (1 + t) * F.col("n")) + 1
-    placed = placed.filter(first & (F.col("low") != F.col("high"))).select("line_id", "root", "n", "h", "at", short.alias("short"))
+    placed = placed.filter(first & (F.col("low") != F.col("high")))
+    placed = placed.select("line_id", "root", *packs, "n", "h", "at", short.alias("short"))
     placed = stored(placed, "crowd-prefixes")
     crowded = placed.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", "c").alias("largest"))
-    x = placed.join(crowded, "h").filter("root != largest").select("h", *[F.col(c).alias(f"x_{c}") for c in ("line_id", "root", "n", "at", "short")])
-    y = placed.select("h", *[F.col(c).alias(f"y_{c}") for c in ("line_id", "root", "n", "at", "short")])
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("line_id", "root", "n", "at", "short")] + [
+        F.col(p).alias(f"{s}{j}") for j, p in enumerate(packs)
+    ]
+    x = placed.join(crowded, "h").filter("root != largest").select("h", *side("x"))
+    y = placed.select("h", *side("y"))
     role = F.when(F.col("x_n") <= F.col("y_n"), F.col("x_short")).otherwise(F.col("y_short"))
     left = 1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
     sizes = F.least("x_n", "y_n") >= least(t * F.greatest("x_n", "y_n"))
-    both = x.join(y, "h").filter("x_root != y_root").filter(role & sizes & (left >= least(t / (1 + t) * (F.col("x_n") + F.col("y_n")))))
+    enough = left >= least(t / (1 + t) * (F.col("x_n") + F.col("y_n")))
+    both = x.join(y, "h").filter("x_root != y_root").filter(role & sizes & enough & (_equal("x", "y", rules) >= rules.likely))
     return both.select(F.least("x_line_id", "y_line_id").alias("a"), F.greatest("x_line_id", "y_line_id").alias("b")).distinct()
 
 
@@ -144,11 +171,12 @@ def line_links(lines: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     wanted = stored(members.select("line_id").distinct(), "line-wanted")
     small = fits(wanted, rules.broadcast_lines)  # else the lines' texts are shuffled
     texts = lines.select("line_id", "line").join(F.broadcast(wanted) if small else wanted, "line_id", "left_semi")
-    texts = stored(texts.dropDuplicates(["line_id"]), "line-texts")
+    texts = stored(texts.dropDuplicates(["line_id"]), "line-texts", "zstd")
 
+    packs = signatures.select("line_id", *_packed(rules))
     stars = members.select(F.explode(F.array("least", "most")).alias("x"), F.col("line_id").alias("y")).filter("x != y")
     stars = stars.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    links = stored(_alike(_likely(stars, signatures, rules), texts, rules), "line-links")
+    links = stored(_alike(_likely(stars, packs, rules), texts, rules), "line-links")
 
     roots = components(links).withColumnRenamed("node", "line_id")
     placed = members.filter("n > 2").select("band", "n", "line_id").join(roots, "line_id", "left")
@@ -160,8 +188,9 @@ def line_links(lines: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     y = few.select("band", F.col("line_id").alias("b"), F.col("root").alias("root_b"))
     pairs = x.join(y, "band").filter("a < b AND root_a != root_b").select("a", "b")
     lost = placed.filter(F.col("n") > rules.crowd).select("line_id", "root").distinct()
-    sets = texts.join(lost, "line_id").select("line_id", "root", all_shingles(F.col("line"), rules).alias("hashes"))
-    more = _likely(pairs, signatures, rules).union(_pairs_of_crowds(sets, rules)).distinct()
+    sets = texts.join(lost, "line_id").join(packs, "line_id")
+    sets = sets.select("line_id", "root", *packs.columns[1:], all_shingles(F.col("line"), rules).alias("hashes"))
+    more = _likely(pairs, packs, rules).union(_pairs_of_crowds(sets, rules)).distinct()
     return links.union(_alike(more, texts, rules))
 
 
