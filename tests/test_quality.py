@@ -253,3 +253,19 @@ def test_scan_results_are_kept_once_per_run(spark, rows, tmp_path):
     for run in ("a", "a", "b"):
         append_scan_results(scan_rows, str(tmp_path / "dq"), run, dt.datetime(2024, 1, 1))
     assert spark.read.parquet(str(tmp_path / "dq")).count() == 2
+
+
+def test_profiles_merge_without_the_data(spark, tmp_path):
+    """Runs that share values count them once; a repeated run replaces itself, and one run can be read alone."""
+    from touchmark.sources.profiles import ERROR, append_profile, merged_profile
+
+    rows = spark.range(20_000).select("id", (F.col("id") % 7).cast("double").alias("digit"), F.when(F.col("id") < 50, "x").alias("few"))
+    for run, low in (("a", 0), ("b", 5000), ("a", 0)):
+        part = rows.filter((F.col("id") >= low) & (F.col("id") < low + 10_000))
+        append_profile(part, str(tmp_path), "t", run, dt.datetime(2024, 1, 1))
+    found = {r["column_name"]: r for r in merged_profile(spark, str(tmp_path), "t").collect()}
+    assert all(r["row_count"] == 20_000 for r in found.values())
+    assert abs(found["id"]["distinct_estimate"] - 15_000) <= 4 * ERROR * 15_000
+    assert (found["digit"]["distinct_estimate"], found["few"]["distinct_estimate"], found["few"]["null_count"]) == (7, 1, 19_950)
+    (alone,) = merged_profile(spark, str(tmp_path), "t", ["b"]).filter("column_name = 'few'").collect()
+    assert (alone["row_count"], alone["distinct_estimate"]) == (10_000, 0)

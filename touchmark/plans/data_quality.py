@@ -15,6 +15,7 @@ from touchmark.plans.measures import REFERENCE_TABLES, REFERENCES, reference_sql
 from touchmark.plans.registry import register
 from touchmark.session import new_path
 from touchmark.sources import star
+from touchmark.sources.profiles import ERROR, append_profile, merged_profile
 from touchmark.sources.sinks import append_scan_results
 from touchmark.sources.tables import load
 
@@ -268,9 +269,34 @@ def profile_distinct(spark: SparkSession, d: str) -> DataFrame:
     return profile.distinct(load(spark, d, "lineitem"))
 
 
-@register("profile_distinct_approx")
+@register("profile_distinct_approx", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, COUNT(DISTINCT {c}) AS distinct_count, TRUE AS estimate_is_close FROM lineitem"
+    for c in TABLE_COLUMNS["lineitem"]))
 def profile_distinct_approx(spark: SparkSession, d: str) -> DataFrame:
-    return profile.distinct(load(spark, d, "lineitem"), approximate=True)
+    """The estimate next to the exact count: within four of its standard errors of 5 %."""
+    rows = load(spark, d, "lineitem")
+    estimated = profile.distinct(rows, approximate=True).withColumnRenamed("distinct_count", "estimate")
+    close = F.abs(F.col("estimate") - F.col("distinct_count")) <= 0.2 * F.col("distinct_count")
+    return profile.distinct(rows).join(estimated, "column_name").select(
+        "column_name", "distinct_count", close.alias("estimate_is_close")
+    )
+
+
+@register("profile_sketches", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, COUNT(*) AS row_count, COUNT(*) - COUNT({c}) AS null_count,"
+    f" COUNT(DISTINCT {c}) AS distinct_count, TRUE AS estimate_is_close FROM lineitem"
+    for c in TABLE_COLUMNS["lineitem"]))
+def profile_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles of four runs, one of them written twice, merged from ``lineitem_profile`` next to the exact counts."""
+    rows, path = load(spark, d, "lineitem"), new_path(spark, "profiles")
+    for run in (0, 1, 2, 3, 1):
+        part = rows.filter(F.col("l_orderkey") % 4 == run)
+        append_profile(part, path, "lineitem", f"run-{run}", dt.datetime(2024, 2, 1 + run))
+    merged = merged_profile(spark, path, "lineitem")
+    close = F.abs(F.col("distinct_estimate") - F.col("distinct_count")) <= F.ceil(4 * ERROR * F.col("distinct_count"))
+    return merged.join(profile.distinct(rows), "column_name").select(
+        "column_name", "row_count", "null_count", "distinct_count", close.alias("estimate_is_close")
+    )
 
 
 def _min_max_sql(table: str) -> str:
