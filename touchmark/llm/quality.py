@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchmark.llm.common import let, ngrams, read, register, stored, text_or_empty, words
+from touchmark.llm.common import fits, let, ngrams, read, register, stored, text_or_empty, words
 
 SYMBOLS = "[#*$%&|<>]"
 CLASSES = ("upper", "digit", "point", "symbol", "other")
@@ -25,8 +25,10 @@ class Rules:
     max_class_distance: float = 0.32
     max_common_distance: float = 0.4
     common_words: int = 8
-    #: Languages with references of their own, the largest first; the others share a pooled one.
-    max_languages: int = 200
+    #: Words that a language needs for references of its own; smaller ones share a pooled one.
+    min_reference_words: int = 1000
+    #: Languages whose references are broadcast; more are shuffled.
+    broadcast_languages: int = 5000
 
 
 def _class_counts(text: Column, symbols: Column, n_chars: Column) -> dict[str, Column]:
@@ -45,7 +47,7 @@ def references(docs: DataFrame, rules: Rules = Rules(), lang: str = "lang", text
     """Per language ``ref``: shares of the character classes, its commonest words and their shares.
 
     Both come from one count of words over all documents, summed in each task before the shuffle. The
-    row with a null ``ref`` pools all languages, for documents without one or with one beyond the limit.
+    row with a null ``ref`` pools all languages, for documents without one or with one of too few words.
     """
     tokens = docs.select(F.col(lang).cast("string").alias("ref"), F.explode(words(text_or_empty(text))).alias("word"))
     tokens = stored(tokens.groupBy("ref", "word").agg(F.count("*").alias("n")), "word-counts")
@@ -59,11 +61,7 @@ def references(docs: DataFrame, rules: Rules = Rules(), lang: str = "lang", text
         F.sum(F.col("n") * F.char_length("word")).alias("chars"),
         *[F.sum(F.col("n") * c).alias(name) for name, c in classes.items()],
     )
-    # From here on a row per language and common word: small enough for any task.
-    largest = Window.orderBy(F.col("ref").isNotNull(), F.desc("total"), "ref")
-    shares = shares.withColumn("rank", F.row_number().over(largest)).filter(
-        F.col("rank") <= rules.max_languages + 1
-    )
+    shares = shares.filter(F.col("ref").isNull() | (F.col("total") >= rules.min_reference_words))
     # Spark keeps the first rows of each task before it shuffles for a row number below a limit.
     commonest = Window.partitionBy("ref").orderBy(F.desc("n"), "word")
     top = every.withColumn("rank", F.row_number().over(commonest)).filter(F.col("rank") <= rules.common_words)
@@ -137,12 +135,14 @@ def score(
     one, is not judged by it. Every row gets its own verdict, repeated or not; columns of any other name
     pass through, and an empty table stays empty.
     """
-    known = [r["ref"] for r in reference.select("ref").collect()]  # at most max_languages + 1
-    named = F.col(lang).cast("string")
-    keyed = docs.withColumn("__ref", F.when(named.isin([k for k in known if k is not None]), named))
-    refs = reference.select(F.struct(*reference.columns).alias("__r"))
+    own = reference.filter("ref IS NOT NULL").select(F.struct(*reference.columns).alias("__own"))
+    own = F.broadcast(own) if fits(own, rules.broadcast_languages) else own
+    pooled = reference.filter("ref IS NULL").first()
     body = text_or_empty(text)
-    rows = keyed.join(F.broadcast(refs), F.col("__ref").eqNullSafe(F.col("__r.ref")), "left")
+    kind = own.schema["__own"].dataType
+    shared = F.struct(*[F.lit(pooled[c]).cast(kind[c].dataType).alias(c) for c in reference.columns]) if pooled else F.lit(None)
+    rows = docs.join(own, F.col(lang).cast("string") == F.col("__own.ref"), "left")
+    rows = rows.withColumn("__r", F.coalesce("__own", shared.cast(kind))).drop("__own")
     rows = rows.withColumn("__w", words(body))
     lines = F.filter(F.split(body, "\n", -1), lambda line: line.rlike("[^ \\t-\\r]"))
     rows = rows.withColumns(
