@@ -22,9 +22,9 @@ HEADLINE = (
     "identity_resolve", "orphan_keys", "ctr_batch", "stream_ctr_batch_twin", "dq_scan",
     "dq_fill_contract", "dq_failing_rows", "dq_rule_diff", "profile_nulls", "profile_distinct",
     "profile_top_n", "profile_histogram", "profile_distribution", "discover_primary_keys",
-    "discover_foreign_keys", "match_exact", "match_fuzzy", "apply_links", "tokenize_description",
-    "graph_edges", "path_campaign_creative_event", "path_hem_alternatives", "knn_exact",
-    "topk_distance", "theme_similarity", "embed_text",
+    "discover_foreign_keys", "dataset_overview", "match_exact", "tokenize_description",
+    "graph_edges", "path_campaign_creative_event", "path_hem_alternatives", "knn_exact", "knn_ivf",
+    "topk_distance", "theme_similarity", "recommend_themes", "embed_text",
 )
 
 
