@@ -204,3 +204,31 @@ def test_proposal_files_are_validated(spark, tmp_path):
     )
     rows = read_proposals(spark, str(tmp_path / "p.json")).collect()
     assert [r["missing_field"] for r in rows] == [None, "glossary_term", "column"]
+
+
+def test_equal_terms_and_columns_are_matched_once(spark):
+    t = terms(spark, *[(f"m{i}", "usd of the amount usd") for i in range(300)])
+    names = [f"t{i}.amount_usd" for i in range(400)]
+    c = columns(spark, *names).unionByName(columns(spark, names[0]))  # the first place comes twice
+    words, places = gl._classes(t, c)
+    classes = {len(r["hits"]) for r in gl._class_hits(words, places).collect()}
+    assert gl._class_hits(words, places).count() == 2 and classes == {3, 6}
+    found = gl.match_fuzzy(t, c, 0)
+    scores = {(r["match_score"], r["match_rationale"], r["n"]) for r in found.groupBy("match_score", "match_rationale").agg(F.count("*").alias("n")).collect()}
+    once, twice = "substr:usd, substr:amount, substr:usd", ", ".join(f"substr:{k}, substr:{k}" for k in ("usd", "amount", "usd"))
+    assert scores == {(15, once, 300 * 399), (30, twice, 300)}
+    hits = gl.keyword_hits(t, c)
+    assert hits.count() == 300 * 401 * 3 and hits.agg(F.sum("points")).first()[0] == 300 * 401 * 15
+
+
+def test_rows_of_equal_names_come_from_chunks(spark):
+    """Chunks of terms and columns are shuffled, not the rows they make."""
+    t = terms(spark, ("brand", "")).crossJoin(spark.range(400).select(F.concat(F.lit("g"), "id").alias("g")))
+    t = t.drop("glossary_id").withColumnRenamed("g", "glossary_id")
+    c = columns(spark, *[f"t{i}.Brand" for i in range(3000)])
+    found = gl.match_exact(t, c)
+    keys = F.xxhash64("glossary_id", "table")
+    assert tuple(found.agg(F.count("*"), F.approx_count_distinct(keys) > 1_000_000).first()) == (400 * 3000, True)
+    pairs = gl._same_name(t.selectExpr("term_key term_class"), c.selectExpr("column_key place_class"))
+    assert pairs.count() == 1
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
