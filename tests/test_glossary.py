@@ -232,3 +232,24 @@ def test_rows_of_equal_names_come_from_chunks(spark):
     pairs = gl._same_name(t.selectExpr("term_key term_class"), c.selectExpr("column_key place_class"))
     assert pairs.count() == 1
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_proposals_are_written_compressed_and_read_back(spark, tmp_path):
+    from touchmark.sources.sinks import PROPOSAL_SCHEMA, read_proposals, write_proposals
+
+    row = ("term", "cat", "a description", "t", "c", "exact", "", 100, "exact match")
+    write_proposals(spark.createDataFrame([row] * 2000, PROPOSAL_SCHEMA).coalesce(1), str(tmp_path / "p"))
+    (file,) = (tmp_path / "p").glob("part-*")
+    assert file.name.endswith(".json.gz") and file.stat().st_size < 20_000
+    back = read_proposals(spark, str(tmp_path / "p"))
+    assert back.count() == 2000 and [tuple(r) for r in back.distinct().collect()] == [(*row, None, True)]
+
+
+def test_description_diff_does_not_broadcast(spark):
+    """An inventory's estimate says nothing of its rows."""
+    c = columns(spark, "t.a", "t.b").withColumn("description", F.lit("d"))
+    diff = gl.description_diff(c, c.filter("column_name = 'a'"))
+    assert "SortMergeJoin" in diff._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r)[1:] for r in diff.collect()) == [
+        ("a", "d", "d", "unchanged"), ("b", "d", "(no description)", "changed"),
+    ]
