@@ -253,3 +253,21 @@ def test_description_diff_does_not_broadcast(spark):
     assert sorted(tuple(r)[1:] for r in diff.collect()) == [
         ("a", "d", "d", "unchanged"), ("b", "d", "(no description)", "changed"),
     ]
+
+
+def test_steps_of_the_matching_are_planned_once(spark):
+    found = gl.proposals(terms(spark, ("brand", "the usd", ["amount"])), columns(spark, "t.amount", "t.usd"), 0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 40  # 161 when each join repeated the steps before it
+    assert places(found) == {("brand", "t", "amount")}
+
+
+def test_heads_of_link_ids(spark):
+    """Parts that the head has no room for need no slug; the others have theirs, a null has none."""
+    rows = [("A_b", "n", "T_x", "Some Col"), ("x" * 30, "n", "t", "c"), ("Ab", "nnnnnnnnnnnnnn", "T_x", "C"), (None, "n", None, "A_B")]
+    df = spark.createDataFrame(rows, "term string, namespace string, t string, c string")
+    ids = df.select(gl.link_id(F.lit("g"), *map(F.col, ("term", "namespace", "t", "c"))).alias("v"))
+    heads = [r["v"][:-33] for r in ids.collect()]
+    assert heads == [
+        "definition-a-b-n-t-x-some-col", "definition-" + "x" * 19, "definition-ab-nnnnnnnnnnnnnn-t", "definition-n-a-b",
+    ]

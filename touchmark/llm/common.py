@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchmark.session import new_path
+from touchmark.session import stored as stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,13 +33,6 @@ def read(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """The same rows as a table in the shared folder: lineage ends there, and nothing is computed twice."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
