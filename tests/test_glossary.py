@@ -258,7 +258,7 @@ def test_description_diff_does_not_broadcast(spark):
 def test_steps_of_the_matching_are_planned_once(spark):
     found = gl.proposals(terms(spark, ("brand", "the usd", ["amount"])), columns(spark, "t.amount", "t.usd"), 0)
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") <= 40  # 161 when each join repeated the steps before it
+    assert plan.count("Exchange") <= 40  # the registered query had 161 on its tables
     assert places(found) == {("brand", "t", "amount")}
 
 
