@@ -271,3 +271,23 @@ def test_heads_of_link_ids(spark):
     assert heads == [
         "definition-a-b-n-t-x-some-col", "definition-" + "x" * 19, "definition-ab-nnnnnnnnnnnnnn-t", "definition-n-a-b",
     ]
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_rows_are_ranked_from_chunks(spark, monkeypatch, broadcast):
+    """Matches that are not written out are dealt to ranges before their rows are made, in the same order."""
+    monkeypatch.setattr(gl, "BROADCAST_PLACES", broadcast)
+    monkeypatch.setattr(gl, "PLACE_CHUNK", 3)
+    t = terms(spark, *[(f"m{i}", ("usd amount", "usd", "amount", "nothing")[i % 4]) for i in range(40)])
+    t = t.withColumn("term_ord", F.floor(F.col("term_ord") / 2))  # two terms share a place in the order
+    c = columns(spark, *[f"t{i}.{name}" for i in range(20) for name in ("amount", "usd_amount", "x_usd")])
+    order = ("term_ord", F.col("match_score").desc(), "table_ord", "position")
+    key = ("term_ord", "match_score", "table_ord", "position")
+    rows = gl.match_fuzzy(t, c, 0)
+    ranked = gl.rank_proposals(gl.match_fuzzy(t, c, 0, written_out=False))
+    assert ranked.columns == rows.columns
+    found, wanted = [tuple(r) for r in ranked.collect()], [tuple(r) for r in rows.orderBy(*order).collect()]
+    assert sorted(found) == sorted(wanted) and len(found) == 10 * (60 + 40 + 40)
+    assert [r[k] for r in ranked.collect() for k in key] == [r[k] for r in rows.orderBy(*order).collect() for k in key]
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate inline(place") < plan.index("rangepartitioning")
