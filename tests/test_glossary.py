@@ -291,3 +291,17 @@ def test_rows_are_ranked_from_chunks(spark, monkeypatch, broadcast):
     assert [r[k] for r in ranked.collect() for k in key] == [r[k] for r in rows.orderBy(*order).collect() for k in key]
     plan = ranked._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate inline(place") < plan.index("rangepartitioning")
+
+
+def test_proposals_that_differ_in_little_are_written_together(spark, tmp_path):
+    """Equal terms of many glossaries follow each other for each column, which the files' compression folds."""
+    from touchmark.sources.sinks import read_proposals, write_proposals
+
+    kind = F.concat(F.lit("Category "), (F.col("id") * 7919 % 5).cast("string"))
+    t = terms(spark, ("brand", "the brand")).drop("glossary_id", "category").crossJoin(
+        spark.range(400).select(F.concat(F.lit("g"), "id").alias("glossary_id"), kind.alias("category"))
+    )
+    c = columns(spark, *[f"t{i * 7919 % 500}.Brand" for i in range(500)])
+    write_proposals(gl.match_exact(t, c).select(*gl.PROPOSAL_COLUMNS), str(tmp_path / "p"))
+    assert read_proposals(spark, str(tmp_path / "p")).count() == 400 * 500
+    assert sum(f.stat().st_size for f in (tmp_path / "p").glob("part-*")) < 400 * 500
