@@ -305,3 +305,16 @@ def test_proposals_that_differ_in_little_are_written_together(spark, tmp_path):
     write_proposals(gl.match_exact(t, c).select(*gl.PROPOSAL_COLUMNS), str(tmp_path / "p"))
     assert read_proposals(spark, str(tmp_path / "p")).count() == 400 * 500
     assert sum(f.stat().st_size for f in (tmp_path / "p").glob("part-*")) < 400 * 500
+
+
+def test_parts_are_dealt_before_their_columns(spark, tmp_path):
+    """The small file of parts is not fanned out into columns by the task that reads it."""
+    from touchmark.sources import star
+
+    rows = [(1, "red bolt", "Brand#1", "SMALL", 1), (1, "red bolt", "Brand#1", "SMALL", 1), (None, None, "Brand#2", "LARGE", 2)]
+    parts = spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    found = gl.catalog_columns(star.catalog_entries(spark, str(tmp_path)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("REPARTITION_BY_COL")
+    assert [r["column_name"] for r in found.collect()].count("red_bolt") == 2

@@ -196,7 +196,10 @@ def tables(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
 
 
 def catalog_entries(spark: SparkSession, directory: str) -> DataFrame:
-    """One described catalog entry per part, its fields nested in a schema aspect."""
+    """One described catalog entry per part, its fields nested in a schema aspect.
+
+    Parts are a small file whose rows fan out into wide ones, so they are dealt to tasks first.
+    """
     brand = F.lower(F.regexp_replace("p_brand", "#", "_"))
     kind = F.lower("p_type")
     path = F.concat(
@@ -215,7 +218,7 @@ def catalog_entries(spark: SparkSession, directory: str) -> DataFrame:
         ),
         field(F.concat(brand, F.lit("-Price")), F.lit("Listed price")),
     )
-    return load(spark, directory, "part").select(
+    return load(spark, directory, "part").repartition("p_partkey").select(
         F.concat(
             F.lit("projects/demo/locations/us/entryGroups/@lake/entries/"), path
         ).alias("name"),
