@@ -164,6 +164,23 @@ def test_crowds_of_lines(spark):
     assert all(got[k] == docs[k].replace("short\n", "" if k > 300 else "short\n") for k in range(300, 600))
 
 
+def test_candidates_of_a_crowd(spark, monkeypatch):
+    """Near copies with up to seven changes of their own: fewer candidates than lines, where pairs of copies were before."""
+    rng = random.Random(7)
+    vocabulary = [f"word{k}" for k in range(3000)]
+    text = rng.choices(vocabulary, k=70)
+    docs = {900: " ".join(text)}
+    for k in range(400):
+        changed = list(text)
+        for at in rng.sample(range(70), 1 + k % 7):
+            changed[at] = rng.choice(vocabulary)
+        docs[k] = " ".join(changed)
+    found, of = [], lines._pairs_of_crowds
+    monkeypatch.setattr(lines, "_pairs_of_crowds", lambda *a: found.append(of(*a)) or found[-1])
+    assert deduped(spark, docs) == plain_dedup(docs)
+    assert found[0].count() <= 400
+
+
 def test_pairs_inside_a_crowd(spark):
     """One near copy of each of many lines that share a passage: no link is lost, no other made."""
     rng = random.Random(9)

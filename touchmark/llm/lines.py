@@ -121,38 +121,156 @@ def _likely(pairs: DataFrame, packs: DataFrame, rules: LineRules) -> DataFrame:
     return both.filter(_equal("x", "y", rules) >= rules.likely).select("a", "b")
 
 
-def _pairs_of_crowds(sets: DataFrame, rules: LineRules) -> DataFrame:
-    """Candidates (a, b) among the lines (line_id, root, packs, hashes) of different roots, by their rarest shingles.
+def _centers(members: DataFrame, signatures: DataFrame, rules: LineRules) -> DataFrame:
+    """(line_id, center) for the lines of bands (band, n, line_id): the line that most agrees with its band's commonest minima.
+
+    A line of several bands takes the center of the largest one.
+    """
+    minima = F.posexplode(F.array(*rules.minima)).alias("k", "m")
+    rows = members.select("band", "line_id").join(signatures, "line_id").select("band", "line_id", minima)
+    votes = rows.groupBy("band", "k", "m").agg(F.count("*").alias("v")).filter("v > 1")
+    common = votes.groupBy("band", "k").agg(F.max_by("m", F.struct("v", "m")).alias("m"))
+    agreed = rows.join(common, ["band", "k", "m"]).groupBy("band", "line_id").agg(F.count("*").alias("v"))
+    centers = agreed.groupBy("band").agg(F.max_by("line_id", F.struct("v", "line_id")).alias("center"))
+    # A band's minima are in common, so every band of two lines or more has a center.
+    return members.join(centers, "band").groupBy("line_id").agg(F.max_by("center", F.struct("n", "center")).alias("center"))
+
+
+def _around_centers(
+    lost: DataFrame, centers: DataFrame, texts: DataFrame, rules: LineRules
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(line_id, hashes), (line_id, center, n, base, differs, near) and (line_id, root, center, apart) of the lines; stored.
+
+    ``differs`` holds a shingle the line adds to its center as its hash, one it lacks as the hash's complement. ``n`` and
+    ``base`` are the sizes of both sets; lines alike their center are ``near``. Lines of a component that has such a line
+    are linked by the center, so they are one ``root``; ``apart`` are those not near and not of the center's root.
+    """
+    hubs = texts.join(centers.select(F.col("center").alias("line_id")).distinct(), "line_id")
+    hubs = hubs.select(F.col("line_id").alias("center"), F.col("line").alias("__x"))
+    both = lost.join(centers, "line_id").join(texts, "line_id").join(hubs, "center")
+    sets = F.struct(all_shingles(F.col("__x"), rules).alias("x"), all_shingles(F.col("line"), rules).alias("y"))
+    # A generator keeps the sets from being made again for each use.
+    both = both.select("line_id", "root", "center", F.inline(F.array(sets)))
+    first = stored(both.select("line_id", "root", "center", F.col("y").alias("hashes"), _change("y", "x").alias("differs")), "crowd-sets")
+    # The line with most of what most lines have: it differs least from the changes that over half of them share.
+    tokens = first.select("center", "line_id", F.size("differs").alias("d"), F.explode("differs").alias("h"))
+    members = first.groupBy("center").agg(F.count("*").alias("all"))
+    most = tokens.groupBy("center", "h").agg(F.count("*").alias("f")).join(members, "center").filter("2 * f > all")
+    held = tokens.join(most.select("center", "h"), ["center", "h"]).groupBy("center", "line_id", "d").agg(F.count("*").alias("hits"))
+    best = held.filter("2 * hits > d").groupBy("center").agg(F.min_by("line_id", F.struct(F.expr("d - 2 * hits"), "line_id")).alias("best"))
+    moved = first.select(F.col("line_id").alias("best"), F.size("hashes").alias("base"), F.col("differs").alias("__x"))
+    held_by = members.join(best, "center", "left").select("center", F.coalesce("best", "center").alias("best"))
+    # The first center may be a line of another crowd's center; its own difference is none.
+    own = first.select("center").distinct().join(first.select(F.col("line_id").alias("center"), F.size("hashes").alias("size")), "center")
+    moved = held_by.join(own, "center").join(moved, "best").select(
+        "center", "best", F.when(F.col("best") == F.col("center"), F.col("size")).otherwise(F.col("base")).alias("base"),
+        F.when(F.col("best") == F.col("center"), F.array().cast("array<bigint>")).otherwise(F.col("__x")).alias("__x"),
+    )
+    placed = first.join(moved, "center").select(
+        "line_id", "root", F.col("best").alias("center"), F.size("hashes").alias("n"), "base",
+        _change("differs", "__x").alias("differs"),
+    )
+    common = (F.col("n") + F.col("base") - F.size("differs")) / 2
+    near = common >= rules.similarity * (F.col("n") + F.col("base") - common)
+    placed = stored(placed.withColumn("near", near), "crowd-places")
+    linked = placed.filter("near").groupBy(F.col("root").alias("was")).agg(F.min("center").alias("linked"))
+    roots = placed.join(linked, F.col("root") == F.col("was"), "left")
+    roots = roots.select("line_id", F.coalesce("linked", "root").alias("root"), "center", "near")
+    cores = roots.select(F.col("line_id").alias("center"), F.col("root").alias("core"))
+    apart = F.expr("NOT near AND root != core").alias("apart")
+    roots = roots.join(cores, "center").select("line_id", "root", "center", apart)
+    return first.select("line_id", "hashes"), placed.drop("root"), stored(roots, "crowd-roots")
+
+
+def _change(y: str, x: str) -> Column:
+    """What leads from ``x`` to ``y``: hashes of ``y`` alone, complements of those of ``x`` alone."""
+    return F.concat(F.array_except(y, x), F.transform(F.array_except(x, y), F.bitwise_not))
+
+
+def _differences(places: DataFrame) -> DataFrame:
+    """A row per shingle ``h`` in which a line differs from its center, with their number ``d``."""
+    return places.select("line_id", F.size("differs").alias("d"), F.explode("differs").alias("h"))
+
+
+def _pairs_of_crowds(
+    sets: DataFrame, places: DataFrame, roots: DataFrame, packs: DataFrame, rules: LineRules
+) -> DataFrame:
+    """Candidates (a, b) among the lines around centers that are of different roots."""
+    known = roots.join(places.select("line_id", "n", "base"), "line_id").join(packs, "line_id")
+    around = _pairs_around(places, known, packs.columns[1:], rules)
+    return around.union(_pairs_across(sets, known, packs.columns[1:], rules)).distinct()
+
+
+def _sides(placed: DataFrame, taken: tuple[str, ...], packs: list[str]) -> list[list[Column]]:
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in taken] + [F.col(p).alias(f"{s}{j}") for j, p in enumerate(packs)]
+    return [side("x"), side("y")]
+
+
+def _sizes(t: float) -> Column:
+    return F.least("x_n", "y_n") >= F.ceil(t * F.greatest("x_n", "y_n") - 1e-9)
+
+
+def _pair() -> list[Column]:
+    return [F.least("x_line_id", "y_line_id").alias("a"), F.greatest("x_line_id", "y_line_id").alias("b")]
+
+
+def _pairs_around(places: DataFrame, known: DataFrame, packs: list[str], rules: LineRules) -> DataFrame:
+    """Candidates of one center, by the rarest of what they add to it and lack of it.
+
+    With D a line's difference from the center, two lines differ by the difference of their D, so alike ones have
+    (|D| + |D'| - g * (n + n')) / 2 shingles of D in common, where g = (1 - t) / (1 + t). One of a pair is not alike the center,
+    |D| > g * (n + base), so this is above zero and more than about half of the other's D: sorted by rarity, the
+    first halves must meet. Changes that each copy has to itself meet nothing.
+    """
+    t = rules.similarity
+    g = (1 - t) / (1 + t)
+    tokens = _differences(places).join(known.select("line_id", "center", "root"), "line_id")
+    rarity = tokens.groupBy("center", "h").agg(F.count("*").alias("f"), F.min("root").alias("low"), F.max("root").alias("high"))
+    order = Window.partitionBy("line_id").orderBy("f", "h")
+    placed = tokens.select("line_id", "center", "d", "h").join(rarity, ["center", "h"]).withColumn("at", F.row_number().over(order))
+    placed = placed.filter("low != high").select("line_id", "h", "d", "at").join(known, "line_id")
+    first = lambda wanted: F.col("at") <= F.col("d") - F.ceil(F.greatest(wanted, F.lit(1.0)) - 1e-6) + 1
+    asks = F.col("apart") & first((F.col("d") - g * (F.col("n") + F.col("base"))) / (1 + g))
+    answers = first((F.col("d") - g * (F.col("n") - F.col("base"))) / 2)
+    placed = placed.withColumns({"asks": asks, "answers": answers}).filter("asks OR answers")
+    taken = ("line_id", "root", "apart", "n", "d", "at")
+    placed = stored(placed.select(*taken, "center", "h", "asks", "answers", *packs), "crowd-differences", "zstd")
+    x, y = _sides(placed, taken, packs)
+    both = placed.filter("asks").select("center", "h", *x).join(placed.filter("answers").select("center", "h", *y), ["center", "h"])
+    needed = (F.col("x_d") + F.col("y_d") - g * (F.col("x_n") + F.col("y_n"))) / 2 - 1e-6
+    enough = 1 + F.least(F.col("x_d") - F.col("x_at"), F.col("y_d") - F.col("y_at")) >= needed
+    likely = _equal("x", "y", rules) >= rules.likely
+    once = F.expr("x_root != y_root AND (NOT y_apart OR x_line_id < y_line_id)")
+    return both.filter(once & enough & _sizes(t) & likely).select(*_pair()).distinct()
+
+
+def _pairs_across(sets: DataFrame, known: DataFrame, packs: list[str], rules: LineRules) -> DataFrame:
+    """Candidates of different centers, by their rarest shingles.
 
     Sets sorted by rarity can only be alike if the first few of both have one in common, at a place that
     leaves enough to follow: few enough for the smaller set that text which a whole crowd shares is rarely
-    among them. The lines of a shingle's largest component meet only the lines outside of it.
+    among them. The lines of a shingle's largest center meet only those of others.
     """
     t = rules.similarity
     least = lambda x: F.ceil(x - 1e-9)
-    packs = [c for c in sets.columns if c not in ("line_id", "root", "hashes")]
-    tokens = sets.select("line_id", "root", *packs, F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
-    tokens = stored(tokens, "crowd-shingles")
-    rarity = tokens.groupBy("h").agg(F.count("*").alias("f"), F.min("root").alias("low"), F.max("root").alias("high"))
+    tokens = sets.select("line_id", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    tokens = tokens.join(known.select("line_id", "center"), "line_id")
+    rarity = tokens.groupBy("h").agg(F.count("*").alias("f"), F.min("center").alias("low"), F.max("center").alias("high"))
     order = Window.partitionBy("line_id").orderBy("f", "h")
-    placed = tokens.join(rarity, "h").withColumn("at", F.row_number().over(order))
+    placed = tokens.select("line_id", "n", "h").join(rarity, "h").withColumn("at", F.row_number().over(order))
     first = F.col("at") <= F.col("n") - least(t * F.col("n")) + 1
     short = F.col("at") <= F.col("n") - least(2 * t / (1 + t) * F.col("n")) + 1
-    placed = placed.filter(first & (F.col("low") != F.col("high")))
-    placed = placed.select("line_id", "root", *packs, "n", "h", "at", short.alias("short"))
-    placed = stored(placed, "crowd-prefixes")
-    crowded = placed.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", "c").alias("largest"))
-    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("line_id", "root", "n", "at", "short")] + [
-        F.col(p).alias(f"{s}{j}") for j, p in enumerate(packs)
-    ]
-    x = placed.join(crowded, "h").filter("root != largest").select("h", *side("x"))
-    y = placed.select("h", *side("y"))
+    placed = placed.filter(first & (F.col("low") != F.col("high"))).select("line_id", "h", "at", short.alias("short"))
+    taken = ("line_id", "root", "center", "n", "at", "short")
+    placed = stored(placed.join(known, "line_id").select(*taken, "h", *packs), "crowd-prefixes", "zstd")
+    crowded = placed.groupBy("h", "center").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("center", "c").alias("largest"))
+    x, y = _sides(placed, taken, packs)
+    both = placed.join(crowded, "h").filter("center != largest").select("h", *x).join(placed.select("h", *y), "h")
     role = F.when(F.col("x_n") <= F.col("y_n"), F.col("x_short")).otherwise(F.col("y_short"))
     left = 1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
-    sizes = F.least("x_n", "y_n") >= least(t * F.greatest("x_n", "y_n"))
     enough = left >= least(t / (1 + t) * (F.col("x_n") + F.col("y_n")))
-    both = x.join(y, "h").filter("x_root != y_root").filter(role & sizes & enough & (_equal("x", "y", rules) >= rules.likely))
-    return both.select(F.least("x_line_id", "y_line_id").alias("a"), F.greatest("x_line_id", "y_line_id").alias("b")).distinct()
+    both = both.filter("x_center != y_center AND x_root != y_root").filter(role & _sizes(t) & enough)
+    return both.filter(_equal("x", "y", rules) >= rules.likely).select(*_pair()).distinct()
 
 
 def line_links(lines: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
@@ -160,14 +278,14 @@ def line_links(lines: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
 
     Every line of a band is held against the band's least and greatest line first. Where that leaves a band in
     several components, all pairs between them are verified if it has up to ``crowd`` lines; the lines of larger bands are
-    joined on rare shingles, which finds every alike pair. So a crowd around one text costs its size, and lines that
-    share a passage meet only those that share more.
+    held against the line in their midst, and those left are joined on rare shingles of what tells them from it, which finds
+    every alike pair. So a crowd around one text costs its size, and lines that share a passage meet only those that share more.
     """
-    signatures = stored(_signatures(lines, rules), "line-signatures")
+    signatures = stored(_signatures(lines, rules), "line-signatures", "zstd")
     keys = [F.xxhash64(F.lit(b), *rules.minima[b * rules.rows : (b + 1) * rules.rows]) for b in range(rules.bands)]
     bands = signatures.select("line_id", F.explode(F.array(*keys)).alias("band"))
     hubs = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("line_id").alias("least"), F.max("line_id").alias("most"))
-    members = stored(bands.join(hubs.filter("n > 1"), "band"), "line-members")
+    members = stored(bands.join(hubs.filter("n > 1"), "band"), "line-members", "zstd")
     wanted = stored(members.select("line_id").distinct(), "line-wanted")
     small = fits(wanted, rules.broadcast_lines)  # else the lines' texts are shuffled
     texts = lines.select("line_id", "line").join(F.broadcast(wanted) if small else wanted, "line_id", "left_semi")
@@ -187,24 +305,25 @@ def line_links(lines: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     x = few.select("band", F.col("line_id").alias("a"), F.col("root").alias("root_a"))
     y = few.select("band", F.col("line_id").alias("b"), F.col("root").alias("root_b"))
     pairs = x.join(y, "band").filter("a < b AND root_a != root_b").select("a", "b")
-    lost = placed.filter(F.col("n") > rules.crowd).select("line_id", "root").distinct()
-    sets = texts.join(lost, "line_id").join(packs, "line_id")
-    sets = sets.select("line_id", "root", *packs.columns[1:], all_shingles(F.col("line"), rules).alias("hashes"))
-    more = _likely(pairs, packs, rules).union(_pairs_of_crowds(sets, rules)).distinct()
-    return links.union(_alike(more, texts, rules))
+    crowds = placed.filter(F.col("n") > rules.crowd)
+    lost = crowds.select("line_id", "root").distinct()
+    sets, places, roots = _around_centers(lost, _centers(crowds, signatures, rules), texts, rules)
+    near = places.filter("near AND line_id != center").select("center", "line_id")
+    more = _likely(pairs, packs, rules).union(_pairs_of_crowds(sets, places, roots, packs, rules)).distinct()
+    return links.union(near).union(_alike(more, texts, rules))
 
 
 def _removed(docs: DataFrame, key: str, text: str, rules: LineRules) -> DataFrame:
     """(doc, body, gone): the places of the lines that go, for texts that lose any."""
     lines = _lines(docs, key, text)
     roots = components(line_links(lines, rules))
-    places = stored(lines.drop("line"), "line-places")
+    places = stored(lines.drop("line"), "line-places", "zstd")
     place = F.struct(F.col("doc").isNull().alias("null"), "doc", "body", "at")
     kinds = places.groupBy("line_id", "other").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     kinds = kinds.join(roots, F.col("line_id") == F.col("node"), "left")
     # Equal lines without a component of alike ones are a group of their own.
     own = F.when(F.col("root").isNull(), F.struct(F.col("line_id").alias("x"), F.col("other").alias("y")))
-    groups = stored(kinds.select("line_id", "other", "first", "last", "root", own.alias("own")), "line-groups")
+    groups = stored(kinds.select("line_id", "other", "first", "last", "root", own.alias("own")), "line-groups", "zstd")
     keep = groups.groupBy("root", "own").agg(F.min("first").alias("keep"), F.max("last").alias("most"))
     keep = keep.filter(F.col("keep") != F.col("most")).select(
         F.col("root").alias("__root"), F.col("own").alias("__own"), "keep"
