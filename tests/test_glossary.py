@@ -318,3 +318,61 @@ def test_parts_are_dealt_before_their_columns(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate") < plan.index("REPARTITION_BY_COL")
     assert [r["column_name"] for r in found.collect()].count("red_bolt") == 2
+
+
+def test_links_are_applied_by_classes_as_by_rows(spark, tmp_path):
+    """Parts of matches are decided, stored and counted without their rows, as the rows would be one by one."""
+    from collections import Counter
+
+    from touchmark.sources.links import LinkTable
+
+    given = [("brand", ""), ("mark", "Synonym for brand", ["BRAND", "Brand"]), ("cost", "", ["usd"]), ("m1", "the usd amount"), ("m2", "amount usd_total")]
+    t = terms(spark, *given).unionByName(terms(spark, *given[:4], glossary="h"))
+    c = columns(spark, "n/a.brand", "n/a.Brand", "n/b.amount_usd", "n/x.usd", "promo.usd", "n/b.usd_total", "n/b.usd")
+    # Places that come twice, and one column of a table at two positions, of which one comes twice.
+    c = c.unionByName(c.filter("column_name IN ('brand', 'usd_total')")).unionByName(c.filter("column_name = 'usd_total'").withColumn("table_ord", F.lit(0)))
+    inventory = c.selectExpr("split_part(full_table, '/', 1) namespace", "table_name").filter("table_name NOT IN ('x', 'promo')")
+    count = lambda df: Counter(tuple(r) for r in df.collect())
+    rows = gl.proposals(t, c, 1).withColumn("neg_score", -F.col("match_score"))
+    parts = gl.proposals(t, c, 1, rows=False)
+    by_id, by_class = LinkTable(spark, str(tmp_path / "a"), buckets=4), LinkTable(spark, str(tmp_path / "b"), buckets=4)
+    order = gl.APPLY_ORDER
+    early = gl.match_exact(t, c, rows=False).of_places(F.col("column_name") == "brand")
+    for run, (asked, held) in {"run-1": (gl.match_exact(t, c).filter("column = 'brand'"), (early,)), "run-2": (rows, parts)}.items():
+        asked = asked if run == "run-2" else asked.withColumns({"phase": F.lit(0), "neg_score": F.lit(0)})
+        wanted = gl.apply_links(asked, inventory, by_id.read(), order=order)
+        found = gl.apply_links(held, inventory, by_class.links(), order=order)
+        assert isinstance(found, tuple) and count(gl.written_out(found)) == count(wanted)
+        assert count(gl.apply_summary(found)) == count(gl.apply_summary(wanted))
+        by_id.upsert(wanted.filter("status = 'created'"), run)
+        assert by_class.upsert(tuple(part.of_pairs("status = 'created'") for part in found), run)
+    assert count(by_class.read()) == count(by_id.read().select(*by_class.read().columns))
+    assert len({r["status"] for r in wanted.collect()}) == 3
+    again = gl.apply_links(parts, inventory, by_class.links(), order=order)
+    assert {r["status"] for r in gl.apply_summary(again).collect()} == {"skipped", "error"}
+    before = by_class.manifest(), by_class.version()
+    created = tuple(part.of_pairs("status = 'created'") for part in found)
+    assert by_class.upsert(created, "run-2") == [] and before == (by_class.manifest(), by_class.version())
+    # A table with links by their ids takes parts as rows.
+    assert by_id.upsert(created, "run-3") == []
+
+
+def test_rows_are_dealt_by_their_number(spark, monkeypatch):
+    """The join that makes rows has tasks by the rows, not by the bytes of their chunks."""
+    monkeypatch.setattr(gl, "TASK_ROWS", 100)
+    monkeypatch.setattr(gl, "PLACE_CHUNK", 10)
+    found = gl.match_exact(terms(spark, ("brand", "")), columns(spark, *[f"t{i}.Brand" for i in range(3000)]))
+    found.count()
+    assert found.count() == 3000 and found.rdd.getNumPartitions() == 31
+
+
+def test_parts_of_names_meet_few_keywords_unshuffled(spark):
+    c = columns(spark, "Ab_c-1d.x_usd", "t.usd")
+    names = spark.createDataFrame([("ab_c",), ("1d/a",), ("x",), (None,)], "name string")
+    assert {tuple(r) for r in gl._parts(names).collect()} == {("ab_c", k) for k in ("ab", "ab_", "ab_c", "b_", "b_c")}
+    words = spark.createDataFrame([("usd",), ("ab",)], "keyword string")
+    placed = gl._place_classes(c, words)
+    assert "BroadcastHashJoin" in placed._jdf.queryExecution().executedPlan().toString()
+    assert sorted([tuple(h) for h in r["hits"]] for r in placed.collect()) == [
+        [("usd", "exact")], [("usd", "substr"), ("ab", "table")],
+    ]
